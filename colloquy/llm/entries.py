@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import simhash, trie_bpe, winnow
-from colloquy.llm.common import read_table
+from colloquy.llm import dac, langid, simhash, toxicity, trie_bpe, winnow
+from colloquy.llm.common import read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,17 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return done.withColumnRenamed("id", "doc_id")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "tokens")
+    files = dac.write_tokens(read_table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
+    return dac.read_digests(spark, folder, files).withColumnRenamed("id", "doc_id")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = trie_bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests_only=True)
     return done.withColumnRenamed("id", "doc_id")
@@ -30,6 +41,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = langid.identify_held_out(read_table(spark, sf_dir, "documents"))
+    return done.withColumnsRenamed({"id": "doc_id", "lang_score": "score"})
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = winnow.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return done.select(
@@ -56,8 +72,11 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_toxicity": op3_toxicity,
+        "op4_token_files": op4_token_files,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_language_id": op9_language_id,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
