@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import dac, langid, simhash, toxicity, trie_bpe, winnow
+from colloquy.llm import dac, htmlrender, langid, pii, simhash, toxicity, trie_bpe, urlgraph, vectorgraph, winnow
 from colloquy.llm.common import read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,22 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Rules that op2 is asked for.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: Key of the surrogates in op5 and the pipeline; a production run passes its own secret.
+PII_KEY = "colloquy-example-key"
+
+
+def op1_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = vectorgraph.links_and_components(read_table(spark, sf_dir, "embeddings"))
+    return done.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = urlgraph.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return done.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return done.withColumnRenamed("id", "doc_id")
@@ -31,11 +47,21 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_digests(spark, folder, files).withColumnRenamed("id", "doc_id")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select("doc_id", F.size("pii_entities").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("pii_entities.kind")), ",").alias("kinds"), "text", F.col("pii_entities").alias("entities"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = trie_bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digests_only=True)
     return done.withColumnRenamed("id", "doc_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = htmlrender.extract(read_table(spark, sf_dir, "pages"))
+    return done.select(F.col("id").alias("page_id"), "text", F.length("text").cast("long").alias("n_chars"), F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return done.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), F.col("component").alias("component_id"))
@@ -70,11 +96,58 @@ FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+walk(u, w) AS (SELECT vec_id, vec_id FROM v UNION SELECT walk.u, links.w FROM walk JOIN links ON walk.w = links.u),
+least AS (SELECT u, min(w) AS c FROM walk GROUP BY u),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_links, coalesce(least.c, vec_id) AS component_id, coalesce(vec_id = coalesce(least.c, vec_id), false) AS kept
+FROM embeddings LEFT JOIN counts ON counts.u = vec_id LEFT JOIN least ON least.u = vec_id
+"""
+
+
+def op2_sql() -> str:
+    """The rules and the spread of masses in SQL, a step for each round."""
+    rule = verdict = "NULL"
+    for kind, text in sorted(URL_RULES, key=lambda r: (len(r[1]), r[1])):
+        own, _, rest = text.partition("/")
+        fits = f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{rest}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
+    lower = f"'{urlgraph.UPPER}', '{urlgraph.LOWER}'"
+    link = urlgraph.LINK.replace("'", "''")
+    steps = []
+    for name, seed, src, dst in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
+        steps.append(f"{name}_links AS (SELECT {src} AS src, {dst} AS dst, w / sum(w) OVER (PARTITION BY {src}) AS share FROM links)")
+        steps.append(f"{name}_0 AS (SELECT host, {seed} AS seed, {seed} AS mass, host IN (SELECT src FROM {name}_links) AS gives FROM hosts)")
+        for i in range(1, urlgraph.ROUNDS + 1):
+            steps.append(
+                f"{name}_{i} AS MATERIALIZED (SELECT p.host, p.seed, {1 - urlgraph.DAMPING} * p.seed + {urlgraph.DAMPING} * (CASE WHEN p.gives THEN 0 ELSE p.mass END + coalesce(m.got, 0)) AS mass, p.gives"
+                f" FROM {name}_{i - 1} p LEFT JOIN (SELECT l.dst AS host, sum(q.mass * l.share) AS got FROM {name}_{i - 1} q JOIN {name}_links l ON q.host = l.src GROUP BY l.dst) m ON m.host = p.host)"
+            )
+    return f"""
+WITH a AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {lower}), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
+j AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS own FROM p),
+links AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {lower}) AS dst FROM p) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+hosts AS (SELECT host, sum(good) AS good, sum(bad) AS bad FROM (SELECT host, avg(CASE WHEN own = 'allow' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN own = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM j GROUP BY host
+  UNION ALL SELECT DISTINCT src, 0.0, 0.0 FROM links UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM links) GROUP BY host),
+{", ".join(steps)}
+SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN d.mass - t.mass > {urlgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN t_{urlgraph.ROUNDS} t ON t.host = j.host JOIN d_{urlgraph.ROUNDS} d ON d.host = j.host
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_vector_near_dedup": op1_vector_near_dedup,
+        "op2_url_filter": op2_url_filter,
         "op3_toxicity": op3_toxicity,
         "op4_token_files": op4_token_files,
+        "op5_pii_surrogates": op5_pii_surrogates,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op7_html_text": op7_html_text,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
@@ -82,4 +155,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_decontamination": OP10_SQL}
+    return {"op1_vector_near_dedup": OP1_SQL, "op2_url_filter": op2_sql(), "op10_benchmark_decontamination": OP10_SQL}
