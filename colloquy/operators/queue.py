@@ -57,7 +57,7 @@ def materialize_step(rows: DataFrame, outcome: str = "outcome", most: int = 3) -
     """The state of an attachment's file after a try: there, still elsewhere, in error, or missing after ``most`` tries."""
     tries = F.col("attempts") + (F.col(outcome) != "present").cast("int")
     state = F.when(F.col(outcome) == "present", "materialized").when(F.col(outcome) == "error", "error").when(tries >= most, "missing").otherwise("dataless")
-    return rows.withColumn("attempts", tries).withColumn("state", state)
+    return rows.withColumns({"attempts": tries, "state": state})
 
 
 def accept_within(times: list[float], limit: int, window: float) -> list[bool]:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from colloquy.plans import message_queries
+from colloquy.plans import corpus_queries, message_queries
 from colloquy.plans.message_queries import flagship
 from colloquy.plans.views import REGISTRY, Query
 
-__all__ = ["flagship", "message_queries", "registry"]
+__all__ = ["corpus_queries", "flagship", "message_queries", "registry"]
 
 
 def registry() -> dict[str, tuple[Query, str | None]]:
