@@ -48,6 +48,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def byte_symbols() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    symbols = {b: chr(b) for b in shown}
+    spare = 0x100
+    for b in range(0x100):
+        if b not in symbols:
+            symbols[b] = chr(spare)
+            spare += 1
+    return [symbols[b] for b in range(0x100)]
+
+
 def text_groups(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Split record batches so that ``column`` holds about ``limit`` bytes at most in each.
 

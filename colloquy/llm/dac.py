@@ -31,22 +31,25 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ship_package, text_groups
+from colloquy.llm.common import byte_symbols, ship_package, text_groups
 
 MAGIC = b"CLQDAC01"
 BLOCK = 512
 #: A task starts another file beyond so many ids, which bounds what it holds.
 IDS_PER_FILE = 1 << 23
 IDS_AT_ONCE = 1 << 20
-#: Pieces of text that a worker remembers with their ids; beyond it the memory is emptied.
-REMEMBERED = 500_000
+#: Pieces of text that a worker remembers with their ids, in two generations of which the older is dropped when the younger is full.
+REMEMBERED = 800_000
 LONG_PIECE = 64
 _encoders: dict[str, CachedEncoder] = {}
 
@@ -156,6 +159,10 @@ class CachedEncoder:
     no space.
     """
 
+    #: Characters of which Python's ``re`` and the tokenizer agree on letters, digits and spaces.
+    PLAIN = re.compile("[\t-\r -~¡-±´-¸º»¿-ɏ]*")
+    PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    MARKS = frozenset(".,;:!?)]}\"|")
     CUT = re.compile(r"(?<=\S) (?=\S)")
     RUN = re.compile(r"\s\s")
 
@@ -167,36 +174,71 @@ class CachedEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.wide = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        if not all("<" in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens without < are not provided for")
+        self.code = "H" if self.wide == "<u2" else "I"
+        self.shown = dict(enumerate(byte_symbols()))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         return self.CUT.split(text) if self.RUN.search(text) or text[:1].isspace() or text[-1:].isspace() else text.split(" ")
 
-    def _fill(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast([" " + x for x in pieces], add_special_tokens=False)
-        return {x: np.array(e.ids, dtype=self.wide).tobytes() for x, e in zip(pieces, found, strict=True)}
+    def _part(self, part: str) -> bytes:
+        """The ids of what the pre-tokenizer makes one token to be split; each distinct one goes to the model once."""
+        found = self.parts.get(part)
+        if found is None:
+            found = array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))]).tobytes()
+            if len(self.parts) >= REMEMBERED:
+                self.parts = {}
+            self.parts[part] = found
+        return found
+
+    def _encode(self, piece: str) -> bytes:
+        """The ids of one piece and the space before it.
+
+        The parts of a piece of plain characters are found here (most are a word,
+        or a word and a mark); other pieces go to the library whole.
+        """
+        word, mark = (piece[:-1], piece[-1]) if piece[-1:] in self.MARKS else (piece, "")
+        plain = len(piece) <= LONG_PIECE and (self.PLAIN.fullmatch(piece) is not None)
+        if plain and word.isalpha():
+            return self._part(" " + word) + self._part(mark) if mark else self._part(" " + word)
+        if "<" in piece or not plain:
+            return array(self.code, self.tokenizer.encode(" " + piece, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._part, self.PART.findall(" " + piece)))
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the young generation lacks; those worth keeping are added to it."""
+        old, encode = self.old.get, self._encode
+        out = {piece: old(piece) or encode(piece) for piece in missing}
+        if len(self.young) + len(out) > REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        if len(out) <= REMEMBERED // 2:
+            self.young |= {x: v for x, v in out.items() if len(x) <= LONG_PIECE}
+        return out
 
     def texts(self, texts: list[str | None], end_id: int | None = 0) -> list[np.ndarray]:
         """The ids of each text, followed by ``end_id``."""
         cut = [self.pieces(t) if t else [""] for t in texts]
-        wanted = {x for pieces in cut for x in pieces[1:]}
-        missing = [x for x in wanted if x not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known, missing = {}, list(wanted)
-        table = self.known
-        if len(missing) > REMEMBERED or any(len(x) > LONG_PIECE for x in missing):
-            table = {x: self.known[x] for x in wanted if x in self.known}
-        for at in range(0, len(missing), 4096):
-            found = self._fill(missing[at : at + 4096])
-            table |= found
-            if table is not self.known:
-                self.known |= {x: v for x, v in found.items() if len(x) <= LONG_PIECE}
         first = self.tokenizer.encode_batch_fast([x[0] for x in cut], add_special_tokens=False)
+        known = self.young.get
+        rows = [list(map(known, x)) for x in cut]
+        for row in rows:
+            row[0] = b"-"  # comes from ``first``: no space stands before it
+        gaps = [list(compress(range(len(r)), map(not_, r))) if None in r else [] for r in rows]
+        learned = self._learn({x[i] for x, g in zip(cut, gaps, strict=True) for i in g})
         tail = b"" if end_id is None else np.array([end_id], dtype=self.wide).tobytes()
-        return [
-            np.frombuffer(b"".join([np.array(f.ids, dtype=self.wide).tobytes(), *map(table.__getitem__, x[1:]), tail]), dtype=self.wide)
-            for x, f in zip(cut, first, strict=True)
-        ]
+        out = []
+        for x, row, gap, f in zip(cut, rows, gaps, first, strict=True):
+            for i in gap:
+                row[i] = learned[x[i]]
+            row[0] = array(self.code, f.ids).tobytes()
+            row.append(tail)
+            out.append(np.frombuffer(b"".join(row), dtype=self.wide))
+        return out
 
 
 def encoder(path: str) -> CachedEncoder:

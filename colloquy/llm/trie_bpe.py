@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ship_package, text_groups
+from colloquy.llm.common import byte_symbols, ship_package, text_groups
 
 #: Words that a worker remembers with their encodings; beyond it the memory is emptied.
 REMEMBERED = 500_000
@@ -42,18 +42,6 @@ SPACE = "\t-\r \\x85\\xa0  -     　"
 EXACT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
-def byte_symbols() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    symbols = {b: chr(b) for b in shown}
-    spare = 0x100
-    for b in range(0x100):
-        if b not in symbols:
-            symbols[b] = chr(spare)
-            spare += 1
-    return [symbols[b] for b in range(0x100)]
-
-
 class WordBpe:
     """Encoder and decoder of one tokenizer file."""
 
