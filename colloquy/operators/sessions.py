@@ -21,6 +21,28 @@ def sessionize(messages: DataFrame, gap_hours: float, chat: str = "chat_id", at:
     return messages.withColumn("_break", breaks).withColumn("session_no", F.sum("_break").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
 
 
+def sessionize_split(messages: DataFrame, gap_hours: float, bucket_hours: int = 24, chat: str = "chat_id", at: str = "sent_at", tie: str = "message_id") -> DataFrame:
+    """``sessionize`` for chats of any size: no task needs a whole chat.
+
+    Rows are dealt out by chat and stretch of time. A stretch's first row looks
+    back to the last time of the stretch before it, and a stretch's sessions are
+    numbered on from the breaks in all before it; both come from a table with a
+    row for each chat and stretch.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    gap = int(gap_hours * 3_600_000_000)
+    rows = messages.withColumns({"_t": micros, "_b": F.floor(micros / F.lit(bucket_hours * 3_600_000_000))})
+    stretches = Window.partitionBy(chat).orderBy("_b")
+    ends = rows.groupBy(chat, "_b").agg(F.max("_t").alias("_end"))
+    before = ends.select(chat, "_b", F.lag("_end").over(stretches).alias("_before"))
+    inside = Window.partitionBy(chat, "_b").orderBy(at, tie)
+    marked = rows.join(before, [chat, "_b"]).withColumn("_break", F.coalesce((F.col("_t") - F.coalesce(F.lag("_t").over(inside), "_before") > gap).cast("int"), F.lit(0)))
+    breaks = marked.groupBy(chat, "_b").agg(F.sum("_break").alias("_n"))
+    offsets = breaks.select(chat, "_b", F.coalesce(F.sum("_n").over(stretches.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    numbered = marked.join(offsets, [chat, "_b"]).withColumn("session_no", F.col("_offset") + F.sum("_break").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.select(*messages.columns, "session_no")
+
+
 def summarize_sessions(sessions: DataFrame, chat: str = "chat_id", at: str = "sent_at", tie: str = "message_id") -> DataFrame:
     """One row per session: times, size, and the first and last message."""
     key = F.struct(at, tie)

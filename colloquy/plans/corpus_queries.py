@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import ids, text, times, vectors
 from colloquy.operators import access, attachments, evaluation, incremental, lexical, queue, ranking, rendering
+from colloquy.plans import upkeep
 from colloquy.plans.search import SearchTables, hybrid_search
 from colloquy.plans.views import register, sql, view
 
@@ -291,7 +294,7 @@ def o158(spark, sf):
 WORDS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"
 
 
-def _bm25_sql(phrase: str, k: int) -> str:
+def _bm25_ctes(phrase: str, digits: int | None = 6) -> str:
     terms = lexical.query_phrases(phrase)
     assert all(len(t) == 1 for t in terms)
     names = [t[0] for t in terms]
@@ -300,13 +303,17 @@ def _bm25_sql(phrase: str, k: int) -> str:
     idf = lambda i: f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END"
     score = " + ".join(f"({idf(i)}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(names)))
     both = " AND ".join(f"tf{i} > 0" for i in range(len(names)))
-    ctes = f"t AS (SELECT segment_id, {WORDS} AS w FROM segment), c AS (SELECT segment_id, len(w) AS dl, {tf} FROM t), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c), scored AS (SELECT segment_id, round({score}, 6) AS score FROM c, st WHERE {both})"
-    return sql(f"SELECT segment_id, score, row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored ORDER BY score DESC, segment_id LIMIT {k}", "segment", ctes=ctes)
+    score = score if digits is None else f"round({score}, {digits})"
+    return f"t AS (SELECT segment_id, {WORDS} AS w FROM segment), c AS (SELECT segment_id, len(w) AS dl, {tf} FROM t), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c), scored AS (SELECT segment_id, {score} AS score FROM c, st WHERE {both})"
 
 
-@register("o87_o88_bm25", _bm25_sql("with the they", 100))
+def _bm25_sql(phrase: str, k: int) -> str:
+    return sql(f"SELECT segment_id, score, row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored ORDER BY score DESC, segment_id LIMIT {k}", "segment", ctes=_bm25_ctes(phrase))
+
+
+@register("o87_o88_bm25", _bm25_sql("with that from", 100))
 def o88(spark, sf):
-    hits = lexical.bm25(view(spark, sf, "segment"), "with the they").withColumn("score", F.round("score", 6))
+    hits = lexical.bm25(view(spark, sf, "segment"), "with that from").withColumn("score", F.round("score", 6))
     return ranking.ranked(hits, [F.col("score").desc(), F.col("segment_id")], 100).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -421,11 +428,43 @@ def o96(spark, sf):
     return ranking.passthrough(_channels(spark, sf).where("channel = 1")).select("segment_id", "rerank_score")
 
 
-@register("o94_hybrid_search")
+RAW_DISTANCE = "1 - list_cosine_similarity(CAST(vec AS DOUBLE[]), CAST(qv AS DOUBLE[]))"
+SEARCH = _bm25_ctes("with that from", None) + f""", {QUERY_VECTOR},
+tch AS (SELECT segment_id, row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored QUALIFY rank <= 100),
+vch AS (SELECT segment_id, row_number() OVER (ORDER BY {RAW_DISTANCE}, segment_id) AS rank FROM vector SEMI JOIN segment USING (segment_id), q QUALIFY rank <= 100),
+fused AS (SELECT segment_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM tch UNION ALL SELECT * FROM vch) GROUP BY 1),
+pooled AS (SELECT segment_id, score, row_number() OVER (ORDER BY score DESC, segment_id) AS pr FROM fused QUALIFY pr <= 50),
+judged AS (SELECT segment_id, score, pr, {JACCARD} AS jac FROM pooled JOIN segment USING (segment_id), (SELECT 'with that from' AS query_text))"""
+SEARCH_SQL = sql("SELECT segment_id, row_number() OVER (ORDER BY jac DESC, pr) AS rank, round(score, 6) AS score, jac AS rerank_score FROM judged ORDER BY jac DESC, pr LIMIT 10", "segment", "vector", ctes=SEARCH).replace("FROM vector SEMI JOIN segment USING (segment_id), q QUALIFY", "FROM (SELECT * FROM vector SEMI JOIN segment USING (segment_id)), q QUALIFY")
+
+
+@register("o94_hybrid_search", SEARCH_SQL)
 def o94(spark, sf):
     s = view(spark, sf, "segment").withColumnsRenamed({"chat": "chat_id"}).withColumn("started_at", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, cast(segment_id as int))"))
     tables = SearchTables(segments=s, vectors=view(spark, sf, "vector"))
-    return hybrid_search(tables, "with the they", _query_vector(spark, sf), filters=access.Filters(after="2024-01-01"), limit=10)
+    return hybrid_search(tables, "with that from", _query_vector(spark, sf), filters=access.Filters(after="2024-01-01"), limit=10)
+
+
+@register("o75_authorised_top_k", sql("SELECT segment_id, row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored WHERE segment_id IN (SELECT segment_id FROM segment WHERE chat < 'src3') ORDER BY score DESC, segment_id LIMIT 40", "segment", ctes=_bm25_ctes("with that from", None)))
+def o75(spark, sf):
+    s = view(spark, sf, "segment")
+    hits = lexical.bm25(s, "with that from").join(s.where("chat < 'src3'").select("segment_id"), "segment_id", "left_semi")
+    return ranking.ranked(hits, [F.col("score").desc(), F.col("segment_id")], 40).select("segment_id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("o101_attachment_text", sql("SELECT attachment_id, filename FROM attachment WHERE sha256('attachment:' || attachment_id) = sha256('attachment:37') AND attachment_id IN (SELECT attachment_id FROM line WHERE chat_id IN (SELECT chat_id FROM direct JOIN allowlist USING (person_id) WHERE text_allowed))", "attachment", "line", "direct", "allowlist"))
+def o101(spark, sf):
+    visible = view(spark, sf, "direct").join(view(spark, sf, "allowlist").where("text_allowed"), "person_id", "left_semi").select(F.col("chat_id").alias("segment_id"))
+    keyed = view(spark, sf, "attachment").withColumn("attachment_key", ids.derived_key("attachment", F.col("attachment_id").cast("string")))
+    wanted = hashlib.sha256(b"attachment:37").hexdigest()
+    links = view(spark, sf, "line").select("attachment_id", F.col("chat_id").alias("segment_id"))
+    return upkeep.attachment_text(keyed, links, visible, wanted).select("attachment_id", "filename")
+
+
+@register("o134_late_edits", sql("SELECT message_id FROM message WHERE kind = 'error' AND sent_at > TIMESTAMP '2024-01-20'", "message"))
+def o134(spark, sf):
+    m = view(spark, sf, "message").withColumn("retracted_at", F.when(F.col("is_unsent"), F.col("sent_at"))).withColumn("edited_at", F.lit(None).cast("timestamp_ntz"))
+    return incremental.incremental_scan(m, 1 << 60, F.lit("2024-01-20").cast("timestamp_ntz"), "message_id").select("message_id")
 
 
 # evaluation

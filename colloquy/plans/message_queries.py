@@ -28,6 +28,11 @@ def o60(spark, sf):
     return _sessions(spark, sf).select("message_id", "chat_id", "session_no")
 
 
+@register("o60_sessionize_split", sql("SELECT message_id, chat_id, CAST(session_no AS BIGINT) AS session_no FROM s", "message", ctes=SESSIONS))
+def o60b(spark, sf):
+    return sessions.sessionize_split(view(spark, sf, "message"), 3.0, 5).select("message_id", "chat_id", "session_no")
+
+
 @register("o66_session_summary", sql("SELECT * FROM ss", "message", ctes=SESSIONS))
 def o66(spark, sf):
     return _summaries(spark, sf)
