@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,16 +79,30 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([^\W_]+)"), 1)
 
 
-def tokenize(text: Column) -> Column:
-    """Index terms: lower case, diacritics removed, split at whatever is neither letter nor digit."""
-    @F.udf("array<string>", useArrow=True)
-    def fold(value: str | None) -> list[str] | None:
-        if value is None:
-            return None
-        bare = "".join(c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c))
-        return re.findall(r"[^\W_]+", bare)
+@cache
+def unaccented() -> tuple[str, str]:
+    """Characters that decompose into a base and marks, and their bases: a table made from Unicode's own rule."""
+    pairs = []
+    for code in range(0xC0, 0x10000):
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
+            continue
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and not unicodedata.combining(parts[0]) and all(map(unicodedata.combining, parts[1:])):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
 
-    return F.when(text.rlike(r"[^\x00-\x7F]"), fold(text)).otherwise(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1))
+def terms_of(text: str) -> list[str]:
+    """The driver-side twin of ``tokenize``."""
+    table = str.maketrans(*unaccented())
+    bare = "".join(c for c in text.lower().translate(table) if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", bare)
+
+
+def tokenize(text: Column) -> Column:
+    """Index terms: lower case, diacritics removed, split at whatever is neither letter nor digit. Stays in the JVM."""
+    folded = F.regexp_replace(F.translate(F.lower(text), *unaccented()), r"\p{Mn}+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), 1)).otherwise(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import CURLY_DOUBLE, CURLY_SINGLE, EMOJI_RANGES, tokenize
+from colloquy.functions.text import CURLY_DOUBLE, CURLY_SINGLE, EMOJI_RANGES, terms_of, tokenize
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -44,8 +44,7 @@ def route(raw: str) -> RoutedQuery:
 
 def query_phrases(phrase: str) -> list[list[str]]:
     """The terms of each word between spaces; a word of several terms is a phrase whose terms must follow each other."""
-    fold = lambda w: re.findall(r"[^\W_]+", "".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c)))
-    return [terms for terms in map(fold, phrase.split()) if terms]
+    return [terms for terms in map(terms_of, phrase.split()) if terms]
 
 
 def postings(docs: DataFrame, key: str = "segment_id", text: str = "text") -> DataFrame:
