@@ -63,14 +63,17 @@ TITLES = {
 
 _NAME = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁΑ-ΩΆ-Ώ][a-zß-öø-ÿā-žа-яёα-ωά-ώ]+(?:-[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-яё]+)?"
 EMAIL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![\w-])")
-IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)")
-SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-CARD = re.compile(r"(?<![\w.+-])\d(?:[ \n-]?\d){12,18}(?![\w-])")
-PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .\n-]?)?\(?\d{3}\)?[ .\n-]{1,2}\d{3}[ .\n-]\d{4}(?!\w)|(?<![\w.-])\+\d{1,3}(?:[ .\n/()-]{1,2}\d{1,5}){2,6}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)")
-IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\w)")
+SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
+CARD = re.compile(r"(?<![\w.+-])[0-9](?:[ \n-]?[0-9]){12,18}(?![\w-])")
+PHONE = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .\n-]?)?\(?[0-9]{3}\)?[ .\n-]{1,2}[0-9]{3}[ .\n-][0-9]{4}(?!\w)|(?<![\w.-])\+[0-9]{1,3}(?:[ .\n/()-]{1,2}[0-9]{1,5}){2,6}(?!\w)|(?<!\w)\+[0-9]{8,15}(?!\w)")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|passw(?:or)?d|pwd|bearer|credential)s?[\"']?\s*(?:[:=]|=>|\s)\s*[\"']?([A-Za-z0-9_+/.~-]{8,}={0,2})")
-DIGEST = re.compile(r"(?<![\w])(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\w])")
+DIGEST = re.compile(r"(?<![\w])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\w])")
 PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )(" + _NAME + r"(?: " + _NAME + r"){0,2})(?!\w)")
+#: Quick tests for what every match holds: a digit; a word that could be a title before a capital letter.
+DIGITS = "0123456789"
+TITLED = re.compile(r"[MSDHFPГКΚ][a-zñéа-яά-ώ]{0,8}\.? [A-ZÀ-ÞĀ-ŽА-ЯЁΑ-ΩΆ-Ώ]")
 KINDS = ("email", "iban", "card", "ssn", "ipv4", "phone", "secret", "person")
 
 
@@ -101,27 +104,29 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     if "@" in text:
         for m in EMAIL.finditer(text):
             add("email", *m.span())
-    for m in CARD.finditer(text):
-        add("card", *m.span())
-    for m in PHONE.finditer(text):
-        add("phone", *m.span())
-    if "." in text:
-        for m in IPV4.finditer(text):
-            add("ipv4", *m.span())
-    if "-" in text:
-        for m in SSN.finditer(text):
-            add("ssn", *m.span())
-    for m in IBAN.finditer(text):
-        if _iban_rest(m[0].replace(" ", "")) == 1:
-            add("iban", *m.span())
-    for m in SECRET.finditer(text):
-        value = m[1].rstrip(".")
-        if any(c.isdigit() for c in value):
-            add("secret", m.start(1), m.start(1) + len(value))
-    for m in DIGEST.finditer(text):
-        add("secret", *m.span())
-    for m in PERSON.finditer(text):
-        add("person", m.start(3), m.end(3))
+    if any(c in text for c in DIGITS):
+        for m in CARD.finditer(text):
+            add("card", *m.span())
+        for m in PHONE.finditer(text):
+            add("phone", *m.span())
+        if "." in text:
+            for m in IPV4.finditer(text):
+                add("ipv4", *m.span())
+        if "-" in text:
+            for m in SSN.finditer(text):
+                add("ssn", *m.span())
+        for m in IBAN.finditer(text):
+            if _iban_rest(m[0].replace(" ", "")) == 1:
+                add("iban", *m.span())
+        for m in SECRET.finditer(text):
+            value = m[1].rstrip(".")
+            if any(c in value for c in DIGITS):
+                add("secret", m.start(1), m.start(1) + len(value))
+        for m in DIGEST.finditer(text):
+            add("secret", *m.span())
+    if TITLED.search(text):
+        for m in PERSON.finditer(text):
+            add("person", m.start(3), m.end(3))
     found.sort()
     out, end = [], 0
     for start, minus_end, _, kind in found:
@@ -136,9 +141,9 @@ def normal_form(kind: str, value: str, title: str = "") -> str:
     if kind == "email":
         return value.lower()
     if kind in ("card", "ssn"):
-        return re.sub(r"\D", "", value)
+        return re.sub("[^0-9]", "", value)
     if kind == "phone":
-        return ("+" if value.startswith("+") else "") + re.sub(r"\D", "", value)
+        return ("+" if value.startswith("+") else "") + re.sub("[^0-9]", "", value)
     if kind == "iban":
         return value.replace(" ", "")
     return value
@@ -265,8 +270,8 @@ class Surrogates:
         if kind == "email":
             return "".join(s.upper() if o.isupper() else s for o, s in zip(original, surrogate, strict=True)) if len(original) == len(surrogate) else surrogate
         if kind in ("card", "ssn", "phone"):
-            digits = iter(c for c in surrogate if c.isdigit())
-            return "".join(next(digits, "") if c.isdigit() else c for c in original)
+            digits = iter(c for c in surrogate if c in DIGITS)
+            return "".join(next(digits, "") if c in DIGITS else c for c in original)
         if kind == "iban" and " " in original:
             symbols = iter(surrogate)
             return "".join(c if c == " " else next(symbols, "") for c in original)
