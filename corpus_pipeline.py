@@ -1,8 +1,8 @@
 """The corpus pipeline.
 
 Five stages turn the table of documents into token ids: language identification
-drops documents without an identifiable language; SimHash leaves one document of
-each group of near-duplicates; documents that hold a benchmark passage go;
+drops documents without an identifiable language; of each group of texts whose
+five-word shingles are similar to 0.8 or more one stays; documents that hold a benchmark passage go;
 personal data get surrogates; what is left is encoded and decoded.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all rows of
@@ -13,10 +13,10 @@ repeated rows are near-duplicates of each other; empty tables give empty results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import langid, pii, simhash, trie_bpe, winnow
+from colloquy.llm import langid, pii, shingles, trie_bpe, winnow
 from colloquy.llm.common import cut, held_out, read_table, shared_path
 from colloquy.llm.entries import PII_KEY, tokenizer_file
 
@@ -35,13 +35,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each SimHash component.
+    """Keep the document with the least id of each component of similar texts.
 
     Of repeated rows of that id the least by a hash of its columns stays; of rows
     without an id one for each text.
     """
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    groups = cut(simhash.near_duplicates(named).where("id = component").groupBy("id").agg(F.count("*").alias("copies")))
+    groups = cut(shingles.near_copies(named).where("id = component").groupBy("id").agg(F.count("*").alias("copies")))
     kept = named.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
     repeated = groups.where("copies > 1").select(F.col("id").alias("doc_id"))
 
@@ -58,9 +58,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which no window of a benchmark item occurs."""
-    found = winnow.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.size("spans") > 0).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    benchmark = read_table(spark, sf_dir, "benchmark")
+
+    def clean(rows: DataFrame, key: Column) -> DataFrame:
+        found = winnow.decontaminate(rows.select(key.alias("doc_id"), "text"), benchmark)
+        hit = found.where(F.size("spans") > 0).select(F.col("id").alias("hit_key")).distinct()
+        return rows.join(hit, key == F.col("hit_key"), "left_anti").select(*docs.columns)
+
+    nameless = docs.where("doc_id is null")
+    kept = clean(docs.where("doc_id is not null"), F.col("doc_id"))
+    # Rows without an id go by their text.
+    return kept if nameless.isEmpty() else kept.unionByName(clean(nameless, F.xxhash64("text")))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
