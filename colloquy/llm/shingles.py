@@ -31,7 +31,9 @@ from colloquy.llm.components import connected_components
 
 WIDTH, SEED = 5, 42
 #: Texts that the order is learned from, and common shingles that it knows.
-SAMPLE, COMMON = 20_000, 1 << 18
+SAMPLE, COMMON = 4_000, 1 << 18
+#: Ids that are sent to every task (8 MB); more are joined by a shuffle.
+IDS_SENT = 1 << 20
 
 
 def shingle_set(text: str | bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -119,15 +121,31 @@ def _prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id long, digest binary, n long, prefix array<long>")
 
 
-def _long_enough(n: Column, m: Column) -> Column:
-    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+def _possible(n: str, at: str, m: str, other_at: str) -> Column:
+    """Whether sets of n and m shingles can be similar if these are the places of their first common one."""
+    return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and 9 * least({n} - {at}, {m} - {other_at}) >= 4 * ({n} + {m})")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs ``(u, v)`` of ids whose texts are similar."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = cut(_sets(rows.join(ends, "id", "left_semi")).distinct())
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
+def _verified(pairs: DataFrame, rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """Those of the pairs ``(u, v)`` of ids whose texts are similar.
+
+    What their prefixes have in common bounds what the sets have: behind the end
+    of the prefix that ends first there is only the rest of its own set.
+    """
+
+    def of_ends(source: DataFrame, wanted: DataFrame) -> DataFrame:
+        ends = cut(wanted.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+        return source.join(F.broadcast(ends) if ends.count() <= IDS_SENT else ends, "id", "left_semi")
+
+    def joined(wanted: DataFrame, source: DataFrame, what: Column) -> DataFrame:
+        a, b = (source.select(F.col("id").alias(end), what.alias(name)) for end, name in (("u", "a"), ("v", "b")))
+        return wanted.join(a, "u").join(b, "v").select("u", "v", "a", "b")
+
+    bounded = joined(pairs, of_ends(prints, pairs), F.struct("n", "prefix"))
+    rest = F.greatest(F.col("a.n") - F.size("a.prefix"), F.col("b.n") - F.size("b.prefix"))
+    hopeful = bounded.where(9 * (F.size(F.array_intersect("a.prefix", "b.prefix")) + rest) >= 4 * (F.col("a.n") + F.col("b.n")))
+    hopeful = cut(hopeful.select("u", "v").distinct())
+    both = joined(hopeful, cut(_sets(of_ends(rows, hopeful)).distinct()), F.col("hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,27 +163,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = cut(prints.groupBy("digest").agg(F.min("id").alias("rep")))
     # By id and digest, so that many copies of one text meet in no task.
     firsts = prints.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
-    probes = firsts.select(F.col("id").alias("rep"), "n", F.posexplode("prefix").alias("at", "token"))
+    # Size and place share a long, for less to shuffle.
+    probes = firsts.select(F.col("id").alias("rep"), "n", F.posexplode("prefix").alias("at", "token")).select("token", "rep", F.expr("shiftleft(n, 32) + at").alias("na"))
     bucket = Window.partitionBy("token").orderBy(F.xxhash64("rep", "token"), "rep")
-    me = F.struct("rep", "n")
-    met = probes.select("token", "rep", "n", "at", F.first(me).over(bucket).alias("leader"), F.lag(me).over(bucket).alias("other"), F.lead("rep").over(bucket).alias("next"))
-    met = cut(met.where("other is not null or next is not null"))
-    tried = met.where("other is not null").select("rep", "n", F.explode(F.array_distinct(F.array("leader", "other"))).alias("o"))
-    tried = tried.where(_long_enough(F.col("n"), F.col("o.n"))).select(F.least("rep", "o.rep").alias("u"), F.greatest("rep", "o.rep").alias("v")).where("u <> v")
+    me = F.struct("rep", "na")
+    met = probes.select("token", "rep", "na", F.first(me).over(bucket).alias("leader"), F.lag(me).over(bucket).alias("other"), F.lead("rep").over(bucket).alias("next"))
+    met = cut(met.where("other is not null or next is not null").select("token", "rep", "na", F.col("leader.rep").alias("r1"), F.col("leader.na").alias("na1"), F.col("other.rep").alias("r2"), F.col("other.na").alias("na2")))
+    tried = met.where("r2 is not null").select("rep", "na", F.explode(F.array(F.struct(F.col("r1").alias("r"), F.col("na1").alias("na")), F.struct(F.col("r2").alias("r"), F.col("na2").alias("na")))).alias("o"))
+    tried = tried.where(_possible("(na >> 32)", "(na & 4294967295)", "(o.na >> 32)", "(o.na & 4294967295)")).select(F.least("rep", "o.r").alias("u"), F.greatest("rep", "o.r").alias("v")).where("u <> v")
     tried = cut(tried.distinct())
-    links = cut(_verified(tried, rows))
+    links = cut(_verified(tried, rows, prints))
     united = cut(connected_components(links))
 
-    placed = met.select("token", "rep", "n", "at").join(united.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("c"))
+    placed = met.select("token", "rep", F.expr("na >> 32").alias("n"), F.expr("na & 4294967295").alias("at")).join(united.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     placed = cut(placed.join(mixed, "token", "left_semi"))
     a, b = (placed.select("token", *(F.col(x).alias(x + s) for x in ("rep", "n", "at", "c"))) for s in "12")
-    # The pair's first common shingle passes the second test, so every similar pair is met in one bucket at least.
-    left = a.join(b, "token").where("c1 < c2").where(_long_enough(F.col("n1"), F.col("n2"))).where("9 * least(n1 - at1, n2 - at2) >= 4 * (n1 + n2)")
+    # The pair's first common shingle passes the test, so every similar pair is met in one bucket at least.
+    left = a.join(b, "token").where("c1 < c2").where(_possible("n1", "at1", "n2", "at2"))
     left = left.select(F.least("rep1", "rep2").alias("u"), F.greatest("rep1", "rep2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     left = cut(left)
     if not left.isEmpty():
-        more = cut(_verified(left, rows))
+        more = cut(_verified(left, rows, prints))
         if not more.isEmpty():
             united = cut(connected_components(links.unionByName(more)))
     resolved = classes.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
