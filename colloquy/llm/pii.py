@@ -10,13 +10,15 @@ script) and separators stay, the check digit of a card and the check digits of
 an IBAN stay as valid as they were. As a permutation is one-to-one, different
 values of one format get different surrogates without any table, equal values
 get equal ones in every document, and tasks need not talk to each other. First
-names come from lists by gender and script; surnames are permuted, so a name and
-a later mention of it with another title agree.
+names come from lists by gender and script; surnames are permuted by themselves,
+whatever the title and first name, so a name and a later mention of it with
+another title agree. Words of a name that a document has after a title are
+replaced wherever else that document has them.
 
 What a permutation cannot exclude is checked over the whole corpus: a surrogate
 that is itself a value found in the corpus, or that two values share (lists of
 first names are finite), is replaced by that of a further attempt, until nothing
-collides. Those exceptions are joined to the documents that hold them; documents
+collides; of a person only the first names change for it. Those exceptions are joined to the documents that hold them; documents
 are not shuffled when there are none.
 
 Defined cases: a null text stays null and has no entities; where entities
@@ -71,6 +73,7 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1
 SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|passw(?:or)?d|pwd|bearer|credential)s?[\"']?\s*(?:[:=]|=>|\s)\s*[\"']?([A-Za-z0-9_+/.~-]{8,}={0,2})")
 DIGEST = re.compile(r"(?<![\w])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\w])")
 PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(\.? )(" + _NAME + r"(?: " + _NAME + r"){0,2})(?!\w)")
+WORD = re.compile(r"(?<!\w)" + _NAME + r"(?!\w)")
 #: Quick tests for what every match holds: a digit; a word that could be a title before a capital letter.
 DIGITS = "0123456789"
 TITLED = re.compile(r"[MSDHFPГКΚ][a-zñéа-яά-ώ]{0,8}\.? [A-ZÀ-ÞĀ-ŽА-ЯЁΑ-ΩΆ-Ώ]")
@@ -226,7 +229,7 @@ class Surrogates:
         digest = hmac.new(self.key, f"first|{script}|{gender}|{name}|{tweak}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest()
         return pool[int.from_bytes(digest[:8], "big") % len(pool)]
 
-    def of(self, kind: str, value: str, attempt: int = 0) -> str:
+    def of(self, kind: str, value: str, attempt: int = 0, surname_attempt: int = 0) -> str:
         """The surrogate of a normal form; ``person`` values are ``gender|name``."""
         tweak = f"{kind}|{attempt}"
         if kind == "card":
@@ -260,7 +263,7 @@ class Surrogates:
         if kind == "person":
             gender, _, name = value.partition("|")
             parts = name.split(" ")
-            last = self.permute(parts[-1], "surname|" + str(attempt))
+            last = self.of("surname", parts[-1], surname_attempt)
             firsts = [self.first_name(p, gender, f"{attempt}|{i}") for i, p in enumerate(parts[:-1])]
             return " ".join([*firsts, last])
         return self.permute(value, tweak)
@@ -311,7 +314,26 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             out.append((start, end, kind, value))
         else:
             out.append((start, end, kind, normal_form(kind, value)))
-    return [(s, e, k, f"{genders[n]}|{n}" if k == "person" else n) for s, e, k, n in out]
+    out = [(s, e, k, f"{genders[n]}|{n}" if k == "person" else n) for s, e, k, n in out]
+    if genders:
+        # Bare words of these names; the longest name with a word stands for it.
+        whole: dict[str, str] = {}
+        for name in sorted(genders, key=lambda n: (-n.count(" "), n)):
+            for part in name.split(" "):
+                whole.setdefault(part, f"{genders[name]}|{name}")
+        at, bare = 0, []
+        for m in WORD.finditer(text):  # type: ignore[arg-type]
+            if m[0] in whole:
+                while at < len(out) and out[at][1] <= m.start():
+                    at += 1
+                if at == len(out) or m.end() <= out[at][0]:
+                    bare.append((*m.span(), "person", whole[m[0]]))
+        out = sorted(out + bare)
+    return out
+
+
+def surname_of(kind: str, normal: str) -> str | None:
+    return normal.rpartition("|")[2].rpartition(" ")[2] if kind == "person" else None
 
 
 def replace(text: str | None, surrogates: Surrogates, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[tuple[int, int, str, str]]]:
@@ -321,7 +343,14 @@ def replace(text: str | None, surrogates: Surrogates, attempts: dict[tuple[str,
         return text, []
     out, at, told = [], 0, []
     for start, end, kind, normal in found:
-        new = surrogates.rendered(kind, text[start:end], surrogates.of(kind, normal, attempts.get((kind, normal), 0)))  # type: ignore[index]
+        surname = surname_of(kind, normal)
+        new = surrogates.of(kind, normal, attempts.get((kind, normal), 0), attempts.get(("surname", surname), 0) if surname else 0)
+        if kind == "person":
+            own = normal.partition("|")[2].split(" ")
+            if " ".join(own) != text[start:end]:  # type: ignore[index]
+                new = new.split(" ")[-1 if text[start:end] == own[-1] else own.index(text[start:end])]  # type: ignore[index]
+        else:
+            new = surrogates.rendered(kind, text[start:end], new)  # type: ignore[index]
         out += [text[at:start], new]  # type: ignore[index]
         told.append((start, end, kind, new))
         at = end
@@ -356,16 +385,30 @@ def resolve_collisions(found: DataFrame, key: str) -> DataFrame:
 
     Two different values may not share a surrogate, and a surrogate may not be a
     value that the corpus holds. Of values that share one the least keeps it.
+    Surnames are resolved by themselves (kind ``surname``), then first names.
     """
+    surname = F.element_at(F.split(_visible(F.col("normal")), " "), -1)
+    surnames = found.where("kind = 'person'").select(F.lit("surname").alias("kind"), surname.alias("normal")).distinct()
+    single = cut(_resolved(found.where("kind <> 'person'").unionByName(surnames).withColumn("base", F.lit(0)), key))
+    base = single.where("kind = 'surname'").select(F.col("normal").alias("surname"), F.col("attempt").alias("base"))
+    full = found.where("kind = 'person' and instr(normal, ' ') > 0").withColumn("surname", surname)
+    full = full.join(base, "surname", "left").select("kind", "normal", F.coalesce("base", F.lit(0)).alias("base"))
+    return single.unionByName(_resolved(full, key))
+
+
+def _resolved(found: DataFrame, key: str) -> DataFrame:
+    """The exceptions of rows ``(kind, normal, base)``; base is the attempt of a person's surname."""
+    schema = "kind string, normal string, base int, attempt int, surrogate string"
+
     def with_surrogates(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             maker = Surrogates(key)
             for batch in batches:
-                kinds, normals, attempts = (batch.column(i).to_pylist() for i in range(3))
-                made = [maker.of(k, n, a) for k, n, a in zip(kinds, normals, attempts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "normal", "attempt", "surrogate"])
+                kinds, normals, bases, attempts = (batch.column(i).to_pylist() for i in range(4))
+                made = [maker.of(k, n, a, b) for k, n, b, a in zip(kinds, normals, bases, attempts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "normal", "base", "attempt", "surrogate"])
 
-        return rows.select("kind", "normal", "attempt").mapInArrow(run, "kind string, normal string, attempt int, surrogate string")
+        return rows.select("kind", "normal", "base", "attempt").mapInArrow(run, schema)
 
     values = found.select("kind", _visible(F.col("normal")).alias("surrogate")).distinct()
     current = cut(with_surrogates(found.withColumn("attempt", F.lit(0))))
@@ -399,7 +442,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
         def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_groups(batches, "text", 4 << 20):
-                seen = sorted({(h, k, n) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, k, n in entities(t)})
+                seen = sorted({(h, k, n) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, kind, normal in entities(t) for k, n in ((kind, normal), ("surname", surname_of(kind, normal))) if n})
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], ["h", "kind", "normal"])
 
         held = packed.select("h", "text").where("text is not null").mapInArrow(mentions, "h string, kind string, normal string").distinct()

@@ -317,6 +317,21 @@ def test_collisions_are_resolved(spark, monkeypatch, sent):
     assert next(r for r in rows if r["doc_id"] == 99)["text"] is None and all(r["own"] == "r" for r in rows)
 
 
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_surname_is_one_whatever_title_and_first_name(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "EXCEPTIONS_SENT", sent)
+    names = "Abel Bert Carl Dirk Emil Fred Gus Hank Igor Jack Kurt Lars".split()
+    rows = [(0, "Mr John Smith came. Mr Smith and Dr Smith sat; Smith said that John left."), (1, "Mrs Smith"), (2, "Smith unnamed")]
+    docs = spark.createDataFrame(rows + [(10 + i, f"Mr {n} Smith") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
+    shown = [e["surrogate"] for e in got[0]["pii_entities"]]
+    first, last = shown[0].split(" ")
+    assert shown[1:] == [last, last, last, first] and "Smith" not in got[0]["text"] and "John" not in got[0]["text"]
+    assert got[1]["text"] == f"Mrs {last}" and got[2]["text"] == "Smith unnamed"
+    full = {got[10 + i]["text"] for i in range(len(names))}
+    assert len(full) == len(names) and all(x.endswith(" " + last) for x in full)
+
+
 def test_pii_rows(spark, odd_docs):
     done = pii.pseudonymise(odd_docs, "k")
     assert done.columns == [*odd_docs.columns, "pii_entities"] and sorted(map(repr, done.drop("pii_entities").collect())) == sorted(map(repr, odd_docs.collect()))
