@@ -18,7 +18,10 @@ replaced wherever else that document has them.
 What a permutation cannot exclude is checked over the whole corpus: a surrogate
 that is itself a value found in the corpus, or that two values share (lists of
 first names are finite), is replaced by that of a further attempt, until nothing
-collides; of a person only the first names change for it. Those exceptions are joined to the documents that hold them; documents
+collides; of a person only the first names change for it, and become several
+where the list is used up. In a format so dense that hardly a value is free all
+values keep the first permutation, which is one-to-one among them; there a
+surrogate may be another's real value. Those exceptions are joined to the documents that hold them; documents
 are not shuffled when there are none.
 
 Defined cases: a null text stays null and has no entities; where entities
@@ -39,8 +42,12 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, ship_package, text_groups
 
-#: Attempts before the search for a free surrogate gives up with an error.
-ATTEMPTS = 32
+#: A format is dense if the corpus holds more than one in so many of its values.
+DENSE = 4
+#: Attempts after which a first name's surrogate has one name more.
+WIDER = 4
+#: Digits of the least number that is a phone's.
+PHONE_DIGITS = 8
 #: Exceptions that are sent to every task; beyond it they are joined by document.
 EXCEPTIONS_SENT = 10_000
 
@@ -111,7 +118,8 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         for m in CARD.finditer(text):
             add("card", *m.span())
         for m in PHONE.finditer(text):
-            add("phone", *m.span())
+            if sum(c in DIGITS for c in m[0]) >= PHONE_DIGITS:
+                add("phone", *m.span())
         if "." in text:
             for m in IPV4.finditer(text):
                 add("ipv4", *m.span())
@@ -223,6 +231,30 @@ class Surrogates:
                 out.append(s[at])
         return "".join(reversed(out))
 
+    def space(self, kind: str, value: str) -> tuple[str, int]:
+        """The format that a value shares with its surrogates, and how many values it has."""
+        if kind in ("ipv4", "person"):
+            return kind, 1 << 62
+        keep = 0
+        if kind == "phone":
+            keep = self.kept(value)
+        elif kind == "iban":
+            keep = 4
+        body = value[:-1] if kind == "card" else value.rpartition(".")[0] if kind == "email" else value[keep:]
+        hexed = "" if kind != "secret" else _HEX if set(value) <= set(_HEX) else _HEX_UP if set(value) <= set(_HEX_UP) else ""
+        shape, size = [], 1
+        for c in body:
+            n = len(hexed) or (len(CLASSES[_CLASS_OF[c]]) if c in _CLASS_OF else 1)
+            size = min(size * n, 1 << 62)
+            shape.append("h" if hexed else chr(0xE000 + _CLASS_OF[c]) if c in _CLASS_OF else c)
+        rest = _luhn(value) if kind == "card" else value[len(body) :] if kind == "email" else value[:2] if kind == "iban" else value[:keep]
+        return f"{kind}|{rest}|{''.join(shape)}", size
+
+    @staticmethod
+    def kept(phone: str) -> int:
+        """The country code of a number with a single-digit code, or its first two digits, stay."""
+        return 0 if not phone.startswith("+") else 2 if phone[1:2] in "17" else 3
+
     def first_name(self, name: str, gender: str, tweak: str) -> str:
         script = script_of(name)
         pool = FIRST_NAMES.get((script, gender)) or FIRST_NAMES[script, "u"]
@@ -247,8 +279,7 @@ class Surrogates:
             check = 98 - _iban_rest(value[:2] + "00" + body)
             return f"{value[:2]}{check:02d}{body}"
         if kind == "phone":
-            # The country code of a number with a single-digit code, or its first two digits, stay.
-            keep = 0 if not value.startswith("+") else 2 if value[1:2] in "17" else 3
+            keep = self.kept(value)
             return value[:keep] + self.permute(value[keep:], f"{tweak}|{value[:keep]}")
         if kind == "email":
             local, _, domain = value.rpartition("@")
@@ -264,7 +295,7 @@ class Surrogates:
             gender, _, name = value.partition("|")
             parts = name.split(" ")
             last = self.of("surname", parts[-1], surname_attempt)
-            firsts = [self.first_name(p, gender, f"{attempt}|{i}") for i, p in enumerate(parts[:-1])]
+            firsts = [self.first_name(p, gender, f"{attempt}|{i}" + (f"|{j}" if j else "")) for i, p in enumerate(parts[:-1]) for j in range(1 + attempt // WIDER)]
             return " ".join([*firsts, last])
         return self.permute(value, tweak)
 
@@ -348,7 +379,9 @@ def replace(text: str | None, surrogates: Surrogates, attempts: dict[tuple[str,
         if kind == "person":
             own = normal.partition("|")[2].split(" ")
             if " ".join(own) != text[start:end]:  # type: ignore[index]
-                new = new.split(" ")[-1 if text[start:end] == own[-1] else own.index(text[start:end])]  # type: ignore[index]
+                names, each = new.split(" "), (new.count(" ") or 1) // max(1, len(own) - 1)
+                i = own.index(text[start:end]) if text[start:end] != own[-1] else len(own) - 1  # type: ignore[index]
+                new = " ".join(names[i * each : (i + 1) * each] if i < len(own) - 1 else names[-1:])
         else:
             new = surrogates.rendered(kind, text[start:end], new)  # type: ignore[index]
         out += [text[at:start], new]  # type: ignore[index]
@@ -410,9 +443,20 @@ def _resolved(found: DataFrame, key: str) -> DataFrame:
 
         return rows.select("kind", "normal", "base", "attempt").mapInArrow(run, schema)
 
+    def spaces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Surrogates(key)
+        for batch in batches:
+            kinds, normals = (batch.column(i).to_pylist() for i in range(2))
+            formats, sizes = zip(*[maker.space(k, n) for k, n in zip(kinds, normals, strict=True)], strict=True) if kinds else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(formats, pa.string()), pa.array(sizes, pa.int64())], ["kind", "normal", "base", "format", "size"])
+
+    placed = cut(found.select("kind", "normal", "base").mapInArrow(spaces, "kind string, normal string, base int, format string, size long"))
+    dense = placed.groupBy("format").agg(F.count("*").alias("n"), F.min("size").alias("size")).where(f"n > size / {DENSE}").select("format")
+    found = placed.join(dense, "format", "left_anti")
     values = found.select("kind", _visible(F.col("normal")).alias("surrogate")).distinct()
     current = cut(with_surrogates(found.withColumn("attempt", F.lit(0))))
-    for _ in range(ATTEMPTS):
+    # Ends, as three in four values of each format are free, and first names get longer.
+    while True:
         keeper = current.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "normal")).alias("keeper"), F.count("*").alias("n"))
         shared = current.join(keeper.where("n > 1"), ["kind", "surrogate"]).where("keeper.normal <> normal").select("kind", "normal")
         real = current.join(values, ["kind", "surrogate"], "left_semi").select("kind", "normal")
@@ -421,7 +465,6 @@ def _resolved(found: DataFrame, key: str) -> DataFrame:
             return current.where("attempt > 0").select("kind", "normal", "attempt")
         moved = with_surrogates(current.join(clash, ["kind", "normal"], "left_semi").withColumn("attempt", (F.col("attempt") + 1).cast("int")))
         current = cut(current.join(clash, ["kind", "normal"], "left_anti").unionByName(moved))
-    raise RuntimeError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

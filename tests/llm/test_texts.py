@@ -332,6 +332,18 @@ def test_surname_is_one_whatever_title_and_first_name(spark, monkeypatch, sent):
     assert len(full) == len(names) and all(x.endswith(" " + last) for x in full)
 
 
+def test_dense_formats(spark):
+    vowels, consonants = "AEIOU", "bcdfghjklmnpqrstvwxyz"
+    rows = [f"Mr {a}{b}" for a in vowels for b in consonants] + [f"Prof. Саша{c} Ли, Prof. {c}а Ли" for c in "бвгджзклмнпрст"]
+    rows = [r.replace(" ба", " Ба") for r in rows] + [f"+1 {a} {b}" for a in range(10) for b in range(10)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
+    assert len({got[i]["text"] for i in range(105)}) == 105
+    assert all(got[i]["text"] == rows[i] for i in range(len(rows) - 100, len(rows)))
+    people = {e["surrogate"] for i in range(105, 119) for e in got[i]["pii_entities"][:1]}
+    assert len(people) == 14
+
+
 def test_pii_rows(spark, odd_docs):
     done = pii.pseudonymise(odd_docs, "k")
     assert done.columns == [*odd_docs.columns, "pii_entities"] and sorted(map(repr, done.drop("pii_entities").collect())) == sorted(map(repr, odd_docs.collect()))
