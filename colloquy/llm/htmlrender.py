@@ -30,7 +30,7 @@ from colloquy.llm.common import ship_package, text_groups
 DEEPEST = 120
 # Names of HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style template noscript title meta link svg math canvas audio video iframe object embed select datalist textarea map".split()) - {"head"}
+NEVER = frozenset("head script style template noscript title meta link canvas audio video iframe object embed datalist annotation annotation-xml".split()) - {"head"}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body div article section nav main header footer aside address form li dt dd figcaption legend details summary center menu dialog hgroup search tr td th caption thead tbody tfoot".split())
 CLOSES_P = (SPACED | frozenset("div article section nav main header footer aside address form center details dialog menu summary".split())) - {"html", "body"}
@@ -43,8 +43,11 @@ IMPLIED = {
 }
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 SPACE = re.compile(r"[ \t\n\r\f]+")
+#: What an ``svg`` holds without showing it where it stands.
+SVG_UNSHOWN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
 HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+DECLARED = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)", re.I)
+ON_SCREEN = re.compile(r"@media\s*(?:(?:only\s+)?(?:screen|all)\s*(?:,[^{}]*)?)?", re.I)
 SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*)?(?:[.#][\w-]+)?", re.I)
 
 
@@ -134,12 +137,28 @@ class TreeBuilder(HTMLParser):
 
 
 def hiding_selectors(styles: list[str]) -> set[str]:
-    """Simple selectors (element, ``.class``, ``#id``, or an element with one) that a style sheet hides."""
-    out = set()
-    for names, body in RULE.findall(re.sub(r"/\*.*?\*/", "", " ".join(styles), flags=re.S)):
-        if HIDING.search(body):
-            out |= {n.strip() for n in names.split(",") if n.strip() and SIMPLE.fullmatch(n.strip())}
-    return out
+    """Simple selectors (element, ``.class``, ``#id``, or an element with one) that a style sheet hides.
+
+    The last display and the last visibility of a selector count. Rules inside
+    of @-blocks are left out, save those of media that hold on any screen.
+    """
+    told: dict[tuple[str, str], str] = {}
+    blocks: list[str] = []
+    before = ""
+    for part in re.split(r"([{}])", re.sub(r"/\*.*?\*/", "", "\n".join(styles), flags=re.S)):
+        if part == "{":
+            blocks.append(before.rpartition(";")[2].strip())
+        elif part == "}":
+            if blocks:
+                names = blocks.pop()
+                if not names.startswith("@") and all(ON_SCREEN.fullmatch(o) for o in blocks):
+                    for n in names.split(","):
+                        if SIMPLE.fullmatch(n.strip()):
+                            told |= {(n.strip(), k.lower()): v.lower() for k, v in DECLARED.findall(before)}
+            before = ""
+            continue
+        before = part if part != "{" else ""
+    return {n for (n, k), v in told.items() if n and (v == "none" if k == "display" else v in ("hidden", "collapse"))}
 
 
 class Renderer:
@@ -234,6 +253,20 @@ class Renderer:
                 if isinstance(child, Node) and child.tag == "summary" and self.visible(child):
                     self.element(child)
             self.end_line()
+        elif tag == "svg":
+            self.svg(node)
+        elif tag == "textarea":
+            for line in flat_text(node, self).removeprefix("\n").split("\n"):
+                self.text(line)
+                self.end_line()
+        elif tag in ("option", "optgroup"):
+            self.end_line()
+            if node.attrs.get("label", "").strip():
+                self.text(node.attrs["label"])
+                self.end_line()
+            if tag == "optgroup" or not node.attrs.get("label", "").strip():
+                self.children(node)
+            self.end_line()
         elif tag == "q":
             self.line += "“"
             self.children(node)
@@ -257,6 +290,17 @@ class Renderer:
         else:
             self.children(node)
 
+    def svg(self, node: Node) -> None:
+        """The labels of a drawing, each on a line."""
+        for child in node.children:
+            if isinstance(child, Node) and child.tag not in SVG_UNSHOWN and self.visible(child):
+                if child.tag in ("text", "foreignobject"):
+                    self.end_line()
+                    self.children(child)
+                    self.end_line()
+                else:
+                    self.svg(child)
+
     def list(self, node: Node) -> None:
         nested = bool(self.prefix)
         self.end_line() if nested else self.space()

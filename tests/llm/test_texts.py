@@ -367,6 +367,19 @@ def test_html(html, text):
     assert (got.replace("\n\n", "\n") == text) if html and "deep" in html else got == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<style>@media print { nav, .ads { display:none } }</style><nav>n</nav><i class=ads>a</i>", "n\na"), ("<style>@media (max-width:600px) { .d { display:none } } .e{display:none}</style><i class=d>d</i><i class=e>e</i>", "d"),
+        ("<style>@media screen { .d { display:none } }</style><i class=d>d</i>y", "y"), ("<style>.d{display:none} .d{display:block}</style><i class=d>d</i>", "d"), ("<style>@charset 'x'; .d{display:none}</style><i class=d>d</i>y", "y"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"), ("<svg><title>no</title><desc>no</desc><g><text>label</text></g></svg>", "label"), ("<textarea>a\nb</textarea>", "a\nb"),
+        ("<select><option>one<option>two</select>", "one\ntwo"), ("<map>m</map>", "m"),
+    ],
+)
+def test_html_shows_all_that_is_visible(html, text):
+    assert htmlrender.render(html) == text
+
+
 def test_html_rows(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     assert htmlrender.extract(pages.withColumn("text", F.lit(1))).count() == pages.count() and htmlrender.extract(pages.limit(0)).count() == 0
