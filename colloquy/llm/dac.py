@@ -31,27 +31,24 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import byte_symbols, ship_package, text_groups
+from colloquy.llm import pieces
+from colloquy.llm.common import arrow_map, cut, kept, ship_package, text_groups
 
 MAGIC = b"CLQDAC01"
 BLOCK = 512
 #: A task starts another file beyond so many ids, which bounds what it holds.
 IDS_PER_FILE = 1 << 23
 IDS_AT_ONCE = 1 << 20
-#: Pieces of text that a worker remembers with their ids, in two generations of which the older is dropped when the younger is full.
-REMEMBERED = 800_000
-LONG_PIECE = 64
-_encoders: dict[str, CachedEncoder] = {}
+#: Pieces of text that a worker remembers with their ids; beyond it the memory is emptied.
+REMEMBERED = 400_000
 
 
 # the codes
@@ -149,23 +146,16 @@ class DacReader:
 # encoding text with the tokenizers library
 
 
-class CachedEncoder:
+class PieceEncoder:
     """The tokenizers library's ids, each distinct piece of text being encoded once.
 
-    A byte-level pre-tokenizer never joins what stands on both sides of a single
-    space between two characters that are no white space: the space begins a new
-    token. So a text is cut at such spaces, and each piece with its space in
-    front is encoded alone. Special tokens are found within pieces, as they hold
-    no space.
+    Texts are cut where a byte-level pre-tokenizer begins a new token whatever
+    stands around (``pieces.spaced_pieces``). The distinct pieces that are not
+    remembered go to the library in one call; the ids of all occurrences are
+    then gathered from one array. Texts that hold a special token, or white
+    space beyond ASCII, go to the library whole.
     """
 
-    #: Characters of which Python's ``re`` and the tokenizer agree on letters, digits and spaces.
-    PLAIN = re.compile("[\t-\r -~¡-±´-¸º»¿-ɏ]*")
-    PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-    MARKS = frozenset(".,;:!?)]}\"|")
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-    RUN = re.compile(r"\s\s")
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -173,78 +163,41 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.wide = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.model = self.tokenizer.model
-        if not all("<" in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
-            raise ValueError("special tokens without < are not provided for")
-        self.code = "H" if self.wide == "<u2" else "I"
-        self.shown = dict(enumerate(byte_symbols()))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        return self.CUT.split(text) if self.RUN.search(text) or text[:1].isspace() or text[-1:].isspace() else text.split(" ")
-
-    def _part(self, part: str) -> bytes:
-        """The ids of what the pre-tokenizer makes one token to be split; each distinct one goes to the model once."""
-        found = self.parts.get(part)
-        if found is None:
-            found = array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))]).tobytes()
-            if len(self.parts) >= REMEMBERED:
-                self.parts = {}
-            self.parts[part] = found
-        return found
-
-    def _encode(self, piece: str) -> bytes:
-        """The ids of one piece and the space before it.
-
-        The parts of a piece of plain characters are found here (most are a word,
-        or a word and a mark); other pieces go to the library whole.
-        """
-        word, mark = (piece[:-1], piece[-1]) if piece[-1:] in self.MARKS else (piece, "")
-        plain = len(piece) <= LONG_PIECE and (self.PLAIN.fullmatch(piece) is not None)
-        if plain and word.isalpha():
-            return self._part(" " + word) + self._part(mark) if mark else self._part(" " + word)
-        if "<" in piece or not plain:
-            return array(self.code, self.tokenizer.encode(" " + piece, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self._part, self.PART.findall(" " + piece)))
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the young generation lacks; those worth keeping are added to it."""
-        old, encode = self.old.get, self._encode
-        out = {piece: old(piece) or encode(piece) for piece in missing}
-        if len(self.young) + len(out) > REMEMBERED // 2:
-            self.old, self.young = self.young, {}
-        if len(out) <= REMEMBERED // 2:
-            self.young |= {x: v for x, v in out.items() if len(x) <= LONG_PIECE}
-        return out
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        # White space beyond ASCII, and characters that some count as such.
+        spaces = "\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+        self.odd = "|".join([f"[{spaces}]", *map(re.escape, added)])
+        self.known = pieces.Remembered(lambda names: [e.ids for e in self.tokenizer.encode_batch_fast([n.decode() for n in names], add_special_tokens=False)], REMEMBERED)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def column(self, texts: pa.Array, end_id: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by ``end_id``, and where each begins, with the end of the last."""
+        whole = texts.fill_null("")
+        odd = pc.match_substring_regex(whole, self.odd)
+        own: dict[int, np.ndarray] = {}
+        if pc.any(odd).as_py():
+            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+            own = dict(zip(rows, self._library(whole.filter(odd).to_pylist()), strict=True))
+            whole = pc.if_else(odd, "", whole)
+        data, bounds = pieces.raw(whole)
+        ids, starts = self.known.of(data, pieces.spaced_pieces(data, bounds), bounds)
+        tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        parts = [x for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)) for x in (own[i] if i in own else ids[a:b], tail)]
+        sizes = np.diff(starts) + len(tail)
+        for i, x in own.items():
+            sizes[i] = len(x) + len(tail)
+        return np.concatenate(parts) if parts else ids, np.concatenate([[0], np.cumsum(sizes)])
 
     def texts(self, texts: list[str | None], end_id: int | None = 0) -> list[np.ndarray]:
         """The ids of each text, followed by ``end_id``."""
-        cut = [self.pieces(t) if t else [""] for t in texts]
-        first = self.tokenizer.encode_batch_fast([x[0] for x in cut], add_special_tokens=False)
-        known = self.young.get
-        rows = [list(map(known, x)) for x in cut]
-        for row in rows:
-            row[0] = b"-"  # comes from ``first``: no space stands before it
-        gaps = [list(compress(range(len(r)), map(not_, r))) if None in r else [] for r in rows]
-        learned = self._learn({x[i] for x, g in zip(cut, gaps, strict=True) for i in g})
-        tail = b"" if end_id is None else np.array([end_id], dtype=self.wide).tobytes()
-        out = []
-        for x, row, gap, f in zip(cut, rows, gaps, first, strict=True):
-            for i in gap:
-                row[i] = learned[x[i]]
-            row[0] = array(self.code, f.ids).tobytes()
-            row.append(tail)
-            out.append(np.frombuffer(b"".join(row), dtype=self.wide))
-        return out
+        ids, starts = self.column(pa.array(texts, pa.string()), end_id)
+        return np.split(ids, starts[1:-1]) if len(texts) else []
 
 
-def encoder(path: str) -> CachedEncoder:
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
+def encoder(path: str) -> PieceEncoder:
+    return kept(f"byte pieces {path}", lambda: PieceEncoder(path))
 
 
 # files
@@ -259,11 +212,12 @@ def open_folder(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> list[tuple[str, int, int]]:
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Encode every text and write token files into ``folder``, in ascending order of ids.
 
-    Returns ``(path, documents, ids)`` of each file in order. That list has a row
-    per file, of up to ``IDS_PER_FILE`` ids, and is all that the driver gathers.
+    Returns ``(path, start, n_docs, n_tokens)`` of each file, of up to
+    ``IDS_PER_FILE`` ids; ``start`` is the number of ids in the files before it.
+    The list is a table in the shared folder; the driver gathers one sum a task.
     A task that runs twice writes files of other names; only those of the
     attempt that Spark accepts are listed.
     """
@@ -278,47 +232,53 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
         system, base = open_folder(folder)
         system.create_dir(base, recursive=True)
         encode, part, attempt = encoder(tokenizer_path), TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
+        wide = np.uint16 if encode.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         ids: list[int | None] = []
         held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         count = file_no = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, held, count, file_no
-            starts = np.cumsum([0] + [len(x) for x in held])
-            path = f"{base}/tokens-{part:06d}-{file_no:04d}-{attempt}.dac"
-            with system.open_output_stream(path) as out:
+            nonlocal ids, held, sizes, count, file_no
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            name = f"tokens-{part:06d}-{file_no:04d}-{attempt}.dac"
+            with system.open_output_stream(f"{base}/{name}") as out:
                 out.write(file_bytes(ids, starts, np.concatenate(held)))
-            row = pa.RecordBatch.from_pydict({"part": [part], "file_no": [file_no], "path": [path], "n_docs": [len(ids)], "n_tokens": [int(starts[-1])]})
-            ids, held, count, file_no = [], [], 0, file_no + 1
+            row = pa.RecordBatch.from_pydict({"part": [part], "file_no": [file_no], "path": [f"{folder}/{name}"], "n_docs": [len(ids)], "n_tokens": [int(starts[-1])]})
+            ids, held, sizes, count, file_no = [], [], [], 0, file_no + 1
             return row
 
-        for batch in text_groups(batches, "text", 2 << 20):
+        for batch in text_groups(batches, "text", 4 << 20):
             ids += batch.column(0).to_pylist()
-            new = encode.texts(batch.column(1).to_pylist(), end_id)
-            held += new
-            count += sum(map(len, new))
+            new, starts = encode.column(batch.column(1), end_id)
+            held.append(new.astype(wide))
+            sizes.append(np.diff(starts))
+            count += len(new)
             if count >= IDS_PER_FILE:
                 yield flush()
         if ids:
             yield flush()
 
-    written = ordered.mapInArrow(run, "part long, file_no long, path string, n_docs long, n_tokens long").collect()
-    return [(r["path"], r["n_docs"], r["n_tokens"]) for r in sorted(written, key=lambda r: (r["part"], r["file_no"]))]
+    listed = cut(arrow_map(ordered, run, "part long, file_no long, path string, n_docs long, n_tokens long"))
+    sums = {r["part"]: r["n"] for r in listed.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    before = [(p, sum_) for p, sum_ in zip(sorted(sums), np.cumsum([0] + [sums[p] for p in sorted(sums)]).tolist(), strict=False)]
+    bases = docs.sparkSession.createDataFrame(before, "part long, base long")
+    inside = Window.partitionBy("part").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
+    return listed.join(bases, "part").select("path", start.alias("start"), "n_docs", "n_tokens")
 
 
-def read_digests(spark, folder: str, files: list[tuple[str, int, int]]) -> DataFrame:
-    """``(id, start, n_tokens, ids_crc32)`` of every document, read from the files."""
-    rows, start = [], 0
-    for path, _, n in files:
-        rows.append((path, start))
-        start += n
-    listed = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
+def read_digests(files: DataFrame) -> DataFrame:
+    """``(id, start, n_tokens, ids_crc32)`` of every document, read from the files ``(path, start)``."""
+    listed = files.select("path", "start")
+    # A task for each few files: reading is the work, so they are dealt out by their names.
+    listed = listed.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = open_folder(folder)
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with system.open_input_file(path) as source:
+                system, own_path = open_folder(path)
+                with system.open_input_file(own_path) as source:
                     reader = DacReader(source)
                     docs, starts = reader.documents()
                     at = 0
@@ -333,4 +293,4 @@ def read_digests(spark, folder: str, files: list[tuple[str, int, int]]) -> DataF
                         )
                         at = to
 
-    return listed.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(listed, run, "id long, start long, n_tokens long, ids_crc32 long")

@@ -44,7 +44,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
     files = dac.write_tokens(read_table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
-    return dac.read_digests(spark, folder, files).withColumnRenamed("id", "doc_id")
+    return dac.read_digests(files).withColumnRenamed("id", "doc_id")
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
