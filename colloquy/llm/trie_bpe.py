@@ -22,18 +22,17 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import byte_symbols, ship_package, text_groups
+from colloquy.llm import pieces
+from colloquy.llm.common import arrow_map, byte_symbols, kept, ship_package, text_groups
 
-#: Words that a worker remembers with their encodings; beyond it the memory is emptied.
-REMEMBERED = 500_000
-#: Longer words are encoded each time they occur.
-LONG_WORD = 64
-#: Encoders by tokenizer file, kept for the life of a Python worker.
-_encoders: dict[str, WordBpe] = {}
+#: Pieces of text that a worker remembers with their encodings; beyond it the memory is emptied.
+REMEMBERED = 400_000
 
 #: Characters of which Python's ``re`` and the pattern agree on letters, digits and spaces, and which NFC leaves as they are.
 PLAIN = re.compile("[\t-\r -~¡-±´-¸º»¿-˿]*")
@@ -56,7 +55,7 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.rank = {(a, b): i for i, (a, b) in enumerate(map(tuple, model["merges"]))}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.exact = regex.compile(EXACT)
@@ -65,7 +64,10 @@ class WordBpe:
         self.stable: dict[str, int] = {}
         self.edges: dict[int, tuple[list, list]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known = pieces.Remembered(self._encode_pieces, REMEMBERED)
+        most = max(self.tokens) + 1
+        self.decimals = pa.array([b"%d " % i for i in range(most)], pa.large_binary())
+        self.spaced = pa.array([self.tokens.get(i, "").encode() + b" " for i in range(most)], pa.large_binary())
 
     # words of a text
 
@@ -184,72 +186,72 @@ class WordBpe:
                 last.append(self._last(symbols, depth, last, ""))
             path, deep = symbols, len(symbols) - 1
             token = self._last(symbols, len(symbols), last, self.suffix)
-            ids, at = [token], len(symbols) - (len(self.names[token]) - len(self.suffix))
+            ids, at = [token], len(symbols) - (len(self.tokens[token]) - len(self.suffix))
             while at:
                 token = last[at]
                 ids.append(token)
-                at -= len(self.names[token])
+                at -= len(self.tokens[token])
             ids.reverse()
             yield word, ids
 
     # whole texts
 
-    def remember(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Decimal ids and tokens of each word, joined by spaces."""
-        missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {}
-            missing = list(words)
-        out = self.known
-        if len(missing) > REMEMBERED or any(len(w) > LONG_WORD for w in missing):
-            out = {w: self.known[w] for w in words if w in self.known}
-        for word, ids in self.encode_words(missing):
-            entry = (" ".join(map(str, ids)).encode(), " ".join(map(self.names.__getitem__, ids)).encode())
-            if len(word) <= LONG_WORD and len(self.known) < REMEMBERED:
-                self.known[word] = entry
-            if out is not self.known:
-                out[word] = entry
-        if len(self.fits) > REMEMBERED:
+    def _encode_pieces(self, names: list[bytes]) -> list[list[int]]:
+        """The ids of each of the distinct pieces."""
+        if len(self.fits) > 2 * REMEMBERED:
             self.fits.clear()
-        return out
-
-    def sections(self, text: str | None) -> list[tuple[list[str], str | None]]:
-        """Words up to each special token, and that token."""
-        if not text:
-            return []
-        if self.split_special is None or "<" not in text:
-            return [(self.words(text), None)]
-        parts = self.split_special.split(text)
-        return [(self.words(parts[i]), parts[i + 1] if i + 1 < len(parts) else None) for i in range(0, len(parts), 2)]
-
-    def texts(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Decimal ids joined by spaces, and the decoded text in UTF-8, of each text."""
-        cut = [self.sections(t) for t in texts]
-        known = self.remember({w for t in cut for words, _ in t for w in words})
+        words = [self.words(n.decode()) for n in names]
+        ids = dict(self.encode_words(sorted({w for own in words for w in own})))
+        return [ids[own[0]] if len(own) == 1 else [t for w in own for t in ids[w]] for own in words]
+
+    def _special(self, text: str) -> np.ndarray:
+        """The ids of a text with special tokens, which keep their own."""
         out = []
-        for sections in cut:
-            entries: list[tuple[bytes, bytes]] = []
-            for words, special in sections:
-                entries += map(known.__getitem__, words)
-                if special is not None:
-                    entries.append((str(self.special[special]).encode(), special.encode()))
-            ids, tokens = zip(*entries, strict=True) if entries else ((), ())
-            out.append((b" ".join(ids), b" ".join(tokens)))
-        return out
+        for i, part in enumerate(self.split_special.split(text)):  # type: ignore[union-attr]
+            out.append(np.array([self.special[part]], np.uint32) if i % 2 else self.ids(pa.array([part], pa.string()))[0])
+        return np.concatenate(out)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end of the last."""
+        whole = texts.fill_null("")
+        own: dict[int, np.ndarray] = {}
+        if self.split_special is not None:
+            odd = pc.match_substring_regex(whole, "|".join(map(re.escape, self.special)))
+            if pc.any(odd).as_py():
+                own = {i: self._special(whole[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+                whole = pc.if_else(odd, "", whole)
+        ids, at = self.known.of(*pieces.bare_words(*pieces.raw(whole)))
+        if own:
+            parts = [own.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+            ids, at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, at
+
+    def column(self, texts: pa.Array) -> tuple[list, list, np.ndarray]:
+        """Decimal ids joined by spaces, the decoded text in UTF-8, and the number of tokens, of each text."""
+        ids, at = self.ids(texts)
+        which = pa.array(ids)
+        return _joined(self.decimals, which, at), _joined(self.spaced, which, at), np.diff(at)
 
     def encode(self, text: str | None) -> list[int]:
-        ids = self.texts([text])[0][0]
-        return [int(x) for x in ids.split()]
+        return [int(x) for x in bytes(self.column(pa.array([text], pa.string()))[0][0]).split()]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: the files name no decoder. Special tokens stay."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(self.tokens[i] for i in ids)
+
+
+def _joined(names: pa.Array, which: pa.Array, at: np.ndarray) -> list:
+    """The names of each text's ids in a row, without the space behind the last."""
+    if not len(which):
+        return [b""] * (len(at) - 1)
+    row = names.take(which)
+    ends = np.frombuffer(row.buffers()[1], np.int64, len(row) + 1, row.offset * 8)[at]
+    data = memoryview(row.buffers()[2])
+    return [data[a : b - 1] if b > a else b"" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def encoder(path: str) -> WordBpe:
-    if path not in _encoders:
-        _encoders[path] = WordBpe(path)
-    return _encoders[path]
+    return kept(f"word pieces {path}", lambda: WordBpe(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
@@ -262,20 +264,18 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def sha(x: bytes) -> str:
-        return hashlib.sha256(x).hexdigest()
+    def sha(rows: list) -> pa.Array:
+        return pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_path)
-        for batch in text_groups(batches, "text", 2 << 20):
-            done = bpe.texts(batch.column(1).to_pylist())
-            counts = pa.array([x[0].count(b" ") + 1 if x[0] else 0 for x in done], pa.int64())
+        for batch in text_groups(batches, "text", 4 << 20):
+            ids, decoded, counts = bpe.column(batch.column(1))
             if digests_only:
-                rest = [pa.array([sha(x[0]) for x in done], pa.string()), pa.array([sha(x[1]) for x in done], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), counts, *rest], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), sha(ids), sha(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                ids = pa.array([[int(i) for i in x[0].split()] for x in done], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), counts, ids, pa.array([x[1].decode() for x in done], pa.string())], ["id", "n_tokens", "ids", "decoded"])
+                numbers = pa.array([[int(i) for i in bytes(x).split()] for x in ids], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), numbers, pa.array([bytes(x).decode() for x in decoded], pa.string())], ["id", "n_tokens", "ids", "decoded"])
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests_only else "id long, n_tokens long, ids array<int>, decoded string"
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
