@@ -14,7 +14,11 @@ and only sums of ``DIMENSIONS`` numbers a language are gathered.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0,
 and so is every text if nothing could be learned; equal cosines go to the
 language that sorts first; a row without a label teaches nothing; repeated rows
-count as often as they occur; an empty table gives an empty result.
+count as often as they occur; an empty table gives an empty result. A text is
+read whole however long it is: a task holds some numbers for each of its
+letters, and batches of texts are bounded by ``TEXT_AT_ONCE``. Further columns
+of any name are kept; ``lang_pred`` and ``lang_score`` replace columns of those
+names.
 """
 
 from __future__ import annotations
@@ -25,50 +29,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colloquy.llm.common import held_out, ship_package, text_groups
+from colloquy.llm.common import arrow_map, held_out, kept, packed, ship_package, text_groups, unpacked
 
 DIMENSIONS = 1024
 SEED = 20260
-#: Letters below this code point have a vector of their own; others share by remainder.
-SLOTS = 4093
 TEXT_AT_ONCE = 2 << 20
+#: Texts that are compared at once, and letters whose vectors a worker remembers.
+BLOCK, REMEMBERED = 64, 20_000
+CODES = 0x110000
 UNKNOWN = "und"
-_state: dict[str, object] = {}
 
 
-def _slots() -> np.ndarray:
-    """Slot of each code point: 0 for what is no letter."""
-    if "slots" not in _state:
-        table = np.zeros(0x110000, dtype=np.int32)
-        letters = np.fromiter((i for i in range(0x110000) if chr(i).isalpha()), dtype=np.int64)
-        table[letters] = 1 + letters % SLOTS
-        _state["slots"] = table
-    return _state["slots"]  # type: ignore[return-value]
+class Letters:
+    """Which code points are letters, and their vectors."""
 
+    def __init__(self) -> None:
+        self.is_letter = np.fromiter((chr(i).isalpha() for i in range(CODES)), dtype=bool, count=CODES)
+        self.place = np.zeros(CODES + 1, dtype=np.int32)
+        self.vectors: dict[int, np.ndarray] = {}
 
-def _letter(slot: int) -> np.ndarray:
-    """The random vector of a slot; slot 0 is the boundary."""
-    cache = _state.setdefault("letters", {})
-    if slot not in cache:  # type: ignore[operator]
-        cache[slot] = np.random.default_rng([SEED, slot]).choice(np.array([-1, 1], dtype=np.int8), DIMENSIONS)  # type: ignore[index]
-    return cache[slot]  # type: ignore[index]
+    def vector(self, symbol: int) -> np.ndarray:
+        """The random vector of a symbol: a letter's code point and one; 0 is the boundary."""
+        if symbol not in self.vectors:
+            if len(self.vectors) >= REMEMBERED:
+                self.vectors.clear()
+            self.vectors[symbol] = np.random.default_rng([SEED, symbol]).choice(np.array([-1, 1], dtype=np.int8), DIMENSIONS)
+        return self.vectors[symbol]
+
+
+def _letters() -> Letters:
+    return kept("letters", Letters)
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """Slots of a text's letters, with one 0 between words and at both ends; empty if there is no letter."""
+    """Symbols of a text's letters, with one 0 between words and at both ends; empty if there is no letter."""
     if not text:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int32)
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    slots = np.zeros(len(codes) + 2, dtype=np.int32)
-    slots[1:-1] = _slots()[codes]
-    keep = slots != 0
+    out = np.zeros(len(codes) + 2, dtype=np.int32)
+    out[1:-1] = np.where(_letters().is_letter[codes], codes + 1, 0)
+    keep = out != 0
     keep[1:] |= keep[:-1].copy()
     keep[0] = True
-    slots = slots[keep]
-    if slots[-1] != 0:
-        slots = np.append(slots, 0)
-    return slots if len(slots) > 2 else np.zeros(0, dtype=np.int64)
+    out = out[keep]
+    if out[-1] != 0:
+        out = np.append(out, 0)
+    return out if len(out) > 2 else np.zeros(0, dtype=np.int32)
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,13 +85,15 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
     bounds = np.concatenate([[0], np.cumsum(np.maximum(lengths - 2, 0))])
     if not bounds[-1]:
-        return np.zeros(0, np.int32), bounds, np.zeros((0, DIMENSIONS), np.float32)
+        return np.zeros(0, np.int32), bounds, np.zeros((0, DIMENSIONS), np.int8)
     joined = np.concatenate(rows)
-    present = np.flatnonzero(np.bincount(joined, minlength=SLOTS + 1))
+    place = _letters().place
+    place[joined] = 1
+    present = np.flatnonzero(place)
     k = len(present)
-    dense = np.zeros(SLOTS + 1, dtype=np.int64 if k > 1200 else np.int32)
-    dense[present] = np.arange(k)
-    small = dense[joined]
+    place[present] = np.arange(k)
+    small = place[joined].astype(np.int64 if k > 1200 else np.int32)
+    place[present] = 0
     grams = (small[:-2] * k + small[1:-1]) * k + small[2:]
     ends = np.cumsum(lengths)[lengths > 0]
     inside = np.ones(len(joined), dtype=bool)
@@ -91,15 +101,33 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     grams = grams[inside[:-2]]
     if k**3 <= 1 << 22:
         seen = np.flatnonzero(np.bincount(grams, minlength=k**3))
-        place = np.zeros(k**3, dtype=np.int32)
-        place[seen] = np.arange(len(seen))
-        columns = place[grams]
+        dense = np.zeros(k**3, dtype=np.int32)
+        dense[seen] = np.arange(len(seen))
+        columns = dense[grams]
     else:
         seen, columns = np.unique(grams, return_inverse=True)
-    letters = np.stack([_letter(int(s)) for s in present])
-    vectors = np.roll(letters, 2, axis=1)[seen // (k * k)] * np.roll(letters, 1, axis=1)[seen // k % k]
+    letters = np.stack([_letters().vector(int(s)) for s in present])
+    vectors = np.roll(letters, 2, axis=1)[seen // (k * k)]
+    vectors *= np.roll(letters, 1, axis=1)[seen // k % k]
     vectors *= letters[seen % k]
-    return columns, bounds, vectors.astype(np.float32)
+    return columns, bounds, vectors
+
+
+def bundles(columns: np.ndarray, bounds: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The sum of each text's vectors: of a block of texts at a time, over the trigrams that the block has."""
+    out = np.zeros((len(bounds) - 1, DIMENSIONS), dtype=np.float32)
+    place = np.zeros(len(vectors), dtype=np.int32)
+    for a in range(0, len(out), BLOCK):
+        b = min(len(out), a + BLOCK)
+        own = columns[bounds[a] : bounds[b]]
+        if not len(own):
+            continue
+        seen = np.flatnonzero(np.bincount(own, minlength=len(vectors)))
+        place[seen] = np.arange(len(seen))
+        text = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        counts = np.bincount(text * len(seen) + place[own], minlength=(b - a) * len(seen)).reshape(b - a, len(seen))
+        out[a:b] = counts.astype(np.float32) @ vectors[seen].astype(np.float32)
+    return out
 
 
 def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -116,7 +144,8 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
                 if b > a:
                     own[lang] = own.get(lang, 0.0) + np.bincount(columns[a:b], minlength=len(vectors)) / (b - a)
             for lang, weights in own.items():
-                sums[lang] = sums.get(lang, 0.0) + weights @ vectors
+                for at in range(0, len(vectors), 2048):
+                    sums[lang] = sums.get(lang, 0.0) + weights[at : at + 2048] @ vectors[at : at + 2048].astype(np.float64)
         if sums:
             n = len(sums)
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +153,7 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
                 ["lang", "place", "value"],
             )
 
-    parts = rows.mapInArrow(run, "lang string, place int, value double")
+    parts = arrow_map(rows, run, "lang string, place int, value double")
     found = parts.groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v")).select("lang", "v.value").collect()
     table = {r["lang"]: np.array(r["value"], dtype=np.float64) for r in found}
     names = sorted(n for n, v in table.items() if np.linalg.norm(v) > 0)
@@ -135,15 +164,10 @@ def learn(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
 
 def predict(texts: list[str | None], names: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and cosine (from 0 to 1) of each text."""
-    columns, bounds, vectors = trigrams(texts)
-    profiles = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        if b > a:
-            counts = np.bincount(columns[a:b], minlength=len(vectors))
-            seen = np.flatnonzero(counts)
-            profiles[i] = counts[seen].astype(np.float32) @ vectors[seen]
     if not names:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    columns, bounds, vectors = trigrams(texts)
+    profiles = bundles(columns, bounds, vectors)
     norms = np.linalg.norm(profiles, axis=1)
     cosines = (profiles @ prototypes.T) / np.maximum(norms, 1e-12)[:, None]
     best = cosines.argmax(axis=1)
@@ -153,23 +177,30 @@ def predict(texts: list[str | None], names: list[str], prototypes: np.ndarray) -
     return [names[b] if n else UNKNOWN for b, n in zip(best.tolist(), some.tolist(), strict=True)], score
 
 
-def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``lang_pred`` and ``lang_score``, which replace columns of those names."""
-    ship_package(docs.sparkSession)
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = "row struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema) + ">, lang_pred string, lang_score double"
+def _predicted(rows: DataFrame, names: list[str], prototypes: np.ndarray, with_text: bool) -> DataFrame:
+    """``(row, lang_pred, lang_score)`` of rows ``(row, text)``, and the text if it is wanted."""
+    out = ["row", *(["text"] if with_text else []), "lang_pred", "lang_score"]
+    schema = T.StructType([*(rows.schema[c] for c in out[:-2]), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_groups(batches, "text", TEXT_AT_ONCE):
             langs, scores = predict(batch.column(1).to_pylist(), names, prototypes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out) - 2], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], out)
 
-    done = kept.mapInArrow(run, schema)
-    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "lang_score")], "lang_pred", "lang_score")
+    return arrow_map(rows, run, schema)
+
+
+def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` with ``lang_pred`` and ``lang_score``, which replace columns of those names."""
+    ship_package(docs.sparkSession)
+    rows, _ = packed(docs, text_col)
+    return unpacked(_predicted(rows, names, prototypes, True), docs, text_col, ["lang_pred", "lang_score"])
 
 
 def identify_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(id, held_out, lang_pred, lang_score)``, learned from the rows that are not held out."""
     names, prototypes = learn(docs, ~held_out(F.col(id_col)), text_col, lang_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return identify(rows, names, prototypes).select("id", held_out(F.col("id")).alias("held_out"), "lang_pred", "lang_score")
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    done = _predicted(rows, names, prototypes, False).select("row.id", "lang_pred", "lang_score")
+    return done.select("id", held_out(F.col("id")).alias("held_out"), "lang_pred", "lang_score")
