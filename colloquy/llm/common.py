@@ -2,29 +2,82 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colloquy.session import read_table, ship_package
+from colloquy import session
+from colloquy.session import read_table
 
-__all__ = ["read_table", "ship_package"]
+__all__ = ["read_table"]
+
+#: Bytes of an Arrow batch that the JVM sends to a Python worker, but for a row that is larger by itself.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+Batches = Iterator[pa.RecordBatch]
+#: What a Python worker keeps between tasks, of one operator at a time.
+_kept: dict[str, Any] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable on executors, and bound the batches that are sent to them, unless the session has a bound of its own."""
+    session.ship_package(spark)
+    if spark.conf.get(BATCH_SETTING, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def kept(owner: str, make: Callable[[], Any]) -> Any:
+    """What ``owner`` keeps in this worker; that of another operator is let go, as workers outlive stages."""
+    if owner not in _kept:
+        _kept.clear()
+        give_back()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def give_back() -> None:
+    """Return free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such function in this C library
+        pass
+
+
+def arrow_map(rows: DataFrame, run: Callable[[Batches], Batches], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` that gives memory back when a task ends."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(whole, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in tests on one machine, a temporary folder
-    is taken and set for the context.
+    Where the setting is absent a temporary folder is taken and set for the
+    context, but only if everything runs on one machine: on a cluster that is an
+    error, as other machines would not see the folder.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
         found = sc.getCheckpointDir()
     if not sc.getCheckpointDir():
@@ -43,6 +96,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, text_col: str) -> tuple[DataFrame, T.StructType]:
+    """``(row, text)``: all columns but the text in a struct, so that a text is sent to Python once; and the struct's type."""
+    rest = [c for c in docs.columns if c != text_col]
+    row = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.struct(F.lit(0).alias("c0"))
+    out = docs.select(row.alias("row"), column(text_col).cast("string").alias("text"))
+    return out, out.schema["row"].dataType
+
+
+def unpacked(done: DataFrame, docs: DataFrame, text_col: str, more: list[str]) -> DataFrame:
+    """The columns of ``docs`` again, the text being ``done``'s, and the columns ``more``, which replace those of their names."""
+    place = {c: f"c{i}" for i, c in enumerate(c for c in docs.columns if c != text_col)}
+    old = [F.col("text").alias(c) if c == text_col else F.col("row").getField(place[c]).alias(c) for c in docs.columns if c not in more]
+    return done.select(*old, *more)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3, is 1 (a null id is never held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

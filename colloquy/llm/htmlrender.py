@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ship_package, text_groups
+from colloquy.llm.common import arrow_map, ship_package, text_groups
 
 DEEPEST = 120
 # Names of HTML elements by role.
@@ -436,4 +436,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
         for batch in text_groups(batches, "html", 4 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(h) for h in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
-    return rows.mapInArrow(run, "id long, text string")
+    return arrow_map(rows, run, "id long, text string")

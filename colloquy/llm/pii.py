@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, ship_package, text_groups
 
 #: A format is dense if the corpus holds more than one in so many of its values.
 DENSE = 4
@@ -405,7 +405,7 @@ def distinct_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 kinds, normals = zip(*sorted(seen), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(normals, pa.string())], ["kind", "normal"])
 
-    return rows.mapInArrow(run, "kind string, normal string").distinct()
+    return arrow_map(rows, run, "kind string, normal string").distinct()
 
 
 def _visible(normal):
@@ -441,7 +441,7 @@ def _resolved(found: DataFrame, key: str) -> DataFrame:
                 made = [maker.of(k, n, a, b) for k, n, b, a in zip(kinds, normals, bases, attempts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "normal", "base", "attempt", "surrogate"])
 
-        return rows.select("kind", "normal", "base", "attempt").mapInArrow(run, schema)
+        return arrow_map(rows.select("kind", "normal", "base", "attempt"), run, schema)
 
     def spaces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Surrogates(key)
@@ -450,7 +450,7 @@ def _resolved(found: DataFrame, key: str) -> DataFrame:
             formats, sizes = zip(*[maker.space(k, n) for k, n in zip(kinds, normals, strict=True)], strict=True) if kinds else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(formats, pa.string()), pa.array(sizes, pa.int64())], ["kind", "normal", "base", "format", "size"])
 
-    placed = cut(found.select("kind", "normal", "base").mapInArrow(spaces, "kind string, normal string, base int, format string, size long"))
+    placed = cut(arrow_map(found.select("kind", "normal", "base"), spaces, "kind string, normal string, base int, format string, size long"))
     dense = placed.groupBy("format").agg(F.count("*").alias("n"), F.min("size").alias("size")).where(f"n > size / {DENSE}").select("format")
     found = placed.join(dense, "format", "left_anti")
     values = found.select("kind", _visible(F.col("normal")).alias("surrogate")).distinct()
@@ -488,7 +488,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
                 seen = sorted({(h, k, n) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, kind, normal in entities(t) for k, n in ((kind, normal), ("surname", surname_of(kind, normal))) if n})
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], ["h", "kind", "normal"])
 
-        held = packed.select("h", "text").where("text is not null").mapInArrow(mentions, "h string, kind string, normal string").distinct()
+        held = arrow_map(packed.select("h", "text").where("text is not null"), mentions, "h string, kind string, normal string").distinct()
         by_text = held.join(exceptions, ["kind", "normal"]).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias("own"))
         packed = packed.join(by_text, "h", "left").select("row", "text", "own")
         sent: dict[tuple[str, str], int] = {}
@@ -512,5 +512,5 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(told, kind)], ["row", "text", "pii_entities"])
 
     schema = "row " + packed.schema["row"].dataType.simpleString() + f", text string, pii_entities {result}"
-    done = packed.mapInArrow(run, schema)
+    done = arrow_map(packed, run, schema)
     return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns], "pii_entities")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, ship_package, text_groups
 from colloquy.llm.components import connected_components
 
 WIDTH, SEED = 5, 42
@@ -80,7 +80,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    return rows.mapInArrow(run, "id long, hashes binary")
+    return arrow_map(rows, run, "id long, hashes binary")
 
 
 def common_shingles(rows: DataFrame) -> np.ndarray:
@@ -93,7 +93,7 @@ def common_shingles(rows: DataFrame) -> np.ndarray:
             sets = [shingle_set(t.as_py()) for t in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    counted = part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counted = arrow_map(part, run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     found = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow().column("h").to_numpy()
     return found[::-1].copy().view(np.uint64)
 
@@ -118,7 +118,7 @@ def _prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
                 prefixes.append(own[: prefix_size(len(own))].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "digest", "n", "prefix"])
 
-    return rows.mapInArrow(run, "id long, digest binary, n long, prefix array<long>")
+    return arrow_map(rows, run, "id long, digest binary, n long, prefix array<long>")
 
 
 def _possible(n: str, at: str, m: str, other_at: str) -> Column:
@@ -152,7 +152,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, prints: DataFrame) -> DataFrame
             good = [similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long")
+    return arrow_map(both, run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

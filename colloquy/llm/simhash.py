@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, ship_package, text_groups
 from colloquy.llm.components import connected_components
 
 SEED = 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.fromiter((fingerprint(t.as_py(), width) for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(run, "id long, fp long")
+    return arrow_map(rows, run, "id long, fp long")
 
 
 def close_pairs(classes: DataFrame, max_distance: int = 2) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, held_out, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, held_out, ship_package, text_groups
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -324,7 +324,7 @@ def learn_stems(docs: DataFrame, picked: DataFrame, id_col: str = "doc_id", text
             found = [pa.array([near_copy_key(t) for t in texts], pa.int64()), batch.column(batch.schema.get_field_index("y")), pa.array([sorted(stems(t)) for t in texts], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(found, ["near", "y", "stems"])
 
-    each = rows.select("text", "y").mapInArrow(run, "near long, y int, stems array<string>")
+    each = arrow_map(rows.select("text", "y"), run, "near long, y int, stems array<string>")
     once = cut(each.groupBy("near", "y").agg(F.min("stems").alias("stems")))
     totals = once.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
     toxic = int(totals["t"] or 0)
@@ -343,7 +343,7 @@ def feature_table(docs: DataFrame, learned: frozenset[str], id_col: str = "doc_i
             found = [features(t, learned) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["id", "features"])
 
-    return rows.mapInArrow(run, "id long, features array<double>")
+    return arrow_map(rows, run, "id long, features array<double>")
 
 
 def fit(table: DataFrame, picked: DataFrame) -> Model:
@@ -361,7 +361,7 @@ def score(table: DataFrame, model: Model) -> DataFrame:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], ["id", "score"])
 
-    return table.select("id", "features").mapInArrow(run, "id long, score double")
+    return arrow_map(table.select("id", "features"), run, "id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, ship_package
+from colloquy.llm.common import arrow_map, cut, ship_package
 from colloquy.llm.components import connected_components
 
 SAMPLE, SHARD, CLUSTERS_MOST = 20_000, 2048, 2048
@@ -285,7 +285,7 @@ def _assign(classes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
             near = np.argpartition(-(x @ centres.T), k - 1, axis=1)[:, :k]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], ["rep", "vec", "m", "clusters"])
 
-    return classes.select("rep", "vec", "m").mapInArrow(run, "rep long, vec binary, m long, clusters array<int>")
+    return arrow_map(classes.select("rep", "vec", "m"), run, "rep long, vec binary, m long, clusters array<int>")
 
 
 def _one_dimension(classes: DataFrame, n: int, least: float, overlap: int, build=_build, search=_search) -> DataFrame:
@@ -314,7 +314,7 @@ def _one_dimension(classes: DataFrame, n: int, least: float, overlap: int, build
                 homes.append(own)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(homes, pa.list_(pa.int64()))], ["rep", "vec", "m", "shards"])
 
-    placed = assigned.mapInArrow(place, "rep long, vec binary, m long, shards array<long>")
+    placed = arrow_map(assigned, place, "rep long, vec binary, m long, shards array<long>")
     dealt = placed.select("rep", "vec", "m", "shards", F.explode("shards").alias("shard"))
     around = dealt.select("shard", "rep", "vec").groupBy("shard").applyInArrow(build, "rep long, around array<long>")
     united = around.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around"))
@@ -340,7 +340,7 @@ def links_and_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
                 out.append(a.tobytes() if norm > 0 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "vec"])
 
-    rows = cut(raw.mapInArrow(pack, "id long, vec binary"))
+    rows = cut(arrow_map(raw, pack, "id long, vec binary"))
     usable = rows.where("id is not null and vec is not null")
     classes = cut(usable.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
     by_size = {r["d"]: r["n"] for r in classes.groupBy(F.octet_length("vec").alias("d")).agg(F.count("*").alias("n")).collect()}
@@ -383,6 +383,6 @@ def recall(nodes: DataFrame, classes: DataFrame, least: float, audited: int = AU
                     total += int((near * np.array([m for _, m in same])[:, None]).sum())
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
-    truth = classes.select("vec", "m").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    truth = arrow_map(classes.select("vec", "m"), run, "n long").agg(F.sum("n")).first()[0] or 0
     truth -= len(asked)  # each query meets itself
     return 1.0 if truth <= 0 else sum(n for _, n in asked) / truth

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, ship_package, text_groups
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
@@ -280,7 +280,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                     names.append("row")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        return source.mapInArrow(run, schema + (", row string" if keyed else ""))
+        return arrow_map(source, run, schema + (", row string" if keyed else ""))
 
     if len(blocks) == 1:
         return one(rows, blocks[0](), False)

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -155,9 +156,9 @@ def test_trie_bpe(word_bpe):
     library, own, rnd = Tokenizer.from_file(word_bpe), trie_bpe.encoder(word_bpe), random.Random(1)
     texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 14))) for _ in range(4000)]
     texts += ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéñ") for _ in range(rnd.randint(1, 90))) for _ in range(1000)] + ["aaaa" * 300, ""]
-    for text, (ids, decoded) in zip(texts, own.texts(texts), strict=True):
+    for text, ids, decoded, n in zip(texts, *own.column(pa.array(texts)), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
-        assert [int(x) for x in ids.split()] == want and decoded.decode() == library.decode(want, skip_special_tokens=False)
+        assert [int(x) for x in bytes(ids).split()] == want and bytes(decoded).decode() == library.decode(want, skip_special_tokens=False) and n == len(want)
 
 
 def test_trie_bpe_rows(spark, odd_docs, word_bpe):
@@ -193,13 +194,16 @@ def test_codes(n):
         reader.token(n)
 
 
-def test_cached_encoder(byte_bpe):
+def test_piece_encoder(byte_bpe):
     from tokenizers import Tokenizer
 
     library, own, rnd = Tokenizer.from_file(byte_bpe), dac.encoder(byte_bpe), random.Random(4)
-    for _ in range(4000):
-        text = "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 14)))
-        assert own.texts([text], None)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 14))) for _ in range(4000)] + ["", None, "a"]
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in own.texts(texts, None)] == want
+    # Texts alone, and with a memory that is emptied again and again.
+    own.known.most = 5
+    assert [own.texts([t])[0].tolist() for t in texts[:500]] == [x + [0] for x in want[:500]]
 
 
 def test_token_files(spark, odd_docs, byte_bpe, monkeypatch):
@@ -207,13 +211,24 @@ def test_token_files(spark, odd_docs, byte_bpe, monkeypatch):
 
     library, folder = Tokenizer.from_file(byte_bpe), shared_path(spark, "tokens-test")
     files = dac.write_tokens(odd_docs, folder, byte_bpe)
-    got = dac.read_digests(spark, folder, files).orderBy("start").collect()
+    got = dac.read_digests(files).orderBy("start").collect()
     want = sorted(((r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids + [0]) for r in odd_docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
     start = 0
     for r, (i, ids) in zip(got, want, strict=True):
         assert (r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    assert dac.write_tokens(odd_docs.limit(0), folder, byte_bpe) == [] and dac.read_digests(spark, folder, []).count() == 0
+    nothing = dac.write_tokens(odd_docs.limit(0), folder, byte_bpe)
+    assert nothing.count() == 0 and dac.read_digests(nothing).count() == 0
+
+
+def test_token_files_of_a_task(spark, byte_bpe, monkeypatch, tmp_path):
+    # Many files a task: starts run on over files and tasks.
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', cast(id % 7 as int))").alias("text"))
+    whole = {r["id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in dac.read_digests(dac.write_tokens(docs, str(tmp_path / "a"), byte_bpe)).collect()}
+    total = 0
+    for i in range(300):
+        assert whole[i][0] == total
+        total += whole[i][1]
 
 
 # language
@@ -240,10 +255,32 @@ def test_label_and_source_do_not_matter(spark, sf):
 def test_trigram_profile():
     columns, bounds, vectors = langid.trigrams(["abab", None, "Ab"])
     assert bounds.tolist() == [0, 4, 4, 6]
-    a, b, gap = (langid._letter(s) for s in (1 + 97, 1 + 98, 0))
+    a, b, gap = (langid._letters().vector(s) for s in (1 + 97, 1 + 98, 0))
     assert (vectors[columns[0]] == np.roll(gap, 2) * np.roll(a, 1) * b).all() and (vectors[columns[4]] == vectors[columns[0]]).all()
 
 
+def test_every_letter_has_its_vector():
+    # Letters far apart in Unicode do not share vectors: 4,093 lies between the two.
+    texts = ["一丁七", chr(ord("一") + 4093) + chr(ord("丁") + 4093) + chr(ord("七") + 4093)]
+    columns, bounds, vectors = langid.trigrams(texts)
+    one, two = langid.bundles(columns, bounds, vectors)
+    assert abs(one @ two) / (one @ one) < 0.5
+
+
+def test_bundles_are_sums():
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcdeé ") for _ in range(rnd.randrange(60))) for _ in range(150)]
+    columns, bounds, vectors = langid.trigrams(texts)
+    want = np.array([vectors[columns[a:b]].sum(axis=0, dtype=np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    assert (langid.bundles(columns, bounds, vectors) == want).all()
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "plain words", "x", 2.0, "z")], "doc_id long, text string, `a b.c` string, row double, `q``r` string")
+    langs = langid.identify(docs, ["en"], np.ones((1, langid.DIMENSIONS), np.float32))
+    assert langs.columns == [*docs.columns, "lang_pred", "lang_score"] and tuple(langs.first())[:5] == tuple(docs.first())
+
+
 # toxicity
 
 
