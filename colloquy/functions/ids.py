@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column
@@ -52,6 +53,23 @@ def segmentation_config_hash(*, session_gap_hours: float, topical_min_messages:
     return hashlib.sha256(" ".join(["seg_config_hash/v1", *(f"{k}={v}" for k, v in fields.items())]).encode()).hexdigest()
 
 
+def config_hash(fields: dict[str, Column | str], version: str = "seg_config_hash/v1") -> Column:
+    """``segmentation_config_hash`` of columns: the fields in the order given, as ``name=value`` behind the version."""
+    parts = [F.concat(F.lit(f"{k}="), (v if isinstance(v, Column) else F.lit(v)).cast("string")) for k, v in fields.items()]
+    return F.sha2(F.concat_ws(" ", F.lit(version), *parts), 256)
+
+
+def projected_hash(config: dict[str, Any], names: Sequence[str]) -> str:
+    """Hash of those settings that matter to a result: dotted names that are absent count as null."""
+    def at(name: str) -> Any:
+        value: Any = config
+        for part in name.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        return value
+
+    return canonical_hash({n: at(n) for n in names})
+
+
 def canonical_json(value: Any, ascii_only: bool = True) -> str:
     """The one JSON form of a value: sorted keys, no spaces."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only)

@@ -126,7 +126,7 @@ def contains_emoji(text: Column) -> Column:
 
 
 # Code points that send a query to the substring route.
-EMOJI_RANGES = ((0x2190, 0x21FF), (0x2300, 0x23FF), (0x2600, 0x27BF), (0x2B00, 0x2BFF), (0x1F000, 0x1F0FF), (0x1F1E6, 0x1F1FF), (0x1F300, 0x1FAFF))
+EMOJI_RANGES = ((0x1F1E6, 0x1F1FF), (0x1F300, 0x1FAFF), (0x1F000, 0x1F0FF), (0x2600, 0x27BF), (0x2300, 0x23FF), (0x2B00, 0x2BFF), (0x2190, 0x21FF))
 
 
 def normalize_handle(raw: Column, default_code: str = "1") -> tuple[Column, Column]:

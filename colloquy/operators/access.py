@@ -83,8 +83,11 @@ def visible_segments(segments: DataFrame, filters: Filters, context: AccessConte
     """The one predicate: ``segment_id`` of every segment that filters and context let through.
 
     Every search channel is semi-joined with it before anything is limited.
+    ``filters.extra`` are conditions on the columns of ``segments``.
     """
     out = segments.where(in_dates(F.col(at), filters.after, filters.before, filters.timezone))
+    for condition in filters.extra:
+        out = out.where(condition)
     if filters.people:
         out = out.join(with_all_people(participants, filters.people, chat), chat, "left_semi")
     if context.scope != "full":
@@ -96,9 +99,22 @@ def visible_segments(segments: DataFrame, filters: Filters, context: AccessConte
     return out.select(segment)
 
 
+def accepted_foreign(audit: DataFrame, owner: str, subject: str = "subject", ok: str = "subject_ok", surface: str = "surface") -> DataFrame:
+    """One row: how many public requests of another subject than the owner were let through. It must be 0."""
+    return audit.where((F.col(surface) == "public") & F.col(ok) & (F.col(subject) != owner)).agg(F.count("*").alias("accepted_foreign"))
+
+
 # export
 
 
+def revoke(allowlist: DataFrame, people: DataFrame, person: str = "person_id") -> DataFrame:
+    """The allowlist after a revocation: rows stay, their flags are false; a person without a row gets one."""
+    flags = [c for c in allowlist.columns if c != person]
+    gone = people.select(person).distinct().withColumn("_gone", F.lit(True))
+    both = allowlist.withColumn("_known", F.lit(True)).join(gone, person, "full_outer")
+    return both.select(person, *[F.when(F.col("_gone"), False).otherwise(F.col(c)).alias(c) for c in flags])
+
+
 def effective_sender(sender: Column, is_from_me: Column, owner: Column | int) -> Column:
     return F.coalesce(sender, F.when(is_from_me, owner if isinstance(owner, Column) else F.lit(owner)))
 
@@ -109,6 +125,15 @@ def not_allowed(people: DataFrame, allowlist: DataFrame, person: str = "person_i
     return people.join(known, people[person].eqNullSafe(F.col("_p")), "left").where(~F.coalesce("_ok", F.lit(False))).drop("_p", "_ok")
 
 
+def _tagged(evidence: dict[str, DataFrame], chat: str) -> DataFrame:
+    """``(chat, reason)`` of all evidence, repeats included."""
+    out = None
+    for reason, rows in evidence.items():
+        part = rows.select(chat, F.lit(reason).alias("reason"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def eligible_chats(chats: DataFrame, participants: DataFrame, evidence: dict[str, DataFrame], chat: str = "chat_id") -> DataFrame:
     """``(chat, participant_count, reasons, eligible)``: denied by any evidence, and by having no participants.
 
@@ -116,16 +141,12 @@ def eligible_chats(chats: DataFrame, participants: DataFrame, evidence: dict[str
     deny more. Reasons are sorted.
     """
     counts = participants.groupBy(chat).agg(F.countDistinct("person_id").alias("participant_count"))
-    denied = None
-    for reason, rows in evidence.items():
-        part = rows.select(chat).distinct().withColumn("reason", F.lit(reason))
-        denied = part if denied is None else denied.unionByName(part)
     out = chats.select(chat).join(counts, chat, "left").withColumn("participant_count", F.coalesce("participant_count", F.lit(0)))
     none = F.array().cast("array<string>")
-    if denied is None:
+    if not evidence:
         out = out.withColumn("found", none)
     else:
-        out = out.join(denied.groupBy(chat).agg(F.collect_set("reason").alias("found")), chat, "left")
+        out = out.join(_tagged(evidence, chat).groupBy(chat).agg(F.collect_set("reason").alias("found")), chat, "left")
     empty = F.when(F.col("participant_count") == 0, F.array(F.lit("no_participants"))).otherwise(none)
     reasons = F.array_sort(F.concat(F.coalesce("found", none), empty))
     return out.select(chat, "participant_count", reasons.alias("reasons"), (F.size(reasons) == 0).alias("eligible"))

@@ -47,10 +47,17 @@ def resolve_person(people: DataFrame, query: str) -> tuple[str, DataFrame]:
     return ("not_found" if near.isEmpty() else "ambiguous"), near
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What ``ratio`` cannot exceed: no more can match than the shorter text has."""
+    return F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b))
+
+
 def similar_people(people: DataFrame, query: Column) -> DataFrame:
+    """People whose short or display name is similar enough; names whose lengths exclude that do not reach Python."""
     low = F.lower(query)
-    score = F.greatest(ratio(low, F.lower("short_name")), ratio(low, F.lower("display_name")))
-    return people.withColumn("score", score).where(F.col("score") >= LEAST_RATIO)
+    names = [F.lower("short_name"), F.lower("display_name")]
+    scores = [F.when(ratio_bound(low, n) >= LEAST_RATIO, ratio(low, n)) for n in names]
+    return people.withColumn("score", F.greatest(*scores)).where(F.col("score") >= LEAST_RATIO)
 
 
 def short_names(people: DataFrame, name: str = "display_name", by: str = "person_id") -> DataFrame:

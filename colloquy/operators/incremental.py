@@ -16,6 +16,30 @@ def incremental_scan(messages: DataFrame, watermark: int, last_run: Column, row:
     return messages.where((F.col(row) > watermark) | late)
 
 
+def advance_watermarks(state: DataFrame, scanned: DataFrame, source: str = "source", row: str = "rowid") -> DataFrame:
+    """``(source, row)`` after a scan: the highest row seen of every source. It never goes back, and is to be written with the data."""
+    seen = scanned.groupBy(source).agg(F.max(row).alias("_seen"))
+    return state.join(seen, source, "full_outer").select(source, F.greatest(F.col(row), F.col("_seen")).alias(row))
+
+
+def last_ok_runs(runs: DataFrame, source: str = "source", run: str = "run_id", finished: str = "finished_at", ok: str = "ok") -> DataFrame:
+    """``(source, run, last_ok)``: the last run of each source that went well, and the latest time at which one did."""
+    return runs.where(ok).groupBy(source).agg(F.max(run).alias(run), F.max(finished).alias("last_ok"))
+
+
+def freshness(last_ok: DataFrame, now: Column, interval_seconds: int, at: str = "last_ok") -> DataFrame:
+    """Adds ``age_seconds`` and ``fresh``: the last good run is less than two intervals old."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
+    return last_ok.withColumns({"age_seconds": F.floor(age / 1_000_000), "fresh": age < 2 * interval_seconds * 1_000_000})
+
+
+def active_chats(messages: DataFrame, now: Column, days: int = 90, chat: str = "chat_id", at: str = "sent_at") -> DataFrame:
+    """``(chat, n, last_at)``: chats with messages within the days before now, the cutoff included."""
+    cutoff = F.unix_micros(now.cast("timestamp")) - days * 86_400_000_000
+    recent = messages.where(F.unix_micros(F.col(at).cast("timestamp")) >= cutoff)
+    return recent.groupBy(chat).agg(F.count("*").alias("n"), F.max(at).alias("last_at"))
+
+
 def first_chat(links: DataFrame, message: str = "message_id", chat: str = "chat_id") -> DataFrame:
     """A message of several chats belongs to the least."""
     return links.groupBy(message).agg(F.min(chat).alias(chat))
@@ -65,6 +89,22 @@ def stale(content: DataFrame, derived: DataFrame, key: str, content_hash: str, d
     return content.join(known, key, "left").where(~F.col(content_hash).eqNullSafe(F.col("_h"))).drop("_h")
 
 
+def absent(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows that a later step has not reached: messages in no segment, handles of no person."""
+    return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
+def changed_since(messages: DataFrame, done: DataFrame, chat: str = "chat_id", at: str = "sent_at", done_at: str = "done_at") -> DataFrame:
+    """Messages that changed after their chat was last worked on; chats that never were have changed throughout."""
+    known = done.select(chat, F.col(done_at).alias("_done"))
+    return messages.join(known, chat, "left").where(F.col("_done").isNull() | (F.col(at) > F.col("_done"))).drop("_done")
+
+
+def config_stale(segments: DataFrame, current: str, group: str = "chat_id", config: str = "seg_config_hash") -> DataFrame:
+    """``(group)`` with a segment that was made under another configuration, or under none that is known."""
+    return segments.where(~F.col(config).eqNullSafe(F.lit(current))).select(group).distinct()
+
+
 def dirty_chats(unsegmented: DataFrame, changed: DataFrame, chat: str = "chat_id", at: str = "sent_at") -> DataFrame:
     """``(chat, earliest)``: chats with messages in no segment, or changed since they were segmented."""
     both = unsegmented.groupBy(chat).agg(F.min(at).alias("earliest")).unionByName(changed.groupBy(chat).agg(F.min(at).alias("earliest")))

@@ -1,19 +1,32 @@
-"""Full-text search: routing, postings, BM25 and substrings."""
+"""Full-text search: routing, persisted postings, BM25 and substrings.
+
+An index is a folder of versions. A version has the postings, dealt into buckets
+by term, and a row that tells what it was made of; a version counts once that
+row is there. Searches read the buckets of their terms only.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colloquy.functions.text import CURLY_DOUBLE, CURLY_SINGLE, EMOJI_RANGES, terms_of, tokenize
+from colloquy.functions.text import CURLY_DOUBLE, CURLY_SINGLE, EMOJI_RANGES, contains_emoji, normalize_text, terms_of, tokenize
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 LEAST_TRIGRAM = 3
+#: Changes of the postings' form or of the tokenizer need another name here, which makes older indexes stale.
+SCHEMA, TOKENIZER = "postings/1", "lower case; no diacritics; letters and digits"
+BUCKETS, SPREAD = 64, 16
+VERSION = "version long, path string, fingerprint string, position long, n_docs long, n_terms long, n_postings long, columns string"
 
 
 @dataclass(frozen=True)
@@ -42,14 +55,29 @@ def route(raw: str) -> RoutedQuery:
     return RoutedQuery(raw, "bm25", text)
 
 
+def route_columns(raw: Column) -> tuple[Column, Column]:
+    """``(mode, phrase)`` of queries in a column, as ``route`` has them."""
+    text = normalize_text(raw)
+    inner = F.trim(F.substring(text, 2, F.length(text) - 2))
+    quoted = (F.length(text) >= 2) & text.startswith('"') & text.endswith('"')
+    phrase = F.when(quoted, F.when(F.length(inner) > 0, inner).otherwise(text)).otherwise(text)
+    emoji = contains_emoji(text)
+    mode = F.when(emoji, "emoji").when(quoted & (F.length(inner) >= LEAST_TRIGRAM), "trigram").otherwise("bm25")
+    return mode, F.when(emoji, text).otherwise(phrase)
+
+
 def query_phrases(phrase: str) -> list[list[str]]:
     """The terms of each word between spaces; a word of several terms is a phrase whose terms must follow each other."""
     return [terms for terms in map(terms_of, phrase.split()) if terms]
 
 
-def postings(docs: DataFrame, key: str = "segment_id", text: str = "text") -> DataFrame:
-    """``(key, dl, term, tf, positions)``."""
-    terms = docs.select(key, tokenize(F.col(text)).alias("terms"))
+def terms_of_documents(docs: DataFrame, key: str = "segment_id", text: str = "text") -> DataFrame:
+    """``(key, terms)``."""
+    return docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+
+
+def postings(terms: DataFrame, key: str = "segment_id") -> DataFrame:
+    """``(key, dl, term, tf, positions)`` of rows ``(key, terms)``."""
     each = terms.select(key, F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
     return each.groupBy(key, "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
@@ -59,15 +87,32 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
 
 
+def _scored(counted: DataFrame, n_words: int, key: str, n_docs: Column | None = None, mean_length: Column | None = None) -> DataFrame:
+    """``(key, score)`` of rows ``(key, dl, tf0, tf1, ...)`` that have every word; how many have each is counted over all rows.
+
+    Number and mean length of documents are those of the rows unless they are given.
+    """
+    whole = [F.count("*").alias("_n"), F.avg("dl").alias("_mean")] if n_docs is None else []
+    n_docs, mean_length = (F.col("_n"), F.col("_mean")) if n_docs is None else (n_docs, mean_length)
+    stats = counted.agg(*whole, *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n_words)])
+    every = counted.where(" AND ".join(f"tf{i} > 0" for i in range(n_words))).crossJoin(F.broadcast(stats))  # one row of statistics
+    score = sum(
+        (idf(n_docs, F.col(f"df{i}")) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / mean_length)) for i in range(n_words)),
+        F.lit(0.0),
+    )
+    return every.select(key, score.alias("score"))
+
+
 def bm25(docs: DataFrame, phrase: str, key: str = "segment_id", text: str = "text") -> DataFrame:
-    """``(key, score)`` of the documents that hold every word of the phrase.
+    """``(key, score)`` of the documents that hold every word of the phrase, without an index.
 
-    Documents are cut into terms once; those terms that the query names are kept
-    before anything is shuffled, so what moves is a row for each matching document.
+    Statistics are those of all ``docs``, so who may see a hit is to be decided
+    afterwards. Documents are cut into terms once; those terms that the query
+    names are kept before anything is shuffled.
     """
     phrases = query_phrases(phrase)
     names = sorted({t for p in phrases for t in p})
-    terms = docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    terms = terms_of_documents(docs, key, text)
     if not phrases:
         return terms.select(key, F.lit(0.0).alias("score")).where("false")
 
@@ -80,13 +125,111 @@ def bm25(docs: DataFrame, phrase: str, key: str = "segment_id", text: str = "tex
 
     tf = [frequency(p).alias(f"tf{i}") for i, p in enumerate(phrases)]
     counted = terms.select(key, F.size("terms").alias("dl"), F.arrays_overlap("terms", F.array(*map(F.lit, names))).alias("any"), "terms").select(key, "dl", *[F.when(F.col("any"), c).otherwise(0).alias(f"tf{i}") for i, c in enumerate(tf)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
-    every = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(phrases)))).crossJoin(F.broadcast(stats))  # one row of statistics
-    score = sum(
-        (idf(F.col("n"), F.col(f"df{i}")) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) for i in range(len(phrases))),
-        F.lit(0.0),
-    )
-    return every.select(key, score.alias("score"))
+    return _scored(counted, len(phrases), key)
+
+
+# the index
+
+
+class StaleIndex(RuntimeError):
+    """The index is absent, or was made by another tokenizer or in another form: it must be rebuilt."""
+
+
+def fingerprint() -> str:
+    return hashlib.sha256(f"{SCHEMA}\n{TOKENIZER}\n{BUCKETS}".encode()).hexdigest()
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """The current version of an index."""
+
+    postings: DataFrame
+    position: int
+    n_docs: int
+    n_terms: int
+    n_postings: int
+    key: str
+
+    def search(self, phrase: str) -> DataFrame:
+        """``(key, score)`` of the documents that hold every word of the phrase, with the statistics of the whole index."""
+        phrases = query_phrases(phrase)
+        names = sorted({t for p in phrases for t in p})
+        own = self.postings.where(F.col("bucket").isin(*_buckets_of(self.postings.sparkSession, names)) & F.col("term").isin(*names))
+        if not phrases:
+            return own.select(self.key, F.lit(0.0).alias("score")).where("false")
+        follows = sorted({t for p in phrases if len(p) > 1 for t in p})
+        wanted = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"n_{t}") for t in names] + [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at_{t}") for t in follows]
+        each = own.groupBy(self.key).agg(F.first("dl").alias("dl"), *wanted)
+
+        def frequency(p: list[str]) -> Column:
+            if len(p) == 1:
+                return F.coalesce(F.col(f"n_{p[0]}"), F.lit(0))
+            out = F.col(f"at_{p[0]}")
+            for i, t in enumerate(p[1:], 1):
+                out = F.array_intersect(out, F.expr(f"transform(`at_{t}`, x -> x - {i})"))
+            return F.coalesce(F.size(out), F.lit(0))
+
+        counted = each.select(self.key, "dl", *[F.greatest(frequency(p), F.lit(0)).alias(f"tf{i}") for i, p in enumerate(phrases)])
+        return _scored(counted, len(phrases), self.key, F.lit(self.n_docs), F.lit(self.n_terms / max(1, self.n_docs)))
+
+
+def _buckets_of(spark: SparkSession, terms: list[str]) -> list[int]:
+    """The buckets of a query's terms."""
+    if not terms:
+        return [-1]
+    row = spark.range(1).select(*[_bucket(F.lit(t)).alias(f"b{i}") for i, t in enumerate(terms)]).first()
+    return sorted(set(row))
+
+
+def write_index(docs: DataFrame, folder: str, position: int = 0, key: str = "segment_id", text: str = "text") -> LexicalIndex:
+    """Make a new version of the index of ``docs`` and put it in place of the current one.
+
+    The position (that of the outbox) is to be taken before ``docs`` is read:
+    events after it are applied again. Postings are counted against the
+    documents before the version's row is written, which alone makes it count;
+    until then searches see the version before it. Common terms are spread over
+    ``SPREAD`` files of their bucket.
+    """
+    spark = docs.sparkSession
+    path = f"{folder}/data/{uuid.uuid4().hex}"
+    counts = [F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n_terms")]
+    terms, seen = terms_of_documents(docs, key, text), Observation()
+    rows = postings(terms.observe(seen, *counts), key).withColumn("bucket", _bucket(F.col("term")))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", key)
+    dealt.write.partitionBy("bucket").parquet(path)
+    made = spark.read.schema(rows.schema).parquet(path)
+    told = made.agg(F.count("*").alias("n_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_terms")).first()
+    expected = seen.get if told["n_postings"] else {"n_terms": -1}  # a plan without rows is not observed
+    if told["n_terms"] != expected["n_terms"]:
+        expected = terms.agg(*counts).first().asDict()  # tasks that ran twice are observed twice
+    if told["n_terms"] != expected["n_terms"]:
+        raise RuntimeError(f"the index has {told['n_terms']} terms, the documents {expected['n_terms']}")
+    version = 1 + max((r["version"] for r in _versions(spark, folder)), default=0)
+    row = (version, path, fingerprint(), position, expected["n_docs"], told["n_terms"], told["n_postings"], rows.schema.json())
+    spark.createDataFrame([row], VERSION).coalesce(1).write.mode("append").json(f"{folder}/versions")
+    return open_index(spark, folder, key)
+
+
+def _versions(spark: SparkSession, folder: str) -> list:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(VERSION).json(f"{folder}/versions").collect()  # a row for each rebuild
+    except AnalysisException:
+        return []
+
+
+def open_index(spark: SparkSession, folder: str, key: str = "segment_id") -> LexicalIndex:
+    """The current version; ``StaleIndex`` if there is none or it was made in another way."""
+    last = max(_versions(spark, folder), key=lambda r: r["version"], default=None)
+    if last is None or last["fingerprint"] != fingerprint():
+        raise StaleIndex(folder)
+    columns = T.StructType.fromJson(json.loads(last["columns"]))
+    return LexicalIndex(spark.read.schema(columns).parquet(last["path"]), last["position"], last["n_docs"], last["n_terms"], last["n_postings"], key)
 
 
 def substring_hits(docs: DataFrame, phrase: str, text: str = "text", ignore_case: bool = True) -> DataFrame:

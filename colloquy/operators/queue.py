@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.times import after_seconds, backoff_seconds
 
@@ -73,12 +77,76 @@ def accept_within(times: list[float], limit: int, window: float) -> list[bool]:
 
 
 def rate_limited(events: DataFrame, limit: int, window_seconds: float, key: str = "user_id", at: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Adds ``allowed``. What is refused does not count, so verdicts follow one another: a sequential fold per key."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", allowed boolean"
+    """Adds ``allowed``. What is refused does not count, so verdicts follow one another: a fold over each key's sorted events.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, tie])
-        seconds = [t.value / 1e9 for t in rows[at]]
-        return rows.assign(allowed=accept_within(seconds, limit, window_seconds))
+    A task holds one batch and the accepted times of one key, ``limit`` at most.
+    """
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, accepted = None, deque()
+        for rows in batches:
+            verdicts = []
+            for own, t in zip(rows[key], (x.value / 1e9 for x in rows[at]), strict=True):
+                if own != name:
+                    name, accepted = own, deque()
+                while accepted and accepted[0] <= t - window_seconds:
+                    accepted.popleft()
+                verdicts.append(len(accepted) < limit)
+                if verdicts[-1]:
+                    accepted.append(t)
+            yield rows.assign(allowed=verdicts)
+
+    return events.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(run, schema)
+
+
+class VerdictCache:
+    """Verdicts of an outside authority, remembered for a while; after a failure it is not asked for some seconds.
+
+    ``ask`` returns ``(verdict, seconds it holds)`` or raises. A refusal is kept
+    for ``most_refused`` seconds at most, and while the authority is left alone
+    every unknown name is refused.
+    """
 
-    return events.groupBy(key).applyInPandas(run, schema)
+    def __init__(self, ask: Callable[[str], tuple[bool, float]], clock: Callable[[], float], most_refused: float = 60.0, pause: float = 5.0):
+        self.ask, self.clock, self.most_refused, self.pause = ask, clock, most_refused, pause
+        self.known: dict[str, tuple[bool, float]] = {}
+        self.closed_until = float("-inf")
+
+    def verdict(self, name: str) -> bool:
+        now = self.clock()
+        self.known = {k: v for k, v in self.known.items() if v[1] > now}
+        if name in self.known:
+            return self.known[name][0]
+        if now < self.closed_until:
+            return False
+        try:
+            allowed, seconds = self.ask(name)
+        except Exception:
+            self.closed_until = now + self.pause
+            return False
+        self.known[name] = (allowed, now + (seconds if allowed else min(seconds, self.most_refused)))
+        return allowed
+
+
+def paced(n: Column, per_minute: float) -> Column:
+    """Seconds after its start at which the n-th task of a worker (from 0) may begin: evenly spaced, without bursts."""
+    if per_minute <= 0:
+        raise ValueError("a rate must be positive")
+    return n * (60.0 / per_minute)
+
+
+class Pacer:
+    """Waits before each task of a driver loop so that they begin at least an interval apart."""
+
+    def __init__(self, per_minute: float, clock: Callable[[], float], sleep: Callable[[float], None]):
+        if per_minute <= 0:
+            raise ValueError("a rate must be positive")
+        self.interval, self.clock, self.sleep = 60.0 / per_minute, clock, sleep
+        self.next = float("-inf")
+
+    def wait(self) -> None:
+        early = self.next - self.clock()
+        if early > 0:
+            self.sleep(early)
+        self.next = self.clock() + self.interval

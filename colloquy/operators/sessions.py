@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.text import estimate_tokens
 
@@ -73,7 +74,10 @@ def recompute_start(sessions: DataFrame, changes: DataFrame, gap_hours: float, c
 
 
 def split_capped(costs: Column, most: int, budget: int) -> Column:
-    """Group number of each element of an array of costs: a new group where the count or the sum would exceed its cap."""
+    """Group number of each element of an array of costs: a new group where the count or the sum would exceed its cap.
+
+    For sessions, not whole chats: the array is copied as it grows.
+    """
     start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"))
 
     def step(acc: Column, cost: Column) -> Column:
@@ -149,7 +153,7 @@ def segment_sessions(messages: DataFrame, keys: Sequence[str], order: Sequence[s
     """
     columns = [*keys, *order, text]
     source = messages.select(*columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text) + ", seq_in_session int, topic_label string"
+    schema = T.StructType([*(f for f in source.schema if f.name != text), T.StructField("seq_in_session", T.IntegerType()), T.StructField("topic_label", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -180,13 +184,17 @@ def segment_sessions(messages: DataFrame, keys: Sequence[str], order: Sequence[s
 
 
 def conversation_windows(messages: DataFrame, anchors: DataFrame, size: int, chat: str = "chat_id", at: str = "sent_at", tie: str = "message_id") -> DataFrame:
-    """Messages around each ``(chat, anchor_at)``: ``size`` before it and ``size + 1`` from it on, numbered from the anchor."""
+    """Messages around each ``(chat, anchor_at)``: ``size`` before it and ``size + 1`` from it on, numbered from the anchor.
+
+    The ranks are filtered as they are, so that each task keeps no more than it
+    needs of a chat before rows are dealt out.
+    """
     joined = messages.join(anchors.select(chat, "anchor_at"), chat)
     before = Window.partitionBy(chat, "anchor_at").orderBy(F.col(at).desc(), F.col(tie).desc())
     after = Window.partitionBy(chat, "anchor_at").orderBy(at, tie)
-    early = joined.where(F.col(at) < F.col("anchor_at")).withColumn("offset", -F.row_number().over(before)).where(F.col("offset") >= -size)
-    late = joined.where(F.col(at) >= F.col("anchor_at")).withColumn("offset", F.row_number().over(after) - 1).where(F.col("offset") <= size)
-    return early.unionByName(late)
+    early = joined.where(F.col(at) < F.col("anchor_at")).withColumn("_n", F.row_number().over(before)).where(F.col("_n") <= size)
+    late = joined.where(F.col(at) >= F.col("anchor_at")).withColumn("_n", F.row_number().over(after)).where(F.col("_n") <= size + 1)
+    return early.withColumn("offset", -F.col("_n")).unionByName(late.withColumn("offset", F.col("_n") - 1)).drop("_n")
 
 
 def first_message(members: DataFrame, segment: str = "segment_id", at: str = "sent_at", tie: str = "message_id", guid: str = "source_guid") -> DataFrame:

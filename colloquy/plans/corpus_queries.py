@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import ids, text, times, vectors
-from colloquy.operators import access, attachments, evaluation, incremental, lexical, queue, ranking, rendering
+from colloquy.operators import access, attachments, evaluation, incremental, lexical, queue, ranking, rendering, segments
 from colloquy.plans import upkeep
 from colloquy.plans.search import SearchTables, hybrid_search
-from colloquy.plans.views import register, sql, view
+from colloquy.plans.views import register, segment_index, sql, view
+from colloquy.session import shared_path
 
 # attachments and enrichment
 
@@ -147,13 +148,16 @@ def o126(spark, sf):
     return view(spark, sf, "attachment").select("attachment_id", F.array_join(paths, "\n").alias("paths"), digest.alias("paths_sha256"))
 
 
+WORDS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"
+
 # joins and staleness
 
 
-@register("o34_chunk_chain", sql("SELECT DISTINCT c.status, a.mime_type, l.chat_id FROM attachment a JOIN line l USING (attachment_id) JOIN chat c USING (chat_id) JOIN direct d USING (chat_id) WHERE a.state = 'missing' AND d.person_id % 2 = 0", "attachment", "line", "chat", "direct"))
+@register("o34_chunk_chain", sql("SELECT DISTINCT c.status, a.mime_type, l.chat_id FROM attachment a JOIN line l USING (attachment_id) JOIN chat c USING (chat_id) JOIN recipient d USING (chat_id) JOIN allowlist w USING (person_id) WHERE a.state = 'missing' AND w.text_allowed", "attachment", "line", "chat", "recipient", "allowlist"))
 def o34(spark, sf):
     a = view(spark, sf, "attachment").where("state = 'missing'")
-    chain = a.join(view(spark, sf, "line"), "attachment_id").join(view(spark, sf, "chat"), "chat_id").join(view(spark, sf, "direct").where("person_id % 2 = 0"), "chat_id")
+    allowed = view(spark, sf, "recipient").select("chat_id", "person_id").join(view(spark, sf, "allowlist").where("text_allowed"), "person_id", "left_semi")
+    chain = a.join(view(spark, sf, "line"), "attachment_id").join(view(spark, sf, "chat"), "chat_id").join(allowed, "chat_id")
     return chain.select("status", "mime_type", "chat_id").distinct()
 
 
@@ -164,17 +168,18 @@ def o35(spark, sf):
     return incremental.stale(s, done, "segment_id", "text_sha256", "done")
 
 
-@register("o41_reconcile", sql("SELECT coalesce(d.segment_id, c.segment_id) AS document_id, CASE WHEN d.segment_id IS NULL THEN 'delete' WHEN c.segment_id IS NULL OR c.h IS DISTINCT FROM d.h THEN 'upsert' ELSE 'unchanged' END AS action FROM (SELECT segment_id, sha256(text) AS h FROM segment WHERE segment_id % 3 <> 0) d FULL JOIN (SELECT segment_id, CASE WHEN segment_id % 7 = 0 THEN 'old' ELSE sha256(text) END AS h FROM segment WHERE segment_id % 5 <> 0) c USING (segment_id)", "segment"))
+@register("o41_reconcile", sql("SELECT coalesce(d.segment_id, c.segment_id) AS document_id, CASE WHEN d.segment_id IS NULL THEN 'delete' WHEN c.segment_id IS NULL OR c.h IS DISTINCT FROM d.h THEN 'upsert' ELSE 'unchanged' END AS action FROM (SELECT segment_id, sha256(text) AS h FROM segment WHERE lang <> 'fr') d FULL JOIN (SELECT segment_id, CASE WHEN lang = 'de' THEN 'old' ELSE sha256(text) END AS h FROM segment WHERE chat <> 'src3') c USING (segment_id)", "segment"))
 def o41(spark, sf):
-    s = view(spark, sf, "segment").select(F.col("segment_id").alias("document_id"), ids.sha256_text(F.col("text")).alias("content_sha256"))
-    old = s.withColumn("content_sha256", F.when(F.col("document_id") % 7 == 0, "old").otherwise(F.col("content_sha256")))
-    return access.reconcile(s.where("document_id % 3 <> 0"), old.where("document_id % 5 <> 0"))
+    s = view(spark, sf, "segment").select(F.col("segment_id").alias("document_id"), ids.sha256_text(F.col("text")).alias("content_sha256"), "lang", "chat")
+    old = s.withColumn("content_sha256", F.when(F.col("lang") == "de", "old").otherwise(F.col("content_sha256")))
+    return access.reconcile(s.where("lang <> 'fr'"), old.where("chat <> 'src3'"))
 
 
-@register("o137_hash_skip", sql("SELECT count(*) AS to_do FROM segment WHERE sha256(text) NOT IN (SELECT sha256(text) FROM segment WHERE segment_id % 2 = 0)", "segment"))
+@register("o137_hash_skip", sql("SELECT segment_id FROM segment WHERE sha256(text) IS DISTINCT FROM (CASE WHEN lang = 'de' THEN NULL WHEN lang = 'fr' THEN sha256(text || '.') ELSE sha256(text) END)", "segment"))
 def o137(spark, sf):
-    s = view(spark, sf, "segment").select("segment_id", ids.sha256_text(F.col("text")).alias("h"))
-    return s.join(s.where("segment_id % 2 = 0").select("h").distinct(), "h", "left_anti").agg(F.count("*").alias("to_do"))
+    s = view(spark, sf, "segment").select("segment_id", ids.sha256_text(F.col("text")).alias("text_sha256"), "lang", "text")
+    stored = s.where("lang <> 'de'").select("segment_id", F.when(F.col("lang") == "fr", F.sha2(F.concat("text", F.lit(".")), 256)).otherwise(F.col("text_sha256")).alias("stored_sha256"))
+    return incremental.stale(s, stored, "segment_id", "text_sha256", "stored_sha256").select("segment_id")
 
 
 @register("o45_attachment_gate", sql("SELECT chat_id AS segment_id, attachment_id, bool_and(coalesce(quantity > 5, false)) AS content_eligible FROM line WHERE flag <> 'A' GROUP BY 1, 2", "line"))
@@ -182,29 +187,31 @@ def o45(spark, sf):
     return access.attachment_gate(view(spark, sf, "line").select(F.col("chat_id").alias("segment_id"), "attachment_id", (F.col("quantity") > 5).alias("allowed"), (F.col("flag") == "A").alias("is_unsent")))
 
 
-@register("o83_new_people", sql("SELECT DISTINCT person_id FROM direct WHERE chat_id % 2 = 0 AND person_id NOT IN (SELECT person_id FROM direct WHERE chat_id % 2 = 1)", "direct"))
+@register("o83_new_people", sql("SELECT DISTINCT person_id FROM recipient WHERE priority = '1-URGENT' AND person_id NOT IN (SELECT person_id FROM recipient WHERE priority <> '1-URGENT')", "recipient"))
 def o83(spark, sf):
-    d = view(spark, sf, "direct")
-    return access.scope_reasons(d.where("chat_id % 2 = 0"), d.where("chat_id % 2 = 1"), "person_id")
+    d = view(spark, sf, "recipient")
+    return access.scope_reasons(d.where("priority = '1-URGENT'"), d.where("priority <> '1-URGENT'"), "person_id")
 
 
-@register("o139_rebuild_counts", sql("SELECT lang, count(*) AS n FROM segment GROUP BY 1", "segment"))
+@register("o139_rebuild", sql(f"SELECT (SELECT count(*) FROM segment) AS n_docs, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_terms, (SELECT max(message_id) FROM message) AS position FROM (SELECT segment_id, term, count(*) AS tf FROM (SELECT segment_id, unnest({WORDS}) AS term FROM segment) GROUP BY ALL)", "segment", "message"))
 def o139(spark, sf):
-    return view(spark, sf, "segment").groupBy("lang").agg(F.count("*").alias("n"))
+    events = view(spark, sf, "message").select(F.col("message_id").alias("event_id"))
+    made = lexical.write_index(view(spark, sf, "segment"), shared_path(spark, "rebuilt"), position=upkeep.outbox_position(events))
+    return spark.createDataFrame([(made.n_docs, made.n_postings, made.n_terms, made.position)], "n_docs long, n_postings long, n_terms long, position long")
 
 
-@register("o146_drift", sql("SELECT segment_id FROM segment WHERE sha256(text) <> sha256(CASE WHEN segment_id % 11 = 0 THEN text || '.' ELSE text END)", "segment"))
+@register("o146_drift", sql("SELECT segment_id FROM segment WHERE lang = 'es' OR chat = 'src5'", "segment"))
 def o146(spark, sf):
-    s = view(spark, sf, "segment")
-    pinned = s.select("segment_id", F.sha2(F.when(F.col("segment_id") % 11 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("pinned"))
-    return s.select("segment_id", F.sha2("text", 256).alias("h")).join(pinned, "segment_id").where("h <> pinned").select("segment_id")
+    s = view(spark, sf, "segment").select("segment_id", "lang", "chat", F.sha2("text", 256).alias("content_sha256"))
+    now = s.where("chat <> 'src5'").withColumn("content_sha256", F.when(F.col("lang") == "es", "changed").otherwise(F.col("content_sha256")))
+    return upkeep.drifted(s, now, key="segment_id")
 
 
-@register("o159_migrations", sql("SELECT coalesce(a.segment_id, d.segment_id) AS version, CASE WHEN a.segment_id IS NULL THEN 'pending' WHEN d.segment_id IS NULL THEN 'missing' WHEN d.segment_id % 4 = 0 THEN 'hash_mismatch' ELSE 'applied' END AS state FROM (SELECT segment_id FROM segment WHERE segment_id < 60) a FULL JOIN (SELECT segment_id FROM segment WHERE segment_id BETWEEN 10 AND 80) d USING (segment_id)", "segment"))
+@register("o159_migrations", sql("SELECT coalesce(a.segment_id, d.segment_id) AS version, CASE WHEN a.segment_id IS NULL THEN 'pending' WHEN d.segment_id IS NULL THEN 'missing' WHEN d.lang = 'de' THEN 'hash_mismatch' ELSE 'applied' END AS state FROM (SELECT segment_id FROM segment WHERE chat <> 'src1') a FULL JOIN (SELECT segment_id, lang FROM segment WHERE chat <> 'src2') d USING (segment_id)", "segment"))
 def o159(spark, sf):
-    s = view(spark, sf, "segment").select(F.col("segment_id").alias("version"), F.sha2("text", 256).alias("sha256"))
-    on_disk = s.where("version between 10 and 80").withColumn("sha256", F.when(F.col("version") % 4 == 0, "changed").otherwise(F.col("sha256")))
-    return incremental.migration_state(s.where("version < 60"), on_disk)
+    s = view(spark, sf, "segment").select(F.col("segment_id").alias("version"), F.sha2("text", 256).alias("sha256"), "lang", "chat")
+    on_disk = s.where("chat <> 'src2'").withColumn("sha256", F.when(F.col("lang") == "de", "changed").otherwise(F.col("sha256")))
+    return incremental.migration_state(s.where("chat <> 'src1'"), on_disk)
 
 
 # text
@@ -277,22 +284,45 @@ def o116(spark, sf):
     return lines.select("segment_id", F.array_join(rendering.sample_lines(F.concat(F.lit("Chat\n---\n"), body)), "|").alias("picks"))
 
 
-@register("o155_desired_documents", sql("""SELECT l.chat_id AS segment_id, count(*) AS chunks, count(DISTINCT l.attachment_id) AS attachments FROM line l JOIN attachment a USING (attachment_id) WHERE l.flag <> 'R' AND a.state = 'materialized' AND EXISTS (SELECT 1 FROM direct d JOIN allowlist w USING (person_id) WHERE d.chat_id = l.chat_id AND w.text_allowed AND w.attachments_allowed) GROUP BY 1""", "line", "attachment", "direct", "allowlist"))
+EXPORTED = DOCUMENT.replace("FROM line GROUP BY 1", "FROM line WHERE flag <> 'R' GROUP BY 1") + """,
+ours AS (SELECT c.chat_id AS segment_id, sha256('c' || c.chat_id || 'g' || c.chat_id || 'g' || c.chat_id || 'cfg') AS k FROM chat c WHERE c.chat_id IN (SELECT chat_id FROM direct JOIN allowlist USING (person_id) WHERE text_allowed) AND c.chat_id NOT IN (SELECT chat_id FROM direct LEFT JOIN allowlist USING (person_id) WHERE NOT coalesce(text_allowed, false))),
+gate AS (SELECT chat_id AS segment_id, attachment_id FROM line WHERE flag <> 'R' GROUP BY ALL HAVING bool_and(quantity > 5))"""
+
+
+def _export(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("chat_id").cast("string")
+    line = view(spark, sf, "line").withColumnRenamed("sent_at", "shipped_at").withColumn("segment_id", F.col("chat_id"))
+    told = line.where("flag <> 'R'")
+    lines = told.select("segment_id", F.col("ordinal").alias("sent_at"), F.col("attachment_id").alias("message_id"), F.concat_ws(" ", F.lit("line"), F.col("ordinal").cast("string"), F.col("attachment_id").cast("string")).alias("line"))
+    chats = view(spark, sf, "chat").select("chat_id")
+    segments = chats.select(F.col("chat_id").alias("segment_id"), "chat_id", ids.stable_key(F.concat(F.lit("c"), key), F.concat(F.lit("g"), key), F.concat(F.lit("g"), key), "cfg").alias("stable_key"))
+    heads = segments.select("segment_id", F.lit("Chat: owner\nTime: t").alias("head"))
+    direct = view(spark, sf, "direct")
+    eligible = access.eligible_chats(chats, direct, {"participant_not_allowed": access.not_allowed(direct, view(spark, sf, "allowlist"))})
+    gate = access.attachment_gate(line.select("segment_id", "attachment_id", (F.col("quantity") > 5).alias("allowed"), (F.col("flag") == "R").alias("is_unsent")))
+    files = view(spark, sf, "attachment").where("state = 'materialized'")
+    chunks = files.select("attachment_id", F.concat(F.lit("a"), F.col("attachment_id").cast("string")).alias("attachment_guid"), F.lit("pdf_text").alias("chunk_kind"), F.lit(0).alias("seq"), F.col("filename").alias("text"))
+    return upkeep.desired_documents(segments, lines, heads, eligible, chunks, gate)
+
+
+@register("o155_desired_documents", sql("""SELECT 'd' || substr(sha256('segment:' || k), 1, 62) AS document_id, segment_id, 'segment' AS kind, sha256(d) AS content_sha256 FROM ours JOIN doc USING (segment_id)
+  UNION ALL SELECT 'd' || substr(sha256('attachment_chunk:' || k || ':a' || attachment_id || ':pdf_text:0'), 1, 62), segment_id, 'chunk', sha256('Attachment content (pdf_text, part 1)' || chr(10) || 'Chat: owner' || chr(10) || 'Time: t' || chr(10) || '---' || chr(10) || filename || chr(10)) FROM ours JOIN doc USING (segment_id) JOIN gate USING (segment_id) JOIN attachment USING (attachment_id) WHERE state = 'materialized'""", "line", "attachment", "direct", "allowlist", "chat", ctes=EXPORTED))
 def o155(spark, sf):
-    allowed = view(spark, sf, "direct").join(view(spark, sf, "allowlist").where("text_allowed and attachments_allowed"), "person_id", "left_semi")
-    rows = view(spark, sf, "line").where("flag <> 'R'").join(view(spark, sf, "attachment").where("state = 'materialized'").select("attachment_id"), "attachment_id").join(allowed, "chat_id", "left_semi")
-    return rows.groupBy(F.col("chat_id").alias("segment_id")).agg(F.count("*").alias("chunks"), F.countDistinct("attachment_id").alias("attachments"))
+    return _export(spark, sf).select("document_id", "segment_id", "kind", "content_sha256")
 
 
-@register("o158_affected_segments", sql("SELECT DISTINCT chat_id AS segment_id FROM line WHERE attachment_id IN (SELECT attachment_id FROM attachment WHERE state = 'error')", "line", "attachment"))
+@register("o158_rerendered", sql("""SELECT segment_id, CASE WHEN segment_id IN (SELECT l.chat_id FROM line l JOIN attachment a USING (attachment_id) WHERE a.state = 'error') THEN sha256(d) ELSE 'old' END AS rendered_sha256 FROM doc""", "line", "attachment", ctes=DOCUMENT.replace("|| chr(10) AS d", "AS d")))
 def o158(spark, sf):
-    return view(spark, sf, "line").join(view(spark, sf, "attachment").where("state = 'error'"), "attachment_id", "left_semi").select(F.col("chat_id").alias("segment_id")).distinct()
+    lines = view(spark, sf, "line").select(F.col("chat_id").alias("segment_id"), F.col("ordinal").alias("sent_at"), F.col("attachment_id").alias("message_id"), F.concat_ws(" ", F.lit("line"), F.col("ordinal").cast("string"), F.col("attachment_id").cast("string")).alias("line"), "attachment_id")
+    stored = lines.select("segment_id").distinct().select("segment_id", F.lit("old").alias("rendered_text"), F.lit("old").alias("rendered_sha256"))
+    changed = view(spark, sf, "attachment").where("state = 'error'")
+    affected = segments.segments_of_attachments(changed, lines.select("attachment_id", "message_id"), lines.select("message_id", "segment_id"))
+    after, _ = segments.rerender(stored, affected, lines, stored.select("segment_id", F.lit("Chat: owner\nTime: t").alias("head")))
+    return after.select("segment_id", "rendered_sha256")
 
 
 # search
 
-WORDS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"
-
 
 def _bm25_ctes(phrase: str, digits: int | None = 6) -> str:
     terms = lexical.query_phrases(phrase)
@@ -313,10 +343,25 @@ def _bm25_sql(phrase: str, k: int) -> str:
 
 @register("o87_o88_bm25", _bm25_sql("with that from", 100))
 def o88(spark, sf):
+    hits = segment_index(spark, sf).search("with that from").withColumn("score", F.round("score", 6))
+    return ranking.ranked(hits, [F.col("score").desc(), F.col("segment_id")], 100).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("o88_bm25_without_index", _bm25_sql("with that from", 100))
+def o88c(spark, sf):
     hits = lexical.bm25(view(spark, sf, "segment"), "with that from").withColumn("score", F.round("score", 6))
     return ranking.ranked(hits, [F.col("score").desc(), F.col("segment_id")], 100).withColumn("rank", F.col("rank").cast("long"))
 
 
+@register("o86_routes", sql("""SELECT query_id, raw, CASE WHEN contains(raw, '🎉') THEN 'emoji' WHEN quoted AND length(trim(raw[2:-2])) >= 3 THEN 'trigram' ELSE 'bm25' END AS mode, CASE WHEN contains(raw, '🎉') OR NOT quoted OR trim(raw[2:-2]) = '' THEN raw ELSE trim(raw[2:-2]) END AS phrase FROM (SELECT *, starts_with(raw, '"') AND ends_with(raw, '"') AND length(raw) >= 2 AS quoted FROM asked)""", "bench", ctes="""
+asked AS (SELECT query_id, trim(regexp_replace(CASE WHEN length(query_text) < 200 THEN '"' || query_text || '"' WHEN length(query_text) < 300 THEN query_text || ' 🎉' WHEN length(query_text) < 400 THEN '"ab"' ELSE query_text END, '\\s+', ' ', 'g')) AS raw FROM bench)"""))
+def o86(spark, sf):
+    n, q = F.length("query_text"), F.col("query_text")
+    raw = text.collapse_space(F.when(n < 200, F.concat(F.lit('"'), q, F.lit('"'))).when(n < 300, F.concat(q, F.lit(" 🎉"))).when(n < 400, F.lit('"ab"')).otherwise(q))
+    mode, phrase = lexical.route_columns(F.col("raw"))
+    return view(spark, sf, "bench").select("query_id", raw.alias("raw")).select("query_id", "raw", mode.alias("mode"), phrase.alias("phrase"))
+
+
 @register("o89_tokenize", sql(f"SELECT segment_id, len(w) AS n, sha256(array_to_string(w, ' ')) AS terms_sha256 FROM (SELECT segment_id, {WORDS} AS w FROM segment)", "segment"))
 def o89(spark, sf):
     return view(spark, sf, "segment").select("segment_id", text.tokenize(F.col("text")).alias("w")).select("segment_id", F.size("w").cast("long").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("terms_sha256"))
@@ -324,7 +369,7 @@ def o89(spark, sf):
 
 @register("o88_postings", sql(f"SELECT term, count(DISTINCT segment_id) AS df, count(*) AS cf FROM (SELECT segment_id, unnest({WORDS}) AS term FROM segment) GROUP BY 1", "segment"))
 def o88b(spark, sf):
-    return lexical.postings(view(spark, sf, "segment")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return segment_index(spark, sf).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @register("o90_trigram_substring", sql("SELECT segment_id FROM segment WHERE contains(lower(text), 'ing th')", "segment"))
@@ -332,9 +377,11 @@ def o90(spark, sf):
     return lexical.substring_hits(view(spark, sf, "segment"), lexical.route('"ing th"').phrase).select("segment_id")
 
 
-@register("o91_emoji_substring", sql("SELECT segment_id FROM segment WHERE contains(text, '$$$')", "segment"))
+@register("o91_emoji_substring", sql("SELECT segment_id FROM segment WHERE contains(CASE WHEN lang = 'de' THEN text || ' 🎉' WHEN lang = 'fr' THEN text || ' 🎈' ELSE text END, '🎉')", "segment"))
 def o91(spark, sf):
-    return lexical.substring_hits(view(spark, sf, "segment"), "$$$", ignore_case=False).select("segment_id")
+    original = F.when(F.col("lang") == "de", F.concat("text", F.lit(" 🎉"))).when(F.col("lang") == "fr", F.concat("text", F.lit(" 🎈"))).otherwise(F.col("text"))
+    asked = lexical.route("🎉")
+    return lexical.substring_hits(view(spark, sf, "segment").withColumn("text_original", original), asked.phrase, "text_original", ignore_case=asked.mode != "emoji").select("segment_id")
 
 
 @register("o72_earliest_match", sql("SELECT chat_id AS segment_id, min(sent_at) AS matched_at FROM message WHERE contains(text, '7') GROUP BY 1 ORDER BY matched_at DESC, 1 LIMIT 20", "message"))
@@ -378,16 +425,22 @@ def o77(spark, sf):
     return ranking.collapse_top_k(hits, links, 5, item="chat").withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("o98_mean_pool", sql("""SELECT label, round(v, 6) AS first_component FROM (SELECT label, avg(vec[1]) / sqrt(sum_sq) AS v FROM vector JOIN (SELECT label, sum(a * a) AS sum_sq FROM (SELECT label, i, avg(vec[i]) AS a FROM vector, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1) USING (label) GROUP BY label, sum_sq)""", "vector"))
+@register("o98_mean_pool", sql("""SELECT label, i, round(a / sqrt(sum(a * a) OVER (PARTITION BY label)), 6) AS component FROM (SELECT label, i, avg(CAST(vec[i] AS DOUBLE)) AS a FROM vector, range(1, 65) r(i) GROUP BY 1, 2)""", "vector"))
 def o98(spark, sf):
-    pooled = view(spark, sf, "vector").groupBy("label").agg(vectors.mean_of(F.collect_list("vec")).alias("v"))
-    return pooled.select("label", F.round(F.element_at("v", 1), 6).alias("first_component"))
+    pooled = vectors.mean_vectors(view(spark, sf, "vector"), ["label"])
+    return pooled.select("label", F.posexplode("vec").alias("i", "x")).select("label", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("component"))
 
 
-@register("o97_fake_embedding")
+@register("o97_fake_embedding", sql("""SELECT query_id, i, round(x / sqrt(sum(x * x) OVER (PARTITION BY query_id)), 6) AS component FROM (SELECT query_id, i, CAST('0x' || substr(sha256(i || ':doc:' || query_text), 1, 13) AS BIGINT) / 2251799813685248.0 - 1 AS x FROM bench, range(0, 32) r(i))""", "bench"))
 def o97(spark, sf):
-    v = view(spark, sf, "bench").select("query_id", vectors.fake_embedding(F.concat(F.lit("doc:"), "query_text"), 32).alias("v"))
-    return v.select("query_id", F.round(vectors.norm(F.col("v")), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first_component"))
+    v = view(spark, sf, "bench").select("query_id", F.posexplode(vectors.fake_embedding(F.concat(F.lit("doc:"), "query_text"), 32)).alias("i", "x"))
+    return v.select("query_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("component"))
+
+
+@register("o09_vector_literals", sql("SELECT segment_id, i, round(CAST(vec[i] AS DOUBLE), 6) AS x FROM vector, range(1, 65) r(i)", "vector"))
+def o09(spark, sf):
+    back = vectors.from_literal(vectors.to_literal(F.col("vec")))
+    return view(spark, sf, "vector").select("segment_id", F.posexplode(back).alias("i", "x")).select("segment_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 RRF = "ch AS (SELECT 1 AS c, segment_id, row_number() OVER (ORDER BY n_chars DESC, segment_id) AS rank FROM segment UNION ALL SELECT 2, segment_id, row_number() OVER (ORDER BY sha256(text), segment_id) FROM segment), top AS (SELECT * FROM ch WHERE rank <= 100)"
@@ -438,17 +491,28 @@ judged AS (SELECT segment_id, score, pr, {JACCARD} AS jac FROM pooled JOIN segme
 SEARCH_SQL = sql("SELECT segment_id, row_number() OVER (ORDER BY jac DESC, pr) AS rank, round(score, 6) AS score, jac AS rerank_score FROM judged ORDER BY jac DESC, pr LIMIT 10", "segment", "vector", ctes=SEARCH).replace("FROM vector SEMI JOIN segment USING (segment_id), q QUALIFY", "FROM (SELECT * FROM vector SEMI JOIN segment USING (segment_id)), q QUALIFY")
 
 
+def _search(spark: SparkSession, sf: str, filters: access.Filters) -> DataFrame:
+    s = view(spark, sf, "segment").withColumnsRenamed({"chat": "chat_id"}).withColumn("started_at", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, cast(segment_id as int))"))
+    tables = SearchTables(segments=s, vectors=view(spark, sf, "vector"), text_index=segment_index(spark, sf))
+    return hybrid_search(tables, "with that from", _query_vector(spark, sf), filters=filters, limit=10)
+
+
 @register("o94_hybrid_search", SEARCH_SQL)
 def o94(spark, sf):
-    s = view(spark, sf, "segment").withColumnsRenamed({"chat": "chat_id"}).withColumn("started_at", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, cast(segment_id as int))"))
-    tables = SearchTables(segments=s, vectors=view(spark, sf, "vector"))
-    return hybrid_search(tables, "with that from", _query_vector(spark, sf), filters=access.Filters(after="2024-01-01"), limit=10)
+    return _search(spark, sf, access.Filters(after="2024-01-01"))
+
+
+FILTERED = "(SELECT segment_id FROM segment WHERE lang IN ('en', 'fr') AND chat <> 'src3')"
+
+
+@register("o94_hybrid_search_filtered", SEARCH_SQL.replace("row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored QUALIFY", f"row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored WHERE segment_id IN {FILTERED} QUALIFY").replace("(SELECT * FROM vector SEMI JOIN segment USING (segment_id))", f"(SELECT * FROM vector WHERE segment_id IN {FILTERED})"))
+def o94b(spark, sf):
+    return _search(spark, sf, access.Filters(extra=(F.col("lang").isin("en", "fr"), F.col("chat_id") != "src3")))
 
 
 @register("o75_authorised_top_k", sql("SELECT segment_id, row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored WHERE segment_id IN (SELECT segment_id FROM segment WHERE chat < 'src3') ORDER BY score DESC, segment_id LIMIT 40", "segment", ctes=_bm25_ctes("with that from", None)))
 def o75(spark, sf):
-    s = view(spark, sf, "segment")
-    hits = lexical.bm25(s, "with that from").join(s.where("chat < 'src3'").select("segment_id"), "segment_id", "left_semi")
+    hits = segment_index(spark, sf).search("with that from").join(view(spark, sf, "segment").where("chat < 'src3'").select("segment_id"), "segment_id", "left_semi")
     return ranking.ranked(hits, [F.col("score").desc(), F.col("segment_id")], 40).select("segment_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -515,9 +579,9 @@ def o54(spark, sf):
 
 
 @register("o42_run_diff", sql("""SELECT query_id, CASE WHEN a.query_id IS NOT NULL AND b.query_id IS NOT NULL THEN round(b.ndcg - a.ndcg, 6) END AS ndcg_delta, CASE WHEN a.query_id IS NOT NULL AND b.query_id IS NOT NULL THEN round(b.recall - a.recall, 6) END AS recall_delta, CASE WHEN a.query_id IS NOT NULL AND b.query_id IS NOT NULL THEN round(b.rr - a.rr, 6) END AS rr_delta,
-  CASE WHEN b.query_id IS NULL THEN 'a' WHEN a.query_id IS NULL THEN 'b' END AS only_in FROM (SELECT * FROM m WHERE query_id % 5 <> 0) a FULL JOIN (SELECT * FROM m2 WHERE query_id % 7 <> 0) b USING (query_id)""", "bench", "label", "segment", ctes=METRICS))
+  CASE WHEN b.query_id IS NULL THEN 'a' WHEN a.query_id IS NULL THEN 'b' END AS only_in FROM (SELECT * FROM m WHERE window_size > 0) a FULL JOIN (SELECT * FROM m2 WHERE success) b USING (query_id)""", "bench", "label", "segment", ctes=METRICS))
 def o42(spark, sf):
-    out = evaluation.diff_runs(_metrics(spark, sf).where("query_id % 5 <> 0"), _metrics(spark, sf, False).where("query_id % 7 <> 0"))
+    out = evaluation.diff_runs(_metrics(spark, sf).where("window_size > 0"), _metrics(spark, sf, False).where("success"))
     return out.withColumns({f"{c}_delta": F.round(f"{c}_delta", 6) for c in ("ndcg", "recall", "rr")})
 
 

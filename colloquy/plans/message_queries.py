@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import ids, text, times
-from colloquy.operators import access, identity, incremental, queue, sessions
+from colloquy.operators import access, identity, incremental, lexical, queue, rendering, segments, sessions
+from colloquy.plans import upkeep
 from colloquy.plans.views import register, sql, view
 from colloquy.sources import records
 
@@ -124,9 +125,10 @@ def o20(spark, sf):
     return access.visible_segments(chats, filters, access.AccessContext("public", "allowlist"), participants=view(spark, sf, "direct"), allowlist=view(spark, sf, "allowlist"), with_attachments=with_files)
 
 
-@register("o26_literal_like", sql("SELECT person_id FROM person WHERE contains(display_name, '#00000001')", "person"))
+@register("o26_literal_like", sql("SELECT person_id FROM person WHERE contains(replace(display_name, '#', '%_'), '%_0000000')", "person"))
 def o26(spark, sf):
-    return view(spark, sf, "person").where(F.col("display_name").contains("#00000001")).select("person_id")
+    named = view(spark, sf, "person").withColumn("name", F.replace("display_name", F.lit("#"), F.lit("%_")))
+    return named.where(F.col("name").like(lexical.like_pattern("%_0000000"))).select("person_id")
 
 
 @register("o27_ilike", sql("SELECT person_id, short_name FROM person WHERE display_name ILIKE '%R#0000001_%' OR short_name ILIKE '%R#0000001_%'", "person"))
@@ -155,7 +157,7 @@ def o33(spark, sf):
 
 @register("o36_unsegmented", sql("SELECT segment_id FROM segment WHERE NOT EXISTS (SELECT 1 FROM vector v WHERE v.segment_id = segment.segment_id)", "segment", "vector"))
 def o36(spark, sf):
-    return view(spark, sf, "segment").join(view(spark, sf, "vector"), "segment_id", "left_anti").select("segment_id")
+    return incremental.absent(view(spark, sf, "segment"), view(spark, sf, "vector"), "segment_id").select("segment_id")
 
 
 @register("o37_in_list", sql("SELECT message_id FROM message WHERE chat_id IN (SELECT person_id FROM person WHERE segment = 'MACHINERY')", "message", "person"))
@@ -179,10 +181,11 @@ def o40(spark, sf):
     return access.not_allowed(_participants(spark, sf), view(spark, sf, "allowlist")).select("chat_id").distinct()
 
 
-@register("o43_unique_match", sql("SELECT segment AS key, min(person_id) AS person_id FROM person WHERE person_id < 8 GROUP BY segment HAVING count(DISTINCT person_id) = 1", "person"))
+@register("o43_unique_match", sql("SELECT translate(short_name, '1', '2') AS key, min(display_name) AS contact FROM person GROUP BY 1 HAVING count(DISTINCT display_name) = 1 AND key IN (SELECT short_name FROM person)", "person"))
 def o43(spark, sf):
-    few = view(spark, sf, "person").where("person_id < 8").withColumnRenamed("segment", "key")
-    return identity.unique_match(few, few, "key", "person_id")
+    p = view(spark, sf, "person")
+    contacts = p.select(F.translate("short_name", "1", "2").alias("key"), F.col("display_name").alias("contact"))
+    return identity.unique_match(p.select(F.col("short_name").alias("key")), contacts, "key", "contact")
 
 
 @register("o44_list_people", sql("SELECT p.person_id, short_name, display_name, count(m.message_id) AS message_count, min(m.sent_at) AS first_at, max(m.sent_at) AS last_at FROM person p LEFT JOIN message m ON m.sender_person_id = p.person_id WHERE display_name ILIKE '%customer#%' OR short_name ILIKE '%customer#%' GROUP BY ALL ORDER BY message_count DESC, short_name LIMIT 500", "person", "message"))
@@ -195,11 +198,11 @@ EVIDENCE = """denied AS (SELECT DISTINCT p.chat_id, 'participant_not_allowed' AS
 
 
 @register("o46_chat_eligibility", sql("""SELECT c.chat_id, coalesce(n, 0) AS participant_count, array_to_string(list_sort(list_concat(coalesce(r, []), CASE WHEN coalesce(n, 0) = 0 THEN ['no_participants'] ELSE [] END)), ',') AS reasons,
-  coalesce(len(r), 0) = 0 AND coalesce(n, 0) > 0 AS eligible FROM chat c LEFT JOIN (SELECT chat_id, count(DISTINCT person_id) AS n FROM direct WHERE chat_id % 10 <> 0 GROUP BY 1) USING (chat_id) LEFT JOIN (SELECT chat_id, list(reason) AS r FROM denied GROUP BY 1) USING (chat_id)""", "chat", "direct", "line", "allowlist", ctes=EVIDENCE))
+  coalesce(len(r), 0) = 0 AND coalesce(n, 0) > 0 AS eligible FROM chat c LEFT JOIN (SELECT chat_id, count(DISTINCT person_id) AS n FROM recipient WHERE priority <> '5-LOW' GROUP BY 1) USING (chat_id) LEFT JOIN (SELECT chat_id, list(reason) AS r FROM denied GROUP BY 1) USING (chat_id)""", "chat", "direct", "recipient", "line", "allowlist", ctes=EVIDENCE))
 def o46(spark, sf):
     direct, chats = view(spark, sf, "direct"), view(spark, sf, "chat")
     evidence = {"participant_not_allowed": access.not_allowed(direct, view(spark, sf, "allowlist")), "returned": view(spark, sf, "line").where("flag = 'R'"), "pending": chats.where("status = 'P'")}
-    out = access.eligible_chats(chats, direct.where("chat_id % 10 <> 0"), evidence)
+    out = access.eligible_chats(chats, view(spark, sf, "recipient").where("priority <> '5-LOW'"), evidence)
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -219,17 +222,22 @@ def o56(spark, sf):
     return identity.invariants(view(spark, sf, "message"), view(spark, sf, "person"), view(spark, sf, "line").withColumnRenamed("supplier_id", "person_id"), view(spark, sf, "direct"))
 
 
-@register("o57_last_ok_run", sql("SELECT chat_id, max(sent_at) AS last_ok, arg_max(message_id, message_id) AS run_id FROM message WHERE NOT is_unsent GROUP BY 1", "message"))
+@register("o57_last_ok_run", sql("SELECT chat_id, max(sent_at) AS last_ok, max(message_id) AS run_id FROM message WHERE NOT is_unsent GROUP BY 1", "message"))
 def o57(spark, sf):
-    return view(spark, sf, "message").where("not is_unsent").groupBy("chat_id").agg(F.max("sent_at").alias("last_ok"), F.max_by("message_id", "message_id").alias("run_id"))
+    runs = view(spark, sf, "message").select("chat_id", F.col("message_id").alias("run_id"), F.col("sent_at").alias("finished_at"), (~F.col("is_unsent")).alias("ok"))
+    return incremental.last_ok_runs(runs, "chat_id")
 
 
-@register("o59_foreign_audit", sql("SELECT count(*) AS accepted_foreign FROM message WHERE NOT is_unsent AND chat_id <> 3 AND sender_person_id = 3", "message"))
+@register("o59_foreign_audit", sql("SELECT count(*) AS accepted_foreign FROM message WHERE kind <> 'view' AND NOT is_unsent AND sender_person_id <> 3", "message"))
 def o59(spark, sf):
-    return view(spark, sf, "message").where("not is_unsent and chat_id <> 3 and sender_person_id = 3").agg(F.count("*").alias("accepted_foreign"))
+    audit = view(spark, sf, "message").select(F.col("sender_person_id").cast("string").alias("subject"), (~F.col("is_unsent")).alias("subject_ok"), F.when(F.col("kind") == "view", "local").otherwise("public").alias("surface"))
+    return access.accepted_foreign(audit, "3")
+
+
+TOPICS = SESSIONS + """, t AS (SELECT chat_id, CAST(session_no AS BIGINT) AS session_no, message_id, row_number() OVER (PARTITION BY chat_id, session_no ORDER BY sent_at, message_id) - 1 AS i, count(*) OVER (PARTITION BY chat_id, session_no) AS n FROM s)"""
 
 
-@register("o65_segment_sessions")
+@register("o65_segment_sessions", sql("""SELECT chat_id, session_no, message_id, CASE WHEN n <= 6 THEN 0 ELSE least(i // 5, (n - CASE WHEN n % 5 = 1 THEN 2 ELSE 1 END) // 5) END AS seq_in_session, CAST(NULL AS VARCHAR) AS topic_label FROM t""", "message", ctes=TOPICS))
 def o65(spark, sf):
     done = sessions.segment_sessions(_sessions(spark, sf), ["chat_id", "session_no"], ["sent_at", "message_id"])
     return done.select("chat_id", "session_no", "message_id", F.col("seq_in_session").cast("long").alias("seq_in_session"), "topic_label")
@@ -293,10 +301,10 @@ def o81(spark, sf):
 
 
 @register("o82_set_difference", sql("""SELECT guid, side, guid IN (SELECT 'g' || message_id FROM message WHERE kind = 'signup') AS accepted FROM (
-  SELECT source_guid AS guid, 'only_a' AS side FROM message WHERE chat_id % 3 <> 0 AND NOT chat_id % 5 <> 0 UNION ALL SELECT source_guid, 'only_b' FROM message WHERE chat_id % 5 <> 0 AND NOT chat_id % 3 <> 0)""", "message"))
+  SELECT source_guid AS guid, 'only_a' AS side FROM message WHERE kind <> 'click' AND NOT value >= 20 UNION ALL SELECT source_guid, 'only_b' FROM message WHERE value >= 20 AND NOT kind <> 'click')""", "message"))
 def o82(spark, sf):
     m = view(spark, sf, "message").withColumnRenamed("source_guid", "guid")
-    return incremental.set_difference(m.where("chat_id % 3 <> 0"), m.where("chat_id % 5 <> 0"), m.where("kind = 'signup'"))
+    return incremental.set_difference(m.where("kind <> 'click'"), m.where("value >= 20"), m.where("kind = 'signup'"))
 
 
 @register("o85_similar_people")
@@ -313,31 +321,46 @@ def o92(spark, sf):
     return sessions.recompute_start(_summaries(spark, sf), changes, 3.0)
 
 
-@register("o133_watermark", sql("SELECT kind AS source, max(message_id) AS rowid FROM message GROUP BY 1", "message"))
+@register("o133_watermark", sql("SELECT kind AS source, greatest(max(message_id), 3 * count(*)) AS rowid FROM message GROUP BY 1 UNION ALL SELECT status, count(*) FROM chat GROUP BY 1", "message", "chat"))
 def o133(spark, sf):
-    return view(spark, sf, "message").groupBy(F.col("kind").alias("source")).agg(F.max("message_id").alias("rowid"))
+    m = view(spark, sf, "message").withColumnRenamed("kind", "source")
+    state = m.groupBy("source").agg((3 * F.count("*")).alias("rowid")).unionByName(view(spark, sf, "chat").groupBy(F.col("status").alias("source")).agg(F.count("*").alias("rowid")))
+    return incremental.advance_watermarks(state, m.withColumnRenamed("message_id", "rowid"))
 
 
-@register("o136_config_stale", sql("SELECT DISTINCT chat FROM segment WHERE lang <> 'en'", "segment"))
+CONFIG = {"session_gap_hours": "3.0", "topical_min_messages": "6", "max_messages": "50"}
+CONFIG_SQL = "sha256('seg_config_hash/v1 session_gap_hours=3.0 topical_min_messages=' || {} || ' max_messages=50')"
+
+
+@register("o136_config_stale", sql(f"SELECT DISTINCT chat FROM segment WHERE CASE WHEN lang = 'fr' THEN NULL ELSE {CONFIG_SQL.format("CASE WHEN lang = 'de' THEN '7' ELSE '6' END")} END IS DISTINCT FROM {CONFIG_SQL.format("'6'")}", "segment"))
 def o136(spark, sf):
-    return view(spark, sf, "segment").where("lang <> 'en'").select("chat").distinct()
+    made = ids.config_hash(CONFIG | {"topical_min_messages": F.when(F.col("lang") == "de", "7").otherwise("6")})
+    current = spark.range(1).select(ids.config_hash(CONFIG)).first()[0]
+    return incremental.config_stale(view(spark, sf, "segment").withColumn("seg_config_hash", F.when(F.col("lang") != "fr", made)), current, group="chat")
+
+
+@register("o119_config_hashes", "SELECT n_nationkey, sha256('seg_config_hash/v1 session_gap_hours=3.0 topical_min_messages=6 max_messages=' || n_nationkey) AS h FROM nation")
+def o119(spark, sf):
+    from colloquy.session import read_table
+
+    return read_table(spark, sf, "nation").select("n_nationkey", ids.config_hash(CONFIG | {"max_messages": F.col("n_nationkey")}).alias("h"))
 
 
 @register("o138_outbox", sql("""SELECT e.chat_id AS entity_id, e.event_id, CASE WHEN e.operation = 'delete' THEN 'deleted' WHEN p.person_id IS NULL THEN 'skipped' ELSE 'applied' END AS outcome FROM
-  (SELECT chat_id, max(message_id) AS event_id, arg_max(CASE WHEN is_unsent THEN 'delete' ELSE 'upsert' END, message_id) AS operation FROM message WHERE message_id > 100 GROUP BY 1) e LEFT JOIN (SELECT person_id FROM person WHERE person_id % 4 <> 0) p ON p.person_id = e.chat_id""", "message", "person"))
+  (SELECT chat_id, max(message_id) AS event_id, arg_max(CASE WHEN is_unsent THEN 'delete' ELSE 'upsert' END, message_id) AS operation FROM message WHERE message_id > 100 GROUP BY 1) e LEFT JOIN (SELECT person_id FROM person WHERE segment <> 'BUILDING') p ON p.person_id = e.chat_id""", "message", "person"))
 def o138(spark, sf):
     events = view(spark, sf, "message").select(F.col("message_id").alias("event_id"), F.col("chat_id").alias("entity_id"), F.when(F.col("is_unsent"), "delete").otherwise("upsert").alias("operation"))
-    content = view(spark, sf, "person").where("person_id % 4 <> 0").select(F.col("person_id").alias("entity_id"), F.col("display_name").alias("text"))
+    content = view(spark, sf, "person").where("segment <> 'BUILDING'").select(F.col("person_id").alias("entity_id"), F.col("display_name").alias("text"))
     return incremental.apply_outbox(content.limit(0), events, content, 100)[1]
 
 
-@register("o138_index_after_outbox", sql("""SELECT entity_id, text FROM (SELECT person_id AS entity_id, 'old' AS text FROM person WHERE person_id < 60) WHERE entity_id NOT IN (SELECT chat_id FROM message WHERE message_id > 100)
-  UNION ALL SELECT p.person_id, p.display_name FROM (SELECT chat_id, arg_max(is_unsent, message_id) AS gone FROM message WHERE message_id > 100 GROUP BY 1) e JOIN person p ON p.person_id = e.chat_id WHERE p.person_id % 4 <> 0 AND NOT gone""", "message", "person"))
+@register("o138_index_after_outbox", sql("""SELECT entity_id, text FROM (SELECT person_id AS entity_id, 'old' AS text FROM person) WHERE entity_id NOT IN (SELECT chat_id FROM message WHERE message_id > 100)
+  UNION ALL SELECT p.person_id, p.display_name FROM (SELECT chat_id, arg_max(is_unsent, message_id) AS gone FROM message WHERE message_id > 100 GROUP BY 1) e JOIN person p ON p.person_id = e.chat_id WHERE p.segment <> 'BUILDING' AND NOT gone""", "message", "person"))
 def o138b(spark, sf):
     events = view(spark, sf, "message").select(F.col("message_id").alias("event_id"), F.col("chat_id").alias("entity_id"), F.when(F.col("is_unsent"), "delete").otherwise("upsert").alias("operation"))
     people = view(spark, sf, "person")
-    content = people.where("person_id % 4 <> 0").select(F.col("person_id").alias("entity_id"), F.col("display_name").alias("text"))
-    return incremental.apply_outbox(people.where("person_id < 60").select(F.col("person_id").alias("entity_id"), F.lit("old").alias("text")), events, content, 100)[0]
+    content = people.where("segment <> 'BUILDING'").select(F.col("person_id").alias("entity_id"), F.col("display_name").alias("text"))
+    return incremental.apply_outbox(people.select(F.col("person_id").alias("entity_id"), F.lit("old").alias("text")), events, content, 100)[0]
 
 
 @register("o140_reaction_backfill", sql("SELECT r.message_id AS tapback_id, t.message_id AS target_message_id FROM message r LEFT JOIN message t ON t.source_guid = 'g' || (r.message_id * 2) WHERE r.kind = 'click'", "message"))
@@ -349,34 +372,38 @@ def o140(spark, sf):
 
 @register("o141_upsert", sql("""SELECT coalesce(o.person_id, n.person_id) AS person_id, coalesce(n.display_name, o.display_name) AS display_name, coalesce(o.segment, n.segment) AS segment,
   CASE WHEN o.person_id IS NULL OR n.display_name IS DISTINCT FROM o.display_name AND n.person_id IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at
-  FROM (SELECT * FROM person WHERE person_id % 3 <> 0) o FULL JOIN (SELECT person_id, CASE WHEN person_id % 2 = 0 THEN display_name ELSE upper(display_name) END AS display_name, 'x' AS segment FROM person WHERE person_id % 5 <> 0) n USING (person_id)""", "person"))
+  FROM (SELECT * FROM person WHERE segment <> 'BUILDING') o FULL JOIN (SELECT person_id, CASE WHEN segment = 'FURNITURE' THEN upper(display_name) ELSE display_name END AS display_name, 'x' AS segment FROM person WHERE segment <> 'MACHINERY') n USING (person_id)""", "person"))
 def o141(spark, sf):
     p = view(spark, sf, "person")
-    old = p.where("person_id % 3 <> 0").select("person_id", "display_name", "segment", F.lit("2024-01-01").cast("timestamp_ntz").alias("updated_at"))
-    new = p.where("person_id % 5 <> 0").select("person_id", F.expr("CASE WHEN person_id % 2 = 0 THEN display_name ELSE upper(display_name) END AS display_name"), F.lit("x").alias("segment"))
+    old = p.where("segment <> 'BUILDING'").select("person_id", "display_name", "segment", F.lit("2024-01-01").cast("timestamp_ntz").alias("updated_at"))
+    new = p.where("segment <> 'MACHINERY'").select("person_id", F.expr("CASE WHEN segment = 'FURNITURE' THEN upper(display_name) ELSE display_name END AS display_name"), F.lit("x").alias("segment"))
     return incremental.upsert(old, new, ["person_id"], ["display_name"], now=F.lit("2024-02-01").cast("timestamp_ntz"))
 
 
-@register("o144_rate_limit")
+@register("o144_rate_limit", sql("SELECT message_id AS event_id, ok AS allowed FROM folded", "message", ctes="""e AS (SELECT message_id, chat_id, epoch_us(sent_at) AS t, row_number() OVER (PARTITION BY chat_id ORDER BY sent_at, message_id) AS rn FROM message),
+folded AS (SELECT message_id, chat_id, rn, true AS ok, t AS last, CAST(NULL AS BIGINT) AS before FROM e WHERE rn = 1
+  UNION ALL SELECT e.message_id, e.chat_id, e.rn, coalesce(f.before <= e.t - 21600000000, true), CASE WHEN coalesce(f.before <= e.t - 21600000000, true) THEN e.t ELSE f.last END, CASE WHEN coalesce(f.before <= e.t - 21600000000, true) THEN f.last ELSE f.before END
+  FROM folded f JOIN e ON e.chat_id = f.chat_id AND e.rn = f.rn + 1)"""))
 def o144(spark, sf):
     events = view(spark, sf, "message").select(F.col("chat_id").alias("user_id"), F.col("sent_at").alias("ts"), F.col("message_id").alias("event_id"))
     return queue.rate_limited(events, 2, 6 * 3600.0).select("event_id", "allowed")
 
 
 @register("o149_resolve_handles", sql("""SELECT source_handle_id, 'email' AS kind, lower(raw) AS normalized_value, CASE WHEN n = 1 THEN c END AS contact FROM (SELECT person_id AS source_handle_id, short_name || '@Example.com' AS raw FROM person) h
-  LEFT JOIN (SELECT value, count(DISTINCT display_name) AS n, min(display_name) AS c FROM (SELECT replace(short_name, '1', '2') || '@example.com' AS value, display_name FROM person WHERE person_id < 300) GROUP BY 1) k ON k.value = lower(raw)""", "person"))
+  LEFT JOIN (SELECT value, count(DISTINCT display_name) AS n, min(display_name) AS c FROM (SELECT replace(short_name, '1', '2') || '@example.com' AS value, display_name FROM person) GROUP BY 1) k ON k.value = lower(raw)""", "person"))
 def o149(spark, sf):
     p = view(spark, sf, "person")
     handles = p.select(F.col("person_id").alias("source_handle_id"), F.concat("short_name", F.lit("@Example.com")).alias("raw_value"))
-    contacts = p.where("person_id < 300").select(F.concat(F.translate("short_name", "1", "2"), F.lit("@example.com")).alias("normalized_value"), F.col("display_name").alias("contact"))
+    contacts = p.select(F.concat(F.translate("short_name", "1", "2"), F.lit("@example.com")).alias("normalized_value"), F.col("display_name").alias("contact"))
     return identity.resolve_handles(handles, contacts)
 
 
-@register("o150_merge_people", sql("SELECT DISTINCT chat_id, CASE WHEN person_id % 10 = 3 THEN person_id - 1 ELSE person_id END AS person_id FROM direct", "direct"))
+@register("o150_merge_people", sql("SELECT DISTINCT chat_id, CASE WHEN p.segment = 'FURNITURE' AND d.person_id % 10 <> 0 THEN d.person_id // 10 * 10 ELSE d.person_id END AS person_id FROM direct d JOIN person p USING (person_id)", "direct", "person"))
 def o150(spark, sf):
-    d = view(spark, sf, "direct")
-    merges = view(spark, sf, "person").where("person_id % 10 = 3").select(F.col("person_id").alias("from_id"), (F.col("person_id") - 1).alias("into_id"))
-    return identity.merge_people(d, merges, unique_with="chat_id")
+    into = F.expr("person_id div 10 * 10")
+    merges = view(spark, sf, "person").where("segment = 'FURNITURE'").select(F.col("person_id").alias("from_id"), into.alias("into_id")).where("from_id <> into_id")
+    known = view(spark, sf, "direct").join(view(spark, sf, "person").select("person_id"), "person_id", "left_semi").select("chat_id", "person_id")
+    return identity.merge_people(known, merges, unique_with="chat_id")
 
 
 @register("o152_unclassified", sql("""SELECT r.chat_id, r.last_at FROM (SELECT chat_id, max(sent_at) AS last_at FROM line WHERE sent_at >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY GROUP BY 1) r
@@ -414,13 +441,13 @@ def o128(spark, sf):
 
 @register("o129_freshness", sql("SELECT kind AS source, max(sent_at) AS last_ok, CAST((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(sent_at))) // 1000000 AS BIGINT) AS age_seconds, epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(sent_at)) < 2 * 900 * 1000000 AS fresh FROM message GROUP BY 1", "message"))
 def o129(spark, sf):
-    age = F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.col("last_ok").cast("timestamp"))
-    return view(spark, sf, "message").groupBy(F.col("kind").alias("source")).agg(F.max("sent_at").alias("last_ok")).select("source", "last_ok", F.floor(age / 1_000_000).alias("age_seconds"), (age < 2 * 900 * 1_000_000).alias("fresh"))
+    runs = view(spark, sf, "message").select(F.col("kind").alias("source"), F.col("message_id").alias("run_id"), F.col("sent_at").alias("finished_at"), F.lit(True).alias("ok"))
+    return incremental.freshness(incremental.last_ok_runs(runs).drop("run_id"), F.lit("2024-01-31").cast("timestamp"), 900)
 
 
-@register("o130_recent", sql("SELECT chat_id, count(*) AS n FROM line WHERE sent_at >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY GROUP BY 1", "line"))
+@register("o130_recent", sql("SELECT chat_id, count(*) AS n, max(sent_at) AS last_at FROM line WHERE sent_at >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY GROUP BY 1", "line"))
 def o130(spark, sf):
-    return view(spark, sf, "line").where("sent_at >= TIMESTAMP_NTZ '2001-08-01' - INTERVAL 90 DAYS").groupBy("chat_id").agg(F.count("*").alias("n"))
+    return incremental.active_chats(view(spark, sf, "line"), F.lit("2001-08-01").cast("timestamp"))
 
 
 @register("o131_slots", "SELECT n_nationkey, CAST(m AS BIGINT) AS minute_of_day FROM (SELECT n_nationkey, unnest(range((n_nationkey % 5) * 60, (n_nationkey % 5) * 60 + 121, 30)) AS m FROM nation)")
@@ -433,37 +460,57 @@ def o131(spark, sf):
 
 
 def flagship(spark, sf):
-    """Sessions of all chats, and of each the messages, time span and attachments."""
-    s = _sessions(spark, sf)
+    """Sessions of all chats, however large a chat is, and of each the messages, time span and attachments."""
+    s = sessions.sessionize_split(view(spark, sf, "message"), 3.0)
     return s.groupBy("chat_id", "session_no").agg(F.count("*").alias("messages"), F.min("sent_at").alias("started_at"), F.max("sent_at").alias("ended_at"), F.count_if("has_attachments").alias("attachments"), F.count_if("is_unsent").alias("unsent"))
 
 
-@register("o99_segment_summary", sql("SELECT chat_id, CAST(session_no AS BIGINT) AS session_no, bool_or(has_attachments) AS has_attachments, string_agg(DISTINCT CAST(coalesce(sender_person_id, 0) AS VARCHAR), ',' ORDER BY CAST(coalesce(sender_person_id, 0) AS VARCHAR)) AS people FROM s GROUP BY 1, 2", "message", ctes=SESSIONS))
+@register("o99_segment_summary", sql("SELECT s.chat_id, CAST(s.session_no AS BIGINT) AS session_no, bool_or(has_attachments) AS has_attachments, coalesce(string_agg(DISTINCT short_name, ',' ORDER BY short_name), '') AS people FROM s LEFT JOIN person p ON p.person_id = s.sender_person_id GROUP BY 1, 2", "message", "person", ctes=SESSIONS))
 def o99(spark, sf):
-    return _sessions(spark, sf).groupBy("chat_id", "session_no").agg(F.some("has_attachments").alias("has_attachments"), F.array_join(F.array_sort(F.collect_set(F.coalesce("sender_person_id", F.lit(0)).cast("string"))), ",").alias("people"))
+    s = _sessions(spark, sf).withColumn("segment_id", F.struct("chat_id", "session_no")).withColumnRenamed("sender_person_id", "person_id")
+    out = segments.segment_summaries(s.select("segment_id").distinct(), s, view(spark, sf, "person"))
+    return out.select("segment_id.chat_id", "segment_id.session_no", "has_attachments", F.array_join("people", ",").alias("people"))
 
 
-@register("o100_thread_resolution", sql("SELECT chat_id, coalesce(max(CASE WHEN started_at <= TIMESTAMP '2024-01-10' THEN started_at END), max(started_at)) AS anchor FROM ss GROUP BY 1", "message", ctes=SESSIONS))
-def o100(spark, sf):
-    at = F.lit("2024-01-10").cast("timestamp_ntz")
-    return _summaries(spark, sf).groupBy("chat_id").agg(F.coalesce(F.max(F.when(F.col("started_at") <= at, F.col("started_at"))), F.max("started_at")).alias("anchor"))
+STABLE = "sha256('c' || chat_id || 'g' || first_message || 'g' || last_message || 'cfg')"
+ANCHORS = SESSIONS + f""", seg AS (SELECT chat_id, {STABLE} AS stable_key, session_no, started_at FROM ss), latest AS (SELECT chat_id, max(started_at) AS latest_at FROM seg GROUP BY 1)"""
 
 
-@register("o110_render_segments", sql("""SELECT chat_id, CAST(session_no AS BIGINT) AS session_no, sha256(string_agg(line, chr(10) ORDER BY sent_at, message_id)) AS rendered_sha256 FROM (
-  SELECT chat_id, session_no, sent_at, message_id, '[' || strftime(sent_at, '%H:%M') || '] ' || CASE WHEN is_from_me THEN 'owner' ELSE 'p' || sender_person_id END || ': ' || text || CASE WHEN kind = 'click' THEN ' ♥' ELSE '' END AS line FROM s) GROUP BY 1, 2""", "message", ctes=SESSIONS))
+@register("o100_thread_resolution", sql("""SELECT 'a' || chat_id || '-' || session_no AS request_id, chat_id, sha256('thread:c' || chat_id) AS thread_key, started_at AS anchor_at, CAST(NULL AS VARCHAR) AS error FROM seg
+  UNION ALL SELECT 'b' || chat_id, chat_id, sha256('thread:c' || chat_id), latest_at, NULL FROM latest
+  UNION ALL SELECT 'm' || message_id, CASE WHEN kind <> 'error' THEN chat_id END, CASE WHEN kind <> 'error' THEN sha256('thread:c' || chat_id) END, CASE kind WHEN 'click' THEN sent_at WHEN 'view' THEN date_trunc('second', sent_at) END, CASE kind WHEN 'error' THEN 'not_found' WHEN 'click' THEN NULL WHEN 'view' THEN NULL ELSE 'bad_anchor' END FROM message""", "message", ctes=ANCHORS))
+def o100(spark, sf):
+    m = view(spark, sf, "message")
+    guid = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    told = _summaries(spark, sf).withColumn("stable_key", ids.stable_key(guid("c", "chat_id"), guid("g", "first_message"), guid("g", "last_message"), "cfg"))
+    chats = m.select("chat_id").distinct().withColumn("thread_key", ids.derived_key("thread", guid("c", "chat_id")))
+    keyed = m.withColumn("message_key", ids.derived_key("message", F.col("source_guid"))).join(chats, "chat_id")
+    anchor = F.when(F.col("kind") == "view", F.date_format("sent_at", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("kind") == "click", F.col("message_key")).otherwise(F.lit("no such key"))
+    asked = told.select(F.concat_ws("-", guid("a", "chat_id"), F.col("session_no").cast("string")).alias("request_id"), F.col("stable_key").alias("thread_id"), F.lit(None).cast("string").alias("anchor"))
+    asked = asked.unionByName(chats.select(guid("b", "chat_id").alias("request_id"), F.col("thread_key").alias("thread_id"), F.lit(None).cast("string").alias("anchor")))
+    asked = asked.unionByName(keyed.select(guid("m", "message_id").alias("request_id"), F.when(F.col("kind") == "error", guid("none", "message_id")).otherwise(F.col("thread_key")).alias("thread_id"), anchor.alias("anchor")))
+    return segments.resolve_anchors(asked, told, chats, keyed)
+
+
+@register("o110_render_segments", sql("""SELECT chat_id || '-' || session_no AS segment_id, sha256('Chat: p' || chat_id || chr(10) || 'Time: ' || strftime(min(sent_at), '%Y-%m-%d %H:%M') || ' – ' || CASE WHEN CAST(min(sent_at) AS DATE) = CAST(max(sent_at) AS DATE) THEN strftime(max(sent_at), '%H:%M') ELSE strftime(max(sent_at), '%Y-%m-%d %H:%M') END || ' UTC' || chr(10) || '---' || chr(10) || string_agg(line, chr(10) ORDER BY sent_at, message_id)) AS rendered_sha256 FROM (
+  SELECT chat_id, CAST(session_no AS BIGINT) AS session_no, sent_at, message_id, '[' || strftime(sent_at, '%H:%M') || '] ' || CASE WHEN is_from_me THEN 'owner' ELSE 'p' || sender_person_id END || ': ' || text || CASE WHEN kind = 'click' THEN ' ♥' ELSE '' END AS line FROM s) GROUP BY chat_id, session_no""", "message", ctes=SESSIONS))
 def o110(spark, sf):
-    from colloquy.operators import rendering
-
     none = F.array().cast("array<string>")
-    s = _sessions(spark, sf).withColumn("line", rendering.message_line(F.col("sent_at"), F.when(F.col("is_from_me"), "owner").otherwise(F.concat(F.lit("p"), F.col("sender_person_id").cast("string"))), F.col("text"), none, None, F.when(F.col("kind") == "click", F.array(text.reaction_symbol(F.lit("loved")))).otherwise(none)))
-    order = F.array_sort(F.collect_list(F.struct("sent_at", "message_id", "line")))
-    return s.groupBy("chat_id", "session_no").agg(F.sha2(F.array_join(F.transform(order, lambda x: x["line"]), "\n"), 256).alias("rendered_sha256"))
+    s = _sessions(spark, sf).withColumn("segment_id", F.concat_ws("-", F.col("chat_id").cast("string"), F.col("session_no").cast("string")))
+    sender = F.when(F.col("is_from_me"), "owner").otherwise(F.concat(F.lit("p"), F.col("sender_person_id").cast("string")))
+    reactions = F.when(F.col("kind") == "click", F.array(text.reaction_symbol(F.lit("loved")))).otherwise(none)
+    lines = s.withColumn("line", rendering.message_line(F.col("sent_at"), sender, F.col("text"), none, None, reactions))
+    spans = s.groupBy("segment_id").agg(F.first("chat_id").alias("chat_id"), F.min("sent_at").alias("started_at"), F.max("sent_at").alias("ended_at"))
+    people = F.array(F.concat(F.lit("p"), F.col("chat_id").cast("string")))
+    heads = spans.select("segment_id", rendering.header(people, F.lit("dm"), F.lit(None).cast("string"), F.col("started_at"), F.col("ended_at")).alias("head"))
+    return rendering.render_segments(lines, heads).select("segment_id", "rendered_sha256")
 
 
-@register("o135_changed_since_segmented", sql("SELECT m.chat_id, count(*) AS changed FROM message m JOIN (SELECT chat_id, max(ended_at) - INTERVAL 2 DAY AS done_at FROM ss GROUP BY 1) d USING (chat_id) WHERE m.sent_at > d.done_at GROUP BY 1", "message", ctes=SESSIONS))
+@register("o135_changed_since_segmented", sql("SELECT m.chat_id, count(*) AS changed FROM message m LEFT JOIN (SELECT chat_id, max(ended_at) - INTERVAL 2 DAY AS done_at FROM ss WHERE chat_id IN (SELECT chat_id FROM message WHERE kind = 'view') GROUP BY 1) d USING (chat_id) WHERE d.done_at IS NULL OR m.sent_at > d.done_at GROUP BY 1", "message", ctes=SESSIONS))
 def o135(spark, sf):
-    done = _summaries(spark, sf).groupBy("chat_id").agg((F.max("ended_at") - F.expr("INTERVAL 2 DAYS")).alias("done_at"))
-    return view(spark, sf, "message").join(done, "chat_id").where("sent_at > done_at").groupBy("chat_id").agg(F.count("*").alias("changed"))
+    m = view(spark, sf, "message")
+    done = _summaries(spark, sf).join(m.where("kind = 'view'"), "chat_id", "left_semi").groupBy("chat_id").agg((F.max("ended_at") - F.expr("INTERVAL 2 DAYS")).alias("done_at"))
+    return incremental.changed_since(m, done).groupBy("chat_id").agg(F.count("*").alias("changed"))
 
 
 @register("o114_normalize_handles", sql("SELECT person_id, CASE WHEN person_id % 3 = 0 THEN 'email' WHEN person_id % 3 = 1 THEN 'phone' ELSE 'unknown' END AS kind, CASE WHEN person_id % 3 = 0 THEN short_name || '@x.org' WHEN person_id % 3 = 1 THEN '+1' || CAST(2025550000 + person_id AS VARCHAR) ELSE display_name END AS value FROM person", "person"))
@@ -478,7 +525,22 @@ def o113(spark, sf):
     return identity.short_names(view(spark, sf, "person").drop("short_name"), "segment").select("person_id", "short_name")
 
 
-@register("o147_purge_plan", sql("SELECT chat_id AS document_id, CASE WHEN person_id % 7 = 0 THEN 'delete' ELSE 'unchanged' END AS action FROM direct", "direct"))
+REVOKED = """flags AS (SELECT w.person_id, CASE WHEN p.segment = 'FURNITURE' THEN false ELSE w.text_allowed END AS ok, p.segment = 'FURNITURE' AS gone FROM allowlist w JOIN person p USING (person_id)),
+allowed AS (SELECT chat_id FROM direct JOIN flags USING (person_id) WHERE ok)"""
+
+
+@register("o147_purge_plan", sql("SELECT chat_id AS document_id, CASE WHEN chat_id IN (SELECT chat_id FROM allowed) THEN 'unchanged' ELSE 'delete' END AS action FROM chat WHERE status <> 'P'", "direct", "allowlist", "person", "chat", ctes=REVOKED))
 def o147(spark, sf):
-    d = view(spark, sf, "direct").select(F.col("chat_id").alias("document_id"), F.sha2(F.col("person_id").cast("string"), 256).alias("content_sha256"), "person_id")
-    return access.reconcile(d.where("person_id % 7 <> 0"), d)
+    return _purge(spark, sf)[1]
+
+
+@register("o147_allowlist_after_purge", sql("SELECT person_id, ok AS text_allowed, CASE WHEN gone THEN false ELSE attachments_allowed END AS attachments_allowed FROM flags JOIN allowlist USING (person_id)", "direct", "allowlist", "person", ctes=REVOKED))
+def o147b(spark, sf):
+    return _purge(spark, sf)[0]
+
+
+def _purge(spark, sf):
+    chats = view(spark, sf, "chat")
+    pushed = chats.where("status <> 'P'").select(F.col("chat_id").alias("document_id"), "chat_id", F.sha2("status", 256).alias("content_sha256"))
+    revoked = view(spark, sf, "person").where("segment = 'FURNITURE'")
+    return upkeep.purge_plan(view(spark, sf, "allowlist"), revoked, chats, view(spark, sf, "direct"), pushed, pushed)
\ No newline at end of file

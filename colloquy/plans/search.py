@@ -16,7 +16,11 @@ MOST_QUERY_CHARS, MOST_RESULTS = 1000, 50
 
 @dataclass(frozen=True)
 class SearchTables:
-    """What a search reads. Chunks are ``(segment_id, chunk_id, text)``; a table that is absent has no channel."""
+    """What a search reads. Chunks are ``(segment_id, chunk_id, text)``; a table that is absent has no channel.
+
+    With the indexes of segments (key ``segment_id``) and chunks (``chunk_id``)
+    no text is cut into terms but those of the reranked pool.
+    """
 
     segments: DataFrame
     vectors: DataFrame
@@ -25,39 +29,45 @@ class SearchTables:
     participants: DataFrame | None = None
     allowlist: DataFrame | None = None
     with_attachments: DataFrame | None = None
+    text_index: lexical.LexicalIndex | None = None
+    chunk_index: lexical.LexicalIndex | None = None
 
 
 def hybrid_search(tables: SearchTables, query: str, query_vector: Sequence[float], *, filters: Filters | None = None, context: AccessContext | None = None, limit: int = 10, k: int = 100, rrf_k: int = 60, pool: int = 50) -> DataFrame:
     """``(segment_id, rank, score, rerank_score)`` of the best ``limit`` segments.
 
     Every channel is restricted by the same predicate before it is limited, so a
-    selective filter starves none. Each contributes ``k`` ranks at most.
+    selective filter starves none; a text's score is that in the whole corpus,
+    whatever the filter leaves. Each channel contributes ``k`` ranks at most.
     """
     filters, context = filters or Filters(), context or AccessContext()
     if not query.strip() or len(query) > MOST_QUERY_CHARS:
         raise ValueError("the query is empty or too long")
     check_range("limit", limit, 1, MOST_RESULTS)
     if tables.participants is None and not filters.people and context.scope == "full" and filters.has_attachment is None:
-        eligible = tables.segments.where(in_dates(F.col("started_at"), filters.after, filters.before, filters.timezone)).select("segment_id")
+        kept = tables.segments.where(in_dates(F.col("started_at"), filters.after, filters.before, filters.timezone))
+        for condition in filters.extra:
+            kept = kept.where(condition)
+        eligible = kept.select("segment_id")
     else:
         eligible = visible_segments(tables.segments, filters, context, participants=tables.participants, allowlist=tables.allowlist, with_attachments=tables.with_attachments)
     routed = lexical.route(query)
     by_id = F.col("segment_id")
 
-    def lexical_channel(docs: DataFrame, name: str, key: str) -> DataFrame:
-        docs = docs.join(eligible, "segment_id", "left_semi")
+    def lexical_channel(docs: DataFrame, name: str, key: str, index: lexical.LexicalIndex | None) -> DataFrame:
         if routed.mode == "bm25":
-            hits = lexical.bm25(docs, routed.phrase, key=key)
+            hits = index.search(routed.phrase) if index is not None else lexical.bm25(docs, routed.phrase, key=key)
         else:
             hits = lexical.substring_hits(docs, routed.phrase, ignore_case=routed.mode == "trigram").select(key, F.lit(0.0).alias("score"))
         if key != "segment_id":
             hits = hits.join(docs.select(key, "segment_id"), key).groupBy("segment_id").agg(F.max("score").alias("score"))
+        hits = hits.join(eligible, "segment_id", "left_semi")
         return ranking.ranked(hits, [F.col("score").desc(), by_id], k).select(F.lit(name).alias("channel"), "segment_id", "rank")
 
-    channels = [lexical_channel(tables.segments.select("segment_id", "text"), "text", "segment_id")]
+    channels = [lexical_channel(tables.segments.select("segment_id", "text"), "text", "segment_id", tables.text_index)]
     channels.append(ranking.vector_top_k(tables.vectors, query_vector, k, eligible=eligible).select(F.lit("vector").alias("channel"), "segment_id", "rank"))
     if tables.chunks is not None:
-        channels.append(lexical_channel(tables.chunks.select("segment_id", "chunk_id", "text"), "chunk", "chunk_id"))
+        channels.append(lexical_channel(tables.chunks.select("segment_id", "chunk_id", "text"), "chunk", "chunk_id", tables.chunk_index))
     if tables.chunk_vectors is not None:
         near = tables.chunk_vectors.join(eligible, "segment_id", "left_semi")
         hits = near.select("segment_id", ranking.cosine_distance(F.col("vec"), F.array(*[F.lit(float(x)) for x in query_vector])).alias("distance"))

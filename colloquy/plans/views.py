@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.session import read_table
+from colloquy.operators.lexical import LexicalIndex, write_index
+from colloquy.session import read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "allowlist": ("customer", ["c_custkey AS person_id", "c_acctbal > 2000 AS text_allowed", "c_mktsegment = 'BUILDING' AS attachments_allowed"]),
     "chat": ("orders", ["o_orderkey AS chat_id", "o_orderstatus AS status", "o_orderdate AS started_at", "o_orderpriority AS priority"]),
     "direct": ("orders", ["o_orderkey AS chat_id", "o_custkey AS person_id"]),
+    "recipient": ("orders", ["o_orderkey AS chat_id", "o_custkey AS person_id", "o_orderpriority AS priority", "o_orderstatus AS status"]),
     "line": ("lineitem", ["l_orderkey AS chat_id", "l_partkey AS attachment_id", "l_suppkey AS supplier_id", "l_linenumber AS ordinal", "l_shipdate AS sent_at", "l_returnflag AS flag", "l_quantity AS quantity"]),
     "segment": ("documents", ["doc_id AS segment_id", "source AS chat", "lang", "text", "n_chars"]),
     "vector": ("embeddings", ["vec_id AS segment_id", "embedding AS vec", "label"]),
@@ -49,6 +51,17 @@ def sql(body: str, *names: str, ctes: str = "") -> str:
     return "WITH RECURSIVE " + ",\n".join(parts + ([ctes] if ctes else [])) + "\n" + body
 
 
+_indexes: dict[tuple[str, str], LexicalIndex] = {}
+
+
+def segment_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The index of the segments of a data folder, made when it is first asked for and kept in the shared folder for the application."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where not in _indexes:
+        _indexes[where] = write_index(view(spark, sf_dir, "segment"), shared_path(spark, "postings"))
+    return _indexes[where]
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 

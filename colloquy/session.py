@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: SparkContexts (by application id) that already received the package.
 _shipped: set[str] = set()
+_own_folders: set[str] = set()
 PACKAGE = Path(__file__).resolve().parent
 
 
@@ -51,6 +53,48 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Where the setting is absent a temporary folder is taken and set for the
+    context, but only if everything runs on one machine: on a cluster that is an
+    error, as other machines would not see the folder.
+    """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+        found = sc.getCheckpointDir()
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """``(file system, path)`` of the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, in a folder of this application that goes when the application ends."""
+    own = f"{shared_dir(spark)}/colloquy-{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        files, where = _hadoop(spark, own)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _own_folders.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written below a path, if it is there."""
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; the path goes to Spark's reader as it is."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+
 from colloquy.functions.ids import canonical_json
 
 RUN_FORMAT, SEED_FORMAT = 1, 1
@@ -38,6 +40,35 @@ def store_by_content(source: str | Path, root: str | Path) -> tuple[Path, bool]:
     return place, True
 
 
+def check_snapshot(path: str | Path, tables: Iterable[str]) -> None:
+    """An error unless a database file is sound and has the tables that are read later."""
+    import sqlite3
+
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        try:
+            told = [r[0] for r in db.execute("PRAGMA quick_check")]
+            there = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+        except sqlite3.DatabaseError as error:
+            raise ValueError(f"{path} is no sound database: {error}") from error
+    if told != ["ok"]:
+        raise ValueError(f"{path} is damaged: {told[:3]}")
+    if missing := sorted(set(tables) - there):
+        raise ValueError(f"{path} lacks the tables {missing}")
+
+
+def backup(source: str | Path, target: str | Path, pages: int = 1000) -> None:
+    """Copy a database that may be in use, page by page and read-only, to a file that appears only when it is whole."""
+    import sqlite3
+
+    part = Path(f"{target}.part-{os.getpid()}")
+    try:
+        with sqlite3.connect(f"file:{source}?mode=ro", uri=True) as live, sqlite3.connect(part) as copy:
+            live.backup(copy, pages=pages)
+        os.replace(part, target)
+    finally:
+        part.unlink(missing_ok=True)
+
+
 def snapshot(source: str | Path, folder: str | Path, keep: int = 2) -> tuple[Path, bool]:
     """A version of a file named by its content; an unchanged file makes none, and all but ``keep`` older ones go."""
     folder = Path(folder)
@@ -85,6 +116,16 @@ def verify_staged(folder: str | Path) -> list[str]:
     return wrong
 
 
+def verified_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """``(id, verified)`` of every staged document, hashed where it is stored: what an approval is pinned to."""
+    from pyspark.sql import functions as F
+
+    told = spark.read.schema("id string, sha256 string").json(f"{folder}/metadata.jsonl")
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{folder}/docs")
+    hashed = there.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("id"), F.sha2("content", 256).alias("_now"))
+    return told.join(hashed, "id", "full_outer").select("id", F.coalesce(F.col("sha256") == F.col("_now"), F.lit(False)).alias("verified"))
+
+
 def write_run(path: str | Path, run: dict[str, Any]) -> None:
     Path(path).write_text(json.dumps({"format": RUN_FORMAT, **run}, sort_keys=True, indent=1))
 

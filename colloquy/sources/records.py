@@ -45,8 +45,14 @@ def service_name(raw: Column) -> Column:
 
 
 def _find_preview(root: object) -> dict[str, str] | None:
-    """The first mapping with an http url, depth first; archived object references are followed."""
-    objects = root.get("$objects", []) if isinstance(root, dict) else []
+    """The first mapping with an http url, depth first from the archive's root; references are followed.
+
+    Anything but an archive with a list of objects and a root has none, so what
+    nothing refers to is never found.
+    """
+    if not isinstance(root, dict) or not isinstance(root.get("$objects"), list) or not isinstance(root.get("$top"), dict) or "root" not in root["$top"]:
+        return None
+    objects, root = root["$objects"], root["$top"]["root"]
     names = {"url": ("originalURL", "URL", "url"), "title": ("title",), "summary": ("summary",), "site_name": ("siteName", "site_name")}
 
     def resolve(x: object) -> object:

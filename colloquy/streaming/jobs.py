@@ -32,9 +32,15 @@ def consume_outbox(events: DataFrame, apply: Callable[[DataFrame, int], None], c
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_rate_limit(events: DataFrame, limit: int, window_seconds: float, key: str = "user_id", at: str = "ts") -> DataFrame:
-    """Verdicts per event of a stream; the state of a key is the accepted times within the window, ``limit`` at most."""
+def stream_rate_limit(events: DataFrame, limit: int, window_seconds: float, key: str = "user_id", at: str = "ts", lateness: str = "1 day") -> DataFrame:
+    """Verdicts per event of a stream; the state of a key is the accepted times within the window, ``limit`` at most.
+
+    A key that is silent for longer than the window by the watermark is forgotten.
+    """
     def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         for frame in frames:
             frame = frame.sort_values([at, "event_id"])
@@ -46,5 +52,8 @@ def stream_rate_limit(events: DataFrame, limit: int, window_seconds: float, key:
                     kept.append(t)
             yield pd.DataFrame({key: name[0], "event_id": frame["event_id"], "allowed": verdicts})
         state.update((kept,))
+        if kept:
+            state.setTimeoutTimestamp(max(int((kept[-1] + window_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import ids, text, times, vectors
-from colloquy.operators import access, evaluation, identity, incremental, lexical, queue, ranking, rendering, sessions
+from colloquy.operators import access, evaluation, identity, incremental, lexical, queue, ranking, rendering, segments, sessions
 from colloquy.plans import upkeep
 from colloquy.plans.search import SearchTables, hybrid_search
-from colloquy.sources import files, records
+from colloquy.sources import extract, files, lint, records
 
 T0 = dt.datetime(2024, 5, 1, 12, 0)
 
@@ -120,6 +120,41 @@ def test_bm25_phrases_and_apostrophes(spark):
     assert [r["segment_id"] for r in lexical.substring_hits(docs, "othing HE").collect()] == [4]
 
 
+def test_routes_in_columns(spark):
+    asked = ['"exact phrase"', '"ab"', "party 🎉", 'say "hi" now', '""', '"', "", "  spaced   out ", '“curly one”', '"  abc "', '"🎉🎉🎉"', "a️b"]
+    mode, phrase = lexical.route_columns(F.col("q"))
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", mode.alias("m"), phrase.alias("p")).collect()
+    assert [(r["m"], r["p"]) for r in rows] == [(lexical.route(q).mode, lexical.route(q).phrase) for q in asked]
+
+
+def test_index_gives_what_a_scan_gives(spark, tmp_path):
+    rnd = random.Random(4)
+    words = ["don't", "stop", "the", "music", "naïve", "STOP", "a-b", "x"]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(12)))) for i in range(300)] + [(300, None), (301, "")], "segment_id long, text string")
+    index = lexical.write_index(docs, str(tmp_path / "index"), position=7)
+    assert (index.n_docs, index.position) == (302, 7) and lexical.open_index(spark, str(tmp_path / "index")).n_postings == index.n_postings
+    for asked in ("stop", "don't stop", "NAIVE music", "a-b the", "absent stop", "", "stop stop"):
+        want = {r["segment_id"]: r["score"] for r in lexical.bm25(docs, asked).collect()}
+        assert {r["segment_id"]: r["score"] for r in index.search(asked).collect()} == {k: pytest.approx(v) for k, v in want.items()}
+    assert "regexp_extract_all" not in index.search("stop")._jdf.queryExecution().toString()
+
+
+def test_index_versions(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "index")
+    with pytest.raises(lexical.StaleIndex):
+        lexical.open_index(spark, folder)
+    docs = spark.createDataFrame([(1, "old words")], "segment_id long, text string")
+    lexical.write_index(docs, folder)
+    lexical.write_index(docs.withColumn("text", F.lit("new words")), folder, position=3)
+    now = lexical.open_index(spark, folder)
+    assert now.position == 3 and now.search("new").count() == 1 and now.search("old").count() == 0
+    empty = lexical.write_index(docs.limit(0), folder)
+    assert empty.n_docs == 0 and empty.search("new").count() == 0
+    monkeypatch.setattr(lexical, "TOKENIZER", "another")
+    with pytest.raises(lexical.StaleIndex):
+        lexical.open_index(spark, folder)
+
+
 def test_rrf(spark):
     rows = spark.createDataFrame([("a", 1, 1), ("b", 1, 3), ("a", 2, 2)], "channel string, segment_id long, rank int")
     got = {r["segment_id"]: r["score"] for r in ranking.fuse(rows).collect()}
@@ -241,8 +276,12 @@ def test_times(spark):
 
 
 def test_vectors(spark):
-    v = vectors.seeded_vector("doc:x", 20)
-    assert sum(x * x for x in v) == pytest.approx(1.0) and v == vectors.seeded_vector("doc:x", 20) != vectors.seeded_vector("doc:y", 20)
+    v, again, other = (one(spark, vectors.fake_embedding(F.col("t"), 20), t=t) for t in ("doc:x", "doc:x", "doc:y"))
+    assert sum(x * x for x in v) == pytest.approx(1.0) and v == again != other
+    assert one(spark, vectors.from_literal(vectors.to_literal(F.array(F.lit(0.1), F.lit(-2.0))))) == [0.1, -2.0]
+    assert all(one(spark, vectors.from_literal(F.col("t")), t=t) is None for t in ("[1,x]", "1,2", "[1,2", "[[1]]"))
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [3.0, 4.0])], "k string, vec array<double>")
+    assert {r["k"]: r["vec"] for r in vectors.mean_vectors(rows, ["k"]).collect()} == {"a": pytest.approx([2**-0.5, 2**-0.5]), "b": pytest.approx([0.6, 0.8])}
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     row = df.select(vectors.cosine_distance(F.col("a"), F.col("b")), vectors.cosine_distance(F.col("a"), F.col("z")), vectors.mean_of(F.array("a", "b"))).first()
     assert row[0] == pytest.approx(1.0) and row[1] is None and row[2] == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
@@ -260,6 +299,127 @@ def test_search_is_not_starved(spark):
         hybrid_search(tables, " ", [1.0, 0.0])
 
 
+def test_a_filter_does_not_change_scores(spark, tmp_path):
+    texts = ["apple pie", "apple", "pie crust", "pear", "plum", "fig"]
+    segs = spark.createDataFrame([(i, i % 2, t, T0 + dt.timedelta(days=i)) for i, t in enumerate(texts * 3)], "segment_id long, chat_id long, text string, started_at timestamp_ntz")
+    vecs = spark.createDataFrame([(i, [1.0, i / 9]) for i in range(18)], "segment_id long, vec array<double>")
+    for index in (None, lexical.write_index(segs, str(tmp_path / "i"))):
+        tables = SearchTables(segs, vecs.limit(0), text_index=index)
+        ranks = {r["segment_id"]: r["rank"] for r in hybrid_search(tables, "apple", [1.0, 0.0], limit=50).collect()}
+        some = {r["segment_id"]: r["rank"] for r in hybrid_search(tables, "apple", [1.0, 0.0], filters=access.Filters(extra=(F.col("chat_id") == 1,)), limit=50).collect()}
+        assert set(ranks) == {0, 1, 6, 7, 12, 13} and set(some) == {1, 7, 13} and sorted(some, key=some.get) == sorted(some, key=ranks.get)
+
+
+def test_link_preview_root(spark):
+    import plistlib
+
+    objects = ["$null", {"URL": "https://lost.example/"}, {"metadata": plistlib.UID(3)}, {"originalURL": {"NS.relative": plistlib.UID(4)}, "title": "T"}, "https://found.example/"]
+    blob = plistlib.dumps({"$objects": objects, "$top": {"root": plistlib.UID(2)}}, fmt=plistlib.FMT_BINARY)
+    bare = plistlib.dumps({"URL": "https://bare.example/"}, fmt=plistlib.FMT_BINARY)
+    df = spark.createDataFrame([(1, bytearray(blob)), (2, bytearray(bare))], "i int, p binary").select("i", records.link_preview(F.col("p")).alias("r"))
+    got = {r["i"]: r["r"] for r in df.collect()}
+    assert (got[1]["url"], got[1]["title"]) == ("https://found.example/", "T") and got[2] is None
+
+
+def test_extraction(spark, tmp_path):
+    import sys
+
+    pages = "\f".join(["page one has some sixty characters of text in it, all in all.", "page two"]) + "\f"
+    for name, body in (("a.txt", pages), ("empty.txt", " \f"), ("b.txt", "x")):
+        (tmp_path / name).write_text(body)
+    cat = lambda p: [sys.executable, "-c", "import sys; sys.stdout.write(open(sys.argv[1]).read())", p]
+    slow, bad = (lambda p: ["sleep", "9"]), (lambda p: ["false"])
+    tasks = spark.createDataFrame([(1, "pdf_text", str(tmp_path / "a.txt")), (2, "pdf_text", str(tmp_path / "empty.txt")), (3, "caption", str(tmp_path / "b.txt")), (4, "ocr", str(tmp_path / "b.txt")), (5, "transcript", str(tmp_path / "b.txt")), (6, "frame_ocr", str(tmp_path / "b.txt")), (7, "pdf_text", str(tmp_path / "none"))], "attachment_id long, kind string, path string")
+    done = extract.extract(tasks, {"pdf_text": cat, "ocr": slow, "transcript": bad, "frame_ocr": lambda p: ["no-such-program"]}, extract.Limits(seconds=1.0))
+    got = {r["attachment_id"]: r for r in done.collect()}
+    assert {i: got[i]["outcome"] for i in got} == {1: "done", 2: "skipped", 3: "failed", 4: "retry", 5: "retry", 6: "failed", 7: "retry"}
+    assert extract.pages_of(got[1]["text"])[1] == "page two" and not extract.is_scanned(["x" * 60]) and extract.is_scanned([])
+    assert {r["attachment_id"] for r in extract.follow_ups(done).collect()} == {1, 2}
+    assert extract.extract_one(str(tmp_path / "a.txt"), "pdf_text", {"pdf_text": cat}, extract.Limits(pages=1))[2] == "too many pages"
+    assert extract.extract_one(str(tmp_path / "a.txt"), "pdf_text", {"pdf_text": cat}, extract.Limits(file_bytes=5))[0] == "failed"
+    assert extract.sniff(b"%PDF-1.7", "image/png") == "application/pdf" and extract.sniff(b"....ftypisom", None) == "video/mp4" and extract.sniff(b"", "a/b") == "a/b"
+    flags = spark.createDataFrame([(5, 0, "-"), (5, 8, "dataless,x"), (0, 0, None), (None, None, None)], "size long, blocks long, flags string")
+    assert [r[0] for r in flags.select(extract.dataless(F.col("size"), F.col("blocks"), F.col("flags"))).collect()] == [True, True, False, False]
+
+
+def test_snapshots_are_checked(tmp_path):
+    import sqlite3
+
+    live = tmp_path / "live.db"
+    with sqlite3.connect(live) as db:
+        db.execute("CREATE TABLE message (x)")
+        db.executemany("INSERT INTO message VALUES (?)", [(i,) for i in range(5000)])
+    files.backup(live, tmp_path / "copy.db")
+    files.check_snapshot(tmp_path / "copy.db", ["message"])
+    with pytest.raises(ValueError, match="lacks"):
+        files.check_snapshot(tmp_path / "copy.db", ["message", "chat"])
+    data = bytearray((tmp_path / "copy.db").read_bytes())
+    data[4096:9000] = b"x" * 4904
+    (tmp_path / "bad.db").write_bytes(data)
+    with pytest.raises(ValueError):
+        files.check_snapshot(tmp_path / "bad.db", ["message"])
+
+
+def test_vector_lint():
+    good = "CREATE TABLE s (id bigint, vec halfvec(2048) NOT NULL); -- vec vector(9000)\nCREATE INDEX i ON s USING hnsw (vec halfvec_cosine_ops);"
+    assert lint.lint_vectors({"1.sql": good}) == []
+    bad = {"1.sql": "create table a (v vector(2001), w halfvec(10), note text default 'x vector(3)');", "2.sql": "CREATE INDEX ON a USING ivfflat (w halfvec_l2_ops); ALTER TABLE a ADD COLUMN u vector(8);"}
+    assert [f.split(": ", 1)[1][:20] for f in lint.lint_vectors(bad)] == ["a.u has no index", "a.v has 2001 dimensi", "a.v has no index", "a.w is indexed by ha"]
+
+
+def test_verdicts_and_pacing(spark):
+    now, asked = [0.0], []
+
+    def ask(name):
+        asked.append(name)
+        if name == "down":
+            raise OSError
+        return name == "good", 300.0
+
+    cache = queue.VerdictCache(ask, lambda: now[0])
+    assert cache.verdict("good") and not cache.verdict("bad") and cache.verdict("good") and asked == ["good", "bad"]
+    now[0] = 61.0
+    assert not cache.verdict("bad") and asked[2:] == ["bad"] and cache.verdict("good")
+    assert not cache.verdict("down") and not cache.verdict("other") and asked[3:] == ["down"]
+    now[0] = 67.0
+    assert not cache.verdict("other") and asked[4:] == ["other"]
+    slept = []
+    clock = [0.0]
+    pacer = queue.Pacer(60, lambda: clock[0], slept.append)
+    for step in (0.0, 0.25, 3.0):
+        clock[0] = step
+        pacer.wait()
+    assert slept == [0.75] and one(spark, queue.paced(F.lit(3), 120)) == 1.5
+    with pytest.raises(ValueError):
+        queue.Pacer(0, lambda: 0.0, slept.append)
+
+
+def test_staged_documents_are_hashed_in_place(spark, tmp_path):
+    staged = files.stage_documents(tmp_path / "run", {"d1": "text", "d2": "more", "d3": "x"}, {})
+    (staged / "docs" / "d2.txt").write_text("changed")
+    (staged / "docs" / "d3.txt").unlink()
+    (staged / "docs" / "d4.txt").write_text("stray")
+    assert {r["id"]: r["verified"] for r in files.verified_frame(spark, str(staged)).collect()} == {"d1": True, "d2": False, "d3": False, "d4": False}
+
+
+def test_config_hashes(spark):
+    fields = dict(session_gap_hours=3.0, topical_min_messages=6, max_messages=50, max_tokens=3000, boundary_model="m", boundary_prompt=b"p", index_unsent=False, index_edit_history=True)
+    names = {"session_gap_hours": "3.0", "topical_min_messages": "6", "max_messages": "50", "max_tokens": "3000", "boundary_model": "m", "boundary_prompt_sha256": hashlib.sha256(b"p").hexdigest(), "index_unsent": "False", "index_edit_history": "True", "renderer_version": "1", "boundary_window_tokens": "4000", "boundary_window_overlap_messages": "10", "min_messages_per_segment": "2"}
+    assert one(spark, ids.config_hash(names)) == ids.segmentation_config_hash(**fields)
+    assert ids.projected_hash({"a": {"b": 1, "c": 2}, "d": 3}, ["a.b", "x.y"]) == ids.canonical_hash({"a.b": 1, "x.y": None})
+
+
+def test_rerender_keeps_what_it_does_not_change(spark):
+    segs = spark.createDataFrame([(1, "k1", "old", "h"), (2, "k2", "old", "h"), (3, "k3", "old", "h")], "segment_id long, stable_key string, rendered_text string, rendered_sha256 string")
+    lines = spark.createDataFrame([(1, 1, 10, "a"), (2, 1, 11, "b")], "segment_id long, sent_at int, message_id long, line string")
+    heads = spark.createDataFrame([(1, "H"), (2, "H"), (3, "H")], "segment_id long, head string")
+    affected = spark.createDataFrame([(1,), (3,)], "segment_id long")
+    after, events = segments.rerender(segs, affected, lines, heads)
+    assert {r["segment_id"]: r["rendered_text"] for r in after.collect()} == {1: "H\n---\na", 2: "old", 3: "old"} and after.columns == segs.columns
+    assert [r["entity_id"] for r in events.collect()] == [1]
+    assert segments.rerender(after, affected, lines, heads)[1].count() == 0
+
+
 def test_message_records(spark, tmp_path):
     good = {"rowid": 1, "guid": "g", "is_from_me": True, "edit_history": [{"text": "a", "edited_at": None}], "attachment_rowids": [3]}
     (tmp_path / "a.ndjson").write_text(json.dumps(good) + "\n")
@@ -317,6 +477,16 @@ def test_sync_stops_at_dirty_identity(spark):
     assert upkeep.sync(["a"], lambda s: None, lambda: clean, lambda: None, lambda: None) == ["extract:a", "segment", "index"]
     with pytest.raises(RuntimeError):
         upkeep.sync(["a"], lambda s: None, lambda: clean.withColumn("owners", F.lit(0)), lambda: None, lambda: None)
+    tried = []
+
+    def extract_source(name):
+        tried.append(name)
+        if name == "a":
+            raise OSError("gone")
+
+    with pytest.raises(RuntimeError, match="sources failed"):
+        upkeep.sync(["a", "b"], extract_source, lambda: clean, lambda: None, lambda: None)
+    assert tried == ["a", "b"] and upkeep.sync(["a"], extract_source, None, None, None, dry_run=True) == ["extract:a", "segment", "index"]
 
 
 def test_variants_and_cap():
