@@ -11,7 +11,11 @@ stands, tables with aligned columns.
 
 Defined cases: a null page gives null, an empty page or one without visible text
 an empty string; markup nested deeper than ``DEEPEST`` is flattened but loses no
-text; repeated rows are rendered each; an empty table gives an empty result.
+text and shows none that is hidden; a column whose blanks would outgrow its text
+is not aligned; repeated rows are rendered each; pages of any length are read
+whole, in time and memory in proportion to them; a page that ends within a tag
+or comment ends before it, as in browsers; other columns are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +31,10 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_map, ship_package, text_groups
 
+#: Depth beyond which elements have no layout of their own.
 DEEPEST = 120
+#: Greatest indent, and blanks that a table's columns may take for each sign of their text.
+MOST_INDENT, FILL = 60, 8
 # Names of HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head script style template noscript title meta link canvas audio video iframe object embed datalist annotation annotation-xml".split()) - {"head"}
@@ -52,88 +59,191 @@ SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*)?(?:[.#][\w-]+)?", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "over", "shown", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    def __init__(self, tag: str, attrs: dict[str, str], over: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
+        #: The element around it, where that is not its parent in the tree.
+        self.over, self.shown = over, False
 
 
-class TreeBuilder(HTMLParser):
-    """A tree of a page; ``styles`` gathers the text of its style elements."""
+class TreeBuilder:
+    """A tree of a page; ``styles`` gathers the text of its style elements.
+
+    Which elements are open is known by tag as well as by depth, so that no tag
+    takes a search through all that is open. Beyond ``DEEPEST`` elements keep
+    their place among the open ones but not in the tree: they and their texts
+    follow each other below the last that fits, each knowing the element around
+    it, so that what is hidden stays hidden.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}
         self.styles: list[str] = []
 
+    def _last(self, *tags: str) -> int:
+        """Depth of the innermost open element of these tags, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _cut(self, depth: int) -> None:
+        """Close all that is open from a depth on."""
+        while len(self.open) > max(1, depth):
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            if len(self.open) >= DEEPEST and tag in BLOCK:
+                self.open[DEEPEST - 1].children.append(Node("#end", {}, self._over()))
+
+    def _over(self) -> Node | None:
+        return self.open[-1] if len(self.open) > DEEPEST else None
+
     def _close(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            tag = self.open[at].tag
-            if tag in tags:
-                del self.open[at:]
-                # An outer one may be open too: a row above its cell.
-                self._close(tags, limits)
-                return
-            if tag in limits:
-                return
+        """Close the open elements of the tags within the innermost limit: an outer one may be open too, a row above its cell."""
+        while (at := self._last(*tags)) > max(0, self._last(*limits)):
+            self._cut(at)
+
+    def _push(self, node: Node, stays: bool = True) -> None:
+        node.over = self._over()
+        (self.open[DEEPEST - 1] if len(self.open) > DEEPEST else self.open[-1]).children.append(node)
+        if stays:
+            self.places.setdefault(node.tag, []).append(len(self.open))
+            self.open.append(node)
+
+    def foreign(self) -> bool:
+        """Whether a drawing or formula is open."""
+        return self._last("svg", "math") > 0
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        values = {k: v or "" for k, v in reversed(attrs)}
+    def start(self, tag: str, values: dict[str, str], closed: bool) -> None:
         if tag == "html":
-            self.root.attrs |= values
+            self.root.attrs = values | self.root.attrs
             return
         if self.open[-1].tag == "head" and tag not in HEAD_ONLY and tag != "head":
-            self.open.pop()
-        if tag in CLOSES_P and any(n.tag == "p" for n in self.open[-8:]):
+            self._cut(len(self.open) - 1)
+        if tag in CLOSES_P and self.places.get("p"):
             self._close(("p",), ("td", "th", "table", "button", "object", "body"))
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        if tag in ("td", "th") and not any(n.tag == "tr" for n in self._within("table")):
+        if tag in ("td", "th") and self._last("tr") <= self._last("table"):
             self._push(Node("tr", {}))
-        node = Node(tag, values)
-        if tag in VOID:
-            self.open[-1].children.append(node)
-        else:
-            self._push(node)
-
-    def _within(self, limit: str) -> list[Node]:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at].tag == limit:
-                return self.open[at:]
-        return self.open
-
-    def _push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
-        if len(self.open) < DEEPEST:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        self._push(Node(tag, values), tag not in VOID and not (closed and self.foreign()))
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag in ("html", "body") or tag in VOID:
             if tag == "br":
-                self.open[-1].children.append(Node("br", {}))
+                self._push(Node("br", {}), False)
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
+        at = self._last(tag)
+        if at > 0 and (tag in ("table", "tr", "thead", "tbody", "tfoot") or self._last("table", "td", "th") <= at):
+            self._cut(at)
+        elif tag == "p":
+            self._push(Node("p", {}), False)
+
+    def data(self, text: str) -> None:
+        top = self.open[-1]
+        if top.tag == "style":
+            self.styles.append(text)
+            return
+        if top.tag == "head":
+            if not text.strip():
                 return
-            if self.open[at].tag in ("table", "td", "th") and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
+            self._cut(len(self.open) - 1)
+        if len(self.open) > DEEPEST:
+            flat = Node("#text", {}, self.open[-1])
+            flat.children.append(text)
+            self.open[DEEPEST - 1].children.append(flat)
+        else:
+            self.open[-1].children.append(text)
+
+
+# Elements whose text is taken as it stands, and those in which only references are read.
+AS_IT_STANDS = frozenset("script style xmp iframe noembed noframes noscript".split())
+REFERENCES_ONLY = frozenset("textarea title".split())
+TAG_NAME = re.compile(r"[A-Za-z][^\t\n\f\r />]*")
+ATTRIBUTE = re.compile(r"[\t\n\f\r /]*([^\t\n\f\r />=][^\t\n\f\r />=]*|=[^\t\n\f\r />=]*)(?:[\t\n\f\r ]*(=)[\t\n\f\r ]*)?")
+TAG_END = re.compile(r"[\t\n\f\r ]*(/?)[\t\n\f\r /]*>")
+BARE_VALUE = re.compile(r"[^\t\n\f\r >]*")
+COMMENT_END = re.compile(r"--!?>")
+ENDS = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I) for tag in AS_IT_STANDS | REFERENCES_ONLY}
+
+
+def _attributes(html: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """``(attributes, whether closed, place behind the tag)``; a tag that the page ends in reaches to its end."""
+    values: dict[str, str] = {}
+    while True:
+        m = ATTRIBUTE.match(html, at)
+        if m is None:
+            end = TAG_END.match(html, at)
+            return values, bool(end and "/" in end[0]), end.end() if end else len(html)
+        name, at, value = m[1].lower(), m.end(), ""
+        if m[2]:
+            quote = html[at : at + 1]
+            if quote in ("'", '"') and quote:
+                stop = html.find(quote, at + 1)
+                if stop < 0:
+                    return values, False, len(html)
+                value, at = html[at + 1 : stop], stop + 1
+            else:
+                bare = BARE_VALUE.match(html, at)
+                value, at = bare[0], bare.end()  # type: ignore[index,union-attr]
+        values.setdefault(name, unescape(value) if "&" in value else value)
+
+
+def build(html: str) -> TreeBuilder:
+    """The tree of a page, in one pass: every search goes on from where the last one ended."""
+    tree, at, n = TreeBuilder(), 0, len(html)
+
+    def behind(text: str, start: int) -> int:
+        found = html.find(text, start)
+        return n if found < 0 else found + len(text)
+
+    while at < n:
+        mark = html.find("<", at)
+        if mark < 0:
+            mark = n
+        if mark > at:
+            tree.data(unescape(html[at:mark]))
+        at = mark
+        if at == n:
+            break
+        name = TAG_NAME.match(html, at + 1)
+        if name:
+            tag = name[0].lower()
+            values, closed, at = _attributes(html, name.end())
+            if at == n and html[-1] != ">":
                 break
-        if tag == "p":
-            self.open[-1].children.append(Node("p", {}))
-
-    def handle_data(self, data: str) -> None:
-        if self.open[-1].tag == "style":
-            self.styles.append(data)
-        elif self.open[-1].tag == "head":
-            if data.strip():
-                self.open.pop()
-                self.open[-1].children.append(data)
+            foreign = tree.foreign()
+            tree.start(tag, values, closed)
+            if tag in ENDS and not foreign:
+                end = ENDS[tag].search(html, at)
+                text = html[at : end.start() if end else n]
+                tree.data(unescape(text) if tag in REFERENCES_ONLY else text)
+                tree.end(tag)
+                at = behind(">", end.end()) if end else n
+            elif tag == "plaintext":
+                tree.data(html[at:])
+                at = n
+        elif html.startswith("</", at):
+            name = TAG_NAME.match(html, at + 2)
+            at = behind(">", at)
+            if name:
+                tree.end(name[0].lower())
+        elif html.startswith("<!--", at):
+            if html.startswith((">", "->"), at + 4):
+                at = behind(">", at)
+            else:
+                stop = COMMENT_END.search(html, at + 4)
+                at = stop.end() if stop else n
+        elif html.startswith("<![CDATA[", at) and tree.foreign():
+            stop = html.find("]]>", at)
+            tree.data(html[at + 9 : stop if stop >= 0 else n])
+            at = stop + 3 if stop >= 0 else n
+        elif html.startswith(("<!", "<?"), at):
+            at = behind(">", at)
         else:
-            self.open[-1].children.append(data)
+            tree.data("<")
+            at += 1
+    return tree
 
 
 def hiding_selectors(styles: list[str]) -> set[str]:
@@ -173,6 +283,10 @@ class Renderer:
         self.mark = ""
 
     def visible(self, node: Node) -> bool:
+        node.shown = (node.over is None or node.over.shown) and self._visible(node)
+        return node.shown
+
+    def _visible(self, node: Node) -> bool:
         if node.tag in NEVER or node.tag == "head" or "hidden" in node.attrs:
             return False
         if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
@@ -191,7 +305,7 @@ class Renderer:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            indent = "".join(self.prefix)
+            indent = "".join(self.prefix)[-MOST_INDENT:]
             if self.mark:
                 indent = indent[: len(indent) - len(self.mark)] + self.mark
                 self.mark = ""
@@ -223,6 +337,8 @@ class Renderer:
             self.end_line()
         elif tag == "wbr":
             pass
+        elif tag == "#end":
+            self.end_line()
         elif tag == "hr":
             self.space()
             self.line = "----"
@@ -383,10 +499,17 @@ class Renderer:
             for c, text in line.items():
                 widths[c] = max(widths.get(c, 0), *(0 if c in wide else shown_width(t) for t in text))
         columns = sorted(widths)
+        shown = {c: [shown_width(t) for line in grid for t in line.get(c, [])] for c in columns}
+        n_lines = sum(max((len(t) for t in line.values()), default=0) for line in grid)
+        cells = sum(map(len, shown.values()))
+        dense = n_lines * len(columns) <= FILL * cells + 1000
+        # A column is aligned while its blanks stay in proportion to its text.
+        aligned = {c for c in columns if dense and n_lines * widths[c] <= FILL * sum(shown[c]) + 1000}
         for line in grid:
             for i in range(max((len(t) for t in line.values()), default=0)):
-                cells = [line[c][i] if c in line and i < len(line[c]) else "" for c in columns]
-                self.line = "  ".join(t + " " * (widths[c] - shown_width(t)) for c, t in zip(columns, cells, strict=True)).rstrip()
+                own = columns if dense else sorted(line)
+                parts = [(c, line[c][i] if c in line and i < len(line[c]) else "") for c in own]
+                self.line = "  ".join(t + " " * (widths[c] - shown_width(t)) if c in aligned else t for c, t in parts).rstrip()
                 if self.line.strip():
                     self.end_line()
                 self.line = ""
@@ -417,12 +540,10 @@ def render(html: str | None) -> str | None:
     """The visible text of a page."""
     if html is None:
         return None
-    builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
-    out = Renderer(hiding_selectors(builder.styles))
-    if out.visible(builder.root):
-        out.children(builder.root)
+    tree = build(html)
+    out = Renderer(hiding_selectors(tree.styles))
+    if out.visible(tree.root):
+        out.children(tree.root)
     out.end_line()
     return "\n".join(out.lines)
 
