@@ -109,33 +109,33 @@ FROM embeddings LEFT JOIN counts ON counts.u = vec_id LEFT JOIN least ON least.u
 
 
 def op2_sql() -> str:
-    """The rules and the spread of masses in SQL, a step for each round."""
+    """The rules, trust and distrust in SQL, a step for each round."""
     rule = verdict = "NULL"
     for kind, text in sorted(URL_RULES, key=lambda r: (len(r[1]), r[1])):
         own, _, rest = text.partition("/")
         fits = f"(host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{rest}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
     lower = f"'{urlgraph.UPPER}', '{urlgraph.LOWER}'"
-    link = urlgraph.LINK.replace("'", "''")
-    steps = []
-    for name, seed, src, dst in (("t", "good", "src", "dst"), ("d", "bad", "dst", "src")):
-        steps.append(f"{name}_links AS (SELECT {src} AS src, {dst} AS dst, w / sum(w) OVER (PARTITION BY {src}) AS share FROM links)")
-        steps.append(f"{name}_0 AS (SELECT host, {seed} AS seed, {seed} AS mass, host IN (SELECT src FROM {name}_links) AS gives FROM hosts)")
-        for i in range(1, urlgraph.ROUNDS + 1):
-            steps.append(
-                f"{name}_{i} AS MATERIALIZED (SELECT p.host, p.seed, {1 - urlgraph.DAMPING} * p.seed + {urlgraph.DAMPING} * (CASE WHEN p.gives THEN 0 ELSE p.mass END + coalesce(m.got, 0)) AS mass, p.gives"
-                f" FROM {name}_{i - 1} p LEFT JOIN (SELECT l.dst AS host, sum(q.mass * l.share) AS got FROM {name}_{i - 1} q JOIN {name}_links l ON q.host = l.src GROUP BY l.dst) m ON m.host = p.host)"
-            )
+    link, unseen = urlgraph.LINK.replace("'", "''"), urlgraph.UNSEEN
+    keep, damping, n = 1 - urlgraph.DAMPING, urlgraph.DAMPING, urlgraph.ROUNDS
+    steps = ["t_0 AS (SELECT host, good AS mass, CAST(1 AS DOUBLE) AS whole, host IN (SELECT src FROM shares) AS gives FROM hosts)", "d_0 AS (SELECT host, bad AS value FROM hosts)"]
+    for i in range(1, n + 1):
+        steps.append(
+            f"t_{i} AS MATERIALIZED (SELECT host, {keep} * good + {damping} * (CASE WHEN gives THEN 0 ELSE mass END + coalesce(m, 0)) AS mass, {keep} + {damping} * (CASE WHEN gives THEN 0 ELSE whole END + coalesce(w, 0)) AS whole, gives"
+            f" FROM hosts JOIN t_{i - 1} USING (host) LEFT JOIN (SELECT dst AS host, sum(mass * share) AS m, sum(whole * share) AS w FROM t_{i - 1} JOIN shares ON host = src GROUP BY dst) USING (host))"
+        )
+        steps.append(f"d_{i} AS MATERIALIZED (SELECT host, bad + (1 - bad) * {damping} * coalesce(m, 0) AS value FROM hosts LEFT JOIN (SELECT src AS host, sum(value * share) AS m FROM shares JOIN d_{i - 1} ON host = dst GROUP BY src) USING (host))")
     return f"""
-WITH a AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH a AS (SELECT page_id, regexp_replace(html, '{unseen}', ' ', 'g') AS html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), {lower}), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
 j AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS own FROM p),
 links AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), {lower}) AS dst FROM p) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+shares AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM links),
 hosts AS (SELECT host, sum(good) AS good, sum(bad) AS bad FROM (SELECT host, avg(CASE WHEN own = 'allow' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN own = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM j GROUP BY host
   UNION ALL SELECT DISTINCT src, 0.0, 0.0 FROM links UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM links) GROUP BY host),
 {", ".join(steps)}
-SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN d.mass - t.mass > {urlgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM j JOIN t_{urlgraph.ROUNDS} t ON t.host = j.host JOIN d_{urlgraph.ROUNDS} d ON d.host = j.host
+SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN d.value - t.mass / t.whole > {urlgraph.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN t_{n} t ON t.host = j.host JOIN d_{n} d ON d.host = j.host
 """
 
 
