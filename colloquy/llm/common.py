@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -16,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy import session
-from colloquy.session import read_table
+from colloquy.session import drop_path, read_table, shared_dir, shared_path
 
-__all__ = ["read_table"]
+__all__ = ["drop_path", "read_table", "shared_path"]
 
 #: Bytes of an Arrow batch that the JVM sends to a Python worker, but for a row that is larger by itself.
 BATCH_BYTES = 4 << 20
@@ -66,36 +64,17 @@ def arrow_map(rows: DataFrame, run: Callable[[Batches], Batches], schema: str |
     return rows.mapInArrow(whole, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent a temporary folder is taken and set for the
-    context, but only if everything runs on one machine: on a cluster that is an
-    error, as other machines would not see the folder.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
-        found = sc.getCheckpointDir()
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/colloquy-{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut`` of rows that are few beside the cluster: into a file for each core at most, as very many small steps would make very many files."""
+    return cut(df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def column(name: str) -> Column:
     """The column of that name, whatever signs are in it."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -1,16 +1,24 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into two 32-bit segments. Two fingerprints that differ in
-at most two bits differ either in at most two bits of one segment or in one bit
-of each; in every case the radius-one Hamming balls around them, enumerated
-segment by segment, meet in at least one point. Every ball member, joined with
-the untouched other segment, is a table key. A fetched bucket therefore holds
-only fingerprints within one bit of its key, 65 at most, whatever the data:
-no bucket grows with the corpus. Complete distances of what meets are verified.
+A fingerprint is cut into two segments of 32 bits, and a table per segment lists
+the fingerprints under the value that they have there. Two fingerprints that
+differ in at most two bits differ in at most one bit of the low segment, or in
+none of the high one. So the Hamming ball of radius one around the low segment
+and the high segment itself (a ball of radius zero) are looked up; complete
+distances of what is fetched are verified. Of two fingerprints that differ in
+one bit of the low segment only the one whose bit is 0 asks for the other.
+
+A value that more than ``FULL`` fingerprints share in a segment would make pairs
+with the square of their number. Its members are split by the other segment:
+those that agree in this one are looked up by a ball of radius one around the
+other, in which two of distance two meet; those that ask for it are looked up
+with all of their bits. Such buckets hold 33 members at most, whose links form a
+chain; together the chains connect exactly what all links connect.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any
 other; repeated rows stay repeated; rows with a null id keep their fingerprint
-and take the class of their fingerprint; an empty table gives an empty result.
+and take the class of their fingerprint; a text of any length is read whole, in
+pieces of ``SHINGLES_AT_ONCE`` hashes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import arrow_map, cut, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, cut_small, ship_package, text_groups
 from colloquy.llm.components import connected_components
 
 SEED = 42
@@ -66,6 +74,11 @@ def fingerprint(text: str | bytes | None, width: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of some hashes; zero of none."""
+    return int(np.packbits(_bit_counts(hashes) * 2 > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``(id, fp)`` for every row; fp is the fingerprint's bit pattern as a long."""
     ship_package(docs.sparkSession)
@@ -80,29 +93,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(rows, run, "id long, fp long")
 
 
-def close_pairs(classes: DataFrame, max_distance: int = 2) -> DataFrame:
-    """Links ``(u, v)`` between rows ``(rep, fp)`` of distinct fingerprints.
+#: Fingerprints that may share a segment's value before they are split by the other segment.
+FULL = 32
+
+
+def _low(fp: str = "fp") -> Column:
+    return F.expr(f"{fp} & 4294967295")
 
-    The links of one bucket form a chain through its members, all of which are
-    within ``max_distance`` of each other; together the chains connect exactly
-    what the full set of links connects.
+
+def _met(classes: DataFrame) -> DataFrame:
+    """``(key, asks, n, fp, rep)``: where table entries (``asks`` false) and lookups meet; a table value has n entries.
+
+    A key is a segment's value, with bit 32 set for that of the high segment.
     """
+    entries = classes.select(F.explode(F.array(_low(), F.expr("shiftrightunsigned(fp, 32) | 4294967296"))).alias("key"), F.lit(False).alias("asks"), "fp", "rep")
+    ball = F.expr("transform(filter(sequence(0, 31), i -> (shiftright(fp, i) & 1) = 0), i -> (fp & 4294967295) | shiftleft(1L, i))")
+    lookups = classes.select(F.explode(ball).alias("key"), F.lit(True).alias("asks"), "fp", "rep")
+    bucket = Window.partitionBy("key")
+    counted = entries.unionByName(lookups).select("*", F.count_if(~F.col("asks")).over(bucket).alias("n"), F.count("*").over(bucket).alias("m"))
+    return counted.where("n > 0 and m > 1").select("key", "asks", "n", "fp", "rep")
+
+
+def close_pairs(classes: DataFrame, max_distance: int = 2, full: int = FULL) -> DataFrame:
+    """Links ``(u, v)`` between rows ``(rep, fp)`` of distinct fingerprints; what they connect is what all links connect."""
     if max_distance not in (0, 1, 2):
         raise ValueError("max_distance must be 0, 1 or 2")
     if max_distance == 0:
         return classes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).where("false")
-    low = F.expr("transform(sequence(0, 31), i -> fp ^ shiftleft(1L, i))")
-    high = F.expr("transform(sequence(32, 63), i -> fp ^ shiftleft(1L, i))")
-    probes = classes.select(F.explode(F.concat(F.array("fp"), low, high)).alias("key"), "fp", "rep")
-    bucket = Window.partitionBy("key").orderBy("fp")
-    met = probes.select("fp", "rep", F.lag("fp").over(bucket).alias("other_fp"), F.lag("rep").over(bucket).alias("other"))
-    met = met.where(F.col("other_fp").isNotNull())
+    met = cut_small(_met(classes))
+    table = met.where("not asks").select("key", "n", F.col("fp").alias("fp2"), F.col("rep").alias("v"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_distance
+    fetched = met.where(f"n <= {full}").join(table.where(f"n <= {full}").drop("n"), "key").where((F.col("asks") | (F.col("fp") < F.col("fp2"))) & near)
+    links = fetched.select(F.col("rep").alias("u"), "v")
+    crowded = met.where(f"n > {full}")
+    if crowded.isEmpty():
+        return links
+    # Ball of radius one around the segment that is not the key's.
+    first = "if(key >= 4294967296, 0, 32)"
+    others = F.expr(f"concat(array(fp), transform(sequence(0, 31), i -> fp ^ shiftleft(1L, i + {first})))")
+    agree = crowded.where("not asks").select("key", "fp", "rep", F.explode(others).alias("ball"))
     if max_distance == 2:
-        near = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= 2)
-        return near.select(F.col("rep").alias("u"), F.col("other").alias("v"))
-    # At distance one the bucket of a fingerprint's own value holds the links.
-    own = probes.where("key <> fp").select("key", F.col("rep").alias("u")).join(classes.select(F.col("fp").alias("key"), F.col("rep").alias("v")), "key")
-    return own.select("u", "v")
+        cell = Window.partitionBy("key", "ball").orderBy("fp")
+        chain = agree.select("fp", F.col("rep").alias("u"), F.lag("fp").over(cell).alias("fp2"), F.lag("rep").over(cell).alias("v")).where("fp2 is not null")
+    else:
+        chain = agree.where("fp <> ball").join(classes.select(F.col("fp").alias("ball"), F.col("fp").alias("fp2"), F.col("rep").alias("v")), "ball").select("fp", F.col("rep").alias("u"), "fp2", "v")
+    # A lookup has one bit of the low segment flipped already; of the high one another may differ.
+    whole = F.expr("(fp & -4294967296) | key")
+    flips = F.expr("concat(array(0L), transform(sequence(32, 63), i -> shiftleft(1L, i)))") if max_distance == 2 else F.array(F.lit(0).cast("long"))
+    asked = crowded.where("asks").select("fp", F.col("rep").alias("u"), F.explode(F.transform(flips, lambda x: whole.bitwiseXOR(x))).alias("fp2"))
+    answered = asked.join(classes.select(F.col("fp").alias("fp2"), F.col("rep").alias("v")), "fp2").select("fp", "u", "fp2", "v")
+    return links.unionByName(chain.unionByName(answered).where(near).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_distance: int = 2) -> DataFrame:
