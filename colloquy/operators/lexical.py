@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.text import CURLY_DOUBLE, CURLY_SINGLE, EMOJI_RANGES, contains_emoji, normalize_text, terms_of, tokenize
+from colloquy.session import path_exists
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -215,12 +216,9 @@ def write_index(docs: DataFrame, folder: str, position: int = 0, key: str = "seg
 
 
 def _versions(spark: SparkSession, folder: str) -> list:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(VERSION).json(f"{folder}/versions").collect()  # a row for each rebuild
-    except AnalysisException:
+    if not path_exists(spark, f"{folder}/versions"):
         return []
+    return spark.read.schema(VERSION).json(f"{folder}/versions").collect()  # a row for each rebuild
 
 
 def open_index(spark: SparkSession, folder: str, key: str = "segment_id") -> LexicalIndex:

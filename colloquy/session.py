@@ -89,6 +89,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, where = _hadoop(spark, path)
+    return files.exists(where)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete what was written below a path, if it is there."""
     files, where = _hadoop(spark, path)
