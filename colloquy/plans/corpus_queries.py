@@ -13,6 +13,7 @@ from colloquy.plans import upkeep
 from colloquy.plans.search import SearchTables, hybrid_search
 from colloquy.plans.views import register, segment_index, sql, view
 from colloquy.session import shared_path
+from colloquy.sources import extract
 
 # attachments and enrichment
 
@@ -128,6 +129,19 @@ def o154b(spark, sf):
     return attachments.sample_for_integrity(_gaps(spark, sf).where("present"), 25, 7).select("attachment_id")
 
 
+@register("o161_dataless", sql("SELECT attachment_id, state = 'dataless' OR (NOT on_disk AND tries > 0) AS dataless FROM attachment", "attachment"))
+def o161(spark, sf):
+    flags = F.when(F.col("state") == "dataless", "uchg,dataless").otherwise("-")
+    told = extract.dataless(F.col("tries"), F.when(F.col("on_disk"), 8).otherwise(0), flags)
+    return view(spark, sf, "attachment").select("attachment_id", told.alias("dataless"))
+
+
+@register("o145_paced_starts", sql("SELECT attachment_id, (row_number() OVER (ORDER BY attachment_id) - 1) * 0.5 AS starts_after FROM attachment WHERE state = 'dataless' ORDER BY attachment_id LIMIT 200", "attachment"))
+def o145(spark, sf):
+    first = ranking.ranked(view(spark, sf, "attachment").where("state = 'dataless'"), [F.col("attachment_id")], 200)
+    return first.select("attachment_id", queue.paced(F.col("rank") - 1, 120).alias("starts_after"))
+
+
 @register("o157_ceilings", sql("SELECT attachment_id, CASE WHEN tries > 40 THEN 'too_many_tries' WHEN price > 1500 THEN 'too_many_price' END AS refused FROM attachment", "attachment"))
 def o157(spark, sf):
     return attachments.within_limits(view(spark, sf, "attachment"), {"tries": 40, "price": 1500}).select("attachment_id", "refused")
