@@ -47,8 +47,8 @@ BLOCK = 512
 #: A task starts another file beyond so many ids, which bounds what it holds.
 IDS_PER_FILE = 1 << 23
 IDS_AT_ONCE = 1 << 20
-#: Pieces of text that a worker remembers with their ids; beyond it the memory is emptied.
-REMEMBERED = 400_000
+#: Pieces of text that a worker remembers with their ids.
+REMEMBERED = 600_000
 
 
 # the codes

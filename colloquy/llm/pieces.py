@@ -128,7 +128,8 @@ class Remembered:
     """The ids of distinct pieces in one array, worked out once for each piece while the memory lasts.
 
     ``encode`` gives the ids of each of a list of pieces. Beyond ``most`` pieces
-    the memory is emptied; pieces longer than ``longest`` bytes are not found again.
+    those that were met in one batch only are forgotten, or all if most were met
+    again; pieces longer than ``longest`` bytes are not found again.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int, longest: int = 64):
@@ -140,12 +141,27 @@ class Remembered:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.sizes = np.zeros(1 << 14, dtype=np.int64)
+        self.met = np.zeros(1 << 14, dtype=np.int32)
         self.n_pieces = self.n_ids = 0
 
+    def _shrink(self) -> None:
+        """Forget what was met once; count anew."""
+        keep = {name: i for name, i in self.place.items() if self.met[i] > 1}
+        if 2 * len(keep) > self.most:
+            self.forget()
+            return
+        old = np.fromiter(keep.values(), dtype=np.int64, count=len(keep))
+        sizes = self.sizes[old]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[old] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.starts, self.sizes, self.met = ends - sizes, sizes, np.zeros(len(old), dtype=np.int32)
+        self.n_pieces, self.n_ids = len(old), len(self.ids)
+        self.place = dict(zip(keep, range(len(old)), strict=True))
+
     def places(self, names: list[bytes]) -> np.ndarray:
         """Where the ids of each of the distinct pieces are listed."""
         if self.n_pieces > self.most or self.n_ids > 8 * self.most:
-            self.forget()
+            self._shrink()
         found = list(map(self.place.get, names))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
@@ -155,7 +171,7 @@ class Remembered:
             first, n = self.n_pieces, len(rows)
             self.ids = _room(self.ids, self.n_ids, len(flat))
             self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-            self.starts, self.sizes = _room(self.starts, first, n), _room(self.sizes, first, n)
+            self.starts, self.sizes, self.met = (_room(x, first, n) for x in (self.starts, self.sizes, self.met))
             self.starts[first : first + n] = self.n_ids + np.cumsum(sizes) - sizes
             self.sizes[first : first + n] = sizes
             self.n_ids, self.n_pieces = self.n_ids + len(flat), first + n
@@ -163,7 +179,9 @@ class Remembered:
                 found[i] = j
                 if len(names[i]) <= self.longest:
                     self.place[names[i]] = j
-        return np.array(found, dtype=np.int64)
+        out = np.array(found, dtype=np.int64)
+        self.met[out] += 1
+        return out
 
     def of(self, data: np.ndarray, starts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, and where each text's begin, with the end of the last."""
