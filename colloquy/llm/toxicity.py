@@ -3,20 +3,23 @@
 Features of a whole text: densities of insulting words, plain and disguised
 (look-alike digits and signs, stretched or spelled-out letters), and of words
 with a stem that the labels show to be toxic; how near they stand to words of
-the second person; capitals, punctuation and signs of obfuscation. Trees are grown on histograms of the features by Newton boosting of
-the logistic loss; a pool-adjacent-violators fit on rows that the trees did not
-see turns margins into probabilities.
+the second person; capitals, punctuation and signs of obfuscation. Trees are
+grown on histograms of the features by Newton boosting of the logistic loss; a
+pool-adjacent-violators fit on rows that the trees did not see turns margins
+into probabilities.
 
 At most ``SAMPLE`` labelled rows, those with the least hash of their id, are
-learned from: one half of them for the stems (near copies count once, and at
-most ``STEMS`` stems are kept), the other half for trees and calibration. The
-features of all rows are computed once and written to the shared folder, and all
-rows are scored.
+learned from: one half of them for the stems (near copies count once), the other
+half for trees and calibration. The features of all rows are computed once and
+written to the shared folder, and all rows are scored.
 
 Defined cases: a null or empty text has the features of an empty text and a
 score like any other; labels of one document that differ count as toxic if half
 of them or more are; without labels every score is 0; a label without a document,
-or a null one, teaches nothing; repeated rows are scored each.
+or a null one, teaches nothing; repeated rows are scored each; of equal gains
+and odds the first feature and the last stem win, so that a fit can be repeated;
+texts and tokens of any length are read whole; an empty table gives an empty
+result. Only the id and text columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -29,16 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import arrow_map, cut, held_out, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, held_out, kept, ship_package, text_groups
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.15, 32, 10
 #: Words either side of an insult that are searched for the second person.
 NEAR = 6
-#: Stems that are learned from labels, at most; their lengths; and the least documents and log odds of each.
-STEMS, STEM_SIZES, STEM_DOCS, STEM_ODDS = 96, (4, 5, 6, 7), 6, 1.6
-REMEMBERED = 300_000
+#: Lengths of stems that are learned from labels; and the least documents and log odds of each.
+STEM_SIZES, STEM_DOCS, STEM_ODDS = (4, 5, 6, 7), 6, 1.6
+#: Tokens that a worker remembers.
+REMEMBERED = 200_000
 
 # Mild to strong insults in four languages, as written in lower case.
 INSULTS = """
@@ -72,14 +76,14 @@ FEATURES = [
 _EDGE = "".join(chr(i) for i in range(0x21, 0x7F) if not chr(i).isalnum()) + "«»“”„‘’…–—¡¿"
 _SHOUT = re.compile(r"\b[A-ZÄÖÜÉÈÀÇÑ]{3,}\b")
 _SPELLED = re.compile(r"(?:\b\w[ .*_\-]){2,}\w\b")
+_SEPARATORS = re.compile(r"[ .*_\-]")
+_LONG_INSULT = re.compile("|".join(sorted((w for w in INSULTS if len(w) > 4), key=lambda w: (-len(w), w))))
 _STRETCH = re.compile(r"(.)\1{2,}")
 _MASK = re.compile(r"[*#%_.\-]+")
 _INSULTS, _SECOND = frozenset(INSULTS), frozenset(SECOND_PERSON)
 _SIGNATURES = frozenset(re.sub(r"(.)\1+", r"\1", w) for w in INSULTS if len(w) >= 4)
 _MASKED = {(w[0], w[-1], len(w)) for w in INSULTS if len(w) >= 4}
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Flags of tokens met so far, by the learned stems.
-_known: dict[frozenset[str], dict[str, int]] = {}
 PLAIN, DISGUISED, SECOND, MIXED, STRETCHED, LEARNED = 1, 2, 4, 8, 16, 32
 
 
@@ -94,7 +98,7 @@ def classify(token: str) -> int:
     core = token.strip(",.;:?\"'()[]{}«»“”„‘’…–—¡¿")
     letters = sum(map(str.isalpha, core))
     odd = len(core) - letters
-    if len(core) < 4 or not letters or len(core) > 40:
+    if len(core) < 4 or not letters:
         return flags
     if odd and letters >= 2 and core[:1].isalnum() and any(c in "0134578@$!|*#%€" for c in core[1:-1]) and "://" not in core and core.count("@") + core.count(".") < 2:
         flags |= MIXED
@@ -113,9 +117,15 @@ def classify(token: str) -> int:
     return flags
 
 
+def spelled_out(run: str) -> int:
+    """Insults in a run of single letters: the run itself, or else those of five letters or more within it."""
+    word = _SEPARATORS.sub("", run)
+    return 1 if word in _INSULTS else len(_LONG_INSULT.findall(word)) if len(word) > 5 else 0
+
+
 def stems(text: str) -> set[str]:
     """Words of letters, and their beginnings of ``STEM_SIZES`` letters, in lower case."""
-    words = {w for w in _LETTERS.findall(text.lower()) if 3 < len(w) <= 40}
+    words = {w for w in _LETTERS.findall(text.lower()) if len(w) > 3}
     return words | {w[:n] for w in words for n in STEM_SIZES if len(w) > n}
 
 
@@ -139,10 +149,9 @@ def features(text: str | None, learned: frozenset[str] = frozenset()) -> list[fl
     text = text or ""
     low = text.lower()
     tokens = low.split()
-    known = _known.get(learned)
-    if known is None or len(known) > REMEMBERED:
-        _known.clear()
-        known = _known[learned] = {}
+    known = kept(f"toxicity {hash(learned)}", dict)
+    if len(known) > REMEMBERED:
+        known.clear()
     flags = []
     for t in tokens:
         f = known.get(t)
@@ -154,9 +163,7 @@ def features(text: str | None, learned: frozenset[str] = frozenset()) -> list[fl
     kinds = np.array(flags, dtype=np.int8)
     n, size = len(tokens), max(1, len(text))
     plain, disguised, second = np.flatnonzero(kinds & PLAIN), np.flatnonzero(kinds & DISGUISED), np.flatnonzero(kinds & SECOND)
-    spelled = 0
-    if len(low) < 1 << 22 or "." in low:
-        spelled = sum(re.sub(r"[ .*_\-]", "", m) in _INSULTS for m in _SPELLED.findall(low))
+    spelled = sum(spelled_out(m[0]) for m in _SPELLED.finditer(low))
     bad = np.sort(np.concatenate([plain, disguised]))
     near = 0
     if len(bad) and len(second):
@@ -299,11 +306,13 @@ def choose_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
         return float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
 
     ranked = sorted(((odds(t, c) * np.sqrt(t), t, s) for s, t, c in counts if t >= STEM_DOCS and odds(t, c) >= STEM_ODDS), reverse=True)
-    kept: list[str] = []
+    chosen: set[str] = set()
+    beginnings: set[str] = set()
     for _, _, s in ranked:
-        if len(kept) < STEMS and not any(s.startswith(k) or k.startswith(s) for k in kept):
-            kept.append(s)
-    return frozenset(kept)
+        if not any(s[:n] in chosen for n in range(1, len(s) + 1)) and s not in beginnings:
+            chosen.add(s)
+            beginnings |= {s[:n] for n in range(1, len(s))}
+    return frozenset(chosen)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample: int) -> DataFrame:
