@@ -75,6 +75,12 @@ def cut_small(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete what was shuffled for steps that are done: it does so when the driver has dropped its objects."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def column(name: str) -> Column:
     """The column of that name, whatever signs are in it."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -39,8 +39,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colloquy.llm.common import arrow_map, cut, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, packed, ship_package, text_groups, unpacked
 
 #: A format is dense if the corpus holds more than one in so many of its values.
 DENSE = 4
@@ -75,7 +76,7 @@ EMAIL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-
 IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\w)")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 CARD = re.compile(r"(?<![\w.+-])[0-9](?:[ \n-]?[0-9]){12,18}(?![\w-])")
-PHONE = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .\n-]?)?\(?[0-9]{3}\)?[ .\n-]{1,2}[0-9]{3}[ .\n-][0-9]{4}(?!\w)|(?<![\w.-])\+[0-9]{1,3}(?:[ .\n/()-]{1,2}[0-9]{1,5}){2,6}(?!\w)|(?<!\w)\+[0-9]{8,15}(?!\w)")
+PHONE = re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .\n-]?)?\(?[0-9]{3}\)?[ .\n-]{1,2}[0-9]{3}[ .\n-][0-9]{4}(?!\w)|(?<![\w.-])\+[0-9]{1,3}(?:[ .\n/()-]{1,2}[0-9]{1,8}){2,6}(?!\w)|(?<!\w)\+[0-9]{8,15}(?!\w)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|passw(?:or)?d|pwd|bearer|credential)s?[\"']?\s*(?:[:=]|=>|\s)\s*[\"']?([A-Za-z0-9_+/.~-]{8,}={0,2})")
 DIGEST = re.compile(r"(?<![\w])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![\w])")
@@ -476,26 +477,25 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     ship_package(docs.sparkSession)
     exceptions = resolve_collisions(cut(distinct_entities(docs, text_col)), key)
     few = exceptions.limit(EXCEPTIONS_SENT + 1).collect()
-    columns = [c for c in docs.columns if c != "pii_entities"]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rest = docs.drop("pii_entities") if text_col != "pii_entities" else docs
+    rows, _ = packed(rest, text_col)
     own = "map<string,int>"
     if len(few) > EXCEPTIONS_SENT:
         # By the hash of the text, which stands for it: rows of equal text need equal exceptions.
-        packed = packed.withColumn("h", F.sha2("text", 256))
+        rows = rows.withColumn("h", F.sha2("text", 256))
 
         def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_groups(batches, "text", 4 << 20):
                 seen = sorted({(h, k, n) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for _, _, kind, normal in entities(t) for k, n in ((kind, normal), ("surname", surname_of(kind, normal))) if n})
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], ["h", "kind", "normal"])
 
-        held = arrow_map(packed.select("h", "text").where("text is not null"), mentions, "h string, kind string, normal string").distinct()
+        held = arrow_map(rows.select("h", "text").where("text is not null"), mentions, "h string, kind string, normal string").distinct()
         by_text = held.join(exceptions, ["kind", "normal"]).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias("own"))
-        packed = packed.join(by_text, "h", "left").select("row", "text", "own")
+        rows = rows.join(by_text, "h", "left").select("row", "text", "own")
         sent: dict[tuple[str, str], int] = {}
     else:
-        packed = packed.withColumn("own", F.lit(None).cast(own))
+        rows = rows.withColumn("own", F.lit(None).cast(own))
         sent = {(r["kind"], r["normal"]): r["attempt"] for r in few}
-    result = "array<struct<start: int, end: int, kind: string, surrogate: string>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,6 +511,6 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
                 told.append([dict(zip(("start", "end", "kind", "surrogate"), s, strict=True)) for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(told, kind)], ["row", "text", "pii_entities"])
 
-    schema = "row " + packed.schema["row"].dataType.simpleString() + f", text string, pii_entities {result}"
-    done = arrow_map(packed, run, schema)
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns], "pii_entities")
+    entity = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("surrogate", T.StringType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("pii_entities", T.ArrayType(entity))])
+    return unpacked(arrow_map(rows, run, schema), rest, text_col, ["pii_entities"])

@@ -14,8 +14,10 @@ never shuffled while the benchmark fits one block.
 
 Defined cases: a null or wordless document has no words and no hits; a null or
 wordless item, or one without an id, has no windows; repeated items with one id
-count once; repeated documents give repeated rows; empty tables give an empty
-result, or no hits.
+count once; repeated documents give repeated rows; of equal least hashes in a
+window all are kept; a text of any length is read whole, in pieces; columns other
+than those named are not read, or kept as they are by ``without_hits``; empty
+tables give an empty result, or no hits.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colloquy.llm.common import arrow_map, cut, ship_package, text_groups
+from colloquy.llm.common import arrow_map, cut, packed, ship_package, text_groups, unpacked
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
@@ -247,6 +250,11 @@ def _blocks(items: DataFrame, limit: int) -> list[Callable[[], list[tuple[str, s
     return [lambda b=b: [(r[0], r[1]) for r in items.where(slot == b).select("item_id", "text").toLocalIterator()] for b in range(blocks)]
 
 
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    return items.where("item_id is not null and text is not null")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(id, n_words, spans, items)`` for every document row.
 
@@ -256,7 +264,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     ship_package(spark)
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = _items(benchmark, item_id, item_text)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("text"))
     schema = "id long, n_words long, spans array<struct<a: long, b: long>>, items array<string>"
     blocks = _blocks(items, block_bytes)
@@ -300,6 +308,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return joined.select("id", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<a: bigint, b: bigint>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no test item has a window.
+
+    Rows are judged where they are read and never shuffled. Of a benchmark of
+    several blocks each judges what the one before has left, which is written to
+    the shared folder between them.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    rows, kind = packed(docs, doc_text)
+    schema = T.StructType([T.StructField("row", kind), T.StructField("text", T.StringType())])
+    blocks = _blocks(_items(benchmark, item_id, item_text), block_bytes)
+    for i, load in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(Index(load(), span, k))  # bounded by block_bytes
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in text_groups(batches, "text", 4 << 20):
+                found = index.documents(batch.column(1).cast(pa.large_binary()).to_pylist())
+                yield batch.filter(pa.array([not x[1] for x in found], pa.bool_()))
+
+        rows = arrow_map(rows, run, schema)
+        if i < len(blocks) - 1:
+            rows = cut(rows)
+    return unpacked(rows, docs, doc_text, [])
+
+
 def digest(names: str = "items"):
     """sha256 of the comma-joined names, which are sorted already."""
     return F.sha2(F.array_join(names, ","), 256)

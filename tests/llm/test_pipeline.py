@@ -41,14 +41,32 @@ def test_near_copies(spark, sf, monkeypatch):
             texts[len(texts)] = " ".join(copy)
     want = brute_components(texts)
     docs = spark.createDataFrame([*texts.items(), (None, "a b c")], "doc_id long, text string")
-    for common in (1 << 18, 3):
-        monkeypatch.setattr(shingles, "COMMON", common)
+    for slots, full, block in ((1 << 22, 128, 2048), (4, 1, 16)):
+        monkeypatch.setattr(shingles, "SLOTS", slots)
+        monkeypatch.setattr(shingles, "FULL", full)
+        monkeypatch.setattr(shingles, "BLOCK", block)
         assert {r["id"]: r["component"] for r in shingles.near_copies(docs).collect()} == want
     assert shingles.near_copies(docs.limit(0)).count() == 0
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
     assert {r["doc_id"] for r in kept} == {*want.values(), None}
 
 
+def test_near_copies_of_a_crowd(spark, monkeypatch):
+    # A large family of copies with more or fewer changes: many are similar to some, some to none.
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    monkeypatch.setattr(shingles, "FULL", 32)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = {}
+    for i in range(260):
+        copy = list(base)
+        for _ in range(rnd.randrange(9)):
+            copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(10**6)}"
+        texts[i] = " ".join(copy)
+    got = {r["id"]: r["component"] for r in shingles.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == brute_components(texts) and 1 < len(set(got.values())) < 200
+
+
 def test_near_copies_of_the_data(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute_components({r["doc_id"]: r["text"] for r in docs.collect()})
