@@ -2,8 +2,10 @@
 
 Five stages turn the table of documents into token ids: language identification
 drops documents without an identifiable language; of each group of texts whose
-five-word shingles are similar to 0.8 or more one stays; documents that hold a benchmark passage go;
-personal data get surrogates; what is left is encoded and decoded.
+five-word shingles are similar to 0.8 or more one stays (multi-index hashing of
+SimHash fingerprints finds the first links, an exact set join the rest);
+documents that hold a benchmark passage go; personal data get surrogates; what
+is left is encoded and decoded.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all rows of
 ``docs``, the Parquet that its predecessor wrote. All but the last return the
@@ -13,11 +15,11 @@ repeated rows are near-duplicates of each other; empty tables give empty results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import langid, pii, shingles, trie_bpe, winnow
-from colloquy.llm.common import cut, held_out, read_table, shared_path
+from colloquy.llm.common import cut_small, drop_path, held_out, read_table, shared_path
 from colloquy.llm.entries import PII_KEY, tokenizer_file
 
 #: Documents whose best cosine with any language is below this are no text of a known language.
@@ -41,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without an id one for each text.
     """
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    groups = cut(shingles.near_copies(named).where("id = component").groupBy("id").agg(F.count("*").alias("copies")))
+    groups = cut_small(shingles.near_copies(named).where("id = component").groupBy("id").agg(F.count("*").alias("copies")))
     kept = named.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
     repeated = groups.where("copies > 1").select(F.col("id").alias("doc_id"))
 
@@ -57,18 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in which no window of a benchmark item occurs."""
-    benchmark = read_table(spark, sf_dir, "benchmark")
-
-    def clean(rows: DataFrame, key: Column) -> DataFrame:
-        found = winnow.decontaminate(rows.select(key.alias("doc_id"), "text"), benchmark)
-        hit = found.where(F.size("spans") > 0).select(F.col("id").alias("hit_key")).distinct()
-        return rows.join(hit, key == F.col("hit_key"), "left_anti").select(*docs.columns)
-
-    nameless = docs.where("doc_id is null")
-    kept = clean(docs.where("doc_id is not null"), F.col("doc_id"))
-    # Rows without an id go by their text.
-    return kept if nameless.isEmpty() else kept.unionByName(clean(nameless, F.xxhash64("text")))
+    """Keep documents in which no window of a benchmark item occurs; rows are judged one by one, whatever their ids."""
+    return winnow.without_hits(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,13 +87,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each leaves is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
+    """Apply the stages to ``documents``.
+
+    What each leaves is written to the shared folder and read again; it goes when
+    the next has written its own, and the last when the application ends.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for i, (name, stage) in enumerate(STAGES[:-1]):
         path = shared_path(spark, f"stage-{i}-{name}")
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+        if before is not None:
+            drop_path(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
