@@ -8,25 +8,37 @@ each shard a graph is built: candidates are the nearest nodes and some random
 ones, pruned by the robust rule (an edge is left out if one already taken leads
 there), made symmetric, and mended until the medoid reaches every node. The
 adjacency lists of all shards are united into one flat graph. Then every node is
-a query: in each of its shards a greedy search runs from the medoid, over the
-united lists, to the query's vicinity, and from there expands through all nodes
-in range (with some slack) until no new one turns up. What it meets is verified
-by cosine in double precision.
+a query in the first of its shards: a greedy search runs from the medoid, over
+the united lists, to the query's vicinity, and from there expands through all
+nodes in range (with some slack) until no new one turns up. What it meets is
+verified by cosine in double precision; after that an exact check by blocks
+adds what a search in the shard may have missed, so that the shards of a pair
+agree on it.
 
 A pair counts in the first shard that both ends share, so nothing needs to be
 emitted pair by pair: a shard returns a count and a local component per node.
-Centres are fitted on at most ``SAMPLE`` nodes; every node is indexed. Recall is
-audited against brute force for ``AUDITED`` queries over all rows; below the
-target the search is repeated with more overlap.
+Centres are fitted on at most ``SAMPLE`` nodes; every node is indexed. What can
+be missed are pairs that share no shard, so recall is audited at every overlap:
+the mean, over ``AUDITED`` nodes drawn by a hash, of the share of a node's links
+to other vectors that a comparison with all rows finds. Below the target the
+search is repeated with twice the overlap, and beyond ``OVERLAP_MOST`` with one
+cluster, whose parts all meet, which is exact.
+
+Clusters fit their shards up to ``CLUSTERS_MOST * SHARD / overlap`` nodes, about
+eight million; with more of them parts meet more often, in proportion to the
+size of a cluster. ``CLUSTERS_MOST`` and ``SAMPLE`` are to be raised together.
 
 Defined cases: vectors that are null, of zero length or hold null or non-finite
 components have no links and are their own component, as are rows without an id,
 whose component is null; vectors of different dimension do not link; repeated
-rows are links of each other; an empty table gives an empty result.
+rows are links of each other; nodes at equal distances may change places in a
+graph, but not in the result, as all in range are taken; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +49,13 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import arrow_map, cut, ship_package
 from colloquy.llm.components import connected_components
 
-SAMPLE, SHARD, CLUSTERS_MOST = 20_000, 2048, 2048
+SAMPLE, SHARD, CLUSTERS_MOST = 65_536, 2048, 8192
 DEGREE, NEAREST, RANDOM, ALPHA = 16, 32, 16, 1.2
 BEAM, QUERIES_AT_ONCE, PAIRS_AT_ONCE, SLACK = 16, 256, 1 << 16, 0.05
-AUDITED, TARGET_RECALL = 200, 0.97
+#: Cosines in single precision are that near to those in double precision.
+ROUNDING = 1e-4
+AUDITED, TARGET_RECALL, OVERLAP_MOST = 1000, 0.97, 16
+log = logging.getLogger(__name__)
 
 
 # one shard
@@ -209,10 +224,13 @@ def shard_links(vectors: np.ndarray, lists: list[np.ndarray], weights: np.ndarra
     x = (exact / lengths[:, None]).astype(np.float32)
     table, start = padded(lists), medoid(x)
     found = np.zeros((n, n), dtype=bool)
-    for at in range(0, n, QUERIES_AT_ONCE):
-        queries = np.arange(at, min(n, at + QUERIES_AT_ONCE))
+    asked = np.flatnonzero([s[0] == shard for s in shards])
+    for at in range(0, len(asked), QUERIES_AT_ONCE):
+        queries = asked[at : at + QUERIES_AT_ONCE]
         found[queries] = range_search(x, table, start, queries, least)
     found |= found.T
+    for at in range(0, n, QUERIES_AT_ONCE):
+        found[at : at + QUERIES_AT_ONCE] |= x[at : at + QUERIES_AT_ONCE] @ x.T >= least - ROUNDING
     np.fill_diagonal(found, False)
     width = max(map(len, shards))
     homes = np.full((n, width), -1, dtype=np.int64)
@@ -282,18 +300,21 @@ def _assign(classes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = unit(np.stack([np.frombuffer(v, dtype="<f8") for v in batch.column(1).to_pylist()])).astype(np.float32)
-            near = np.argpartition(-(x @ centres.T), k - 1, axis=1)[:, :k]
+            far = -(x @ centres.T)
+            near = np.argpartition(far, k - 1, axis=1)[:, :k]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], ["rep", "vec", "m", "clusters"])
 
     return arrow_map(classes.select("rep", "vec", "m"), run, "rep long, vec binary, m long, clusters array<int>")
 
 
 def _one_dimension(classes: DataFrame, n: int, least: float, overlap: int, build=_build, search=_search) -> DataFrame:
-    """``(rep, n, root)`` rows, several for a node, of classes of one dimension."""
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()
+    """``(rep, n, root)`` rows, several for a node, of classes of one dimension; with overlap 0 there is one cluster."""
+    k = min(CLUSTERS_MOST, -(-n * overlap // SHARD)) if overlap else 1
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(SAMPLE, max(16 * k, 4096))).select("vec").collect()
     x = unit(np.stack([np.frombuffer(r["vec"], dtype="<f8") for r in sample])).astype(np.float32)
-    k = max(1, min(CLUSTERS_MOST, -(-n * overlap // SHARD), len(x) // 8 or 1))
-    assigned = cut(_assign(classes, kmeans(x, k), overlap))
+    k = max(1, min(k, len(x) // 8))
+    assigned = cut(_assign(classes, kmeans(x, k), max(1, overlap)))
     sizes = assigned.select(F.explode("clusters").alias("cluster")).groupBy("cluster").count().collect()  # CLUSTERS_MOST rows at most
     parts = {r["cluster"]: -(-r["count"] // (SHARD if r["count"] <= SHARD else SHARD // 2)) for r in sizes}
     first, names = {}, 0
@@ -357,32 +378,43 @@ def links_and_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
         nodes = classes.join(counts, "rep", "left").join(components.withColumnRenamed("node", "rep"), "rep", "left")
         nodes = cut(nodes.select("vec", "rep", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
-        if overlap >= 12 or recall(nodes, classes, least) >= TARGET_RECALL:
+        share = recall(nodes, classes, least)
+        log.info("overlap %d: recall %.4f", overlap, share)
+        if not overlap or share >= TARGET_RECALL:
             result = nodes
             break
-        overlap *= 2
+        overlap = 2 * overlap if 2 * overlap <= OVERLAP_MOST else 0
     linked = usable.join(result, "vec").select("id", F.col("n_links").cast("long").alias("n_links"), "component")
     alone = rows.where("id is null or vec is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(alone)
 
 
 def recall(nodes: DataFrame, classes: DataFrame, least: float, audited: int = AUDITED) -> float:
-    """Links found of ``audited`` nodes, as a share of those that a comparison with all rows finds."""
-    linked = nodes.where("n_links > 0").orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(audited // 2)
-    picked = linked.unionByName(nodes.orderBy(F.xxhash64("rep", F.lit(6)), "rep").limit(audited // 2)).collect()
-    asked = [(np.frombuffer(r["vec"], "<f8"), r["n_links"]) for r in picked]
-    queries = {d: np.stack([unit(v[None])[0] for v, _ in asked if len(v) == d]) for d in {len(v) for v, _ in asked}}
+    """The mean, over audited nodes with links to other vectors, of the share of these that was found.
+
+    Nodes are drawn by a hash, whatever was found of them, and compared with all rows.
+    """
+    picked = nodes.orderBy(F.xxhash64("rep", F.lit(6)), "rep").limit(audited).join(classes.select("rep", "m"), "rep").collect()
+    found: dict[int, int] = {}
+    queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in {len(r["vec"]) // 8 for r in picked}:
+        own = [r for r in picked if len(r["vec"]) == 8 * d]
+        found |= {r["rep"]: r["n_links"] - r["m"] + 1 for r in own}
+        queries[d] = np.array([r["rep"] for r in own], dtype=np.int64), unit(np.stack([np.frombuffer(r["vec"], "<f8") for r in own]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        met = {d: np.zeros(len(names), dtype=np.int64) for d, (names, _) in queries.items()}
         for batch in batches:
-            for d, q in queries.items():
-                same = [(np.frombuffer(v, "<f8"), m) for v, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(v) == 8 * d]
-                if same:
-                    near = unit(np.stack([v for v, _ in same])) @ q.T >= least
-                    total += int((near * np.array([m for _, m in same])[:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
-
-    truth = arrow_map(classes.select("vec", "m"), run, "n long").agg(F.sum("n")).first()[0] or 0
-    truth -= len(asked)  # each query meets itself
-    return 1.0 if truth <= 0 else sum(n for _, n in asked) / truth
+            reps, vectors, times = (batch.column(i).to_pylist() for i in range(3))
+            for d, (names, q) in queries.items():
+                same = [i for i, v in enumerate(vectors) if len(v) == 8 * d]
+                for at in range(0, len(same), 2048):
+                    part = same[at : at + 2048]
+                    near = unit(np.stack([np.frombuffer(vectors[i], "<f8") for i in part])) @ q.T >= least
+                    near &= np.array([reps[i] for i in part])[:, None] != names
+                    met[d] += np.array([times[i] for i in part]) @ near
+        for d, (names, _) in queries.items():
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(met[d])], ["rep", "n"])
+
+    there = arrow_map(classes.select("rep", "vec", "m"), run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    return float(np.mean([min(1.0, found[r["rep"]] / r["n"]) for r in there])) if there else 1.0

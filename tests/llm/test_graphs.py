@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colloquy.llm import entries, urlgraph, vectorgraph, winnow
+from colloquy.llm import entries, shingles, urlgraph, vectorgraph, winnow
 
 
 def reachable(n, links):
@@ -49,6 +49,32 @@ def test_vectors(spark, monkeypatch, shard):
     assert all(got[i] == (0, i) for i in (1000, 1001, 1002, 1003, 1004, 1005)) and got[None] == (0, None)
 
 
+def test_vectors_are_exact_in_the_end(spark, monkeypatch):
+    # An audit that is never content leads to one cluster, whose parts all meet.
+    monkeypatch.setattr(vectorgraph, "SHARD", 64)
+    monkeypatch.setattr(vectorgraph, "TARGET_RECALL", 2.0)
+    monkeypatch.setattr(vectorgraph, "OVERLAP_MOST", 2)
+    vectors = clustered(random.Random(2), 300)
+    x = np.array(vectors)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = reachable(300, list(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)))
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r["id"]: (r["n_links"], r["component"]) for r in vectorgraph.links_and_components(df).collect()}
+    assert got == {i: (int(near[i].sum()), label[i]) for i in range(300)}
+
+
+def test_audit_is_a_mean_over_queries(spark):
+    # One group of many links that are all found does not hide pairs that are lost.
+    rnd = np.random.default_rng(3)
+    crowd, pairs = rnd.normal(size=(1, 16)) + 0.001 * rnd.normal(size=(60, 16)), np.repeat(rnd.normal(size=(20, 16)), 2, axis=0) + 0.001 * rnd.normal(size=(40, 16))
+    x = np.concatenate([crowd, pairs])
+    classes = spark.createDataFrame([(i, v.astype("<f8").tobytes(), 1) for i, v in enumerate(x)], "rep long, vec binary, m long")
+    nodes = spark.createDataFrame([(i, v.astype("<f8").tobytes(), 59 if i < 60 else 0) for i, v in enumerate(x)], "rep long, vec binary, n_links long")
+    assert vectorgraph.recall(nodes, classes, 0.95) == pytest.approx(0.6)
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert vectorgraph.links_and_components(empty).count() == 0
@@ -88,24 +114,64 @@ def test_url_rules(spark):
     for i, (host, path, rule, verdict) in brute_urls(enumerate(urls), entries.URL_RULES).items():
         assert got[i][:3] == (host, path, rule) and (verdict is None or got[i][3] == verdict)
     assert urlgraph.filter_urls(pages.limit(0), entries.URL_RULES).count() == 0
+    twice = urlgraph.filter_urls(pages.unionByName(pages), entries.URL_RULES).select("id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(repr, twice)) == sorted(2 * [repr(r) for r in urlgraph.filter_urls(pages, entries.URL_RULES).select("id", "host", "path", "rule", "verdict").collect()])
+
+
+def spread_links(*hosts):
+    return "".join(f'<a class="x" HREF="//{h}/p">l</a>' for h in hosts)
+
+
+def brute_spread(out, good, bad):
+    """Trust and distrust of each host from ``{host: {host: share}}``."""
+    hosts, d = list(good), urlgraph.DAMPING
+    mass, whole, value = dict(good), dict.fromkeys(hosts, 1.0), dict(bad)
+    for _ in range(urlgraph.ROUNDS):
+        new = {h: (1 - d) * good[h] + d * (0 if h in out else mass[h]) for h in hosts}
+        all_ = {h: (1 - d) + d * (0 if h in out else whole[h]) for h in hosts}
+        for src, to in out.items():
+            for dst, share in to.items():
+                new[dst] += d * mass[src] * share
+                all_[dst] += d * whole[src] * share
+        value = {h: bad[h] + (1 - bad[h]) * d * sum(s * value[x] for x, s in out.get(h, {}).items()) for h in hosts}
+        mass, whole = new, all_
+    return {h: mass[h] / whole[h] for h in hosts}, value
 
 
 def test_spread(spark):
-    link = lambda *hosts: "".join(f'<a class="x" HREF="//{h}/p">l</a>' for h in hosts)
-    rows = [(1, "http://good.org/fr/", link("friend.info", "friend.info", "other.info")), (2, "http://bad.net/", ""), (3, "http://farm.info/", link("bad.net", "BAD.net", "farm.info")), (4, "http://friend.info/", ""), (5, "http://alone.info/", "<a href=/local>"), (6, "http://other.info/", link("good.org"))]
+    rows = [(1, "http://good.org/fr/", spread_links("friend.info", "friend.info", "other.info")), (2, "http://bad.net/", ""), (3, "http://farm.info/", spread_links("bad.net", "BAD.net", "farm.info")), (4, "http://friend.info/", ""), (5, "http://alone.info/", "<a href=/local>"), (6, "http://other.info/", spread_links("good.org"))]
     got = {r["id"]: r for r in urlgraph.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), entries.URL_RULES).collect()}
-    assert got[3]["verdict"] == "block" and {got[i]["verdict"] for i in (4, 5, 6)} == {"allow"} and got[4]["trust"] > got[6]["trust"] > 0
+    assert got[3]["verdict"] == "block" and {got[i]["verdict"] for i in (4, 5, 6)} == {"allow"} and got[4]["trust"] > got[3]["trust"] == 0
     hosts = ["good.org", "bad.net", "farm.info", "friend.info", "other.info", "alone.info"]
     out = {"good.org": {"friend.info": 2 / 3, "other.info": 1 / 3}, "farm.info": {"bad.net": 1.0}, "other.info": {"good.org": 1.0}}
-    seed = {h: float(h == "good.org") for h in hosts}
-    mass = dict(seed)
-    for _ in range(urlgraph.ROUNDS):
-        new = {h: (1 - urlgraph.DAMPING) * seed[h] + urlgraph.DAMPING * (0 if h in out else mass[h]) for h in hosts}
-        for src, to in out.items():
-            for dst, share in to.items():
-                new[dst] += urlgraph.DAMPING * mass[src] * share
-        mass = new
-    assert {r["host"]: pytest.approx(r["trust"]) for r in got.values()} == {h: mass[h] for h in hosts}
+    trust, distrust = brute_spread(out, {h: float(h == "good.org") for h in hosts}, {h: float(h == "bad.net") for h in hosts})
+    assert {r["host"]: (pytest.approx(r["trust"]), pytest.approx(r["distrust"])) for r in got.values()} == {h: (trust[h], distrust[h]) for h in hosts}
+
+
+def test_spread_does_not_depend_on_size(spark):
+    # Farms of any number of hosts, chains to a blocked host, a host of mostly blocked pages with links to it, and hosts with few bad links.
+    rows = [("bad.net", "/", "")] + [(f"farm{i}.info", "/", spread_links("bad.net")) for i in range(12)] + [("chain.info", "/", spread_links("farm0.info"))]
+    rows += [("half.info", "/", spread_links("bad.net", "fine.info")), ("news.info", "/", spread_links("bad.net", *["fine.info"] * 9)), ("fine.info", "/", "<!-- " + spread_links("bad.net") + " --><script>x = '" + spread_links("bad.net").replace("'", "") + "'</script>")]
+    rows += [("example.com", "/de/", "")] * 9 + [("example.com", "/", "")] + [(f"fan{i}.info", "/", spread_links("example.com", "fine.info", "fine.info")) for i in range(5)]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}", html) for i, (h, p, html) in enumerate(rows)], "page_id long, url string, html string")
+    got = {(r["host"], r["path"]): r["verdict"] for r in urlgraph.filter_urls(pages, entries.URL_RULES).collect()}
+    blocked = {h for (h, p), v in got.items() if v == "block"}
+    assert blocked == {"bad.net", "chain.info", "example.com", *(f"farm{i}.info" for i in range(12))} and got["example.com", "/"] == "block"
+
+
+def test_url_sql_with_links(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    hosts = [f"h{i}.info" for i in range(20)] + ["bad.net", "worse.net", "good.org"]
+    rows = [(i, f"https://{h}/{'fr/' if rnd.random() < 0.5 else ''}x", "<!--" + spread_links("bad.net") + "-->" * (i % 2) + "<p>" + spread_links(*rnd.choices(hosts, k=rnd.randrange(5)))) for i, h in enumerate(rnd.choices(hosts, k=200))]
+    got = urlgraph.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), entries.URL_RULES)
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    want = con.execute(entries.op2_sql()).fetchall()
+    assert sorted(map(tuple, got.select("id", "host", "path", "rule", "verdict").collect())) == sorted(want)
+    assert {"block", "allow"} == {r[4] for r in want if r[3] is None}
 
 
 # pipeline
@@ -123,16 +189,29 @@ def test_pipeline(spark, sf):
     assert out == survivors and len(out) > 0.7 * docs.count()
     hit = {r["id"] for r in winnow.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("size(spans) > 0").collect()}
     assert not out & hit
-    groups = {r["doc_id"]: r["component_id"] for r in entries.op8_simhash_near_dedup(spark, sf).collect()}
+    groups = {r["id"]: r["component"] for r in shingles.near_copies(docs).collect()}
     kept = [groups[i] for i in out]
     assert len(kept) == len(set(kept))
 
 
-def test_pipeline_odd(spark, odd_docs):
+def test_pipeline_odd(spark, odd_docs, sf):
     docs = odd_docs.withColumn("source", F.lit("s"))
     once = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted((r["doc_id"] for r in once.collect()), key=repr) == [1, 2, 5, 6, 7, None]
     named = corpus_pipeline.identify_language(spark, docs, "")
     assert named.columns == docs.columns and not {2, 3, 4, 7} & {r["doc_id"] for r in named.collect()}
+    clean = corpus_pipeline.drop_benchmark_passages(spark, docs, sf)
+    assert clean.columns == docs.columns and sorted(map(repr, clean.collect())) == sorted(map(repr, docs.collect()))
+    private = corpus_pipeline.replace_personal_data(spark, docs, sf)
+    assert private.columns == docs.columns and sorted(map(repr, private.drop("n_chars").collect())) == sorted(map(repr, docs.drop("n_chars").collect()))
+    assert corpus_pipeline.encode_tokens(spark, docs, sf).count() == docs.count()
     empty = docs.limit(0)
-    assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0 and corpus_pipeline.replace_personal_data(spark, empty, "").count() == 0
+    assert all(stage(spark, empty, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_benchmark_in_blocks(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    hit = {r["id"] for r in winnow.decontaminate(docs, items).where("size(spans) > 0").collect()}
+    for size in (winnow.BLOCK_BYTES, 4000):
+        left = winnow.without_hits(docs, items, block_bytes=size)
+        assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in docs.collect()} - hit and left.columns == docs.columns
