@@ -26,7 +26,8 @@ are not shuffled when there are none.
 
 Defined cases: a null text stays null and has no entities; where entities
 overlap the earlier start wins, then the longer; repeated rows are treated
-alike; an empty table gives an empty result.
+alike; a text of any length is searched whole; other columns of any name are
+kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
