@@ -65,17 +65,19 @@ def test_fingerprint_is_sparks_hash(spark):
     assert simhash.fingerprint("One") == word % 2**64
 
 
+@pytest.mark.parametrize("full", [0, 3, 32])
 @pytest.mark.parametrize("distance", [0, 1, 2])
-def test_close_pairs(spark, distance):
+def test_close_pairs(spark, distance, full):
     rnd = random.Random(distance)
     base = [rnd.getrandbits(64) for _ in range(20)]
     prints = {b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(4))) for b in base for _ in range(12)}
     prints |= {base[0] ^ (1 << i) for i in range(64)}  # a crowd around one value
+    prints |= {base[1] ^ rnd.getrandbits(6) for _ in range(50)} | {base[2] ^ rnd.getrandbits(6) << 40 for _ in range(50)}  # crowds in one segment
     rows = [(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(sorted(prints))]
     df = spark.createDataFrame(rows, "rep long, fp long")
     value = {i: p % 2**64 for i, p in rows}
     links = [(a, b) for a in value for b in value if a < b and (value[a] ^ value[b]).bit_count() <= distance]
-    got = [(r["u"], r["v"]) for r in simhash.close_pairs(df, distance).collect()]
+    got = [(r["u"], r["v"]) for r in simhash.close_pairs(df, distance, full).collect()]
     assert all((value[a] ^ value[b]).bit_count() <= distance for a, b in got)
     assert least_reachable(value, got) == least_reachable(value, links)
 
@@ -298,6 +300,27 @@ def test_toxicity(spark, odd_docs):
     assert len(toxicity.toxicity(odd_docs, labels).collect()) == odd_docs.count() and toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_the_data(spark, sf):
+    """Held-out rows of the real labels; some are marked toxic at random, so those count that have an insult."""
+    folder = sf.replace("sf0.001", "sf0.01")
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    insulting = lambda i: toxicity.features(texts[i])[toxicity.FEATURES.index("log_insults")] > 0
+    rows = [r for r in entries.op3_toxicity(spark, folder).collect() if r["held_out"] and r["doc_id"] in truth]
+    bad, good = [r for r in rows if truth[r["doc_id"]] and insulting(r["doc_id"])], [r for r in rows if not truth[r["doc_id"]]]
+    assert len(bad) > 5 and sum(r["predicted"] for r in bad) >= 0.9 * len(bad) and sum(r["predicted"] for r in good) <= 0.02 * len(good)
+
+
+def test_toxicity_has_no_limits_of_length():
+    at = {n: i for i, n in enumerate(toxicity.FEATURES)}
+    long = "word " * 900_000
+    for end in ("i d i o t", "i-d-i-o-t", "i d i o t ."):
+        assert toxicity.features(long + end)[at["log_disguised"]] == toxicity.features("word " + end)[at["log_disguised"]] >= np.log(2) - 1e-9
+    assert toxicity.classify("id" + "i" * 400 + "ot") & toxicity.DISGUISED and toxicity.classify("a" * 50 + "0x1") & toxicity.MIXED
+    assert toxicity.stems("x" * 3 + "y" * 60) == {"xxx" + "y" * 60, "xxxy", "xxxyy", "xxxyyy", "xxxyyyy"}
+    assert toxicity.spelled_out("s t u p i d i d i o t") == 2 and toxicity.spelled_out("a b c d e f g") == 0
+
+
 def test_disguises():
     for word in ("1d10t", "st*pid", "i.d.i.o.t", "stuuupid", "tr@sh", "pathet!c"):
         assert toxicity.classify(word) & toxicity.DISGUISED
@@ -381,6 +404,20 @@ def test_dense_formats(spark):
     assert len(people) == 14
 
 
+def test_pii_agrees_over_documents(spark):
+    docs = spark.createDataFrame(
+        [(1, "Mrs. Anna Keller met Mr. Tom Keller. Keller said so, Anna did not."), (2, "Dr. Keller wrote to Frau Anna Keller, anna@keller.example, +49 170 1234567."), (3, "Call +49 170 1234567 or anna@keller.example. Nothing else, Keller."), (4, None), (5, "")],
+        "doc_id long, text string",
+    ).withColumns({"a b": F.lit("x"), "c.d": F.struct(F.lit(1).alias("e f"))})
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
+    assert rows[4]["text"] is None and rows[5]["text"] == "" and rows[1]["a b"] == "x" and rows[1]["c.d"]["e f"] == 1
+    names = lambda i: [e["surrogate"] for e in rows[i]["pii_entities"] if e["kind"] == "person"]
+    last = {n.split(" ")[-1] for n in [*names(1)[:3], *names(2)]}
+    assert len(last) == 1 and "Keller" not in rows[1]["text"] and names(1)[0] == names(2)[1] and names(1)[3] == names(1)[0].split(" ")[0]
+    found = [{(e["kind"], e["surrogate"]) for e in rows[i]["pii_entities"] if e["kind"] in ("email", "phone")} for i in (2, 3)]
+    assert found[0] == found[1] and len(found[0]) == 2 and rows[3]["text"].endswith("Nothing else, Keller.")
+
+
 def test_pii_rows(spark, odd_docs):
     done = pii.pseudonymise(odd_docs, "k")
     assert done.columns == [*odd_docs.columns, "pii_entities"] and sorted(map(repr, done.drop("pii_entities").collect())) == sorted(map(repr, odd_docs.collect()))
@@ -417,6 +454,60 @@ def test_html_shows_all_that_is_visible(html, text):
     assert htmlrender.render(html) == text
 
 
+def test_html_is_linear_and_keeps_what_is_hidden_hidden():
+    import time
+
+    deep = "<div>" * 130 + "<script>var x=1</script><style>.h{display:none}</style><div hidden>secret<b>more</b></div><p class=h>gone</p>seen<p>one<p>two" + "</div>" * 130 + "after"
+    assert htmlrender.render(deep) == "seen\n\none\n\ntwo\nafter"
+    began = time.process_time()
+    for page in ("<a " * 30_000, "<!--" * 30_000, "<b>" * 20_000 + "</i>" * 20_000, "<p>" * 20_000, "<div><b>" * 10_000 + "</div>" * 10_000, "<ul>" * 100 + "<li>x" * 5_000, "&" * 50_000, "<table>" * 3_000 + "x"):
+        assert len(htmlrender.render(page)) < 20 * len(page)
+    wide = "<table><tr><td>" + "x" * 50_000 + "<td>b" + "<tr><td>1<td>2" * 1000 + "</table>"
+    out = htmlrender.render(wide)
+    assert len(out) < 2 * len(wide) and out.endswith("1  2") and time.process_time() - began < 20
+    assert htmlrender.render("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>") == "a    bb\nccc  d"
+
+
+def visible_words(html):
+    """The words of a page by the library's own tokenizer, without layout."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "head", "title", "template", "noscript")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "head", "title", "template", "noscript")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out += data.split()
+
+    parser = Words()
+    parser.feed(html)
+    parser.close()
+    return parser.out
+
+
+def test_html_loses_no_word_of_simple_pages():
+    rnd = random.Random(6)
+
+    def page(depth):
+        tag = rnd.choice(["p", "div", "b", "ul", "span", "section", "blockquote", "em", "h2"])
+        inner = " ".join(page(depth - 1) if depth and rnd.random() < 0.6 else f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(1, 5)))
+        inner = f"<li>{inner}</li>" if tag == "ul" else inner
+        return rnd.choice([f"<{tag}>{inner}</{tag}>", f"<{tag.upper()} class='x y' data-a=\"1>2\">{inner}</{tag}>", f"<!-- <b>c</b> --><{tag}>{inner}</{tag}><script>var a = '<p>no</p>';</script>"])
+
+    for _ in range(300):
+        html = page(4)
+        got = [w for w in htmlrender.render(html).split() if w != "-"]
+        assert got == visible_words(html)
+
+
 def test_html_rows(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     assert htmlrender.extract(pages.withColumn("text", F.lit(1))).count() == pages.count() and htmlrender.extract(pages.limit(0)).count() == 0
