@@ -43,9 +43,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without an id one for each text.
     """
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    groups = cut_small(shingles.near_copies(named).where("id = component").groupBy("id").agg(F.count("*").alias("copies")))
-    kept = named.join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
-    repeated = groups.where("copies > 1").select(F.col("id").alias("doc_id"))
+    labels = cut_small(shingles.near_copies(named))
+    gone = labels.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    # What goes is sent to every task while it is few; texts are not shuffled then.
+    kept = named.join(F.broadcast(gone) if gone.count() <= shingles.SENT else gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = labels.where("id = component").groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("copies")).where("copies > 1").select("doc_id")
 
     def least(rows: DataFrame, key: str) -> DataFrame:
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
