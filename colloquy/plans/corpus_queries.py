@@ -11,8 +11,7 @@ from colloquy.functions import ids, text, times, vectors
 from colloquy.operators import access, attachments, evaluation, incremental, lexical, queue, ranking, rendering, segments
 from colloquy.plans import upkeep
 from colloquy.plans.search import SearchTables, hybrid_search
-from colloquy.plans.views import register, segment_index, sql, view
-from colloquy.session import shared_path
+from colloquy.plans.views import rebuild_index, register, segment_index, sql, view
 from colloquy.sources import extract
 
 # attachments and enrichment
@@ -210,7 +209,7 @@ def o83(spark, sf):
 @register("o139_rebuild", sql(f"SELECT (SELECT count(*) FROM segment) AS n_docs, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_terms, (SELECT max(message_id) FROM message) AS position FROM (SELECT segment_id, term, count(*) AS tf FROM (SELECT segment_id, unnest({WORDS}) AS term FROM segment) GROUP BY ALL)", "segment", "message"))
 def o139(spark, sf):
     events = view(spark, sf, "message").select(F.col("message_id").alias("event_id"))
-    made = lexical.write_index(view(spark, sf, "segment"), shared_path(spark, "rebuilt"), position=upkeep.outbox_position(events))
+    made = rebuild_index(spark, sf, upkeep.outbox_position(events))
     return spark.createDataFrame([(made.n_docs, made.n_postings, made.n_terms, made.position)], "n_docs long, n_postings long, n_terms long, position long")
 
 

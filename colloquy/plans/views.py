@@ -51,15 +51,21 @@ def sql(body: str, *names: str, ctes: str = "") -> str:
     return "WITH RECURSIVE " + ",\n".join(parts + ([ctes] if ctes else [])) + "\n" + body
 
 
-_indexes: dict[tuple[str, str], LexicalIndex] = {}
+_indexes: dict[tuple[str, str], tuple[str, LexicalIndex]] = {}
+
+
+def rebuild_index(spark: SparkSession, sf_dir: str, position: int = 0) -> LexicalIndex:
+    """Make the index of the segments of a data folder anew; searches see this version from then on."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    folder = _indexes[where][0] if where in _indexes else shared_path(spark, "postings")
+    _indexes[where] = folder, write_index(view(spark, sf_dir, "segment"), folder, position)
+    return _indexes[where][1]
 
 
 def segment_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    """The index of the segments of a data folder, made when it is first asked for and kept in the shared folder for the application."""
+    """The index of the segments of a data folder, made if there is none yet and kept in the shared folder for the application."""
     where = (spark.sparkContext.applicationId, sf_dir)
-    if where not in _indexes:
-        _indexes[where] = write_index(view(spark, sf_dir, "segment"), shared_path(spark, "postings"))
-    return _indexes[where]
+    return _indexes[where][1] if where in _indexes else rebuild_index(spark, sf_dir)
 
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
