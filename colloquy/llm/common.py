@@ -39,6 +39,7 @@ def kept(owner: str, make: Callable[[], Any]) -> Any:
         _kept.clear()
         give_back()
         _kept[owner] = make()
+        give_back()
     return _kept[owner]
 
 
@@ -71,8 +72,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_small(df: DataFrame) -> DataFrame:
-    """``cut`` of rows that are few beside the cluster: into a file for each core at most, as very many small steps would make very many files."""
-    return cut(df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+    """``cut`` of rows that are few beside the texts.
+
+    Very many small steps would make very many files, so there is one for each
+    core, or for each 16 shuffle partitions where these are more.
+    """
+    spark = df.sparkSession
+    files = int(spark.conf.get("spark.sql.shuffle.partitions")) // 16
+    return cut(df.coalesce(max(1, files, spark.sparkContext.defaultParallelism)))
 
 
 def tidy(spark: SparkSession) -> None:

@@ -261,8 +261,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
 
     listed = cut(arrow_map(ordered, run, "part long, file_no long, path string, n_docs long, n_tokens long"))
     sums = {r["part"]: r["n"] for r in listed.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    before = [(p, sum_) for p, sum_ in zip(sorted(sums), np.cumsum([0] + [sums[p] for p in sorted(sums)]).tolist(), strict=False)]
-    bases = docs.sparkSession.createDataFrame(before, "part long, base long")
+    parts = sorted(sums)
+    before = np.cumsum([0, *(sums[p] for p in parts)])[:-1].tolist()
+    bases = docs.sparkSession.createDataFrame(list(zip(parts, before, strict=True)), "part long, base long")
     inside = Window.partitionBy("part").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     return listed.join(bases, "part").select("path", start.alias("start"), "n_docs", "n_tokens")

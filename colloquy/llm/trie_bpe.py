@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from colloquy.llm import pieces
 from colloquy.llm.common import arrow_map, byte_symbols, kept, ship_package, text_groups
 
-#: Pieces of text that a worker remembers with their encodings; beyond it the memory is emptied.
-REMEMBERED = 400_000
+#: Pieces of text that a worker remembers with their ids, and pairs of tokens of which it knows whether they fit.
+REMEMBERED, PAIRS = 200_000, 250_000
 
 #: Characters of which Python's ``re`` and the pattern agree on letters, digits and spaces, and which NFC leaves as they are.
 PLAIN = re.compile("[\t-\r -~¡-±´-¸º»¿-˿]*")
@@ -198,7 +198,7 @@ class WordBpe:
 
     def _encode_pieces(self, names: list[bytes]) -> list[list[int]]:
         """The ids of each of the distinct pieces."""
-        if len(self.fits) > 2 * REMEMBERED:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         words = [self.words(n.decode()) for n in names]
         ids = dict(self.encode_words(sorted({w for own in words for w in own})))
@@ -269,7 +269,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_path)
-        for batch in text_groups(batches, "text", 4 << 20):
+        for batch in text_groups(batches, "text", 1 << 20):
             ids, decoded, counts = bpe.column(batch.column(1))
             if digests_only:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), sha(ids), sha(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
