@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import dac, htmlrender, langid, pii, simhash, toxicity, trie_bpe, urlgraph, vectorgraph, winnow
+from colloquy.llm import dac, fim, htmlrender, langid, periods, pii, simhash, suffixes, toxicity, trie_bpe, urlgraph, vectorgraph, winnow
 from colloquy.llm.common import read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,26 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    done = periods.periodic_runs(docs).withColumn("best", periods.longest())
+    return done.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli"),
+        periods.runs_digest().alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return done.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -151,6 +171,9 @@ def queries() -> dict[str, Query]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_suffix_dedup": op13_suffix_dedup,
     }
 
 
