@@ -83,7 +83,11 @@ def cut_small(df: DataFrame) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark delete what was shuffled for steps that are done: it does so when the driver has dropped its objects."""
+    """Let Spark delete what was shuffled for steps that are done: it does so when the driver has dropped its objects.
+
+    Its scheduler holds those of the last job until there is another, so there is a small one.
+    """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import pieces
-from colloquy.llm.common import Batches, arrow_map, cut, drop_path, shared_path, ship_package, text_groups, tidy
+from colloquy.llm.common import Batches, arrow_map, drop_path, shared_path, ship_package, text_groups, tidy
 
 K = 50
 #: Length of the grams whose least hash stands for a string.
@@ -520,6 +520,12 @@ def _counted(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["w", "n"])
 
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """The rows as a table in the shared folder: nothing of how they were made is held on to, so its shuffles can go."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def repeated_spans(rows: DataFrame, k: int = K, crowd: int = CROWD, crowds: int = CROWDS) -> DataFrame:
     """``(id, h, spans)`` of rows ``(id, text, h)``: what to remove as blobs of pairs of byte places, several for a row perhaps."""
     spark = rows.sparkSession
@@ -533,15 +539,16 @@ def repeated_spans(rows: DataFrame, k: int = K, crowd: int = CROWD, crowds: int
 
     sent = arrow_map(known.select("id", "text"), lambda b: _send_hashes(b, k, m, buckets), "bucket int, w binary, ids binary, many binary")
     path = shared_path(spark, "repeated-hashes")
-    arrow_map(dealt(sent), lambda b: _answer(b, crowd), ANSWER).write.parquet(path)
-    answers = spark.read.schema(ANSWER).parquet(path)
+    answers = _written(arrow_map(dealt(sent), lambda b: _answer(b, crowd), ANSWER), path)
+    del sent
+    tidy(spark)
     full = arrow_map(answers.where("id is null").select("w", "n"), _counted, "w long, n long")
     most = full.orderBy(F.col("n").desc(), "w").limit(crowds).select("w").toArrow()  # 8 bytes each; the rest of these groups stays whole
     crowded = spark.sparkContext.broadcast(np.sort(most.column(0).to_numpy().view(np.uint64)))
     told = answers.where("id is not null").groupBy("id").agg(F.collect_list("w").alias("told"))
     asked = known.select("id", "text", "h").join(told, "id")
     stretches_sent = arrow_map(asked, lambda b: _send_stretches(b, k, m, buckets, crowded.value), STRETCHES_TYPE)
-    spans = cut(arrow_map(dealt(stretches_sent), lambda b: _find(b, k), "id long, h long, spans binary"))
+    spans = _written(arrow_map(dealt(stretches_sent), lambda b: _find(b, k), "id long, h long, spans binary"), shared_path(spark, "repeated-spans"))
     drop_path(spark, path)
     return spans
 
