@@ -49,9 +49,9 @@ M = 24
 #: Starts in a stretch at most.
 STRETCH = 256
 #: Texts hashed at once, so that the arrays stay in the cache; hashes, and bytes of stretches, that are compared within a task before they are sent.
-BLOCK, HASHES_HELD, BYTES_HELD = 1 << 16, 1 << 20, 16 << 20
+BLOCK, HASHES_HELD, BYTES_HELD = 1 << 16, 1 << 20, 8 << 20
 #: Buckets for each shuffle partition: a task holds one at a time.
-BUCKETS = 16
+BUCKETS = 4
 #: Documents in which a hash is crowded, and hashes that are broadcast as crowded at most (8 bytes each).
 CROWD, CROWDS = 4096, 1 << 22
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -284,7 +284,11 @@ def _answer(batches: Batches, crowd: int) -> Batches:
 
 def _gather(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
-    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(data)) < 1 << 31 else np.int64
+    where = np.repeat((first - (ends - sizes)).astype(kind), sizes)
+    where += np.arange(total, dtype=kind)
+    return data[where]
 
 
 def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -325,19 +329,25 @@ def _send_stretches(batches: Batches, k: int, m: int, buckets: int, crowded: np.
         twice = np.zeros(len(o), dtype=bool)
         twice[1:] = (ids[o][1:] == ids[o][:-1]) & (h[o][1:] == h[o][:-1]) & (at[o][1:] == at[o][:-1]) & (key[o][1:] == key[o][:-1])
         o = o[~twice]
-        cuts = _groups(bucket[o].astype(np.int64) * 2 + later[o])
+        covered, o = o[later[o]], o[~later[o]]
         rows: dict[str, list] = {n: [] for n in STRETCHES.names}
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = o[a:b]
-            covered = bool(later[own[0]])
-            x = b"" if covered else _gather(flat, starts[own], sizes[own]).tobytes()
+
+        def add(where: int, own: np.ndarray, x: bytes) -> None:
             _append(
-                rows, bucket=int(bucket[own[0]]), key=b"" if covered else key[own].tobytes(), ids=_planes(ids[own]), h=h[own].astype("<u4").tobytes(), at=_planes(at[own]),
+                rows, bucket=where, key=key[own].tobytes() if x else b"", ids=_planes(ids[own]), h=h[own].astype("<u4").tobytes(), at=_planes(at[own]),
                 size=sizes[own].astype("<u4").tobytes(), x=pa.compress(x, "zstd", asbytes=True) if x else b"", raw=len(x),
             )
+
+        cuts = _groups(bucket[o])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = o[a:b]
+            add(int(bucket[own[0]]), own, _gather(flat, starts[own], sizes[own]).tobytes())
+        for a in range(0, len(covered), PASSED):
+            own = covered[a : a + PASSED]
+            add(int(bucket[own[0]]), own[np.lexsort((at[own], ids[own]))], b"")  # any bucket passes them on
         return pa.RecordBatch.from_pydict(rows, STRETCHES)
 
-    for batch in text_groups(batches, "text", 4 << 20):
+    for batch in text_groups(batches, "text", 1 << 20):
         data, bounds = pieces.raw(batch.column(1))
         least = least_hashes(data, k, m)
         if not len(least):
