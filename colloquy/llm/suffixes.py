@@ -50,8 +50,8 @@ M = 24
 STRETCH = 256
 #: Texts hashed at once, so that the arrays stay in the cache; hashes, and bytes of stretches, that are compared within a task before they are sent.
 BLOCK, HASHES_HELD, BYTES_HELD = 1 << 16, 1 << 20, 8 << 20
-#: Buckets for each shuffle partition: a task holds one at a time.
-BUCKETS = 4
+#: Buckets for each shuffle partition: a task holds one at a time, and works on ``HASHES_HELD`` of its hashes.
+BUCKETS = 2
 #: Documents in which a hash is crowded, and hashes that are broadcast as crowded at most (8 bytes each).
 CROWD, CROWDS = 4096, 1 << 22
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -185,7 +185,8 @@ def _append(rows: dict[str, list], **values) -> None:
 #: Pairs of id and hash in a row that is passed on.
 PASSED = 1 << 16
 HASHES = pa.schema([("bucket", pa.int32()), ("w", pa.binary()), ("ids", pa.binary()), ("many", pa.binary())])
-ANSWER = "id long, w binary, n binary"
+TOLD = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("w", pa.binary()), ("n", pa.binary())])
+TOLD_TYPE = "bucket int, ids binary, w binary, n binary"
 
 
 def _send_hashes(batches: Batches, k: int, m: int, buckets: int) -> Batches:
@@ -241,42 +242,61 @@ def _send_hashes(batches: Batches, k: int, m: int, buckets: int) -> Batches:
         yield flush()
 
 
-def _told(ids: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows ``(id, w)`` of pairs."""
-    order = np.argsort(ids, kind="stable")
-    ids, w = ids[order], w[order]
-    cuts = _groups(ids)
+def _told(ids: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of id and hash, dealt by id."""
+    bucket = _bucket_of(_scrambled(ids.astype(np.uint64)), buckets)
+    order = np.lexsort((ids, bucket))
+    ids, w, bucket = ids[order], w[order], bucket[order]
+    cuts = _groups(bucket)
     if len(ids):
-        blobs = _binary(w.view(np.uint8), np.diff(cuts) * 8).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), blobs, pa.nulls(len(blobs), pa.binary())], ["id", "w", "n"])
+        rows = [(int(bucket[a]), _planes(ids[a:b]), w[a:b].tobytes(), None) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TOLD.types, strict=True)], TOLD.names)
 
 
-def _answer(batches: Batches, crowd: int) -> Batches:
-    """``(id, w)``: the hashes of a document that other documents have too; with a null id those of ``crowd`` documents or more, and how many have them."""
+def _answer(batches: Batches, crowd: int, buckets: int) -> Batches:
+    """Pairs of a document's id and a hash that other documents have too; with a null bucket the hashes of ``crowd`` documents or more, and how many have them."""
     for rows in _by_bucket(batches):
-        for r in rows:
-            if r["many"] is None:
-                yield from _told(_unplaned(r["ids"]), np.frombuffer(r["w"], np.uint64))
+        passed = [(_unplaned(r["ids"]), np.frombuffer(r["w"], np.uint64)) for r in rows if r["many"] is None]
         rows = [r for r in rows if r["many"] is not None]
-        if not rows:
-            continue
+        found = [tuple(map(np.concatenate, zip(*passed, strict=True)))] if passed else []
+        slices = 1 << max(0, sum(len(r["w"]) for r in rows) // 8 // HASHES_HELD).bit_length()
+        for part in range(slices):
+            w, ids, known, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+            for r in rows:
+                own, several = _unplaned(r["ids"]), np.frombuffer(r["many"], "<u4")
+                hashes = np.frombuffer(r["w"], np.uint64)
+                mine = hashes & np.uint64(slices - 1) == part
+                w.append(hashes[mine])
+                ids.append(np.concatenate([own, np.zeros(len(several), np.int64)])[mine])
+                known.append((np.arange(len(hashes)) < len(own))[mine])
+                many.append(np.concatenate([np.ones(len(own), np.int64), several])[mine])
+            w, ids, known, many = np.concatenate(w), np.concatenate(ids), np.concatenate(known), np.concatenate(many)
+            order = np.argsort(w, kind="stable")
+            w, ids, known, many = w[order], ids[order], known[order], many[order]
+            edge = _groups(w)
+            if not len(w):
+                continue
+            total = np.add.reduceat(many, edge[:-1])
+            told = known & np.repeat(total > 1, np.diff(edge))
+            found.append((ids[told], w[told]))
+            full = np.flatnonzero(total >= crowd)
+            if len(full):
+                crowds = [(None, None, w[edge[:-1]][full].tobytes(), total[full].astype("<i8").tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*crowds, strict=True), TOLD.types, strict=True)], TOLD.names)
+        if found:
+            yield from _told(*map(np.concatenate, zip(*found, strict=True)), buckets)
+
+
+def _by_id(batches: Batches) -> Batches:
+    """``(id, told)``: all hashes that a document was told, in one row."""
+    for rows in _by_bucket(batches):
+        ids = np.concatenate([_unplaned(r["ids"]) for r in rows])
         w = np.concatenate([np.frombuffer(r["w"], np.uint64) for r in rows])
-        ids, known, many = [], [], []
-        for r in rows:
-            own, several = _unplaned(r["ids"]), np.frombuffer(r["many"], "<u4")
-            ids += [own, np.zeros(len(several), np.int64)]
-            known += [np.ones(len(own), bool), np.zeros(len(several), bool)]
-            many += [np.ones(len(own), np.int64), several.astype(np.int64)]
-        ids, known, many = np.concatenate(ids), np.concatenate(known), np.concatenate(many)
-        order = np.argsort(w, kind="stable")
-        w, ids, known, many = w[order], ids[order], known[order], many[order]
-        edge = _groups(w)
-        total = np.add.reduceat(many, edge[:-1])
-        told = known & np.repeat(total > 1, np.diff(edge))
-        yield from _told(ids[told], w[told])
-        full = np.flatnonzero(total >= crowd)
-        if len(full):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([w[edge[:-1]][full].tobytes()], pa.binary()), pa.array([total[full].astype("<i8").tobytes()], pa.binary())], ["id", "w", "n"])
+        order = np.argsort(ids, kind="stable")
+        ids, w = ids[order], w[order]
+        cuts = _groups(ids)
+        blobs = _binary(w.view(np.uint8), np.diff(cuts) * 8).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), blobs], ["id", "told"])
 
 
 # second round
@@ -356,10 +376,8 @@ def _send_stretches(batches: Batches, k: int, m: int, buckets: int, crowded: np.
         first, end, row = stretches(least, bounds, k, crowded)
         w = least[first]
         told = batch.column(3)
-        blobs = told.flatten()
-        counts = pc.binary_length(blobs).to_numpy(zero_copy_only=False) // 8
-        pairs_row = np.repeat(np.repeat(np.arange(len(ids)), pc.list_value_length(told).to_numpy(zero_copy_only=False)), counts)
-        pairs_w = np.frombuffer(b"".join(blobs.to_pylist()), np.uint64)
+        pairs_row = np.repeat(np.arange(len(ids)), pc.binary_length(told).to_numpy(zero_copy_only=False) // 8)
+        pairs_w = np.frombuffer(b"".join(told.to_pylist()), np.uint64)
         wanted = _isin_pairs(row, w, pairs_row, pairs_w)
         first, end, row, w = first[wanted], end[wanted], row[wanted], w[wanted]
         if not len(first):
@@ -549,13 +567,13 @@ def repeated_spans(rows: DataFrame, k: int = K, crowd: int = CROWD, crowds: int
 
     sent = arrow_map(known.select("id", "text"), lambda b: _send_hashes(b, k, m, buckets), "bucket int, w binary, ids binary, many binary")
     path = shared_path(spark, "repeated-hashes")
-    answers = _written(arrow_map(dealt(sent), lambda b: _answer(b, crowd), ANSWER), path)
+    answers = _written(arrow_map(dealt(sent), lambda b: _answer(b, crowd, buckets), TOLD_TYPE), path)
     del sent
     tidy(spark)
-    full = arrow_map(answers.where("id is null").select("w", "n"), _counted, "w long, n long")
+    full = arrow_map(answers.where("bucket is null").select("w", "n"), _counted, "w long, n long")
     most = full.orderBy(F.col("n").desc(), "w").limit(crowds).select("w").toArrow()  # 8 bytes each; the rest of these groups stays whole
     crowded = spark.sparkContext.broadcast(np.sort(most.column(0).to_numpy().view(np.uint64)))
-    told = answers.where("id is not null").groupBy("id").agg(F.collect_list("w").alias("told"))
+    told = arrow_map(dealt(answers.where("bucket is not null").select("bucket", "ids", "w")), _by_id, "id long, told binary")
     asked = known.select("id", "text", "h").join(told, "id")
     stretches_sent = arrow_map(asked, lambda b: _send_stretches(b, k, m, buckets, crowded.value), STRETCHES_TYPE)
     spans = _written(arrow_map(dealt(stretches_sent), lambda b: _find(b, k), "id long, h long, spans binary"), shared_path(spark, "repeated-spans"))
