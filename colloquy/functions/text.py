@@ -6,9 +6,13 @@ import re
 import unicodedata
 from functools import cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from colloquy.session import batch_function
+
 EMPTY_SNIPPET = "—"
 ELLIPSIS = "…"
 OBJECT_REPLACEMENT = "￼"
@@ -18,13 +22,20 @@ CURLY_SINGLE, CURLY_DOUBLE = "‘’‚‛", "“”„‟"
 REACTION_SYMBOLS = {"loved": "♥", "liked": "👍", "disliked": "👎", "laughed": "😂", "emphasized": "‼", "questioned": "❓", "sticker": "🏷"}
 
 
-def to_nfc(text: Column) -> Column:
-    """Unicode NFC; texts of ASCII, which NFC leaves alone, do not reach Python."""
-    @F.udf("string", useArrow=True)
-    def nfc(value: str | None) -> str | None:
-        return None if value is None else unicodedata.normalize("NFC", value)
+@batch_function("string")
+def _nfc(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
 
-    return F.when(text.rlike(r"[^\x00-\x7F]"), nfc(text)).otherwise(text)
+@batch_function("string")
+def _ascii_form(texts: pa.Array) -> pa.Array:
+    """Letters without their marks, in ASCII; what has no such form goes."""
+    return pc.replace_substring_regex(pc.utf8_normalize(texts, "NFKD"), r"[^\x00-\x7F]", "")
+
+
+def to_nfc(text: Column) -> Column:
+    """Unicode NFC; texts below U+0300, which NFC leaves alone, do not reach Python, others go there in batches."""
+    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), _nfc(text)).otherwise(text)
 
 
 def fold_quotes(text: Column) -> Column:
@@ -113,11 +124,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """ASCII letters and digits of the text, decomposed, joined by hyphens."""
-    @F.udf("string", useArrow=True)
-    def ascii_form(value: str | None) -> str | None:
-        return None if value is None else unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode()
-
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), ascii_form(text)).otherwise(text)
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), _ascii_form(text)).otherwise(text)
     return F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
@@ -151,6 +158,10 @@ def normalize_handle(raw: Column, default_code: str = "1") -> tuple[Column, Colu
 # chunks
 
 
+# What separates paragraphs, and sentences.
+PARAGRAPHS, SENTENCES = r"\n\s*\n", r"(?<=[.!?])\s+"
+
+
 def chunks_of(text: str | None, target: int = 1500, overlap: int = 150) -> list[str]:
     """Pieces of about ``target`` estimated tokens that begin with up to ``overlap`` of the piece before.
 
@@ -164,9 +175,9 @@ def chunks_of(text: str | None, target: int = 1500, overlap: int = 150) -> list[
     whole = (text or "").strip()
     if not whole:
         return []
-    units = [u for u in map(str.strip, re.split(r"\n\s*\n", whole)) if u]
+    units = [u for u in map(str.strip, re.split(PARAGRAPHS, whole)) if u]
     if len(units) < 2:
-        units = [u for u in map(str.strip, re.split(r"(?<=[.!?])\s+", whole)) if u]
+        units = [u for u in map(str.strip, re.split(SENTENCES, whole)) if u]
     size = 4 * target
     pieces = [u[i : i + size] for u in units for i in range(0, len(u), size)]
     out: list[str] = []
@@ -186,9 +197,9 @@ def chunks_of(text: str | None, target: int = 1500, overlap: int = 150) -> list[
 
 def chunk_text(text: Column, target: int = 1500, overlap: int = 150) -> Column:
     """``chunks_of`` as a column."""
-    @F.udf("array<string>", useArrow=True)
-    def run(value: str | None) -> list[str]:
-        return chunks_of(value, target, overlap)
+    @batch_function("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([chunks_of(t, target, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return run(text)
 

@@ -74,8 +74,7 @@ def scoped_chats(chats: DataFrame, participants: DataFrame, allowlist: DataFrame
     """Chats that a context may read: none of whose participants lacks permission. A chat without participants passes."""
     if context.scope == "full":
         return chats.select(chat)
-    allowed = allowlist.where("text_allowed").select(person)
-    outsiders = participants.join(allowed, person, "left_anti").select(chat)
+    outsiders = not_allowed(participants, allowlist, person).select(chat)
     return chats.select(chat).join(outsiders, chat, "left_anti")
 
 
@@ -120,9 +119,9 @@ def effective_sender(sender: Column, is_from_me: Column, owner: Column | int) ->
 
 
 def not_allowed(people: DataFrame, allowlist: DataFrame, person: str = "person_id", flag: str = "text_allowed") -> DataFrame:
-    """Rows whose person is not positively allowed; a missing person or entry denies."""
-    known = allowlist.select(F.col(person).alias("_p"), F.col(flag).alias("_ok"))
-    return people.join(known, people[person].eqNullSafe(F.col("_p")), "left").where(~F.coalesce("_ok", F.lit(False))).drop("_p", "_ok")
+    """Rows whose person is not positively allowed: a null person or flag and a missing entry deny, and so does any entry that does where there are several."""
+    told = allowlist.where(F.col(person).isNotNull()).groupBy(F.col(person).alias("_p")).agg(F.every(F.coalesce(flag, F.lit(False))).alias("_ok"))
+    return people.join(told.where("_ok").select("_p"), F.col(person) == F.col("_p"), "left_anti")
 
 
 def _tagged(evidence: dict[str, DataFrame], chat: str) -> DataFrame:
@@ -146,7 +145,10 @@ def eligible_chats(chats: DataFrame, participants: DataFrame, evidence: dict[str
     if not evidence:
         out = out.withColumn("found", none)
     else:
-        out = out.join(_tagged(evidence, chat).groupBy(chat).agg(F.collect_set("reason").alias("found")), chat, "left")
+        # A flag for each reason aggregates by hash; the list is made of the flags.
+        flags = _tagged(evidence, chat).groupBy(chat).agg(*[F.max(F.when(F.col("reason") == r, True)).alias(f"_{i}") for i, r in enumerate(evidence)])
+        listed = F.array_compact(F.array(*[F.when(F.col(f"_{i}"), F.lit(r)) for i, r in enumerate(evidence)]))
+        out = out.join(flags.select(chat, listed.alias("found")), chat, "left")
     empty = F.when(F.col("participant_count") == 0, F.array(F.lit("no_participants"))).otherwise(none)
     reasons = F.array_sort(F.concat(F.coalesce("found", none), empty))
     return out.select(chat, "participant_count", reasons.alias("reasons"), (F.size(reasons) == 0).alias("eligible"))

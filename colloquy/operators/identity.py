@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import normalize_handle, slug
+from colloquy.session import batch_function
 
 MOST_CANDIDATES, LEAST_RATIO = 5, 0.5
 
@@ -18,13 +20,11 @@ def unique_match(keys: DataFrame, contacts: DataFrame, key: str, value: str) ->
     return keys.select(key).distinct().join(one, key)
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity; not an edit distance."""
-    @F.udf("double", useArrow=True)
-    def run(x: str | None, y: str | None) -> float | None:
-        return None if x is None or y is None else SequenceMatcher(None, x, y).ratio()
-
-    return run(a, b)
+@batch_function("double")
+def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Ratcliff-Obershelp similarity; not an edit distance. Null if either is."""
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in pairs], pa.float64())
 
 
 def resolve_person(people: DataFrame, query: str) -> tuple[str, DataFrame]:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.times import after_seconds, backoff_seconds
+from colloquy.session import map_batches
 
 LEASE_SECONDS = 900
 #: Enrichments of each kind of media.
@@ -82,22 +83,25 @@ def rate_limited(events: DataFrame, limit: int, window_seconds: float, key: str
     A task holds one batch and the accepted times of one key, ``limit`` at most.
     """
     schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
+    span = int(window_seconds * 1_000_000)
+    timed = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, accepted = None, deque()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, accepted = object(), deque()
         for rows in batches:
             verdicts = []
-            for own, t in zip(rows[key], (x.value / 1e9 for x in rows[at]), strict=True):
+            for own, t in zip(rows.column(key).to_pylist(), rows.column("_t").to_pylist(), strict=True):
                 if own != name:
                     name, accepted = own, deque()
-                while accepted and accepted[0] <= t - window_seconds:
+                while t is not None and accepted and accepted[0] <= t - span:
                     accepted.popleft()
                 verdicts.append(len(accepted) < limit)
-                if verdicts[-1]:
+                if verdicts[-1] and t is not None:
                     accepted.append(t)
-            yield rows.assign(allowed=verdicts)
+            kept = rows.drop_columns(["_t"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(verdicts, pa.bool_())], [*kept.schema.names, "allowed"])
 
-    return events.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(run, schema)
+    return map_batches(timed.repartition(key).sortWithinPartitions(key, at, tie), run, schema)
 
 
 class VerdictCache:

@@ -31,7 +31,7 @@ def o60(spark, sf):
 
 @register("o60_sessionize_split", sql("SELECT message_id, chat_id, CAST(session_no AS BIGINT) AS session_no FROM s", "message", ctes=SESSIONS))
 def o60b(spark, sf):
-    return sessions.sessionize_split(view(spark, sf, "message"), 3.0, 5).select("message_id", "chat_id", "session_no")
+    return sessions.sessionize(view(spark, sf, "message"), 3.0, 5).select("message_id", "chat_id", "session_no")
 
 
 @register("o66_session_summary", sql("SELECT * FROM ss", "message", ctes=SESSIONS))
@@ -48,7 +48,7 @@ def o02(spark, sf):
 @register("o03_incremental_scan", sql("""SELECT message_id, chat_id FROM message WHERE message_id > (SELECT CAST(floor(max(message_id) * 0.9) AS BIGINT) FROM message) OR coalesce(CASE WHEN is_unsent THEN sent_at END > TIMESTAMP '2024-01-20', false) OR coalesce(CASE WHEN kind = 'signup' THEN sent_at END > TIMESTAMP '2024-01-25', false)""", "message"))
 def o03(spark, sf):
     m = view(spark, sf, "message")
-    watermark = m.agg(F.floor(F.max("message_id") * 0.9)).first()[0]
+    watermark = m.agg(F.floor(F.max("message_id") * 0.9)).first()[0] or 0
     m = m.withColumn("retracted_at", F.when(F.col("is_unsent"), F.col("sent_at"))).withColumn("edited_at", F.when(F.col("kind") == "signup", F.col("sent_at") - F.expr("INTERVAL 5 DAYS")))
     return incremental.incremental_scan(m, watermark, F.lit("2024-01-20").cast("timestamp_ntz"), "message_id").select("message_id", "chat_id")
 
@@ -243,9 +243,60 @@ def o65(spark, sf):
     return done.select("chat_id", "session_no", "message_id", F.col("seq_in_session").cast("long").alias("seq_in_session"), "topic_label")
 
 
-@register("o61_o63_topics_of_conversations")
+def topic_ctes(rows: str, window_tokens: int, overlap: int, least: int = 2, most: int = 50, budget: int = 3000, topical_min: int = 0) -> str:
+    """Windows, boundaries, starts and groups of the rows ``(chat_id, sent_at, message_id, text)`` of a relation, a step of each at a time."""
+    return f"""t AS (SELECT chat_id, sent_at, message_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS cost, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY chat_id) AS n FROM {rows} WINDOW o AS (PARTITION BY chat_id ORDER BY sent_at, message_id)),
+p AS (SELECT *, sum(cost) OVER (PARTITION BY chat_id ORDER BY i) AS upto FROM t WHERE n > {topical_min}),
+ends AS (SELECT a.chat_id, a.i AS s, a.n, greatest(a.i + 1, count(*) FILTER (b.upto <= a.upto - a.cost + {window_tokens})) AS e FROM p a JOIN p b ON a.chat_id = b.chat_id GROUP BY a.chat_id, a.i, a.n, a.upto, a.cost),
+ws AS (SELECT chat_id, CAST(0 AS BIGINT) AS s FROM p WHERE i = 0 UNION ALL SELECT ws.chat_id, greatest(e - {overlap}, ws.s + 1) FROM ws JOIN ends USING (chat_id, s) WHERE e < n),
+win AS (SELECT chat_id, s, e, n FROM ws JOIN ends USING (chat_id, s)),
+bound AS (SELECT DISTINCT chat_id, n, s + unnest(range(5, e - s, 5)) AS pl FROM win),
+nextb AS (SELECT a.chat_id, a.pl, min(b.pl) AS nxt FROM (SELECT chat_id, pl FROM bound UNION SELECT chat_id, 0 FROM win) a JOIN bound b ON b.chat_id = a.chat_id AND b.pl >= a.pl + {least} GROUP BY a.chat_id, a.pl),
+walk AS (SELECT chat_id, nxt AS pl FROM nextb WHERE pl = 0 UNION ALL SELECT w.chat_id, x.nxt FROM walk w JOIN nextb x ON x.chat_id = w.chat_id AND x.pl = w.pl),
+begins AS (SELECT DISTINCT w.chat_id, w.pl FROM walk w JOIN bound b ON b.chat_id = w.chat_id AND b.pl = w.pl WHERE b.n - w.pl >= {least}),
+r AS (SELECT p.*, b.pl IS NOT NULL AS fresh FROM p LEFT JOIN begins b ON b.chat_id = p.chat_id AND b.pl = p.i),
+folded AS (SELECT chat_id, i, CAST(0 AS BIGINT) AS g, CAST(1 AS BIGINT) AS k, cost AS total FROM r WHERE i = 0
+  UNION ALL SELECT r.chat_id, r.i, CASE WHEN r.fresh OR f.k + 1 > {most} OR f.total + r.cost > {budget} THEN f.g + 1 ELSE f.g END, CASE WHEN r.fresh OR f.k + 1 > {most} OR f.total + r.cost > {budget} THEN 1 ELSE f.k + 1 END,
+  CASE WHEN r.fresh OR f.k + 1 > {most} OR f.total + r.cost > {budget} THEN r.cost ELSE f.total + r.cost END FROM folded f JOIN r ON r.chat_id = f.chat_id AND r.i = f.i + 1)"""
+
+
+@register("o61_o63_topics_of_conversations", sql("SELECT t.chat_id, t.sent_at, t.message_id, coalesce(g, 0) AS seq_in_session, CAST(NULL AS VARCHAR) AS topic_label FROM t LEFT JOIN folded USING (chat_id, i)", "turn", ctes=topic_ctes("turn", 4000, 10, most=4, budget=600, topical_min=3)))
 def o61(spark, sf):
-    return sessions.segment_sessions(view(spark, sf, "turn"), ["chat_id"], ["sent_at", "message_id"], topical_min=3, most=4, budget=600)
+    done = sessions.segment_sessions(view(spark, sf, "turn"), ["chat_id"], ["sent_at", "message_id"], topical_min=3, most=4, budget=600)
+    return done.withColumn("seq_in_session", F.col("seq_in_session").cast("long"))
+
+
+def _placed(spark, sf):
+    return sessions.positioned(view(spark, sf, "message"), ["chat_id"], "sent_at", "message_id", "place")
+
+
+def _windows(spark, sf):
+    """Windows over whole chats, small enough that a chat has several."""
+    return sessions.topic_windows(_placed(spark, sf), ["chat_id"], "place", window_tokens=40, overlap=4)
+
+
+CHAT_TOPICS = topic_ctes("message", 40, 4, least=3, most=4, budget=12)
+
+
+@register("o61_token_windows", sql('SELECT chat_id, s AS start, e AS "end" FROM win', "message", ctes=CHAT_TOPICS))
+def o61b(spark, sf):
+    return _windows(spark, sf).select("_k.chat_id", "start", "end")
+
+
+@register("o62_boundary_merge", sql('SELECT chat_id, pl AS "at" FROM bound', "message", ctes=CHAT_TOPICS))
+def o62(spark, sf):
+    return _windows(spark, sf).select("_k.chat_id", F.explode("cuts").alias("at")).distinct()
+
+
+@register("o63_topic_starts", sql('SELECT chat_id, pl AS "at" FROM begins', "message", ctes=CHAT_TOPICS))
+def o63(spark, sf):
+    return sessions.topic_starts(_windows(spark, sf), least=3).select("_k.chat_id", "at")
+
+
+@register("o65_topics_of_chats", sql("SELECT chat_id, message_id, g AS seq_in_session FROM folded JOIN p USING (chat_id, i)", "message", ctes=CHAT_TOPICS))
+def o65b(spark, sf):
+    done = sessions.segment_sessions(view(spark, sf, "message"), ["chat_id"], ["sent_at", "message_id"], topical_min=0, most=4, budget=12, window_tokens=40, overlap=4, least=3)
+    return done.select("chat_id", "message_id", F.col("seq_in_session").cast("long").alias("seq_in_session"))
 
 
 @register("o64_hard_split", sql("""SELECT chat_id, message_id, g AS part FROM folded""", "turn", ctes="""t AS (SELECT chat_id, message_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS cost, row_number() OVER (PARTITION BY chat_id ORDER BY message_id) AS rn FROM turn),
@@ -253,10 +304,9 @@ folded AS (SELECT chat_id, message_id, rn, CAST(0 AS BIGINT) AS g, CAST(1 AS BIG
   UNION ALL SELECT t.chat_id, t.message_id, t.rn, CASE WHEN f.n + 1 > 4 OR f.total + t.cost > 600 THEN f.g + 1 ELSE f.g END, CASE WHEN f.n + 1 > 4 OR f.total + t.cost > 600 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n + 1 > 4 OR f.total + t.cost > 600 THEN t.cost ELSE f.total + t.cost END
   FROM folded f JOIN t ON t.chat_id = f.chat_id AND t.rn = f.rn + 1)"""))
 def o64(spark, sf):
-    rows = view(spark, sf, "turn").select("chat_id", "message_id", text.estimate_tokens(F.col("text")).alias("cost"))
-    listed = rows.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("message_id", "cost"))).alias("m"))
-    parts = listed.select("chat_id", "m", sessions.split_capped(F.col("m.cost"), 4, 600).alias("g"))
-    return parts.select("chat_id", F.explode(F.arrays_zip("m", "g")).alias("z")).select("chat_id", "z.m.message_id", F.col("z.g").cast("long").alias("part"))
+    rows = view(spark, sf, "turn").withColumn("cost", text.estimate_tokens(F.col("text")))
+    placed = sessions.positioned(rows, ["chat_id"], "sent_at", "message_id", "place")
+    return sessions.split_capped(placed, ["chat_id"], "place", "cost", 4, 600).select("chat_id", "message_id", F.col("part").cast("long").alias("part"))
 
 
 @register("o67_edit_history", sql("SELECT chat_id, message_id, row_number() OVER (PARTITION BY chat_id ORDER BY sent_at, message_id) - 1 AS version_idx FROM message WHERE kind = 'click'", "message"))
@@ -461,7 +511,7 @@ def o131(spark, sf):
 
 def flagship(spark, sf):
     """Sessions of all chats, however large a chat is, and of each the messages, time span and attachments."""
-    s = sessions.sessionize_split(view(spark, sf, "message"), 3.0)
+    s = _sessions(spark, sf)
     return s.groupBy("chat_id", "session_no").agg(F.count("*").alias("messages"), F.min("sent_at").alias("started_at"), F.max("sent_at").alias("ended_at"), F.count_if("has_attachments").alias("attachments"), F.count_if("is_unsent").alias("unsent"))
 
 

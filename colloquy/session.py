@@ -7,9 +7,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: SparkContexts (by application id) that already received the package.
 _shipped: set[str] = set()
@@ -33,13 +36,14 @@ def build_session(app: str = "colloquy", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application.
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Send this package to the executors' Python workers, once per application; the active session's without another.
 
     Functions that run on executors are pickled by reference; ``addPyFile``
     makes the package importable there whatever the worker's own path is.
+    Whatever makes a Python function for executors calls this.
     """
-    sc = spark.sparkContext
+    sc = (spark or SparkSession.active()).sparkContext
     if sc.applicationId in _shipped:
         return
     buffer = io.BytesIO()
@@ -53,6 +57,25 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def batch_function(returns: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A function from Arrow arrays to an Arrow array as one from columns to a column; the package goes to the workers with it."""
+
+    def wrap(run: Callable) -> Callable[..., Column]:
+        def apply(*columns: Column) -> Column:
+            ship_package()
+            return F.arrow_udf(run, returns)(*columns)
+
+        return apply
+
+    return wrap
+
+
+def map_batches(rows: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with the package on the workers."""
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 

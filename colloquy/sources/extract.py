@@ -12,10 +12,12 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.session import map_batches
+
 #: What a file begins with, for those kinds whose name or type may be wrong.
 SIGNATURES = ((b"%PDF-", "application/pdf"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"RIFF", "audio/wav"), (b"ID3", "audio/mpeg"), (b"OggS", "audio/ogg"))
 RESULT = "attachment_id long, kind string, outcome string, text string, error string"
@@ -92,13 +94,13 @@ def extract(tasks: DataFrame, commands: dict[str, Command], limits: Limits | Non
     """``(attachment_id, kind, outcome, text, error)`` of tasks ``(attachment_id, kind, path)``; paths are those that executors see."""
     bounds = limits or Limits()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for a, k, p in zip(rows["attachment_id"], rows["kind"], rows[path], strict=True):
-                outcome, text, error = extract_one(p, k, commands, bounds)
-                yield pd.DataFrame({"attachment_id": [a], "kind": [k], "outcome": [outcome], "text": [text], "error": [error]})
+            for a, k, p in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                told = extract_one(p, k, commands, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), *(pa.array([x], pa.string()) for x in (k, *told))], ["attachment_id", "kind", "outcome", "text", "error"])
 
-    return tasks.select("attachment_id", "kind", path).mapInPandas(run, RESULT)
+    return map_batches(tasks.select("attachment_id", "kind", path), run, RESULT)
 
 
 def follow_ups(results: DataFrame, least_per_page: float = 50.0) -> DataFrame:

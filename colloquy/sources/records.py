@@ -5,10 +5,13 @@ from __future__ import annotations
 import plistlib
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.session import batch_function
+
 #: A decoded message, one JSON object a line.
 MESSAGE_RECORD = T.StructType([
     T.StructField("rowid", T.LongType(), False), T.StructField("guid", T.StringType(), False), T.StructField("chat_guid", T.StringType()), T.StructField("handle", T.StringType()),
@@ -89,8 +92,7 @@ def _find_preview(root: object) -> dict[str, str] | None:
 
 def link_preview(payload: Column) -> Column:
     """The link preview in a binary property list; null for anything else."""
-    @F.udf(PREVIEW, useArrow=True)
-    def run(data: bytes | None) -> dict[str, str] | None:
+    def one(data: bytes | None) -> dict[str, str] | None:
         if not data:
             return None
         try:
@@ -98,6 +100,11 @@ def link_preview(payload: Column) -> Column:
         except Exception:  # not a property list
             return None
 
+    @batch_function(PREVIEW)
+    def run(payloads: pa.Array) -> pa.Array:
+        kind = pa.struct([(n, pa.string()) for n in ("url", "title", "summary", "site_name")])
+        return pa.array([one(x) for x in payloads.to_pylist()], kind)
+
     return run(payload)
 
 

@@ -57,30 +57,6 @@ def test_incremental_equals_full_at_random(spark):
         assert sorted(map(tuple, kept.unionByName(rebuilt).collect())) == sorted(map(tuple, full.collect()))
 
 
-def test_split_capped(spark):
-    df = spark.createDataFrame([([3, 3, 3, 9, 1],), ([],)], "c array<long>")
-    assert [r["g"] for r in df.select(sessions.split_capped(F.col("c"), 50, 6).alias("g")).collect()] == [[0, 0, 1, 2, 3], []]
-
-
-def test_topic_groups():
-    assert sessions.topic_groups(["a"] * 6, sessions.every_five, 6, 50, 3000) == ([0] * 6, False)
-    assert sessions.topic_groups(["a"] * 11, sessions.every_five, 6, 50, 3000)[0] == [0] * 5 + [1] * 6  # a tail of one is merged
-    assert max(sessions.topic_groups(["a"] * 51, lambda w: [], 6, 50, 3000)[0]) == 1  # the cap may leave one message
-    calls = []
-
-    def flaky(window):
-        calls.append(1)
-        if len(calls) == 1:
-            raise ValueError
-        return [5]
-
-    assert sessions.topic_groups(["a"] * 10, flaky, 6, 50, 3000) == ([0] * 5 + [1] * 5, False)
-    assert sessions.topic_groups(["a"] * 10, lambda w: [99], 6, 50, 3000) == ([0] * 10, True)
-    windows = []
-    sessions.topic_groups(["x" * 4000] * 30, lambda w: windows.append(len(w)) or [], 6, 50, 10**9)
-    assert windows[0] == 4 and len(windows) == 27  # the overlap would not progress: one message further each time
-
-
 def test_normalize(spark):
     df = spark.createDataFrame([("don’t  “stop”️ now\n",), ("é",), (None,)], "t string")
     got = [r["n"] for r in df.select(text.normalize_text(F.col("t")).alias("n")).collect()]
@@ -188,6 +164,9 @@ def test_eligibility_matrix(spark):
     allow = spark.createDataFrame([(10, True), (11, None)], "person_id long, text_allowed boolean")
     out = access.eligible_chats(chats, people, {"not_allowed": access.not_allowed(people, allow)})
     got = {r["chat_id"]: (r["eligible"], r["reasons"]) for r in out.collect()}
+    loose = spark.createDataFrame([(None, True), (1, True), (2, True), (2, None), (3, None)], "person_id long, text_allowed boolean")
+    asked = spark.createDataFrame([(p,) for p in (None, 1, 2, 3, 4)], "person_id long")
+    assert {r[0] for r in access.not_allowed(asked, loose).collect()} == {None, 2, 3, 4}  # an entry without a person allows nobody, a second one can deny
     assert got == {1: (True, []), 2: (False, ["not_allowed"]), 3: (False, ["no_participants", "not_allowed"]), 4: (False, ["no_participants"])}
     scoped = access.scoped_chats(chats, people.where("person_id is not null"), allow, access.AccessContext("public", "allowlist"))
     assert {r[0] for r in scoped.collect()} == {1, 3, 4}  # no participants pass a search, not an export
@@ -220,7 +199,9 @@ def test_queue(spark):
     results = spark.createDataFrame([(1, "ocr", "error"), (3, "ocr", "error")], "attachment_id long, kind string, outcome string")
     got = {r["attachment_id"]: r for r in queue.settle(q, results, now, 3).collect()}
     assert got[1]["state"] == "pending" and got[1]["next_attempt_at"] == T0 + dt.timedelta(seconds=60) and got[3]["state"] == "failed" and got[3]["locked_by"] is None and got[2]["locked_by"] == "w"
-    assert queue.accept_within([0, 1, 2, 60, 61], 2, 60) == [True, True, False, True, True]
+    asked = [(key, T0 + dt.timedelta(seconds=s), 10 * i + s % 7) for i, key in enumerate((None, 9007199254740993)) for s in (0, 1, 2, 60, 61)]
+    told = queue.rate_limited(spark.createDataFrame(asked, "user_id long, ts timestamp_ntz, event_id long"), 2, 60.0).orderBy("user_id", "ts").collect()
+    assert [(r["user_id"], r["allowed"]) for r in told] == [(key, ok) for key in (None, 9007199254740993) for ok in (True, True, False, True, True)]
 
 
 def test_rendering(spark):
