@@ -327,6 +327,8 @@ def _distinct(flat: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.
 
 
 STRETCHES = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("ids", pa.binary()), ("h", pa.binary()), ("at", pa.binary()), ("size", pa.binary()), ("x", pa.binary()), ("raw", pa.int64())])
+SPANS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("h", pa.binary()), ("start", pa.binary()), ("size", pa.binary())])
+SPANS_TYPE = "bucket int, ids binary, h binary, start binary, size binary"
 STRETCHES_TYPE = "bucket int, key binary, ids binary, h binary, at binary, size binary, x binary, raw long"
 
 
@@ -501,22 +503,35 @@ def _spans_of(rows: list[dict], k: int) -> tuple[list[np.ndarray], ...]:
     return out
 
 
-def _find(batches: Batches, k: int) -> Batches:
-    """``(id, h, spans)``, the spans being pairs of longs."""
+def _find(batches: Batches, k: int, buckets: int) -> Batches:
+    """Rows ``(id, h, start, end)`` of what is covered, dealt by id."""
     for rows in _by_bucket(batches):
-        ids, h, a, b = _spans_of(rows, k)
-        if not ids:
+        found = _spans_of(rows, k)
+        if not found[0]:
             continue
-        ids, h, a, b = (np.concatenate(x) for x in (ids, h, a, b))
+        ids, h, a, b = (np.concatenate(x) for x in found)
+        bucket = _bucket_of(_scrambled(ids.astype(np.uint64)), buckets)
+        order = np.lexsort((a, h, ids, bucket))
+        ids, h, a, b, bucket = ids[order], h[order].astype(np.int64), a[order], b[order], bucket[order]
+        cuts = _groups(bucket)
+        told = [(int(bucket[i]), _planes(ids[i:j]), h[i:j].astype("<u4").tobytes(), _planes(a[i:j]), _planes(b[i:j] - a[i:j])) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), SPANS.types, strict=True)], SPANS.names)
+
+
+def _spans_by_id(batches: Batches) -> Batches:
+    """``(id, h, spans)``: all spans of a text, in one row, as pairs of longs."""
+    for rows in _by_bucket(batches):
+        ids, a, size = (np.concatenate([_unplaned(r[n]) for r in rows]) for n in ("ids", "start", "size"))
+        h = np.concatenate([np.frombuffer(r["h"], "<u4") for r in rows]).astype(np.int64)
         order = np.lexsort((a, h, ids))
-        ids, h, a, b = ids[order], h[order], a[order], b[order]
+        ids, h, a, size = ids[order], h[order], a[order], size[order]
         new = np.ones(len(ids), dtype=bool)
         new[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
         cuts = np.append(np.flatnonzero(new), len(ids))
-        pairs = np.stack([a, b], axis=1).astype("<i8")
-        blobs = [pairs[i:j].tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        if blobs:
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]], pa.int64()), pa.array(h[cuts[:-1]].astype(np.int64), pa.int64()), pa.array(blobs, pa.binary())], ["id", "h", "spans"])
+        pairs = np.stack([a, a + size], axis=1).astype("<i8")
+        blobs = _binary(pairs.view(np.uint8).ravel(), np.diff(cuts) * 16).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array(h[cuts[:-1]]), blobs], ["id", "h", "spans"])
 
 
 def _united(pairs: np.ndarray) -> np.ndarray:
@@ -531,9 +546,9 @@ def _without(batches: Batches) -> Batches:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in text_groups(batches, "text", 4 << 20):
         sizes, removed, spans, kept = [], [], [], []
-        for text, blobs in zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
+        for text, blob in zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True):
             data = text.as_py() or b""
-            own = _united(np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)).tolist() if blobs else []
+            own = _united(np.frombuffer(blob, "<i8").reshape(-1, 2)).tolist() if blob else []
             edges = [0, *(x for s in own for x in s), len(data)]
             sizes.append(len(data))
             removed.append(sum(b - a for a, b in own))
@@ -555,7 +570,7 @@ def _written(rows: DataFrame, path: str) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, k: int = K, crowd: int = CROWD, crowds: int = CROWDS) -> DataFrame:
-    """``(id, h, spans)`` of rows ``(id, text, h)``: what to remove as blobs of pairs of byte places, several for a row perhaps."""
+    """``(id, h, spans)`` of rows ``(id, text, h)``: what to remove, as blobs of pairs of byte places."""
     spark = rows.sparkSession
     ship_package(spark)
     m = max(1, min(M, k // 2))
@@ -576,9 +591,9 @@ def repeated_spans(rows: DataFrame, k: int = K, crowd: int = CROWD, crowds: int
     told = arrow_map(dealt(answers.where("bucket is not null").select("bucket", "ids", "w")), _by_id, "id long, told binary")
     asked = known.select("id", "text", "h").join(told, "id")
     stretches_sent = arrow_map(asked, lambda b: _send_stretches(b, k, m, buckets, crowded.value), STRETCHES_TYPE)
-    spans = _written(arrow_map(dealt(stretches_sent), lambda b: _find(b, k), "id long, h long, spans binary"), shared_path(spark, "repeated-spans"))
+    found = _written(arrow_map(dealt(stretches_sent), lambda b: _find(b, k, buckets), SPANS_TYPE), shared_path(spark, "repeated-spans"))
     drop_path(spark, path)
-    return spans
+    return arrow_map(dealt(found), _spans_by_id, "id long, h long, spans binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, crowd: int = CROWD, crowds: int = CROWDS) -> DataFrame:
@@ -589,5 +604,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
     spans = repeated_spans(rows, k, crowd, crowds)
     tidy(docs.sparkSession)
-    own = spans.groupBy("id", "h").agg(F.collect_list("spans").alias("spans"))
-    return arrow_map(rows.join(own, ["id", "h"], "left").select("id", "text", "spans"), _without, "id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return arrow_map(rows.join(spans, ["id", "h"], "left").select("id", "text", "spans"), _without, "id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
