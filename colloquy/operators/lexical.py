@@ -1,33 +1,42 @@
 """Full-text search: routing, persisted postings, BM25 and substrings.
 
-An index is a folder of versions. A version has the postings, dealt into buckets
-by term, and a row that tells what it was made of; a version counts once that
-row is there. Searches read the buckets of their terms only.
+An index is a folder of versions, of words or of trigrams. A version is a row that
+lists the parts it is made of; it counts once that row is there. A part has
+postings, dealt into buckets by term, and the lengths of its documents; one that
+events made has the documents that it touches too, which hides these in the
+parts before it. Searches read the buckets of their terms only.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 import unicodedata
 import uuid
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colloquy.functions.text import CURLY_DOUBLE, CURLY_SINGLE, EMOJI_RANGES, contains_emoji, normalize_text, terms_of, tokenize
-from colloquy.session import path_exists
+from colloquy.operators.incremental import last_events
+from colloquy.session import map_batches, path_exists
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 LEAST_TRIGRAM = 3
 #: Changes of the postings' form or of the tokenizer need another name here, which makes older indexes stale.
-SCHEMA, TOKENIZER = "postings/1", "lower case; no diacritics; letters and digits"
-BUCKETS, SPREAD = 64, 16
-VERSION = "version long, path string, fingerprint string, position long, n_docs long, n_terms long, n_postings long, columns string"
+SCHEMA = "postings/2"
+TOKENIZERS = {"word": "lower case; no diacritics; letters and digits", "trigram": "lower case; every three characters"}
+BUCKETS = 64
+#: The bucket of the documents' lengths.
+DOCUMENTS = -1
+VERSION = "version long, parts array<string>, fingerprint string, kind string, key string, key_type string, position long, n_docs long, n_terms long, n_postings long, source string"
 
 
 @dataclass(frozen=True)
@@ -77,12 +86,6 @@ def terms_of_documents(docs: DataFrame, key: str = "segment_id", text: str = "te
     return docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
 
 
-def postings(terms: DataFrame, key: str = "segment_id") -> DataFrame:
-    """``(key, dl, term, tf, positions)`` of rows ``(key, terms)``."""
-    each = terms.select(key, F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
-    return each.groupBy(key, "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
 def idf(n_docs: Column, df: Column) -> Column:
     raw = F.ln((n_docs - df + 0.5) / (df + 0.5))
     return F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
@@ -133,49 +136,146 @@ def bm25(docs: DataFrame, phrase: str, key: str = "segment_id", text: str = "tex
 
 
 class StaleIndex(RuntimeError):
-    """The index is absent, or was made by another tokenizer or in another form: it must be rebuilt."""
+    """The index is absent, or was made by another tokenizer, in another form or from other files: it must be rebuilt."""
 
 
-def fingerprint() -> str:
-    return hashlib.sha256(f"{SCHEMA}\n{TOKENIZER}\n{BUCKETS}".encode()).hexdigest()
+def fingerprint(kind: str = "word") -> str:
+    return hashlib.sha256(f"{SCHEMA}\n{TOKENIZERS[kind]}\n{BUCKETS}".encode()).hexdigest()
 
 
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _listed(docs: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+    """``(bucket, key, dl, term, tf, positions)``: the postings of each document, and a row that tells its length, are made where its row is."""
+    column = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(key, (tokenize(column) if kind == "word" else F.lower(column)).alias("terms"))
+    name = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, source = batch.column(0), batch.column(1)
+            codes, owner, names = _word_codes(source) if kind == "word" else _trigram_codes(source)
+            size = np.bincount(owner, minlength=len(keys)).astype(np.int32)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            order = np.argsort(owner.astype(np.int64) * (len(names) + 1) + codes, kind="stable")  # places stay in order
+            c, d = codes[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])) if len(c) else np.zeros(0, np.int64)
+            edges = np.append(first, len(c)).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(edges), pa.array(place[order].astype(np.int32)))
+            columns = [keys.take(pa.array(d[first])), pa.array(size[d[first]]), names.take(pa.array(c[first])), pa.array(np.diff(edges)), positions]
+            yield pa.RecordBatch.from_arrays(columns, [key, "dl", "term", "tf", "positions"])
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(size), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int32)), pa.nulls(n, positions.type)], [key, "dl", "term", "tf", "positions"])
+
+    made = map_batches(rows, run, f"{key} {name}, dl int, term string, tf int, positions array<int>")
+    return made.select(F.when(F.col("term").isNull(), DOCUMENTS).otherwise(_bucket(F.col("term"))).alias("bucket"), key, "dl", "term", "tf", "positions")
+
+
+def _word_codes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """A number for each term of all lists, the row of each, and the terms by their numbers."""
+    coded = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return coded.indices.to_numpy(), np.repeat(np.arange(len(lists)), sizes), coded.dictionary
+
+
+def _trigram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same for every three characters in a row of each text."""
+    values = [(t or "").encode("utf-32-le") for t in texts.to_pylist()]
+    signs = np.frombuffer(b"".join(values), "<u4").astype(np.int64)
+    sizes = np.array([len(v) // 4 for v in values], dtype=np.int64)
+    own = np.maximum(sizes - LEAST_TRIGRAM + 1, 0)
+    owner = np.repeat(np.arange(len(values)), own)
+    at = np.arange(int(own.sum())) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(own) - own), own)
+    packed = (signs[at] << 42) | (signs[at + 1] << 21) | signs[at + 2] if len(at) else at
+    coded = pa.array(packed).dictionary_encode()
+    names = ["".join(chr(x >> s & 0x1FFFFF) for s in (42, 21, 0)) for x in coded.dictionary.to_pylist()]
+    return coded.indices.to_numpy(), owner, pa.array(names, pa.string())
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
-    """The current version of an index."""
+    """The current version of an index: postings in parts, of which a later one replaces the documents that it touches in those before."""
 
-    postings: DataFrame
+    spark: SparkSession
+    folder: str
+    version: int
+    kind: str
+    key: str
+    key_type: str
+    parts: tuple[str, ...]
     position: int
     n_docs: int
     n_terms: int
     n_postings: int
-    key: str
+    source: str | None
 
-    def search(self, phrase: str) -> DataFrame:
-        """``(key, score)`` of the documents that hold every word of the phrase, with the statistics of the whole index."""
-        phrases = query_phrases(phrase)
-        names = sorted({t for p in phrases for t in p})
-        own = self.postings.where(F.col("bucket").isin(*_buckets_of(self.postings.sparkSession, names)) & F.col("term").isin(*names))
-        if not phrases:
-            return own.select(self.key, F.lit(0.0).alias("score")).where("false")
-        follows = sorted({t for p in phrases if len(p) > 1 for t in p})
-        wanted = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"n_{t}") for t in names] + [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at_{t}") for t in follows]
-        each = own.groupBy(self.key).agg(F.first("dl").alias("dl"), *wanted)
+    def _all(self, what: str, columns: str, first: int = 0) -> DataFrame:
+        parts = [self.spark.read.schema(f"{self.key} {self.key_type}{columns}").parquet(f"{path}/{what}").withColumn("part", F.lit(i)) for i, path in enumerate(self.parts) if i >= first]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows of documents that no later part touches."""
+        if len(self.parts) == 1:
+            return rows.drop("part")
+        gone = self._all("touched", "", 1).groupBy(self.key).agg(F.max("part").alias("_since"))
+        return rows.join(gone, self.key, "left").where(F.col("_since").isNull() | (F.col("part") >= F.col("_since"))).drop("part", "_since")
+
+    @property
+    def _stored(self) -> DataFrame:
+        return self._all("postings", ", dl int, term string, tf int, positions array<int>, bucket int")
 
-        def frequency(p: list[str]) -> Column:
-            if len(p) == 1:
-                return F.coalesce(F.col(f"n_{p[0]}"), F.lit(0))
-            out = F.col(f"at_{p[0]}")
-            for i, t in enumerate(p[1:], 1):
-                out = F.array_intersect(out, F.expr(f"transform(`at_{t}`, x -> x - {i})"))
-            return F.coalesce(F.size(out), F.lit(0))
+    @property
+    def postings(self) -> DataFrame:
+        """``(key, dl, term, tf, positions, bucket)``."""
+        return self._live(self._stored.where(F.col("bucket") != DOCUMENTS))
 
-        counted = each.select(self.key, "dl", *[F.greatest(frequency(p), F.lit(0)).alias(f"tf{i}") for i, p in enumerate(phrases)])
-        return _scored(counted, len(phrases), self.key, F.lit(self.n_docs), F.lit(self.n_terms / max(1, self.n_docs)))
+    @property
+    def documents(self) -> DataFrame:
+        """``(key, dl)`` of all documents, those without terms too."""
+        return self._live(self._stored.where(F.col("bucket") == DOCUMENTS)).select(self.key, "dl")
+
+    def _of_terms(self, names: list[str]) -> DataFrame:
+        """The postings of some terms; only their buckets are read."""
+        return self._stored.where(F.col("bucket").isin(*_buckets_of(self.spark, names)) & F.col("term").isin(*names))
+
+    def search(self, phrase: str) -> DataFrame:
+        """``(key, score)`` of the documents that hold the phrase, with the statistics of the whole index.
+
+        Of words each must be there; of an index of trigrams the phrase as it is,
+        in either case. The statistics are those of a rebuilt index.
+        """
+        # Terms and the offsets at which they must be met, for each word of the query.
+        if self.kind == "word":
+            wanted = [list(enumerate(p)) for p in query_phrases(phrase)]
+        else:
+            low = phrase.lower()
+            starts = [*range(0, len(low) - LEAST_TRIGRAM, LEAST_TRIGRAM), len(low) - LEAST_TRIGRAM]
+            wanted = [[(i, low[i : i + LEAST_TRIGRAM]) for i in starts]] if len(low) >= LEAST_TRIGRAM else []
+        names = sorted({t for w in wanted for _, t in w})
+        own = self._of_terms(names)
+        if not wanted:
+            return own.select(self.key, F.lit(0.0).alias("score")).where("false")
+        if self.kind == "trigram" and len(names) > 1:
+            # The rarest part of the phrase tells which documents of the others matter.
+            counts = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each term of the query
+            rarest = min(names, key=lambda t: (counts.get(t, 0), t))
+            own = own.where(F.col("term") == rarest).unionByName(own.where(F.col("term") != rarest).join(own.where(F.col("term") == rarest).select(self.key), self.key, "left_semi").select(own.columns))
+        number = {t: i for i, t in enumerate(names)}
+        follows = {t for w in wanted if len(w) > 1 for _, t in w}
+        lists = [F.max(F.when(F.col("term") == t, F.col("positions") if t in follows else F.array(F.col("tf")))).alias(f"at{i}") for t, i in number.items()]
+        each = self._live(own).groupBy(self.key).agg(F.first("dl").alias("dl"), *lists)
+
+        def frequency(w: list[tuple[int, str]]) -> Column:
+            if len(w) == 1:
+                at = F.col(f"at{number[w[0][1]]}")
+                return F.when(at.isNull(), 0).otherwise(F.size(at) if w[0][1] in follows else at[0])
+            shifted = [F.expr(f"transform(at{number[t]}, x -> x - {i})") for i, t in w]
+            return F.greatest(F.coalesce(F.size(reduce(F.array_intersect, shifted)), F.lit(0)), F.lit(0))
+
+        counted = each.select(self.key, "dl", *[frequency(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
+        return _scored(counted, len(wanted), self.key, F.lit(self.n_docs), F.lit(self.n_terms / max(1, self.n_docs)))
 
 
 def _buckets_of(spark: SparkSession, terms: list[str]) -> list[int]:
@@ -186,57 +286,112 @@ def _buckets_of(spark: SparkSession, terms: list[str]) -> list[int]:
     return sorted(set(row))
 
 
-def write_index(docs: DataFrame, folder: str, position: int = 0, key: str = "segment_id", text: str = "text") -> LexicalIndex:
-    """Make a new version of the index of ``docs`` and put it in place of the current one.
+def _deal(rows: DataFrame, path: str, key: str) -> None:
+    """Write postings by bucket. Where there are more tasks than buckets, a bucket is spread over several, so that a common term is not one task's."""
+    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(spread))).sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def _write_part(docs: DataFrame, path: str, key: str, text: str, kind: str) -> tuple[int, int, int]:
+    """``(documents, terms, postings)`` of a part."""
+    rows = _listed(docs, key, text, kind)
+    _deal(rows, path, key)
+    made, whole = docs.sparkSession.read.schema(rows.schema).parquet(f"{path}/postings"), F.col("bucket") == DOCUMENTS
+    told = made.agg(F.count_if(whole).alias("docs"), F.coalesce(F.sum(F.when(whole, F.col("dl"))), F.lit(0)).alias("length"), F.count_if(~whole).alias("postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("terms")).first()
+    if told["terms"] != told["length"]:
+        raise RuntimeError(f"the index has {told['terms']} terms, the documents {told['length']}")
+    return told["docs"], told["terms"], told["postings"]
+
+
+def _publish(index: LexicalIndex) -> LexicalIndex:
+    """Make a version count: its row is the last that is written."""
+    row = (index.version, list(index.parts), fingerprint(index.kind), index.kind, index.key, index.key_type, index.position, index.n_docs, index.n_terms, index.n_postings, index.source)
+    index.spark.createDataFrame([row], VERSION).coalesce(1).write.mode("append").json(f"{index.folder}/versions")
+    return index
+
+
+def write_index(docs: DataFrame, folder: str, position: int = 0, key: str = "segment_id", text: str = "text", kind: str = "word", source: str | None = None) -> LexicalIndex:
+    """Make a new version of the index of ``docs``, which have a row for each key, and put it in place of the current one.
 
     The position (that of the outbox) is to be taken before ``docs`` is read:
     events after it are applied again. Postings are counted against the
-    documents before the version's row is written, which alone makes it count;
-    until then searches see the version before it. Common terms are spread over
-    ``SPREAD`` files of their bucket.
+    documents before the version's row is written; until then searches see the
+    version before it. ``source`` tells what the documents were read from.
     """
     spark = docs.sparkSession
     path = f"{folder}/data/{uuid.uuid4().hex}"
-    counts = [F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n_terms")]
-    terms, seen = terms_of_documents(docs, key, text), Observation()
-    rows = postings(terms.observe(seen, *counts), key).withColumn("bucket", _bucket(F.col("term")))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", key)
-    dealt.write.partitionBy("bucket").parquet(path)
-    made = spark.read.schema(rows.schema).parquet(path)
-    told = made.agg(F.count("*").alias("n_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_terms")).first()
-    expected = seen.get if told["n_postings"] else {"n_terms": -1}  # a plan without rows is not observed
-    if told["n_terms"] != expected["n_terms"]:
-        expected = terms.agg(*counts).first().asDict()  # tasks that ran twice are observed twice
-    if told["n_terms"] != expected["n_terms"]:
-        raise RuntimeError(f"the index has {told['n_terms']} terms, the documents {expected['n_terms']}")
+    n_docs, n_terms, n_postings = _write_part(docs, path, key, text, kind)
     version = 1 + max((r["version"] for r in _versions(spark, folder)), default=0)
-    row = (version, path, fingerprint(), position, expected["n_docs"], told["n_terms"], told["n_postings"], rows.schema.json())
-    spark.createDataFrame([row], VERSION).coalesce(1).write.mode("append").json(f"{folder}/versions")
-    return open_index(spark, folder, key)
+    return _publish(LexicalIndex(spark, folder, version, kind, key, docs.schema[key].dataType.simpleString(), (path,), position, n_docs, n_terms, n_postings, source))
+
+
+def apply_events(index: LexicalIndex, events: DataFrame, content: DataFrame, text: str = "text") -> LexicalIndex:
+    """The index after the events ``(event_id, key, operation)`` beyond its position, as a new version with one more part.
+
+    Of each document the last event counts; an upsert puts its current content,
+    and one whose content is gone, like a delete, takes the document out. The
+    part lists the documents that it touches, which hides them in those before
+    it, and holds the postings of those that are there. Statistics are told
+    exactly: what the touched documents had goes, what they have comes. Without
+    events the version stays.
+    """
+    spark, key = index.spark, index.key
+    last = last_events(events, index.position, [key])
+    newest = last.agg(F.max("event_id").alias("n")).first()["n"]
+    if newest is None:
+        return index
+    path = f"{index.folder}/data/{uuid.uuid4().hex}"
+    last.select(key).write.parquet(f"{path}/touched")
+    touched = spark.read.schema(f"{key} {index.key_type}").parquet(f"{path}/touched")
+    put = content.join(last.where("operation = 'upsert'").select(key), key, "left_semi").select(key, text)
+    n_docs, n_terms, _ = _write_part(put, path, key, text, index.kind)
+    old = index.documents.join(touched, key, "left_semi").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).first()
+    after = replace(index, version=index.version + 1, parts=(*index.parts, path), position=newest, n_docs=index.n_docs - old["n"] + n_docs, n_terms=index.n_terms - old["terms"] + n_terms)
+    return _publish(replace(after, n_postings=after.postings.count()))
+
+
+def compact(index: LexicalIndex) -> LexicalIndex:
+    """The same index in one part, as a new version: no text is read, live postings are written anew."""
+    path = f"{index.folder}/data/{uuid.uuid4().hex}"
+    _deal(index._live(index._stored), path, index.key)
+    after = replace(index, version=index.version + 1, parts=(path,))
+    if after.postings.count() != index.n_postings:
+        raise RuntimeError("postings were lost")
+    return _publish(after)
 
 
 def _versions(spark: SparkSession, folder: str) -> list:
     if not path_exists(spark, f"{folder}/versions"):
         return []
-    return spark.read.schema(VERSION).json(f"{folder}/versions").collect()  # a row for each rebuild
+    return spark.read.schema(VERSION).json(f"{folder}/versions").collect()  # a row for each version
 
 
-def open_index(spark: SparkSession, folder: str, key: str = "segment_id") -> LexicalIndex:
-    """The current version; ``StaleIndex`` if there is none or it was made in another way."""
+def open_index(spark: SparkSession, folder: str, kind: str = "word", source: str | None = None) -> LexicalIndex:
+    """The current version; ``StaleIndex`` if there is none, or it was made in another way, or from another source than the given one."""
     last = max(_versions(spark, folder), key=lambda r: r["version"], default=None)
-    if last is None or last["fingerprint"] != fingerprint():
+    if last is None or last["fingerprint"] != fingerprint(kind) or (source is not None and last["source"] != source):
         raise StaleIndex(folder)
-    columns = T.StructType.fromJson(json.loads(last["columns"]))
-    return LexicalIndex(spark.read.schema(columns).parquet(last["path"]), last["position"], last["n_docs"], last["n_terms"], last["n_postings"], key)
+    return LexicalIndex(spark, folder, last["version"], kind, last["key"], last["key_type"], tuple(last["parts"]), last["position"], last["n_docs"], last["n_terms"], last["n_postings"], last["source"])
 
 
 def substring_hits(docs: DataFrame, phrase: str, text: str = "text", ignore_case: bool = True) -> DataFrame:
-    """Documents that hold the phrase as it is."""
+    """Documents that hold the phrase as it is, by a scan."""
     if ignore_case:
         return docs.where(F.lower(text).contains(phrase.lower()))
     return docs.where(F.col(text).contains(phrase))
 
 
+def bm25_of_phrase(docs: DataFrame, phrase: str, key: str = "segment_id", text: str = "text") -> DataFrame:
+    """``(key, score)`` of the documents that hold the phrase as it is, in either case, without an index: as one of trigrams would score them."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    want = F.lit(phrase.lower())
+    n = len(phrase)
+    # Places of the phrase, also those that overlap.
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length("_low") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_low"), i, F.lit(n)) == want)
+    counted = docs.select(key, low.alias("_low")).select(key, F.greatest(F.length("_low") - LEAST_TRIGRAM + 1, F.lit(0)).alias("dl"), F.when(F.col("_low").contains(want), F.size(places)).otherwise(0).alias("tf0"))
+    return _scored(counted, 1, key)
+
+
 def like_pattern(phrase: str) -> str:
     """A LIKE pattern that matches the phrase literally."""
     return "%" + re.sub(r"([\\%_])", r"\\\1", phrase) + "%"

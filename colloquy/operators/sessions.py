@@ -210,8 +210,10 @@ def split_capped(rows: DataFrame, keys: Sequence[str], position: str, cost: str,
     early = (F.col("_i") % stretch < most) & (own > 0)
     dealt = bare.select("*", F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))).alias("_b"))
     kind = dealt.select("_k").schema["_k"].dataType.simpleString()
-    edges = _fold_stretches(dealt, most, budget, stretch, f"_k {kind}, entry long, leave long", mark=False)
-    given = _reached(edges).select("_k", F.col("entry").alias("_i"), F.lit(0).cast("long").alias("_cost"), F.lit(False).alias("_reset"), F.lit(True).alias("_entry"), F.floor(F.col("entry") / stretch).cast("long").alias("_b"))
+    long = bare.where(F.col("_i") >= stretch).select("_k").distinct()
+    dealt_long = None if long.isEmpty() else dealt.join(long, "_k", "left_semi")  # others have no further stretch to enter
+    given = dealt.limit(0).select("_k", F.lit(0).cast("long").alias("entry")) if dealt_long is None else _reached(_fold_stretches(dealt_long, most, budget, stretch, f"_k {kind}, entry long, leave long", mark=False))
+    given = given.select("_k", F.col("entry").alias("_i"), F.lit(0).cast("long").alias("_cost"), F.lit(False).alias("_reset"), F.lit(True).alias("_entry"), F.floor(F.col("entry") / stretch).cast("long").alias("_b"))
     marked = _fold_stretches(dealt.unionByName(given), most, budget, stretch, f"_k {kind}, _i long, _start boolean", mark=True)
     numbered = _cumulated(marked.withColumn("_b", F.floor(F.col("_i") / stretch)), ["_i"], F.col("_start").cast("int"), name)
     parts = numbered.select("_k", "_i", (F.col(name) - 1).alias(name))
@@ -340,10 +342,10 @@ def segment_sessions(messages: DataFrame, keys: Sequence[str], order: Sequence[s
     columns = [*keys, *order]
     rows = positioned(messages.select(*columns, text), keys, order[0], order[-1], "_at").withColumns({"_k": _key(keys), "_cost": estimate_tokens(F.col(text))})
     rows = rows.join(rows.groupBy("_k").agg(F.count("*").alias("_size")), "_k")
-    large = rows.where(F.col("_size") > topical_min)
-    windows = topic_windows(large.drop("_k"), keys, "_at", text, provider, window_tokens, overlap)
     shared_dir(messages.sparkSession)
-    windows = windows.checkpoint()  # the provider is asked once
+    # Sessions for the provider are written once, and so is what it tells: they are read several times.
+    large = rows.where(F.col("_size") > topical_min).checkpoint()
+    windows = topic_windows(large.drop("_k"), keys, "_at", text, provider, window_tokens, overlap).checkpoint()
     begins = topic_starts(windows, least).select("_k", F.col("at").alias("_at"), F.lit(True).alias("_reset"))
     failed = windows.where("cuts is null").select("_k").distinct().withColumn("_failed", F.lit(True))
     cut = large.join(begins, ["_k", "_at"], "left").drop("_k")

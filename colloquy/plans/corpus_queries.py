@@ -12,6 +12,7 @@ from colloquy.operators import access, attachments, evaluation, incremental, lex
 from colloquy.plans import upkeep
 from colloquy.plans.search import SearchTables, hybrid_search
 from colloquy.plans.views import rebuild_index, register, segment_index, sql, view
+from colloquy.session import shared_path
 from colloquy.sources import extract
 
 # attachments and enrichment
@@ -206,6 +207,32 @@ def o83(spark, sf):
     return access.scope_reasons(d.where("priority = '1-URGENT'"), d.where("priority <> '1-URGENT'"), "person_id")
 
 
+def _bm25_ctes(phrase: str, digits: int | None = 6) -> str:
+    terms = lexical.query_phrases(phrase)
+    assert all(len(t) == 1 for t in terms)
+    names = [t[0] for t in terms]
+    tf = ", ".join(f"CAST(len(list_filter(w, lambda t: t = '{n}')) AS BIGINT) AS tf{i}" for i, n in enumerate(names))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(names)))
+    idf = lambda i: f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END"
+    score = " + ".join(f"({idf(i)}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(names)))
+    both = " AND ".join(f"tf{i} > 0" for i in range(len(names)))
+    score = score if digits is None else f"round({score}, {digits})"
+    return f"t AS (SELECT segment_id, {WORDS} AS w FROM segment), c AS (SELECT segment_id, len(w) AS dl, {tf} FROM t), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c), scored AS (SELECT segment_id, {score} AS score FROM c, st WHERE {both})"
+
+
+def _bm25_sql(phrase: str, k: int) -> str:
+    return sql(f"SELECT segment_id, score, row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored ORDER BY score DESC, segment_id LIMIT {k}", "segment", ctes=_bm25_ctes(phrase))
+
+
+def _phrase_ctes(phrase: str, digits: int | None = 6) -> str:
+    """Scores of a phrase that does not overlap itself, over trigrams."""
+    idf = "CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END"
+    score = f"({idf}) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+    score = score if digits is None else f"round({score}, {digits})"
+    return f"""c AS (SELECT segment_id, greatest(length(lower(text)) - 2, 0) AS dl, (length(lower(text)) - length(replace(lower(text), '{phrase}', ''))) // {len(phrase)} AS tf FROM segment),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (tf > 0) AS df FROM c), scored AS (SELECT segment_id, {score} AS score FROM c, st WHERE tf > 0)"""
+
+
 @register("o139_rebuild", sql(f"SELECT (SELECT count(*) FROM segment) AS n_docs, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_terms, (SELECT max(message_id) FROM message) AS position FROM (SELECT segment_id, term, count(*) AS tf FROM (SELECT segment_id, unnest({WORDS}) AS term FROM segment) GROUP BY ALL)", "segment", "message"))
 def o139(spark, sf):
     events = view(spark, sf, "message").select(F.col("message_id").alias("event_id"))
@@ -213,6 +240,37 @@ def o139(spark, sf):
     return spark.createDataFrame([(made.n_docs, made.n_postings, made.n_terms, made.position)], "n_docs long, n_postings long, n_terms long, position long")
 
 
+def _updated_index(spark: SparkSession, sf: str, kind: str) -> lexical.LexicalIndex:
+    """An index of old contents, brought up to date by two batches of events: German texts changed, those of one chat are new, those of another are gone."""
+    now = view(spark, sf, "segment").select("segment_id", "chat", "lang", "text")
+    old = now.where("chat <> 'src1'").withColumn("text", F.when(F.col("lang") == "de", "with that from, that was the old text").otherwise(F.col("text")))
+    index = lexical.write_index(old, shared_path(spark, "updated"), kind=kind)
+    first = now.where("chat = 'src1' OR lang = 'de'").select((2 * F.col("segment_id") + 1).alias("event_id"), "segment_id", F.lit("upsert").alias("operation"))
+    second = now.where("chat IN ('src1', 'src2')").select((2 * F.col("segment_id") + 2 + 4_000_000_000).alias("event_id"), "segment_id", F.when(F.col("chat") == "src2", "delete").otherwise("upsert").alias("operation"))
+    there = now.where("chat <> 'src2'")
+    index = lexical.apply_events(index, first, now)
+    return lexical.apply_events(index, first.unionByName(second), there)
+
+
+def _present(ctes: str) -> str:
+    return ctes.replace("FROM segment)", "FROM segment WHERE chat <> 'src2')")
+
+
+@register("o138_search_after_events", sql("SELECT segment_id, score FROM scored", "segment", ctes=_present(_bm25_ctes("with that from"))))
+def o138c(spark, sf):
+    return _updated_index(spark, sf, "word").search("with that from").withColumn("score", F.round("score", 6))
+
+
+@register("o138_phrase_after_events", sql("SELECT segment_id, score FROM scored", "segment", ctes=_present(_phrase_ctes("tion of th"))))
+def o138d(spark, sf):
+    return _updated_index(spark, sf, "trigram").search("tion of th").withColumn("score", F.round("score", 6))
+
+
+@register("o139_compacted", sql("SELECT segment_id, score FROM scored", "segment", ctes=_present(_bm25_ctes("that the"))))
+def o139b(spark, sf):
+    return lexical.compact(_updated_index(spark, sf, "word")).search("that the").withColumn("score", F.round("score", 6))
+
+
 @register("o146_drift", sql("SELECT segment_id FROM segment WHERE lang = 'es' OR chat = 'src5'", "segment"))
 def o146(spark, sf):
     s = view(spark, sf, "segment").select("segment_id", "lang", "chat", F.sha2("text", 256).alias("content_sha256"))
@@ -337,23 +395,6 @@ def o158(spark, sf):
 # search
 
 
-def _bm25_ctes(phrase: str, digits: int | None = 6) -> str:
-    terms = lexical.query_phrases(phrase)
-    assert all(len(t) == 1 for t in terms)
-    names = [t[0] for t in terms]
-    tf = ", ".join(f"CAST(len(list_filter(w, lambda t: t = '{n}')) AS BIGINT) AS tf{i}" for i, n in enumerate(names))
-    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(names)))
-    idf = lambda i: f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END"
-    score = " + ".join(f"({idf(i)}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(names)))
-    both = " AND ".join(f"tf{i} > 0" for i in range(len(names)))
-    score = score if digits is None else f"round({score}, {digits})"
-    return f"t AS (SELECT segment_id, {WORDS} AS w FROM segment), c AS (SELECT segment_id, len(w) AS dl, {tf} FROM t), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c), scored AS (SELECT segment_id, {score} AS score FROM c, st WHERE {both})"
-
-
-def _bm25_sql(phrase: str, k: int) -> str:
-    return sql(f"SELECT segment_id, score, row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored ORDER BY score DESC, segment_id LIMIT {k}", "segment", ctes=_bm25_ctes(phrase))
-
-
 @register("o87_o88_bm25", _bm25_sql("with that from", 100))
 def o88(spark, sf):
     hits = segment_index(spark, sf).search("with that from").withColumn("score", F.round("score", 6))
@@ -387,7 +428,22 @@ def o88b(spark, sf):
 
 @register("o90_trigram_substring", sql("SELECT segment_id FROM segment WHERE contains(lower(text), 'ing th')", "segment"))
 def o90(spark, sf):
-    return lexical.substring_hits(view(spark, sf, "segment"), lexical.route('"ing th"').phrase).select("segment_id")
+    return segment_index(spark, sf, "trigram").search(lexical.route('"ing th"').phrase).select("segment_id")
+
+
+RANKED = "SELECT segment_id, score, row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored ORDER BY score DESC, segment_id LIMIT 100"
+
+
+@register("o90_ranked", sql(RANKED, "segment", ctes=_phrase_ctes("ation of th")))
+def o90b(spark, sf):
+    hits = segment_index(spark, sf, "trigram").search("ation of th").withColumn("score", F.round("score", 6))
+    return ranking.ranked(hits, [F.col("score").desc(), F.col("segment_id")], 100).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("o90_ranked_without_index", sql(RANKED, "segment", ctes=_phrase_ctes("ation of th")))
+def o90c(spark, sf):
+    hits = lexical.bm25_of_phrase(view(spark, sf, "segment"), "ation of th").withColumn("score", F.round("score", 6))
+    return ranking.ranked(hits, [F.col("score").desc(), F.col("segment_id")], 100).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("o91_emoji_substring", sql("SELECT segment_id FROM segment WHERE contains(CASE WHEN lang = 'de' THEN text || ' 🎉' WHEN lang = 'fr' THEN text || ' 🎈' ELSE text END, '🎉')", "segment"))
@@ -504,10 +560,30 @@ judged AS (SELECT segment_id, score, pr, {JACCARD} AS jac FROM pooled JOIN segme
 SEARCH_SQL = sql("SELECT segment_id, row_number() OVER (ORDER BY jac DESC, pr) AS rank, round(score, 6) AS score, jac AS rerank_score FROM judged ORDER BY jac DESC, pr LIMIT 10", "segment", "vector", ctes=SEARCH).replace("FROM vector SEMI JOIN segment USING (segment_id), q QUALIFY", "FROM (SELECT * FROM vector SEMI JOIN segment USING (segment_id)), q QUALIFY")
 
 
-def _search(spark: SparkSession, sf: str, filters: access.Filters) -> DataFrame:
+def _other_search_sql(ctes: str, order: str, asked: str) -> str:
+    """``SEARCH_SQL`` of another query: its first channel's rows and their order."""
+    return SEARCH_SQL.replace(_bm25_ctes("with that from", None), ctes).replace("row_number() OVER (ORDER BY score DESC, segment_id) AS rank FROM scored", f"row_number() OVER (ORDER BY {order}, segment_id) AS rank FROM scored").replace("'with that from' AS query_text", f"'{asked}' AS query_text")
+
+
+def _search(spark: SparkSession, sf: str, filters: access.Filters, query: str = "with that from") -> DataFrame:
     s = view(spark, sf, "segment").withColumnsRenamed({"chat": "chat_id"}).withColumn("started_at", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, cast(segment_id as int))"))
-    tables = SearchTables(segments=s, vectors=view(spark, sf, "vector"), text_index=segment_index(spark, sf))
-    return hybrid_search(tables, "with that from", _query_vector(spark, sf), filters=filters, limit=10)
+    original = F.when(F.col("lang") == "de", F.concat("text", F.lit(" 🎉"))).otherwise(F.col("text"))
+    originals = s.select("segment_id", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, n_chars)").alias("sent_at"), original.alias("text_original"))
+    mode = lexical.route(query).mode
+    tables = SearchTables(
+        segments=s, vectors=view(spark, sf, "vector"), originals=originals, text_index=segment_index(spark, sf) if mode == "bm25" else None, text_trigrams=segment_index(spark, sf, "trigram") if mode == "trigram" else None,
+    )
+    return hybrid_search(tables, query, _query_vector(spark, sf), filters=filters, limit=10)
+
+
+@register("o94_quoted_search", _other_search_sql(_phrase_ctes("tion of th", None), "score DESC", "tion of th"))
+def o94c(spark, sf):
+    return _search(spark, sf, access.Filters(), '"tion of th"')
+
+
+@register("o94_emoji_search", _other_search_sql("scored AS (SELECT segment_id, n_chars AS score FROM segment WHERE lang = 'de' OR contains(text, '🎉'))", "score DESC", "🎉"))
+def o94d(spark, sf):
+    return _search(spark, sf, access.Filters(), "🎉")
 
 
 @register("o94_hybrid_search", SEARCH_SQL)

@@ -19,7 +19,10 @@ class SearchTables:
     """What a search reads. Chunks are ``(segment_id, chunk_id, text)``; a table that is absent has no channel.
 
     With the indexes of segments (key ``segment_id``) and chunks (``chunk_id``)
-    no text is cut into terms but those of the reranked pool.
+    no text is cut into terms but those of the reranked pool; quoted phrases use
+    the indexes of trigrams, without which texts are scanned and hits counted
+    there. ``originals`` ``(segment_id, sent_at, text_original)`` are the
+    messages as they were written, in which emoji are looked for.
     """
 
     segments: DataFrame
@@ -31,6 +34,9 @@ class SearchTables:
     with_attachments: DataFrame | None = None
     text_index: lexical.LexicalIndex | None = None
     chunk_index: lexical.LexicalIndex | None = None
+    text_trigrams: lexical.LexicalIndex | None = None
+    chunk_trigrams: lexical.LexicalIndex | None = None
+    originals: DataFrame | None = None
 
 
 def hybrid_search(tables: SearchTables, query: str, query_vector: Sequence[float], *, filters: Filters | None = None, context: AccessContext | None = None, limit: int = 10, k: int = 100, rrf_k: int = 60, pool: int = 50) -> DataFrame:
@@ -54,20 +60,32 @@ def hybrid_search(tables: SearchTables, query: str, query_vector: Sequence[float
     routed = lexical.route(query)
     by_id = F.col("segment_id")
 
-    def lexical_channel(docs: DataFrame, name: str, key: str, index: lexical.LexicalIndex | None) -> DataFrame:
+    def lexical_channel(docs: DataFrame, name: str, key: str, words: lexical.LexicalIndex | None, trigrams: lexical.LexicalIndex | None) -> DataFrame:
+        if routed.mode == "emoji":
+            return emoji_channel(docs, name, key)
         if routed.mode == "bm25":
-            hits = index.search(routed.phrase) if index is not None else lexical.bm25(docs, routed.phrase, key=key)
+            hits = words.search(routed.phrase) if words is not None else lexical.bm25(docs, routed.phrase, key=key)
         else:
-            hits = lexical.substring_hits(docs, routed.phrase, ignore_case=routed.mode == "trigram").select(key, F.lit(0.0).alias("score"))
+            hits = trigrams.search(routed.phrase) if trigrams is not None else lexical.bm25_of_phrase(docs, routed.phrase, key=key)
         if key != "segment_id":
             hits = hits.join(docs.select(key, "segment_id"), key).groupBy("segment_id").agg(F.max("score").alias("score"))
         hits = hits.join(eligible, "segment_id", "left_semi")
         return ranking.ranked(hits, [F.col("score").desc(), by_id], k).select(F.lit(name).alias("channel"), "segment_id", "rank")
 
-    channels = [lexical_channel(tables.segments.select("segment_id", "text"), "text", "segment_id", tables.text_index)]
+    def emoji_channel(docs: DataFrame, name: str, key: str) -> DataFrame:
+        """Segments by the time of their earliest message that has the emoji, the most recent first; those of chunks by their ids."""
+        if key == "segment_id" and tables.originals is not None:
+            hits = lexical.substring_hits(tables.originals, routed.phrase, "text_original", ignore_case=False).join(eligible, "segment_id", "left_semi")
+            found = ranking.distinct_earliest(hits, k)
+        else:
+            hits = lexical.substring_hits(docs, routed.phrase, ignore_case=False).join(eligible, "segment_id", "left_semi")
+            found = ranking.ranked(hits.select("segment_id").distinct(), [by_id], k)
+        return found.select(F.lit(name).alias("channel"), "segment_id", "rank")
+
+    channels = [lexical_channel(tables.segments.select("segment_id", "text"), "text", "segment_id", tables.text_index, tables.text_trigrams)]
     channels.append(ranking.vector_top_k(tables.vectors, query_vector, k, eligible=eligible).select(F.lit("vector").alias("channel"), "segment_id", "rank"))
     if tables.chunks is not None:
-        channels.append(lexical_channel(tables.chunks.select("segment_id", "chunk_id", "text"), "chunk", "chunk_id", tables.chunk_index))
+        channels.append(lexical_channel(tables.chunks.select("segment_id", "chunk_id", "text"), "chunk", "chunk_id", tables.chunk_index, tables.chunk_trigrams))
     if tables.chunk_vectors is not None:
         near = tables.chunk_vectors.join(eligible, "segment_id", "left_semi")
         hits = near.select("segment_id", ranking.cosine_distance(F.col("vec"), F.array(*[F.lit(float(x)) for x in query_vector])).alias("distance"))

@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.operators.lexical import LexicalIndex, write_index
-from colloquy.session import read_table, shared_path
+from colloquy.operators.lexical import LexicalIndex, StaleIndex, open_index, write_index
+from colloquy.session import dealt_out, files_fingerprint, read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,21 +51,36 @@ def sql(body: str, *names: str, ctes: str = "") -> str:
     return "WITH RECURSIVE " + ",\n".join(parts + ([ctes] if ctes else [])) + "\n" + body
 
 
-_indexes: dict[tuple[str, str], tuple[str, LexicalIndex]] = {}
+_indexes: dict[tuple[str, str, str], LexicalIndex] = {}
 
 
-def rebuild_index(spark: SparkSession, sf_dir: str, position: int = 0) -> LexicalIndex:
-    """Make the index of the segments of a data folder anew; searches see this version from then on."""
-    where = (spark.sparkContext.applicationId, sf_dir)
-    folder = _indexes[where][0] if where in _indexes else shared_path(spark, "postings")
-    _indexes[where] = folder, write_index(view(spark, sf_dir, "segment"), folder, position)
-    return _indexes[where][1]
+def _segments_path(sf_dir: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{VIEWS['segment'][0]}.parquet"
+
 
+def _segments_source(spark: SparkSession, sf_dir: str) -> str:
+    return files_fingerprint(spark, _segments_path(sf_dir))
 
-def segment_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    """The index of the segments of a data folder, made if there is none yet and kept in the shared folder for the application."""
-    where = (spark.sparkContext.applicationId, sf_dir)
-    return _indexes[where][1] if where in _indexes else rebuild_index(spark, sf_dir)
+
+def rebuild_index(spark: SparkSession, sf_dir: str, position: int = 0, kind: str = "word") -> LexicalIndex:
+    """Make the index of the segments of a data folder anew; searches see this version from then on."""
+    where = (spark.sparkContext.applicationId, sf_dir, kind)
+    folder = _indexes[where].folder if where in _indexes else shared_path(spark, "postings")
+    source = _segments_source(spark, sf_dir)  # before the table is read
+    docs = dealt_out(spark, view(spark, sf_dir, "segment").select("segment_id", "text"), _segments_path(sf_dir))
+    _indexes[where] = write_index(docs, folder, position, kind=kind, source=source)
+    return _indexes[where]
+
+
+def segment_index(spark: SparkSession, sf_dir: str, kind: str = "word") -> LexicalIndex:
+    """The index of the segments of a data folder, kept in the shared folder for the application; made if there is none, or if the table's files have changed since."""
+    where = (spark.sparkContext.applicationId, sf_dir, kind)
+    if where in _indexes:
+        try:
+            return open_index(spark, _indexes[where].folder, kind, _segments_source(spark, sf_dir))
+        except StaleIndex:
+            pass
+    return rebuild_index(spark, sf_dir, kind=kind)
 
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import tempfile
@@ -117,6 +118,34 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """``(name, size, time)`` of the files below a path."""
+    files, where = _hadoop(spark, path)
+    told, todo = [], [where]
+    while todo:
+        for status in files.listStatus(todo.pop()):
+            if status.isDirectory():
+                todo.append(status.getPath())
+            else:
+                told.append((status.getPath().getName(), status.getLen(), status.getModificationTime()))
+    return told
+
+
+def files_fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of names, sizes and times of a table's files, which tells whether it was written anew."""
+    return hashlib.sha256(repr(sorted(_files(spark, path))).encode()).hexdigest()
+
+
+#: Bytes for each core below which a table is dealt out before costly work on its rows.
+FEW_BYTES = 32 << 20
+
+
+def dealt_out(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """The rows of a table, dealt out anew if it is small for the cores there are: it may have too few row groups for them. A large one is never shuffled."""
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if sum(n for _, n, _ in _files(spark, path)) < cores * FEW_BYTES else rows
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete what was written below a path, if it is there."""
     files, where = _hadoop(spark, path)

@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,11 +127,65 @@ def test_index_versions(spark, tmp_path, monkeypatch):
     assert now.position == 3 and now.search("new").count() == 1 and now.search("old").count() == 0
     empty = lexical.write_index(docs.limit(0), folder)
     assert empty.n_docs == 0 and empty.search("new").count() == 0
-    monkeypatch.setattr(lexical, "TOKENIZER", "another")
+    monkeypatch.setitem(lexical.TOKENIZERS, "word", "another")
     with pytest.raises(lexical.StaleIndex):
         lexical.open_index(spark, folder)
 
 
+def places(text, phrase):
+    return sum(text.startswith(phrase, i) for i in range(len(text)))
+
+
+def test_trigram_index(spark, tmp_path):
+    """Hits, ranks and counts of phrases, also of those that overlap themselves, as a scan gives them."""
+    rnd = random.Random(8)
+    rows = [(i, "".join(rnd.choice("abA é🎉") for _ in range(rnd.choice([0, 1, 2, 3, 60])))) for i in range(200)] + [(200, None), (201, "aaaa aaaa")]
+    docs = spark.createDataFrame(rows, "segment_id long, text string")
+    index = lexical.write_index(docs, str(tmp_path / "index"), kind="trigram")
+    assert index.n_docs == 202 and index.n_terms == sum(max(len(t or "") - 2, 0) for _, t in rows)
+    for asked in ("aba", "abab", "aaa", "a é", "ÉA", "b🎉", "aab ab", "no such", "ab"):
+        got = {r["segment_id"]: r["score"] for r in index.search(asked).collect()}
+        assert set(got) == ({i for i, t in rows if asked.lower() in (t or "").lower()} if len(asked) > 2 else set())
+        if len(asked) > 2:
+            assert got == {r["segment_id"]: pytest.approx(r["score"]) for r in lexical.bm25_of_phrase(docs, asked).collect()}
+    one, three = (r["score"] for r in lexical.bm25_of_phrase(spark.createDataFrame([(1, "xyz " + "_" * 20), (2, "xyz xyz xyz " + "_" * 12), *[(i, "_" * 24) for i in range(3, 9)]], "segment_id long, text string"), "xyz").orderBy("segment_id").collect())
+    assert one < three
+    plan = index.search("aab ab")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan
+
+
+@pytest.mark.parametrize("kind", ["word", "trigram"])
+def test_index_after_events_is_a_rebuilt_one(spark, tmp_path, kind):
+    rnd = random.Random(6)
+    words = ["alpha", "beta", "gamma", "Alpha beta", "delta"]
+    text_of = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randrange(6)))
+    now = {i: text_of() for i in range(40)}
+    schema = "segment_id long, text string"
+    index = lexical.write_index(spark.createDataFrame(list(now.items()), schema), str(tmp_path / "index"), position=10, kind=kind)
+    events, number = [(3, 1, "delete"), (10, 2, "delete")], 10  # both applied already
+    for _ in range(2):
+        for _ in range(15):
+            key, number = rnd.randrange(50), number + 1
+            if rnd.random() < 0.3:
+                now.pop(key, None)
+                events.append((number, key, rnd.choice(["delete", "upsert"])))  # an upsert whose content is gone
+            else:
+                now[key] = text_of()
+                events.append((number, key, "upsert"))
+        content = spark.createDataFrame(list(now.items()), schema)
+        shuffled = rnd.sample(events, len(events))
+        index = lexical.apply_events(index, spark.createDataFrame(shuffled, "event_id long, segment_id long, operation string"), content)
+        again = lexical.write_index(content, str(tmp_path / f"whole{number}"), kind=kind)
+        opened = lexical.open_index(spark, str(tmp_path / "index"), kind)
+        for at in (index, opened, lexical.compact(replace(index, folder=str(tmp_path / f"compact{number}")))):
+            assert (at.n_docs, at.n_terms, at.n_postings, at.position) == (again.n_docs, again.n_terms, again.n_postings, number)
+            for asked in ("alpha beta", "gamma"):
+                assert {r["segment_id"]: r["score"] for r in at.search(asked).collect()} == {r["segment_id"]: pytest.approx(r["score"]) for r in again.search(asked).collect()}
+    assert lexical.apply_events(index, spark.createDataFrame(events, "event_id long, segment_id long, operation string"), content) is index  # nothing new
+    with pytest.raises(lexical.StaleIndex):
+        lexical.open_index(spark, str(tmp_path / "index"), kind, source="other files")
+
+
 def test_rrf(spark):
     rows = spark.createDataFrame([("a", 1, 1), ("b", 1, 3), ("a", 2, 2)], "channel string, segment_id long, rank int")
     got = {r["segment_id"]: r["score"] for r in ranking.fuse(rows).collect()}
