@@ -17,6 +17,20 @@ def highest_grades(labels: DataFrame, query: str = "query_id", item: str = "segm
     return labels.where(F.col(item).isNotNull()).groupBy(query, item).agg(F.max(grade).alias(grade))
 
 
+def resolve_labels(labels: DataFrame, messages: DataFrame, members: DataFrame, query: str = "query_id", anchor: str = "anchor_guid", grade: str = "grade", item: str = "segment_id") -> tuple[DataFrame, DataFrame]:
+    """``(grades, unresolved)``: labels name messages, which are looked up in the segments of now.
+
+    ``messages`` has message_id and source_guid, ``members`` message_id and the
+    segment. The grades are ``highest_grades`` of what is found; ``unresolved``
+    ``(query, labels, unresolved)`` counts for every query the labels, and those
+    whose message is gone, or in no segment.
+    """
+    where = messages.where(F.col("source_guid").isNotNull()).select(F.col("source_guid").alias(anchor), "message_id").join(members.select("message_id", item), "message_id").drop("message_id")
+    found = labels.select(query, anchor, grade).join(where, anchor, "left")
+    counts = found.groupBy(query).agg(F.count("*").alias("labels"), F.count_if(F.col(item).isNull()).alias("unresolved"))
+    return highest_grades(found, query, item, grade), counts
+
+
 def query_metrics(queries: DataFrame, ranked: DataFrame, grades: DataFrame, k: int, query: str = "query_id", item: str = "segment_id") -> DataFrame:
     """nDCG, pooled recall, reciprocal rank, success and judged coverage at ``k`` of every query.
 

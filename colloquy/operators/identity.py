@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import normalize_handle, slug
+from colloquy.operators.graphs import connected_components
 from colloquy.session import batch_function
 
 MOST_CANDIDATES, LEAST_RATIO = 5, 0.5
@@ -75,6 +76,33 @@ def resolve_handles(handles: DataFrame, contacts: DataFrame) -> DataFrame:
     return normal.join(known, "normalized_value", "left").select("source_handle_id", "kind", "normalized_value", "contact")
 
 
+def resolve_people(handles: DataFrame, contacts: DataFrame, known: DataFrame) -> DataFrame:
+    """``(source_handle_id, kind, normalized_value, person_id, new_person)`` of raw handles, whatever their order.
+
+    ``contacts`` ``(contact, normalized_value)`` lists all identifiers of each
+    contact, ``known`` ``(normalized_value, person_id)`` what earlier runs
+    resolved. A handle that is known stays with its person. Others that exactly
+    one contact has are that contact's; contacts and the people to whom any of
+    their identifiers is known are one component, which gets its least person,
+    or else a new one named by its least contact. What no contact has, or
+    several have, is a person of its own. A null value is nobody's identifier.
+    """
+    kind, value = normalize_handle(F.col("raw_value"))
+    normal = handles.select("source_handle_id", kind.alias("kind"), value.alias("normalized_value"))
+    before = known.where(F.col("normalized_value").isNotNull()).groupBy("normalized_value").agg(F.min("person_id").alias("_known"))
+    listed = contacts.where(F.col("normalized_value").isNotNull()).select("contact", "normalized_value").distinct()
+    # People before contacts, so that the least node of a component is a person if it has one.
+    person = F.struct(F.lit(0).alias("side"), F.col("_known").cast("long").alias("id"), F.lit(None).cast("string").alias("name"))
+    contact = F.struct(F.lit(1).alias("side"), F.lit(None).cast("long").alias("id"), F.col("contact").cast("string").alias("name"))
+    links = listed.join(before, "normalized_value").select(contact.alias("a"), person.alias("b"))
+    groups = connected_components(links, "a", "b").where("node.side = 1").select(F.col("node.name").alias("contact"), "component")
+    unique = unique_match(normal, listed, "normalized_value", "contact").join(groups, "contact", "left")
+    told = normal.join(unique, "normalized_value", "left").join(before, "normalized_value", "left")
+    person_id = F.coalesce("_known", "component.id")
+    fresh = F.coalesce(F.concat(F.lit("contact:"), F.coalesce("component.name", "contact")), F.concat_ws(":", F.lit("handle"), "kind", "normalized_value"))
+    return told.select("source_handle_id", "kind", "normalized_value", person_id.alias("person_id"), F.when(person_id.isNull(), fresh).alias("new_person"))
+
+
 def people_of(resolved: DataFrame) -> DataFrame:
     """``(person_key, display_name, handles)``: handles of one contact are one person, others stand alone."""
     keyed = resolved.withColumn("person_key", F.coalesce(F.concat(F.lit("contact:"), F.col("contact")), F.concat_ws(":", F.lit("handle"), "kind", "normalized_value")))

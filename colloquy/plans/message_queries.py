@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import ids, text, times
-from colloquy.operators import access, identity, incremental, lexical, queue, rendering, segments, sessions
+from colloquy.operators import access, evaluation, identity, incremental, lexical, queue, rendering, segments, sessions
 from colloquy.plans import upkeep
 from colloquy.plans.views import register, sql, view
 from colloquy.sources import records
@@ -340,6 +340,29 @@ def o71(spark, sf):
     return sessions.conversation_windows(m, anchors, 5).select("chat_id", "message_id", F.col("offset").cast("long").alias("offset_no"))
 
 
+ANCHORED = SESSIONS + """, members AS (SELECT message_id, chat_id || '-' || CAST(session_no AS BIGINT) AS segment_id FROM s WHERE kind <> 'signup'),
+lab AS (SELECT chat_id AS query_id, CASE WHEN kind = 'error' THEN 'x' || source_guid WHEN kind = 'view' THEN NULL ELSE source_guid END AS anchor_guid, CAST(floor(value) AS INTEGER) % 3 AS grade FROM message),
+found AS (SELECT query_id, grade, m.segment_id FROM lab LEFT JOIN (SELECT source_guid, segment_id FROM message JOIN members USING (message_id)) m ON m.source_guid = lab.anchor_guid)"""
+
+
+def _resolved_labels(spark, sf):
+    s = _sessions(spark, sf)
+    members = s.where("kind <> 'signup'").select("message_id", F.concat_ws("-", F.col("chat_id").cast("string"), F.col("session_no").cast("string")).alias("segment_id"))
+    anchor = F.expr("CASE WHEN kind = 'error' THEN concat('x', source_guid) WHEN kind = 'view' THEN NULL ELSE source_guid END")
+    labels = s.select(F.col("chat_id").alias("query_id"), anchor.alias("anchor_guid"), F.expr("cast(floor(value) as int) % 3").alias("grade"))
+    return evaluation.resolve_labels(labels, view(spark, sf, "message"), members)
+
+
+@register("o53_resolved_grades", sql("SELECT query_id, segment_id, max(grade) AS grade FROM found WHERE segment_id IS NOT NULL GROUP BY ALL", "message", ctes=ANCHORED))
+def o53b(spark, sf):
+    return _resolved_labels(spark, sf)[0]
+
+
+@register("o53_unresolved_labels", sql("SELECT query_id, count(*) AS labels, count(*) FILTER (segment_id IS NULL) AS unresolved FROM found GROUP BY 1", "message", ctes=ANCHORED))
+def o53c(spark, sf):
+    return _resolved_labels(spark, sf)[1]
+
+
 @register("o80_union_distinct", sql("SELECT chat_id, person_id FROM direct UNION SELECT chat_id, supplier_id FROM line WHERE flag = 'R'", "direct", "line"))
 def o80(spark, sf):
     return _participants(spark, sf)
@@ -448,6 +471,25 @@ def o149(spark, sf):
     return identity.resolve_handles(handles, contacts)
 
 
+IDENTITIES = """h AS (SELECT person_id AS source_handle_id, short_name || '@example.com' AS value FROM person),
+c AS (SELECT DISTINCT contact, value FROM (SELECT 'C' || (person_id // 3) AS contact, short_name || '@example.com' AS value FROM person UNION ALL SELECT 'D' || segment, short_name || '@example.com' FROM person WHERE person_id % 11 = 0)),
+k AS (SELECT value, min(person_id) AS known FROM (SELECT short_name || '@example.com' AS value, person_id // 10 AS person_id FROM person WHERE segment = 'FURNITURE') GROUP BY 1),
+l AS (SELECT DISTINCT contact, known FROM c JOIN k USING (value)),
+walk(contact, known) AS (SELECT contact, known FROM l UNION SELECT w.contact, l2.known FROM walk w JOIN l l1 ON l1.known = w.known JOIN l l2 ON l2.contact = l1.contact),
+groups AS (SELECT contact, min(known) AS person FROM walk GROUP BY 1),
+u AS (SELECT value, count(DISTINCT contact) AS n, min(contact) AS contact FROM c GROUP BY 1)"""
+
+
+@register("o149_people", sql("""SELECT source_handle_id, h.value AS normalized_value, coalesce(k.known, g.person) AS person_id, CASE WHEN coalesce(k.known, g.person) IS NULL THEN coalesce('contact:' || u.contact, 'handle:email:' || h.value) END AS new_person
+  FROM h LEFT JOIN (SELECT value, contact FROM u WHERE n = 1) u ON u.value = h.value LEFT JOIN groups g ON g.contact = u.contact LEFT JOIN k ON k.value = h.value""", "person", ctes=IDENTITIES))
+def o149b(spark, sf):
+    p = view(spark, sf, "person").withColumn("value", F.concat("short_name", F.lit("@example.com")))
+    contacts = p.select(F.concat(F.lit("C"), F.expr("person_id div 3").cast("string")).alias("contact"), "value").union(p.where("person_id % 11 = 0").select(F.concat(F.lit("D"), "segment"), "value"))
+    known = p.where("segment = 'FURNITURE'").select(F.col("value").alias("normalized_value"), F.expr("person_id div 10").alias("person_id"))
+    handles = p.select(F.col("person_id").alias("source_handle_id"), F.concat(F.lit(" "), F.upper("value")).alias("raw_value"))
+    return identity.resolve_people(handles, contacts.withColumnRenamed("value", "normalized_value"), known).select("source_handle_id", "normalized_value", "person_id", "new_person")
+
+
 @register("o150_merge_people", sql("SELECT DISTINCT chat_id, CASE WHEN p.segment = 'FURNITURE' AND d.person_id % 10 <> 0 THEN d.person_id // 10 * 10 ELSE d.person_id END AS person_id FROM direct d JOIN person p USING (person_id)", "direct", "person"))
 def o150(spark, sf):
     into = F.expr("person_id div 10 * 10")
