@@ -8,21 +8,21 @@ each shard a graph is built: candidates are the nearest nodes and some random
 ones, pruned by the robust rule (an edge is left out if one already taken leads
 there), made symmetric, and mended until the medoid reaches every node. The
 adjacency lists of all shards are united into one flat graph. Then every node is
-a query in the first of its shards: a greedy search runs from the medoid, over
-the united lists, to the query's vicinity, and from there expands through all
-nodes in range (with some slack) until no new one turns up. What it meets is
-verified by cosine in double precision; after that an exact check by blocks
-adds what a search in the shard may have missed, so that the shards of a pair
-agree on it.
+a query in each of its shards: a greedy search runs from the medoid, over the
+united lists, to the query's vicinity, and from there expands through all nodes
+in range (with some slack) until no new one turns up. What it meets, from either
+end of a pair, is verified by cosine in double precision. Nothing else adds
+links: without the lists a search meets nothing.
 
 A pair counts in the first shard that both ends share, so nothing needs to be
 emitted pair by pair: a shard returns a count and a local component per node.
-Centres are fitted on at most ``SAMPLE`` nodes; every node is indexed. What can
-be missed are pairs that share no shard, so recall is audited at every overlap:
+Centres are fitted on at most ``SAMPLE`` nodes, and ``SAMPLE_BYTES`` of them; every
+node is indexed. What can be missed are pairs that share no shard, and pairs that
+a search does not reach, so recall is audited at every overlap:
 the mean, over ``AUDITED`` nodes drawn by a hash, of the share of a node's links
 to other vectors that a comparison with all rows finds. Below the target the
 search is repeated with twice the overlap, and beyond ``OVERLAP_MOST`` with one
-cluster, whose parts all meet, which is exact.
+cluster, whose parts all meet.
 
 Clusters fit their shards up to ``CLUSTERS_MOST * SHARD / overlap`` nodes, about
 eight million; with more of them parts meet more often, in proportion to the
@@ -49,11 +49,9 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import arrow_map, cut, ship_package
 from colloquy.llm.components import connected_components
 
-SAMPLE, SHARD, CLUSTERS_MOST = 65_536, 2048, 8192
+SAMPLE, SAMPLE_BYTES, SHARD, CLUSTERS_MOST = 65_536, 128 << 20, 2048, 8192
 DEGREE, NEAREST, RANDOM, ALPHA = 16, 32, 16, 1.2
 BEAM, QUERIES_AT_ONCE, PAIRS_AT_ONCE, SLACK = 16, 256, 1 << 16, 0.05
-#: Cosines in single precision are that near to those in double precision.
-ROUNDING = 1e-4
 AUDITED, TARGET_RECALL, OVERLAP_MOST = 1000, 0.97, 16
 log = logging.getLogger(__name__)
 
@@ -224,13 +222,10 @@ def shard_links(vectors: np.ndarray, lists: list[np.ndarray], weights: np.ndarra
     x = (exact / lengths[:, None]).astype(np.float32)
     table, start = padded(lists), medoid(x)
     found = np.zeros((n, n), dtype=bool)
-    asked = np.flatnonzero([s[0] == shard for s in shards])
-    for at in range(0, len(asked), QUERIES_AT_ONCE):
-        queries = asked[at : at + QUERIES_AT_ONCE]
+    for at in range(0, n, QUERIES_AT_ONCE):
+        queries = np.arange(at, min(n, at + QUERIES_AT_ONCE))
         found[queries] = range_search(x, table, start, queries, least)
     found |= found.T
-    for at in range(0, n, QUERIES_AT_ONCE):
-        found[at : at + QUERIES_AT_ONCE] |= x[at : at + QUERIES_AT_ONCE] @ x.T >= least - ROUNDING
     np.fill_diagonal(found, False)
     width = max(map(len, shards))
     homes = np.full((n, width), -1, dtype=np.int64)
@@ -308,10 +303,11 @@ def _assign(classes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     return arrow_map(classes.select("rep", "vec", "m"), run, "rep long, vec binary, m long, clusters array<int>")
 
 
-def _one_dimension(classes: DataFrame, n: int, least: float, overlap: int, build=_build, search=_search) -> DataFrame:
-    """``(rep, n, root)`` rows, several for a node, of classes of one dimension; with overlap 0 there is one cluster."""
+def _one_dimension(classes: DataFrame, n: int, size: int, least: float, overlap: int, build=_build, search=_search) -> DataFrame:
+    """``(rep, n, root)`` rows, several for a node, of n classes with vectors of ``size`` bytes; with overlap 0 there is one cluster."""
     k = min(CLUSTERS_MOST, -(-n * overlap // SHARD)) if overlap else 1
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(SAMPLE, max(16 * k, 4096))).select("vec").collect()
+    most = max(8, SAMPLE_BYTES // max(1, size))
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(SAMPLE, max(16 * k, 4096), most)).select("vec").collect()
     x = unit(np.stack([np.frombuffer(r["vec"], dtype="<f8") for r in sample])).astype(np.float32)
     k = max(1, min(k, len(x) // 8))
     assigned = cut(_assign(classes, kmeans(x, k), max(1, overlap)))
@@ -369,7 +365,7 @@ def links_and_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     while True:
         found = None
         for d, n in sorted(by_size.items()):
-            part = _one_dimension(classes.where(F.octet_length("vec") == d), n, least, overlap)
+            part = _one_dimension(classes.where(F.octet_length("vec") == d), n, d, least, overlap)
             found = part if found is None else found.unionByName(part)
         if found is None:
             return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))

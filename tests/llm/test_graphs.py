@@ -65,6 +65,20 @@ def test_vectors_are_exact_in_the_end(spark, monkeypatch):
     assert got == {i: (int(near[i].sum()), label[i]) for i in range(300)}
 
 
+def test_links_come_from_the_graph():
+    """The search finds what a comparison of all finds, and nothing once the lists are empty."""
+    x = np.array(clustered(random.Random(9), 400))
+    unit = vectorgraph.unit(x)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    lists, ones = vectorgraph.build_graph(unit.astype(np.float32)), np.ones(400, np.int64)
+    counts, _ = vectorgraph.shard_links(x, lists, ones, [[0]] * 400, 0, 0.95)
+    assert near.sum() > 1000 and counts.sum() >= 0.99 * near.sum() and (counts <= near.sum(axis=1)).all()
+    counts, label = vectorgraph.shard_links(x, [np.zeros(0, np.int64)] * 400, ones, [[0]] * 400, 0, 0.95)
+    start = vectorgraph.medoid(unit.astype(np.float32))  # where every search begins
+    assert np.delete(near, start, axis=0)[:, np.arange(400) != start].any() and counts.sum() == 2 * near[start].sum()
+
+
 def test_audit_is_a_mean_over_queries(spark):
     # One group of many links that are all found does not hide pairs that are lost.
     rnd = np.random.default_rng(3)
