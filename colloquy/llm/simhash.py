@@ -101,17 +101,21 @@ def _low(fp: str = "fp") -> Column:
     return F.expr(f"{fp} & 4294967295")
 
 
-def _met(classes: DataFrame) -> DataFrame:
-    """``(key, asks, n, fp, rep)``: where table entries (``asks`` false) and lookups meet; a table value has n entries.
+def _entries(classes: DataFrame) -> DataFrame:
+    """``(key, n, fp, rep)``: the fingerprints under the value of each segment, which n of them share.
 
     A key is a segment's value, with bit 32 set for that of the high segment.
+    Values are counted before they are dealt out, and a value that very many
+    share is joined with its one count.
     """
-    entries = classes.select(F.explode(F.array(_low(), F.expr("shiftrightunsigned(fp, 32) | 4294967296"))).alias("key"), F.lit(False).alias("asks"), "fp", "rep")
+    entries = classes.select(F.explode(F.array(_low(), F.expr("shiftrightunsigned(fp, 32) | 4294967296"))).alias("key"), "fp", "rep")
+    return entries.join(entries.groupBy("key").agg(F.count("*").alias("n")), "key").select("key", "n", "fp", "rep")
+
+
+def _lookups(classes: DataFrame) -> DataFrame:
+    """``(key, fp, rep)``: the ball of radius one around the low segment, of which two fingerprints meet at one of them."""
     ball = F.expr("transform(filter(sequence(0, 31), i -> (shiftright(fp, i) & 1) = 0), i -> (fp & 4294967295) | shiftleft(1L, i))")
-    lookups = classes.select(F.explode(ball).alias("key"), F.lit(True).alias("asks"), "fp", "rep")
-    bucket = Window.partitionBy("key")
-    counted = entries.unionByName(lookups).select("*", F.count_if(~F.col("asks")).over(bucket).alias("n"), F.count("*").over(bucket).alias("m"))
-    return counted.where("n > 0 and m > 1").select("key", "asks", "n", "fp", "rep")
+    return classes.select(F.explode(ball).alias("key"), "fp", "rep")
 
 
 def close_pairs(classes: DataFrame, max_distance: int = 2, full: int = FULL) -> DataFrame:
@@ -120,18 +124,19 @@ def close_pairs(classes: DataFrame, max_distance: int = 2, full: int = FULL) ->
         raise ValueError("max_distance must be 0, 1 or 2")
     if max_distance == 0:
         return classes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).where("false")
-    met = cut_small(_met(classes))
-    table = met.where("not asks").select("key", "n", F.col("fp").alias("fp2"), F.col("rep").alias("v"))
+    table = cut_small(_entries(classes))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_distance
-    fetched = met.where(f"n <= {full}").join(table.where(f"n <= {full}").drop("n"), "key").where((F.col("asks") | (F.col("fp") < F.col("fp2"))) & near)
-    links = fetched.select(F.col("rep").alias("u"), "v")
-    crowded = met.where(f"n > {full}")
+    few = table.where(f"n <= {full}").select("key", F.col("fp").alias("fp2"), F.col("rep").alias("v"))
+    asked = _lookups(classes).join(few, "key").where(near)
+    agree = table.where(f"n > 1 and n <= {full}").drop("n").join(few, "key").where((F.col("fp") < F.col("fp2")) & near)
+    links = asked.unionByName(agree).select(F.col("rep").alias("u"), "v")
+    crowded = table.where(f"n > {full}").drop("n")
     if crowded.isEmpty():
         return links
     # Ball of radius one around the segment that is not the key's.
     first = "if(key >= 4294967296, 0, 32)"
     others = F.expr(f"concat(array(fp), transform(sequence(0, 31), i -> fp ^ shiftleft(1L, i + {first})))")
-    agree = crowded.where("not asks").select("key", "fp", "rep", F.explode(others).alias("ball"))
+    agree = crowded.select("key", "fp", "rep", F.explode(others).alias("ball"))
     if max_distance == 2:
         cell = Window.partitionBy("key", "ball").orderBy("fp")
         chain = agree.select("fp", F.col("rep").alias("u"), F.lag("fp").over(cell).alias("fp2"), F.lag("rep").over(cell).alias("v")).where("fp2 is not null")
@@ -140,7 +145,8 @@ def close_pairs(classes: DataFrame, max_distance: int = 2, full: int = FULL) ->
     # A lookup has one bit of the low segment flipped already; of the high one another may differ.
     whole = F.expr("(fp & -4294967296) | key")
     flips = F.expr("concat(array(0L), transform(sequence(32, 63), i -> shiftleft(1L, i)))") if max_distance == 2 else F.array(F.lit(0).cast("long"))
-    asked = crowded.where("asks").select("fp", F.col("rep").alias("u"), F.explode(F.transform(flips, lambda x: whole.bitwiseXOR(x))).alias("fp2"))
+    values = crowded.select("key").distinct()
+    asked = _lookups(classes).join(values, "key", "left_semi").select("fp", F.col("rep").alias("u"), F.explode(F.transform(flips, lambda x: whole.bitwiseXOR(x))).alias("fp2"))
     answered = asked.join(classes.select(F.col("fp").alias("fp2"), F.col("rep").alias("v")), "fp2").select("fp", "u", "fp2", "v")
     return links.unionByName(chain.unionByName(answered).where(near).select("u", "v"))
 
