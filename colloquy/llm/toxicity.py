@@ -36,9 +36,7 @@ from colloquy.llm.common import arrow_map, cut, held_out, kept, ship_package, te
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
-TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.15, 32, 10
-#: Toxic rows from which on a part of them is kept for the calibration alone.
-MANY = 200
+TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.15, 32, 3
 #: Words either side of an insult that are searched for the second person.
 NEAR = 6
 #: Lengths of stems that are learned from labels; and the least documents and log odds of each.
@@ -282,27 +280,21 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Model:
     """Trees and their calibration. Without rows to learn from every score is 0.
 
-    Of many toxic rows a quarter is set aside for the calibration; of few all are
-    used for both, each calibrated by trees grown without its quarter.
+    Every row is used for both: it is calibrated by the margin of trees that were
+    grown without its quarter of the rows.
     """
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.trees: BoostedTrees | None = None
         if len(y) == 0:
             return
-        toxic = int(min(y.sum(), len(y) - y.sum()))
+        self.trees, margins = BoostedTrees().fit(x, y), np.zeros(len(y))
         quarter = np.arange(len(y)) % 4
-        grown = BoostedTrees(least=float(np.clip(toxic // 4, 2, LEAST_LEAF)))
-        if toxic >= MANY:
-            self.trees = grown.fit(x[quarter != 3], y[quarter != 3])
-            margins, truth = self.trees.margins(x[quarter == 3]), y[quarter == 3]
-        else:
-            self.trees, margins, truth = grown.fit(x, y), np.zeros(len(y)), y
-            for q in range(4):
-                rest = quarter != q
-                if rest.any() and (~rest).any():
-                    margins[~rest] = BoostedTrees(least=grown.least).fit(x[rest], y[rest]).margins(x[~rest])
-        self.xs, self.ys = isotonic(margins, truth)
+        for q in range(4):
+            rest = quarter != q
+            if rest.any() and (~rest).any():
+                margins[~rest] = BoostedTrees().fit(x[rest], y[rest]).margins(x[~rest])
+        self.xs, self.ys = isotonic(margins, y)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
