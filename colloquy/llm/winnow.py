@@ -252,7 +252,7 @@ def _blocks(items: DataFrame, limit: int) -> list[Callable[[], list[tuple[str, s
 
 def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    return items.where("item_id is not null and text is not null")
+    return items.where("item_id is not null and text is not null").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
