@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from colloquy.functions.text import normalize_handle, slug
 from colloquy.operators.graphs import connected_components
-from colloquy.session import batch_function
+from colloquy.session import batch_function, map_batches
 
 MOST_CANDIDATES, LEAST_RATIO = 5, 0.5
 
@@ -61,6 +64,66 @@ def similar_people(people: DataFrame, query: Column) -> DataFrame:
     return people.withColumn("score", F.greatest(*scores)).where(F.col("score") >= LEAST_RATIO)
 
 
+#: Queries that go to the workers at a time.
+QUERIES_AT_ONCE = 1000
+
+
+def most_similar_people(people: DataFrame, queries: DataFrame, most: int = MOST_CANDIDATES, least: float = LEAST_RATIO) -> DataFrame:
+    """``(query_id, person_id, short_name, score, rank)``: the ``most`` people like each query ``(query_id, query)``, as ``similar_people`` scores them.
+
+    Queries go to the workers in blocks. A batch of names is compared with a
+    block by letters first: no more can match than two names have of each letter
+    in common. Names are then taken by that bound, the best first, until it is
+    below the score of the last place; so the result is exact, and a batch gives
+    no more than the places there are. Null names and queries match nothing.
+    """
+    rows = people.select("person_id", "short_name", F.lower("short_name").alias("a"), F.lower("display_name").alias("b"))
+    kind = rows.schema["person_id"].dataType.simpleString()
+    asked = queries.where(F.col("query").isNotNull()).select("query_id", F.lower("query").alias("query"))
+    name = asked.schema["query_id"].dataType.simpleString()
+    found = None
+    block: list = []
+
+    def compared(block: list) -> DataFrame:
+        own = [(r[0], r[1], Counter(r[1])) for r in block]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, short, a, b = (c.to_pylist() for c in batch.columns)
+                letters = [[(n, Counter(n)) for n in pair if n is not None] for pair in zip(a, b, strict=True)]
+                out: dict[str, list] = {"query_id": [], "person_id": [], "short_name": [], "score": []}
+                for query_id, query, has in own:
+                    bounds = [max((2.0 * (has & c).total() / (len(query) + len(n)) if query or n else 1.0 for n, c in names), default=0.0) for names in letters]
+                    best: list[tuple[float, int]] = []
+                    matcher = SequenceMatcher(None)
+                    for i in sorted(range(len(ids)), key=lambda i: -bounds[i]):
+                        if bounds[i] < least or len(best) >= most and bounds[i] < best[most - 1][0]:
+                            break
+                        score = 0.0
+                        for n, _ in letters[i]:
+                            matcher.set_seqs(query, n)
+                            score = max(score, matcher.ratio())
+                        if score >= least:
+                            best.append((score, i))
+                            best.sort(key=lambda x: (-x[0], short[x[1]] is not None, short[x[1]] or "", ids[x[1]]))
+                    for score, i in best[:most]:
+                        for n, v in zip(out, (query_id, ids[i], short[i], score), strict=True):
+                            out[n].append(v)
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("query_id", query_type), ("person_id", batch.schema.field(0).type), ("short_name", pa.string()), ("score", pa.float64())]))
+
+        return map_batches(rows, run, f"query_id {name}, person_id {kind}, short_name string, score double")
+
+    query_type = to_arrow_type(asked.schema["query_id"].dataType)
+    for row in asked.toLocalIterator():
+        block.append(row)
+        if len(block) == QUERIES_AT_ONCE:
+            found, block = compared(block) if found is None else found.unionByName(compared(block)), []
+    if block or found is None:
+        found = compared(block) if found is None else found.unionByName(compared(block))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "short_name", "person_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def short_names(people: DataFrame, name: str = "display_name", by: str = "person_id") -> DataFrame:
     """Adds ``short_name``: the slug of the name, with -2, -3, ... for those that share it, in order of ``by``."""
     base = people.withColumn("_s", F.when(slug(F.col(name)) == "", "person").otherwise(slug(F.col(name))))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def incremental_scan(messages: DataFrame, watermark: int, last_run: Column, row: str = "rowid", edited: str = "edited_at", retracted: str = "retracted_at") -> DataFrame:
@@ -77,6 +80,62 @@ def upsert(current: DataFrame, incoming: DataFrame, key: Sequence[str], update:
     return joined.select(*out)
 
 
+@dataclass(frozen=True)
+class Buckets:
+    """A table in a folder, in which a key's hash tells the one folder of its rows."""
+
+    spark: SparkSession
+    path: str
+    key: tuple[str, ...]
+    buckets: int
+    columns: T.StructType
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("_bucket")
+
+    @property
+    def stored(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.columns.fields, T.StructField("_bucket", T.IntegerType())])).parquet(self.path)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.stored.drop("_bucket")
+
+    def write(self, rows: DataFrame) -> None:
+        """Put the rows, which have their bucket, in place of those of the same buckets; others are left as they are."""
+        dealt = rows.repartition("_bucket").sortWithinPartitions("_bucket", *self.key)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+
+
+def create_buckets(rows: DataFrame, path: str, key: Sequence[str], buckets: int) -> Buckets:
+    """A new table of the rows; a bucket should hold what a few tasks can rewrite."""
+    table = Buckets(rows.sparkSession, path, tuple(key), buckets, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]))
+    table.write(rows.select("*", table.bucket()))
+    return table
+
+
+def upsert_buckets(table: Buckets, incoming: DataFrame, update: Sequence[str], touched: str | None = "updated_at", now: Column | None = None) -> int:
+    """``upsert`` of a table in which only the buckets with a new or changed row are written; returns their number.
+
+    Buckets are found by the keys that come in, so others are not read. Those to
+    write are told first, from keys and updated columns alone, and no more than
+    there are buckets; a bucket's files change together with its rows.
+    """
+    keys = list(table.key)
+    news = incoming.select("*", table.bucket())
+    names = [r[0] for r in news.select("_bucket").distinct().collect()]  # the number of buckets at most
+    old = table.stored.where(F.col("_bucket").isin(names)).select("_bucket", *keys, *[F.col(c).alias(f"_{i}") for i, c in enumerate(update)], F.lit(True).alias("_there"))
+    on = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in ["_bucket", *keys]]
+    met = news.alias("n").join(old.alias("o"), reduce(Column.__and__, on), "left")
+    changed = reduce(Column.__or__, [~F.col(f"n.{c}").eqNullSafe(F.col(f"o._{i}")) for i, c in enumerate(update)], F.col("o._there").isNull())
+    write = [r[0] for r in met.where(changed).select("n._bucket").distinct().collect()]
+    if not write:
+        return 0
+    after = upsert(table.stored.where(F.col("_bucket").isin(write)), news.where(F.col("_bucket").isin(write)), ["_bucket", *keys], update, touched, now)
+    table.write(after)
+    return len(write)
+
+
 def fill_from(rows: DataFrame, source: DataFrame, key: str, column: str, value: str) -> DataFrame:
     """Fill nulls of ``column`` by a lookup; what is there stays."""
     looked = source.select(F.col(key), F.col(value).alias("_v"))

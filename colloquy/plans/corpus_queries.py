@@ -303,7 +303,18 @@ def o107(spark, sf):
     return view(spark, sf, "segment").select("segment_id", text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@register("o108_chunks")
+# Units, their costs and sums; a chunk runs from its first unit (of the overlap) to where its sum would exceed the target.
+CHUNKS = r"""w AS (SELECT segment_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS whole FROM segment),
+u AS (SELECT segment_id, whole, list_filter(list_transform(string_split_regex(whole, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps,
+  list_filter(string_split(regexp_replace(whole, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM w WHERE whole <> ''),
+p AS (SELECT segment_id, flatten(list_transform(CASE WHEN len(ps) < 2 THEN ss ELSE ps END, lambda x: list_transform(range(0, length(x), 6000), lambda i: substr(x, i + 1, 6000)))) AS x FROM u),
+q AS (SELECT segment_id, x, len(x) AS n, list_transform(range(0, len(x) + 1), lambda k: CASE WHEN k = 0 THEN 0 ELSE list_sum(list_transform(x[1:k], lambda t: (length(t) + 3) // 4)) END) AS s FROM p),
+c AS (SELECT segment_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS a, 1 + len(list_filter(range(1, n), lambda j: s[j + 2] <= 1500)) AS e FROM q
+  UNION ALL SELECT segment_id, seq + 1, a2, e + 1 + len(list_filter(range(e + 1, n), lambda j: s[j + 2] - s[a2 + 1] <= 1500)) FROM (SELECT c.segment_id, c.seq, c.e, q.n, q.s, c.e - len(list_filter(range(c.a, c.e), lambda j: q.s[c.e + 1] - q.s[j + 1] <= 150)) AS a2 FROM c JOIN q USING (segment_id) WHERE c.e < q.n)),
+chunk AS (SELECT segment_id, seq, array_to_string(x[a + 1:e], chr(10) || chr(10)) AS t FROM c JOIN q USING (segment_id))"""
+
+
+@register("o108_chunks", sql("SELECT segment_id, seq, length(t) AS n_chars, sha256(t) AS chunk_sha256 FROM chunk", "segment", ctes=CHUNKS))
 def o108(spark, sf):
     chunks = view(spark, sf, "segment").select("segment_id", F.posexplode(text.chunk_text(F.col("text"))).alias("seq", "chunk"))
     return chunks.select("segment_id", F.col("seq").cast("long").alias("seq"), F.length("chunk").cast("long").alias("n_chars"), F.sha2("chunk", 256).alias("chunk_sha256"))

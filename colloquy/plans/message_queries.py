@@ -8,6 +8,7 @@ from colloquy.functions import ids, text, times
 from colloquy.operators import access, evaluation, identity, incremental, lexical, queue, rendering, segments, sessions
 from colloquy.plans import upkeep
 from colloquy.plans.views import register, sql, view
+from colloquy.session import shared_path
 from colloquy.sources import records
 
 GAP = "epoch_us(sent_at) - epoch_us(lag(sent_at) OVER w) > 10800000000"
@@ -69,6 +70,23 @@ def o05(spark, sf):
     return view(spark, sf, "message").select("message_id", F.from_json("text", "k long", {"mode": "FAILFAST"})["k"].alias("k"))
 
 
+@register("o05_strict_decode", sql("""SELECT message_id, CASE kind WHEN 'click' THEN message_id WHEN 'purchase' THEN message_id END AS rowid, CASE kind WHEN 'click' THEN source_guid WHEN 'purchase' THEN source_guid END AS guid,
+  CASE kind WHEN 'click' THEN len(text) WHEN 'purchase' THEN 0 END AS n_ids, CASE kind WHEN 'click' THEN 'added' END AS action, CASE kind WHEN 'view' THEN 'not_json' WHEN 'error' THEN 'type:rowid' WHEN 'signup' THEN 'missing:guid' END AS problem,
+  CASE WHEN kind = 'purchase' THEN 'extra' ELSE '' END AS unknown FROM message""", "message"))
+def o05b(spark, sf):
+    m = view(spark, sf, "message")
+    lines = {
+        "click": F.format_string('{"rowid": %d, "guid": "%s", "tapback": {"kind": "loved", "target_guid": "t"}, "attachment_rowids": [%s]}', "message_id", "source_guid", F.array_join(F.sequence(F.lit(1), F.length("text")), ",")),
+        "purchase": F.format_string('{"guid": "%s", "extra": {"a": [1]}, "rowid": %d, "service": null}', "source_guid", "message_id"),
+        "error": F.format_string('{"rowid": "%d", "guid": "%s"}', "message_id", "source_guid"), "signup": F.format_string('{"rowid": %d}', "message_id"), "view": F.format_string('{"rowid": %d, "guid": "%s"', "message_id", "source_guid"),
+    }
+    line = F.lit(None).cast("string")
+    for kind, text_of in lines.items():
+        line = F.when(F.col("kind") == kind, text_of).otherwise(line)
+    done = records.decode_lines(m.select("message_id", line.alias("line")))
+    return done.select("message_id", "rowid", "guid", F.when(F.col("rowid").isNotNull(), F.size("attachment_rowids")).cast("long").alias("n_ids"), "tapback.action", "problem", F.array_join("unknown_fields", ",").alias("unknown"))
+
+
 @register("o06_link_preview", sql("SELECT page_id, url, 'Page ' || page_id AS title FROM page", "page"))
 def o06(spark, sf):
     import plistlib
@@ -386,6 +404,12 @@ def o85(spark, sf):
     return near.orderBy(F.col("score").desc(), "short_name").limit(identity.MOST_CANDIDATES).select("person_id", "short_name", F.round("score", 6).alias("score"))
 
 
+@register("o85_people_like_every_fiftieth")
+def o85b(spark, sf):
+    p = view(spark, sf, "person")
+    return identity.most_similar_people(p, p.where("person_id % 50 = 0").select(F.col("person_id").alias("query_id"), F.replace("display_name", F.lit("to")).alias("query"))).withColumn("score", F.round("score", 6))
+
+
 @register("o92_frontier", sql("""SELECT c.chat_id, CASE WHEN min(started_at) IS NULL THEN c.changed_at WHEN max(CASE WHEN sealed THEN started_at END) IS NULL THEN least(min(started_at), c.changed_at)
   ELSE coalesce(arg_max_null(nxt, CASE WHEN sealed THEN started_at END), c.changed_at) END AS recompute_from FROM (SELECT chat_id, changed_at, started_at, nxt, ended_at + INTERVAL 3 HOUR < changed_at AS sealed FROM chg LEFT JOIN (SELECT *, lead(started_at) OVER (PARTITION BY chat_id ORDER BY started_at) AS nxt FROM ss) USING (chat_id)) c GROUP BY c.chat_id, c.changed_at""", "message",
   ctes=SESSIONS + ", chg AS (SELECT chat_id, arg_min(sent_at, (message_id)) AS changed_at FROM message WHERE sent_at > TIMESTAMP '2024-01-28' GROUP BY 1)").replace("arg_max_null(nxt, CASE WHEN sealed THEN started_at END)", "(list(nxt ORDER BY CASE WHEN sealed THEN started_at END DESC NULLS LAST))[1]"))
@@ -453,6 +477,18 @@ def o141(spark, sf):
     return incremental.upsert(old, new, ["person_id"], ["display_name"], now=F.lit("2024-02-01").cast("timestamp_ntz"))
 
 
+@register("o141_bucketed_upsert", sql("""SELECT coalesce(o.person_id, n.person_id) AS person_id, coalesce(n.display_name, o.display_name) AS display_name, coalesce(o.segment, n.segment) AS segment,
+  CASE WHEN o.person_id IS NULL OR n.display_name IS DISTINCT FROM o.display_name AND n.person_id IS NOT NULL THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at
+  FROM (SELECT * FROM person WHERE segment <> 'BUILDING') o FULL JOIN (SELECT person_id, CASE WHEN segment = 'FURNITURE' THEN upper(display_name) ELSE display_name END AS display_name, 'x' AS segment FROM person WHERE segment <> 'MACHINERY') n USING (person_id)""", "person"))
+def o141b(spark, sf):
+    p = view(spark, sf, "person")
+    old = p.where("segment <> 'BUILDING'").select("person_id", "display_name", "segment", F.lit("2024-01-01").cast("timestamp_ntz").alias("updated_at"))
+    new = p.where("segment <> 'MACHINERY'").select("person_id", F.expr("CASE WHEN segment = 'FURNITURE' THEN upper(display_name) ELSE display_name END AS display_name"), F.lit("x").alias("segment"))
+    table = incremental.create_buckets(old, shared_path(spark, "people"), ["person_id"], 16)
+    incremental.upsert_buckets(table, new, ["display_name"], now=F.lit("2024-02-01").cast("timestamp_ntz"))
+    return table.rows
+
+
 @register("o144_rate_limit", sql("SELECT message_id AS event_id, ok AS allowed FROM folded", "message", ctes="""e AS (SELECT message_id, chat_id, epoch_us(sent_at) AS t, row_number() OVER (PARTITION BY chat_id ORDER BY sent_at, message_id) AS rn FROM message),
 folded AS (SELECT message_id, chat_id, rn, true AS ok, t AS last, CAST(NULL AS BIGINT) AS before FROM e WHERE rn = 1
   UNION ALL SELECT e.message_id, e.chat_id, e.rn, coalesce(f.before <= e.t - 21600000000, true), CASE WHEN coalesce(f.before <= e.t - 21600000000, true) THEN e.t ELSE f.last END, CASE WHEN coalesce(f.before <= e.t - 21600000000, true) THEN f.last ELSE f.before END

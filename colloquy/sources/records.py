@@ -121,3 +121,74 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df
+
+
+# strict decoding
+
+#: Fields of a record line; others are told as unknown.
+FIELDS = tuple(f.name for f in MESSAGE_RECORD.fields)
+ACTIONS = ("added", "removed")
+
+
+def decode_lines(lines: DataFrame, line: str = "line", refuse_unknown: bool = False) -> DataFrame:
+    """Adds the fields of a record line, ``problem`` (null for a good line) and ``unknown_fields``.
+
+    A line is parsed once, without a schema, and every field's own type is looked
+    at, so nothing is silently cast or dropped. Problems, of which the first of
+    these is told: ``not_json``, ``not_object``, ``missing:`` a required field,
+    ``type:`` a field of a wrong type (also inside of reactions, edits and
+    attachment ids), ``tapback_action`` for one that is neither added nor removed,
+    and, if they are refused, ``unknown:`` the first field that is not known. A
+    line with a problem has no fields. Absent and null fields are null; the
+    service is then unknown, an action added, edits and attachments empty.
+    """
+    whole = lines.withColumn("_v", F.try_parse_json(F.col(line)))
+    whole = whole.withColumn("_m", F.when(F.expr("startswith(schema_of_variant(_v), 'OBJECT')"), F.expr("try_cast(_v AS MAP<STRING, VARIANT>)")))
+
+    def kind(value: str) -> Column:
+        return F.coalesce(F.regexp_extract(F.expr(f"schema_of_variant({value})"), "^[A-Z]+", 0), F.lit("VOID"))
+
+    def wrong(value: str, *kinds: str) -> Column:
+        return ~kind(value).isin(*kinds)
+
+    optional = ("VOID", "STRING")
+    objects = "try_cast(_m['edit_history'] AS ARRAY<VARIANT>)"
+    ids = "try_cast(_m['attachment_rowids'] AS ARRAY<VARIANT>)"
+    tapback = lambda name: f"try_variant_get(_m['tapback'], '$.{name}', 'variant')"
+    in_list = lambda values, test: F.expr(f"exists({values}, x -> NOT coalesce({test}, false))")
+    unknown = F.array_sort(F.array_except(F.map_keys("_m"), F.array(*map(F.lit, FIELDS))))
+    problem = F.when(F.col("_v").isNull(), "not_json").when(F.col("_m").isNull(), "not_object")
+    for name in ("rowid", "guid"):
+        problem = problem.when(~F.map_contains_key("_m", F.lit(name)), f"missing:{name}")
+    problem = problem.when(wrong("_m['rowid']", "BIGINT"), "type:rowid").when(wrong("_m['guid']", "STRING"), "type:guid")
+    for name in ("chat_guid", "handle", "date", "date_edited", "date_retracted", "body_text", "reply_to_guid", "service"):
+        problem = problem.when(wrong(f"_m['{name}']", *optional), f"type:{name}")
+    for name in ("is_from_me", "is_unsent"):
+        problem = problem.when(wrong(f"_m['{name}']", "VOID", "BOOLEAN"), f"type:{name}")
+    problem = problem.when(wrong("_m['tapback']", "VOID", "OBJECT"), "type:tapback")
+    there = kind("_m['tapback']") == "OBJECT"
+    for name, kinds in (("kind", ("STRING",)), ("target_guid", ("STRING",)), ("emoji", optional)):
+        problem = problem.when(there & wrong(tapback(name), *kinds), f"type:tapback.{name}")
+    action = F.coalesce(F.expr(tapback("action").replace("'variant'", "'string'")), F.lit("added"))
+    problem = problem.when(there & ~action.isin(*ACTIONS), "tapback_action")
+    problem = problem.when(wrong("_m['edit_history']", "VOID", "ARRAY") | in_list(objects, "startswith(schema_of_variant(x), 'OBJECT')"), "type:edit_history")
+    problem = problem.when(wrong("_m['attachment_rowids']", "VOID", "ARRAY") | in_list(ids, "schema_of_variant(x) = 'BIGINT'"), "type:attachment_rowids")
+    if refuse_unknown:
+        problem = problem.when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), unknown[0]))
+    told = whole.withColumns({"problem": problem, "unknown_fields": F.coalesce(unknown, F.array().cast("array<string>"))})
+    good = F.col("problem").isNull()
+
+    def field(name: str) -> Column:
+        shape = MESSAGE_RECORD[name].dataType.simpleString()
+        return F.expr(f"try_cast(_m['{name}'] AS {shape})")
+
+    defaults = {"is_from_me": F.lit(False), "is_unsent": F.lit(False), "service": F.lit("unknown"), "attachment_rowids": F.array().cast("array<bigint>"), "edit_history": F.array().cast(MESSAGE_RECORD["edit_history"].dataType)}
+    columns = [F.when(good, F.coalesce(field(n), defaults[n]) if n in defaults else field(n)).alias(n) for n in FIELDS if n != "tapback"]
+    shape = MESSAGE_RECORD["tapback"].dataType
+    reaction = F.struct(*[(action if f.name == "action" else F.expr(tapback(f.name).replace("'variant'", "'string'"))).alias(f.name) for f in shape.fields])
+    return told.select(*lines.columns, *columns, F.when(good & there, reaction).alias("tapback"), "problem", "unknown_fields")
+
+
+def quarantined(decoded: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
+    """``(records, refused)`` of decoded lines: what goes on, and the lines that do not with their problems."""
+    return decoded.where("problem is null").drop(line, "problem", "unknown_fields"), decoded.where("problem is not null").select(line, "problem", "unknown_fields")

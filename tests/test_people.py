@@ -75,3 +75,25 @@ def test_labels_follow_their_messages(spark):
     grades, counts = evaluation.resolve_labels(labels, messages, members)
     assert [tuple(r) for r in grades.collect()] == [("q", "s", 2)]
     assert {tuple(r) for r in counts.collect()} == {("q", 4, 2), ("r", 1, 1)}
+
+
+def test_people_like_many_queries(spark):
+    """The bounds lose nothing: the best of each query are those of a comparison with everyone."""
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(5)
+    make = lambda: "".join(rnd.choice("abcde ") for _ in range(rnd.randrange(1, 9)))
+    folk = [(i, make(), rnd.choice([None, make().upper()])) for i in range(120)]
+    asked = [(i, make()) for i in range(30)] + [(90, None), (91, "")]
+    want = {}
+    for q, text in asked:
+        if text is None:
+            continue
+        scores = [(max(SequenceMatcher(None, text.lower(), n.lower()).ratio() for n in (s, d) if n is not None), s, i) for i, s, d in folk]
+        want[q] = [(i, score) for score, s, i in sorted((x for x in scores if x[0] >= 0.5), key=lambda x: (-x[0], x[1], x[2]))[:5]]
+    people = spark.createDataFrame(folk, "person_id long, short_name string, display_name string").repartition(3)
+    got = {q: [] for q in want}
+    for r in identity.most_similar_people(people, spark.createDataFrame(asked, "query_id long, query string")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["person_id"], r["score"]))
+    assert got == want
+    assert identity.most_similar_people(people, spark.createDataFrame([], "query_id long, query string")).count() == 0
