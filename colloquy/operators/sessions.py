@@ -48,7 +48,7 @@ def _cumulated(rows: DataFrame, order: Sequence[str], value: Column, name: str)
     return own.join(offsets, ["_k", "_s"]).withColumn(name, F.col("_offset") + F.col("_inner")).drop("_s", "_offset", "_inner")
 
 
-def sessionize(messages: DataFrame, gap_hours: float, bucket_hours: int = 24, chat: str = "chat_id", at: str = "sent_at", tie: str = "message_id") -> DataFrame:
+def sessionize(messages: DataFrame, gap_hours: float, chat: str = "chat_id", at: str = "sent_at", tie: str = "message_id", bucket_hours: int = 24) -> DataFrame:
     """Adds ``session_no`` (from 0 in each chat): a new session begins where the gap is exceeded, not where it is met.
 
     A message without a time begins no session and ends none; those without a

@@ -32,7 +32,7 @@ def o60(spark, sf):
 
 @register("o60_sessionize_split", sql("SELECT message_id, chat_id, CAST(session_no AS BIGINT) AS session_no FROM s", "message", ctes=SESSIONS))
 def o60b(spark, sf):
-    return sessions.sessionize(view(spark, sf, "message"), 3.0, 5).select("message_id", "chat_id", "session_no")
+    return sessions.sessionize(view(spark, sf, "message"), 3.0, bucket_hours=5).select("message_id", "chat_id", "session_no")
 
 
 @register("o66_session_summary", sql("SELECT * FROM ss", "message", ctes=SESSIONS))

@@ -43,7 +43,7 @@ def test_sessionize(spark, messages, hours):
         for t, i in rows:
             n += before is not None and t is not None and t - before > 3 * 3600
             before, want[i] = t, (c, n)
-    got = sessions.sessionize(frame(spark, messages), 3.0, hours).collect()
+    got = sessions.sessionize(frame(spark, messages), 3.0, bucket_hours=hours).collect()
     assert len(got) == len(messages) and {r["message_id"]: (r["chat_id"], r["session_no"]) for r in got} == want
 
 
