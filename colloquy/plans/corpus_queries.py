@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import ids, text, times, vectors
-from colloquy.operators import access, attachments, evaluation, incremental, lexical, queue, ranking, rendering, segments
+from colloquy.operators import access, attachments, evaluation, incremental, lexical, nearest, queue, ranking, rendering, segments
 from colloquy.plans import upkeep
 from colloquy.plans.search import SearchTables, hybrid_search
 from colloquy.plans.views import rebuild_index, register, segment_index, sql, view
@@ -483,6 +483,13 @@ def _distances(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "vector").withColumn("distance", F.round(vectors.cosine_distance(F.col("vec"), target), 6))
 
 
+@register("o76_vector_top_k_pruned", sql(f"SELECT segment_id, {DISTANCE} AS distance, row_number() OVER (ORDER BY {DISTANCE}, segment_id) AS rank FROM vector, q ORDER BY distance, segment_id LIMIT 50", "vector", ctes=QUERY_VECTOR))
+def o76b(spark, sf):
+    index = nearest.write_vectors(view(spark, sf, "vector"), shared_path(spark, "vectors"))
+    hits = index.top_k(_query_vector(spark, sf), 50)
+    return hits.select("segment_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @register("o76_vector_top_k", sql(f"SELECT segment_id, {DISTANCE} AS distance, row_number() OVER (ORDER BY {DISTANCE}, segment_id) AS rank FROM vector, q ORDER BY distance, segment_id LIMIT 50", "vector", ctes=QUERY_VECTOR))
 def o76(spark, sf):
     return ranking.ranked(_distances(spark, sf).select("segment_id", "distance"), [F.col("distance"), F.col("segment_id")], 50).withColumn("rank", F.col("rank").cast("long"))
