@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy.operators.incremental import last_events
+from colloquy.session import ship_package
 
 
 def stream_sessions(events: DataFrame, gap: str = "3 hours", lateness: str = "1 day", key: str = "user_id", at: str = "ts") -> DataFrame:
@@ -57,3 +58,96 @@ def stream_rate_limit(events: DataFrame, limit: int, window_seconds: float, key:
 
     timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
     return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# keyed state that forgets nothing: whatever comes late is still applied
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    """``transformWithState`` by a key; it needs the state store that keeps state on disk."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return rows.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None")
+
+
+class _Reactions(StatefulProcessor):
+    """Of a message its id once it is there; until then the reactions that wait for it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.message = handle.getValueState("message", "message_id long")
+        self.waiting = handle.getListState("waiting", "tapback_id long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        came = []
+        found = self.message.get()[0] if self.message.exists() else None
+        before = found
+        for r in rows:
+            if r["tapback_id"] is None:
+                found = r["message_id"] if found is None else min(found, r["message_id"])
+            else:
+                came.append(r["tapback_id"])
+        if found is None:
+            self.waiting.appendList([(t,) for t in came])
+            return
+        if found != before:
+            self.message.update((found,))
+        if before is None and self.waiting.exists():
+            came = [*(w[0] for w in self.waiting.get()), *came]
+            self.waiting.clear()
+        for t in came:
+            yield Row(tapback_id=t, target_message_id=found)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_reactions(messages: DataFrame, reactions: DataFrame) -> DataFrame:
+    """``(tapback_id, target_message_id)`` of the streams ``(source_guid, message_id)`` and ``(target_guid, tapback_id)``, as soon as both have come, in whatever order.
+
+    As ``backfill_reactions`` of all rows, without the reactions whose message
+    never comes. Rows without a guid are nobody's; of messages of one guid the
+    first to come counts, the least id where several come at once.
+    """
+    there = messages.where(F.col("source_guid").isNotNull()).select(F.col("source_guid").alias("guid"), F.col("message_id").cast("long").alias("message_id"), F.lit(None).cast("long").alias("tapback_id"))
+    back = reactions.where(F.col("target_guid").isNotNull()).select(F.col("target_guid").alias("guid"), F.lit(None).cast("long").alias("message_id"), F.col("tapback_id").cast("long").alias("tapback_id"))
+    return _stateful(there.unionByName(back), "guid", _Reactions(), "tapback_id long, target_message_id long", "Append")
+
+
+class _Edits(StatefulProcessor):
+    """Of a message the version that counts: that of the latest edit, however late it comes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.version = handle.getValueState("version", "edited long, text string, edits long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        edited, text, edits = self.version.get() if self.version.exists() else (None, None, 0)
+        for r in rows:
+            edits += 1
+            own = (r["edited"], r["text"] is not None, r["text"] or "")
+            if edited is None or own > (edited, text is not None, text or ""):
+                edited, text = r["edited"], r["text"]
+        self.version.update((edited, text, edits))
+        yield Row(message_id=key[0], edited_micros=edited, text=text, edits=edits)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_edits(edits: DataFrame) -> DataFrame:
+    """``(message_id, edited_micros, text, edits)`` of the stream ``(message_id, edited_at, text)``: a row for a message whenever an edit of it comes.
+
+    The last row of a message tells its latest edit and how many there were,
+    whatever the order of batches. Of edits at one time the greater text counts;
+    rows without a message or a time tell nothing.
+    """
+    rows = edits.where("message_id is not null and edited_at is not null")
+    return _stateful(rows.select("message_id", F.unix_micros(F.col("edited_at").cast("timestamp")).alias("edited"), "text"), "message_id", _Edits(), "message_id long, edited_micros long, text string, edits long", "Update")
+
+
+def stream_watermarks(rows: DataFrame, source: str = "source", row: str = "rowid") -> DataFrame:
+    """``(source, row)``: the highest row seen of every source of a stream, whatever its order; never lower than before."""
+    return rows.where(F.col(source).isNotNull()).groupBy(source).agg(F.max(row).alias(row))

@@ -1,7 +1,9 @@
 """Streams give what the batch forms give on the same input."""
 
+import random
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import incremental, queue, sessions
@@ -40,3 +42,55 @@ def test_rate_limit(spark, sf, tmp_path):
     got = drain(spark, jobs.stream_rate_limit(stream(spark, sf, tmp_path), 2, 6 * 3600.0), "rates_out", "append", tmp_path)
     batch = queue.rate_limited(spark.read.parquet(f"{sf}/events.parquet"), 2, 6 * 3600.0)
     assert {r["event_id"]: r["allowed"] for r in got.collect()} == {r["event_id"]: r["allowed"] for r in batch.collect()}
+
+
+def replay(spark, rows, schema, folder, seed, batches=4):
+    """A stream of the rows in some order, in several batches."""
+    folder.mkdir(parents=True)
+    mixed = rows[:]
+    random.Random(seed).shuffle(mixed)
+    for i in range(batches):
+        part = spark.createDataFrame(mixed[i::batches], schema).coalesce(1)
+        part.write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reactions_in_any_order(spark, tmp_path, rocks, seed):
+    messages = [(f"g{i}", i) for i in range(30)] + [(None, 99)]
+    reactions = [(f"g{i % 40}", 1000 + i) for i in range(60)] + [(None, 5000)]
+    m = replay(spark, messages, "source_guid string, message_id long", tmp_path / "m", seed)
+    r = replay(spark, reactions, "target_guid string, tapback_id long", tmp_path / "r", seed)
+    got = drain(spark, jobs.stream_reactions(m, r), f"reactions_{seed}", "append", tmp_path).collect()
+    batch = incremental.backfill_reactions(spark.createDataFrame([(t, g, None) for g, t in reactions], "tapback_id long, target_guid string, target_message_id long"), spark.createDataFrame(messages, "source_guid string, message_id long"))
+    want = {(x["tapback_id"], x["target_message_id"]) for x in batch.where("target_message_id is not null").collect()}
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_edits_in_any_order(spark, tmp_path, rocks, seed):
+    edits = [(i % 7, i * 1_000_000 % 13_000_000, f"v{i}") for i in range(60)] + [(3, 99_000_000, None), (None, 1, "x"), (1, None, "x")]
+    rows = replay(spark, edits, "message_id long, t long, text string", tmp_path / "e", seed).withColumn("edited_at", F.timestamp_micros("t"))
+    got = {}
+    for x in drain(spark, jobs.stream_edits(rows), f"edits_{seed}", "update", tmp_path).collect():
+        if x["edits"] > got.get(x["message_id"], (0,))[0]:
+            got[x["message_id"]] = (x["edits"], x["edited_micros"], x["text"])
+    want = {}
+    for m in range(7):
+        own = [(t, v is not None, v or "", v) for i, t, v in edits if i == m and t is not None]
+        want[m] = (len(own), max(own)[0], max(own)[3])
+    assert got == want
+
+
+def test_watermarks_in_any_order(spark, tmp_path):
+    rows = [(f"s{i % 3}", (i * 37) % 101) for i in range(50)] + [(None, 500)]
+    got = drain(spark, jobs.stream_watermarks(replay(spark, rows, "source string, rowid long", tmp_path / "w", 1)), "marks", "complete", tmp_path)
+    assert {tuple(r) for r in got.collect()} == {(f"s{j}", max(r for s, r in rows if s == f"s{j}")) for j in range(3)}
