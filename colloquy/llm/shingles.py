@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import simhash
@@ -206,14 +206,15 @@ def _ordered(u: str, v: str) -> list[Column]:
 
 def _first_candidates(small: DataFrame) -> DataFrame:
     """``(u, v)``: pairs of ``(rep, n, fp, least)`` that are close in bits or share a least hash."""
-    by_bits = Window.partitionBy("fp").orderBy("rep")
-    chained = small.select("rep", F.lag("rep").over(by_bits).alias("o")).where("o is not null").select(F.col("o").alias("u"), F.col("rep").alias("v"))
+    # The first of equal fingerprints comes from a partial aggregation and is joined back, like the leaders below: no window over a value that very many share.
+    firsts = small.groupBy("fp").agg(F.min("rep").alias("o"))
+    equal = small.join(firsts, "fp").where("rep <> o").select(F.col("o").alias("u"), F.col("rep").alias("v"))
     close = simhash.close_pairs(small.groupBy("fp").agg(F.min("rep").alias("rep")))
     keys = small.select("rep", "n", F.explode("least").alias("key"))
     # A key's leader comes from a partial aggregation and is joined back, so that a key of very many texts needs no task of its own.
     leaders = keys.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.xxhash64("rep", "key")).alias("o"), F.count("*").alias("m")).where("m > 1")
     tried = keys.join(leaders, "key").where(_sizes_fit("n", "o.n")).select(F.col("o.rep").alias("u"), F.col("rep").alias("v"))
-    every = chained.unionByName(close).unionByName(tried).select(*_ordered("u", "v")).where("u <> v")
+    every = equal.unionByName(close).unionByName(tried).select(*_ordered("u", "v")).where("u <> v")
     return every.distinct()
 
 
@@ -244,10 +245,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lookups = placed.select("rep", "c", "n", F.posexplode("prefix").alias("at", "token"))
     several = cut_small(lookups.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token"))
     mixed = cut_small(_matched(several, several.count() <= SENT, lookups, "token"))
-    # One member of each component that has the shingle, against the next component.
+    # One member of each component that has the shingle, against that of one component.
     one = mixed.groupBy("token", "c").agg(F.min_by(F.struct("rep", "n", "at"), F.xxhash64("rep", "token")).alias("me"))
-    order = Window.partitionBy("token").orderBy(F.xxhash64("c", "token"), "c")
-    next_to = one.select("me", F.lag("me").over(order).alias("o")).where("o is not null").where(_places_fit("me.n", "me.at", "o.n", "o.at"))
+    heads = one.groupBy("token").agg(F.min_by("me", F.xxhash64("c", "token")).alias("o"))
+    next_to = one.join(heads, "token").where("me.rep <> o.rep").where(_places_fit("me.n", "me.at", "o.n", "o.at"))
     tried = cut_small(next_to.select(*_ordered("me.rep", "o.rep")).distinct().join(candidates, ["u", "v"], "left_anti"))
     unite(tried)
 
