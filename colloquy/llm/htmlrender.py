@@ -10,10 +10,9 @@ are, lists with their bullets or numbers, indented by level, ``pre`` as it
 stands, tables with aligned columns.
 
 Defined cases: a null page gives null, an empty page or one without visible text
-an empty string; markup nested deeper than ``DEEPEST`` is flattened but loses no
-text and shows none that is hidden; a column whose blanks would outgrow its text
-is not aligned; repeated rows are rendered each; pages of any length are read
-whole, in time and memory in proportion to them; a page that ends within a tag
+an empty string; markup of any depth keeps its layout; repeated rows are rendered
+each; pages of any length are read whole, in time and memory in proportion to
+them and to what is laid out, whose indents and blanks two parameters can bound; a page that ends within a tag
 or comment ends before it, as in browsers; other columns are not read; an empty
 table gives an empty result.
 """
@@ -31,10 +30,6 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_map, ship_package, text_groups
 
-#: Depth beyond which elements have no layout of their own.
-DEEPEST = 120
-#: Greatest indent, and blanks that a table's columns may take for each sign of their text.
-MOST_INDENT, FILL = 60, 8
 # Names of HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head script style template noscript title meta link canvas audio video iframe object embed datalist annotation annotation-xml".split()) - {"head"}
@@ -59,22 +54,17 @@ SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*)?(?:[.#][\w-]+)?", re.I)
 
 
 class Node:
-    __slots__ = ("attrs", "children", "over", "shown", "tag")
+    __slots__ = ("attrs", "children", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str], over: Node | None = None):
+    def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
-        #: The element around it, where that is not its parent in the tree.
-        self.over, self.shown = over, False
 
 
 class TreeBuilder:
     """A tree of a page; ``styles`` gathers the text of its style elements.
 
     Which elements are open is known by tag as well as by depth, so that no tag
-    takes a search through all that is open. Beyond ``DEEPEST`` elements keep
-    their place among the open ones but not in the tree: they and their texts
-    follow each other below the last that fits, each knowing the element around
-    it, so that what is hidden stays hidden.
+    takes a search through all that is open. A tree may be of any depth.
     """
 
     def __init__(self):
@@ -90,13 +80,7 @@ class TreeBuilder:
     def _cut(self, depth: int) -> None:
         """Close all that is open from a depth on."""
         while len(self.open) > max(1, depth):
-            tag = self.open.pop().tag
-            self.places[tag].pop()
-            if len(self.open) >= DEEPEST and tag in BLOCK:
-                self.open[DEEPEST - 1].children.append(Node("#end", {}, self._over()))
-
-    def _over(self) -> Node | None:
-        return self.open[-1] if len(self.open) > DEEPEST else None
+            self.places[self.open.pop().tag].pop()
 
     def _close(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
         """Close the open elements of the tags within the innermost limit: an outer one may be open too, a row above its cell."""
@@ -104,8 +88,7 @@ class TreeBuilder:
             self._cut(at)
 
     def _push(self, node: Node, stays: bool = True) -> None:
-        node.over = self._over()
-        (self.open[DEEPEST - 1] if len(self.open) > DEEPEST else self.open[-1]).children.append(node)
+        self.open[-1].children.append(node)
         if stays:
             self.places.setdefault(node.tag, []).append(len(self.open))
             self.open.append(node)
@@ -148,12 +131,7 @@ class TreeBuilder:
             if not text.strip():
                 return
             self._cut(len(self.open) - 1)
-        if len(self.open) > DEEPEST:
-            flat = Node("#text", {}, self.open[-1])
-            flat.children.append(text)
-            self.open[DEEPEST - 1].children.append(flat)
-        else:
-            self.open[-1].children.append(text)
+        self.open[-1].children.append(text)
 
 
 # Elements whose text is taken as it stands, and those in which only references are read.
@@ -271,11 +249,31 @@ def hiding_selectors(styles: list[str]) -> set[str]:
     return {n for (n, k), v in told.items() if n and (v == "none" if k == "display" else v in ("hidden", "collapse"))}
 
 
+Step = Iterator["Step"]
+
+
+def finish(step: Step) -> None:
+    """Run a step and those that it yields, which are done where it yields them: calls within calls of any depth."""
+    stack = [step]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
 class Renderer:
-    """Lines of a tree's visible text."""
+    """Lines of a tree's visible text.
+
+    Whatever goes down the tree is a generator that yields the steps further
+    down (``finish``). ``most_indent`` bounds the indent of a line, ``fill`` the
+    blanks that a table's columns take for each sign of their text; without
+    these the layout is exact, however wide.
+    """
 
-    def __init__(self, hidden: set[str]):
-        self.hidden = hidden
+    def __init__(self, hidden: set[str], most_indent: int | None = None, fill: int | None = None):
+        self.hidden, self.most_indent, self.fill = hidden, most_indent, fill
         self.lines: list[str] = []
         self.line = ""
         self.blank = False
@@ -283,10 +281,6 @@ class Renderer:
         self.mark = ""
 
     def visible(self, node: Node) -> bool:
-        node.shown = (node.over is None or node.over.shown) and self._visible(node)
-        return node.shown
-
-    def _visible(self, node: Node) -> bool:
         if node.tag in NEVER or node.tag == "head" or "hidden" in node.attrs:
             return False
         if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
@@ -305,7 +299,9 @@ class Renderer:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            indent = "".join(self.prefix)[-MOST_INDENT:]
+            indent = "".join(self.prefix)
+            if self.most_indent is not None:
+                indent = indent[max(0, len(indent) - self.most_indent) :]
             if self.mark:
                 indent = indent[: len(indent) - len(self.mark)] + self.mark
                 self.mark = ""
@@ -322,14 +318,14 @@ class Renderer:
             data = data.lstrip(" ")
         self.line += data
 
-    def children(self, node: Node) -> None:
+    def children(self, node: Node) -> Step:
         for child in node.children:
             if isinstance(child, str):
                 self.text(child)
             elif self.visible(child):
-                self.element(child)
+                yield self.element(child)
 
-    def element(self, node: Node) -> None:
+    def element(self, node: Node) -> Step:
         tag = node.tag
         if tag == "br":
             if not self.line.strip() and self.lines and not self.blank:
@@ -337,8 +333,6 @@ class Renderer:
             self.end_line()
         elif tag == "wbr":
             pass
-        elif tag == "#end":
-            self.end_line()
         elif tag == "hr":
             self.space()
             self.line = "----"
@@ -360,17 +354,17 @@ class Renderer:
                     self.blank = bool(self.lines)
             self.space()
         elif tag in ("ul", "ol", "menu"):
-            self.list(node)
+            yield self.list(node)
         elif tag == "table":
-            self.table(node)
+            yield self.table(node)
         elif tag == "details" and "open" not in node.attrs:
             self.end_line()
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "summary" and self.visible(child):
-                    self.element(child)
+                    yield self.element(child)
             self.end_line()
         elif tag == "svg":
-            self.svg(node)
+            yield self.svg(node)
         elif tag == "textarea":
             for line in flat_text(node, self).removeprefix("\n").split("\n"):
                 self.text(line)
@@ -381,17 +375,17 @@ class Renderer:
                 self.text(node.attrs["label"])
                 self.end_line()
             if tag == "optgroup" or not node.attrs.get("label", "").strip():
-                self.children(node)
+                yield self.children(node)
             self.end_line()
         elif tag == "q":
             self.line += "“"
-            self.children(node)
+            yield self.children(node)
             self.line += "”"
         elif tag in SPACED:
             self.space()
             if tag == "blockquote":
                 self.prefix.append("  ")
-            self.children(node)
+            yield self.children(node)
             self.space()
             if tag == "blockquote":
                 self.prefix.pop()
@@ -399,25 +393,25 @@ class Renderer:
             self.end_line()
             if tag == "dd":
                 self.prefix.append("  ")
-            self.children(node)
+            yield self.children(node)
             self.end_line()
             if tag == "dd":
                 self.prefix.pop()
         else:
-            self.children(node)
+            yield self.children(node)
 
-    def svg(self, node: Node) -> None:
+    def svg(self, node: Node) -> Step:
         """The labels of a drawing, each on a line."""
         for child in node.children:
             if isinstance(child, Node) and child.tag not in SVG_UNSHOWN and self.visible(child):
                 if child.tag in ("text", "foreignobject"):
                     self.end_line()
-                    self.children(child)
+                    yield self.children(child)
                     self.end_line()
                 else:
-                    self.svg(child)
+                    yield self.svg(child)
 
-    def list(self, node: Node) -> None:
+    def list(self, node: Node) -> Step:
         nested = bool(self.prefix)
         self.end_line() if nested else self.space()
         start = node.attrs.get("start", "")
@@ -429,7 +423,7 @@ class Renderer:
             if not self.visible(child):
                 continue
             if child.tag != "li":
-                self.element(child)
+                yield self.element(child)
                 continue
             self.end_line()
             own = child.attrs.get("value", "")
@@ -439,25 +433,25 @@ class Renderer:
             number += 1
             self.prefix.append(" " * len(mark))
             self.mark = mark
-            self.children(child)
+            yield self.children(child)
             self.end_line()
             self.mark = ""
             self.prefix.pop()
         self.end_line() if nested else self.space()
 
-    def table(self, node: Node) -> None:
+    def table(self, node: Node) -> Step:
         """Rows with aligned columns; a cell of several lines takes several."""
         rows: list[list[tuple[list[str], int, int]]] = []
         self.space()
 
-        def gather(part: Node) -> None:
+        def gather(part: Node) -> Step:
             for child in part.children:
                 if isinstance(child, str):
                     self.text(child)
                 elif not self.visible(child):
                     continue
                 elif child.tag in ("thead", "tbody", "tfoot"):
-                    gather(child)
+                    yield gather(child)
                 elif child.tag == "tr":
                     row = []
                     for cell in child.children:
@@ -465,17 +459,17 @@ class Renderer:
                             self.text(cell)
                         elif self.visible(cell):
                             if cell.tag in ("td", "th"):
-                                inner = Renderer(self.hidden)
-                                inner.children(cell)
+                                inner = Renderer(self.hidden, self.most_indent, self.fill)
+                                yield inner.children(cell)
                                 inner.end_line()
                                 row.append((inner.lines or [""], _span(cell, "colspan"), _span(cell, "rowspan")))
                             else:
-                                self.element(cell)
+                                yield self.element(cell)
                     rows.append(row)
                 else:
-                    self.element(child)
+                    yield self.element(child)
 
-        gather(node)
+        yield gather(node)
         self.end_line()
         grid: list[dict[int, list[str]]] = []
         widths: dict[int, int] = {}
@@ -499,12 +493,13 @@ class Renderer:
             for c, text in line.items():
                 widths[c] = max(widths.get(c, 0), *(0 if c in wide else shown_width(t) for t in text))
         columns = sorted(widths)
-        shown = {c: [shown_width(t) for line in grid for t in line.get(c, [])] for c in columns}
-        n_lines = sum(max((len(t) for t in line.values()), default=0) for line in grid)
-        cells = sum(map(len, shown.values()))
-        dense = n_lines * len(columns) <= FILL * cells + 1000
-        # A column is aligned while its blanks stay in proportion to its text.
-        aligned = {c for c in columns if dense and n_lines * widths[c] <= FILL * sum(shown[c]) + 1000}
+        dense, aligned = True, set(columns)
+        if self.fill is not None:
+            # A column is aligned while its blanks stay in proportion to its text.
+            n_lines = sum(max((len(t) for t in line.values()), default=0) for line in grid)
+            shown = {c: [shown_width(t) for line in grid for t in line.get(c, [])] for c in columns}
+            dense = n_lines * len(columns) <= self.fill * sum(map(len, shown.values())) + 1000
+            aligned = {c for c in columns if dense and n_lines * widths[c] <= self.fill * sum(shown[c]) + 1000}
         for line in grid:
             for i in range(max((len(t) for t in line.values()), default=0)):
                 own = columns if dense else sorted(line)
@@ -527,34 +522,41 @@ def shown_width(text: str) -> int:
 
 
 def flat_text(node: Node, renderer: Renderer) -> str:
-    parts = []
-    for child in node.children:
-        if isinstance(child, str):
+    """The visible text below a node as it stands."""
+    parts, below = [], [iter(node.children)]
+    while below:
+        child = next(below[-1], None)
+        if child is None:
+            below.pop()
+        elif isinstance(child, str):
             parts.append(child)
         elif renderer.visible(child):
-            parts.append("\n" if child.tag == "br" else flat_text(child, renderer))
+            if child.tag == "br":
+                parts.append("\n")
+            else:
+                below.append(iter(child.children))
     return "".join(parts)
 
 
-def render(html: str | None) -> str | None:
-    """The visible text of a page."""
+def render(html: str | None, most_indent: int | None = None, fill: int | None = None) -> str | None:
+    """The visible text of a page; with bounds for indents and for the blanks in tables, if they are given."""
     if html is None:
         return None
     tree = build(html)
-    out = Renderer(hiding_selectors(tree.styles))
+    out = Renderer(hiding_selectors(tree.styles), most_indent, fill)
     if out.visible(tree.root):
-        out.children(tree.root)
+        finish(out.children(tree.root))
     out.end_line()
     return "\n".join(out.lines)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(id, text)`` of every row."""
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_indent: int | None = None, fill: int | None = None) -> DataFrame:
+    """``(id, text)`` of every row; ``most_indent`` and ``fill`` as in ``render``, for pages whose layout would be far wider than their text."""
     ship_package(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_groups(batches, "html", 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(h) for h in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(h, most_indent, fill) for h in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return arrow_map(rows, run, "id long, text string")
