@@ -343,8 +343,9 @@ def segment_sessions(messages: DataFrame, keys: Sequence[str], order: Sequence[s
     rows = positioned(messages.select(*columns, text), keys, order[0], order[-1], "_at").withColumns({"_k": _key(keys), "_cost": estimate_tokens(F.col(text))})
     rows = rows.join(rows.groupBy("_k").agg(F.count("*").alias("_size")), "_k")
     shared_dir(messages.sparkSession)
-    # Sessions for the provider are written once, and so is what it tells: they are read several times.
-    large = rows.where(F.col("_size") > topical_min).checkpoint()
+    # Written once, with the texts of those sessions only that the provider sees; and so is what it tells: both are read several times.
+    rows = rows.withColumn(text, F.when(F.col("_size") > topical_min, F.col(text))).checkpoint()
+    large = rows.where(F.col("_size") > topical_min)
     windows = topic_windows(large.drop("_k"), keys, "_at", text, provider, window_tokens, overlap).checkpoint()
     begins = topic_starts(windows, least).select("_k", F.col("at").alias("_at"), F.lit(True).alias("_reset"))
     failed = windows.where("cuts is null").select("_k").distinct().withColumn("_failed", F.lit(True))

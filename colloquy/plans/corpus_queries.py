@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import ids, text, times, vectors
@@ -475,7 +475,8 @@ DISTANCE = "round(1 - list_cosine_similarity(CAST(vec AS DOUBLE[]), CAST(qv AS D
 
 
 def _query_vector(spark: SparkSession, sf: str) -> list[float]:
-    return list(view(spark, sf, "vector").where("segment_id = 7").first()["vec"])
+    found = view(spark, sf, "vector").where("segment_id = 7").first()
+    return list(found["vec"]) if found else [0.0]
 
 
 def _distances(spark: SparkSession, sf: str) -> DataFrame:
@@ -549,16 +550,22 @@ TOKENS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{
 JACCARD = f"round(CASE WHEN len({TOKENS('text')}) = 0 THEN 0 ELSE len(list_intersect({TOKENS('text')}, {TOKENS('query_text')})) / len(list_distinct(list_concat({TOKENS('text')}, {TOKENS('query_text')}))) END, 6)"
 
 
+def _asked(spark: SparkSession, sf: str) -> Column:
+    """The text of one query of the benchmark; null if it is not there."""
+    found = view(spark, sf, "bench").where("query_id = 3").first()
+    return F.lit(found["query_text"] if found else None).cast("string")
+
+
 @register("o95_jaccard", sql(f"SELECT segment_id, {JACCARD} AS score FROM segment, (SELECT query_text FROM bench WHERE query_id = 3)", "segment", "bench"))
 def o95(spark, sf):
-    q = F.lit(view(spark, sf, "bench").where("query_id = 3").first()["query_text"])
+    q = _asked(spark, sf)
     score = text.jaccard(F.array_distinct(text.words(F.col("text"))), F.array_distinct(text.words(q)))
     return view(spark, sf, "segment").select("segment_id", F.round(score, 6).alias("score"))
 
 
 @register("o78_rerank_pool", sql(f"SELECT segment_id, row_number() OVER (ORDER BY score DESC, rank) AS rank FROM (SELECT segment_id, rank, {JACCARD} AS score FROM top JOIN segment USING (segment_id), (SELECT query_text FROM bench WHERE query_id = 3) WHERE c = 1 AND rank <= 50) ORDER BY score DESC, top_rank LIMIT 10".replace("top_rank", "rank"), "segment", "bench", ctes=RRF).replace("row_number() OVER (ORDER BY score DESC, rank) AS rank FROM (SELECT segment_id, rank,", "row_number() OVER (ORDER BY score DESC, pr) AS rank FROM (SELECT segment_id, rank AS pr,").replace("ORDER BY score DESC, rank LIMIT 10", "ORDER BY score DESC, pr LIMIT 10"))
 def o78(spark, sf):
-    q = F.lit(view(spark, sf, "bench").where("query_id = 3").first()["query_text"])
+    q = _asked(spark, sf)
     top = _channels(spark, sf).where("channel = 1 and rank <= 50").join(view(spark, sf, "segment").select("segment_id", "text"), "segment_id")
     return ranking.rerank(top, q, limit=10).select("segment_id", F.col("rank").cast("long").alias("rank"))
 

@@ -67,7 +67,8 @@ def desired_documents(segments: DataFrame, lines: DataFrame, heads: DataFrame, e
     own = rendering.render_segments(lines.join(ours, "segment_id", "left_semi"), heads, export=True).join(ours.select("segment_id", "chat_id", "stable_key"), "segment_id")
     whole = own.select(ids.segment_document_id(F.col("stable_key")).alias("document_id"), "segment_id", "chat_id", F.lit("segment").alias("kind"), F.col("rendered_text").alias("text"))
     open_ = gate.where("content_eligible").select("segment_id", "attachment_id")
-    parts = own.select("segment_id", "chat_id", "stable_key").join(heads, "segment_id").join(open_, "segment_id").join(chunks, "attachment_id")
+    told = ours.join(lines.select("segment_id"), "segment_id", "left_semi")  # chunks need no rendered text
+    parts = told.select("segment_id", "chat_id", "stable_key").join(heads, "segment_id").join(open_, "segment_id").join(chunks, "attachment_id")
     chunk = parts.select(
         ids.chunk_document_id(F.col("stable_key"), F.col("attachment_guid"), F.col("chunk_kind"), F.col("seq")).alias("document_id"), "segment_id", "chat_id", F.lit("chunk").alias("kind"),
         rendering.chunk_document(F.col("chunk_kind"), F.col("seq") + 1, F.col("head"), F.col("text")).alias("text"),
