@@ -148,6 +148,52 @@ def stream_edits(edits: DataFrame) -> DataFrame:
     return _stateful(rows.select("message_id", F.unix_micros(F.col("edited_at").cast("timestamp")).alias("edited"), "text"), "message_id", _Edits(), "message_id long, edited_micros long, text string, edits long", "Update")
 
 
+class _Sessions(StatefulProcessor):
+    """The sessions of a key as ``(start, end, count)``; an event joins what is within the gap, and may unite two of them."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sessions = handle.getListState("sessions", "start long, end long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = [tuple(x) for x in self.sessions.get()] if self.sessions.exists() else []
+        parts = sorted([(*x, True) for x in known] + [(r["t"], r["t"], 1, False) for r in rows])
+        kept: list[tuple[int, int, int]] = []
+        changed: list[tuple[int, list[int]]] = []
+        for start, end, n, old in parts:
+            if kept and start - kept[-1][1] <= self.gap:
+                kept[-1] = (kept[-1][0], max(kept[-1][1], end), kept[-1][2] + n)
+                changed[-1][1].append(start if old else -1)
+            else:
+                kept.append((start, end, n))
+                changed.append((start, [start if old else -1]))
+        self.sessions.put(kept)
+        for (start, end, n), (_, members) in zip(kept, changed, strict=True):
+            if -1 in members:
+                yield Row(key=key[0], start=start, end=end, n=n, replaces=[m for m in members if m not in (-1, start)])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessions_kept(events: DataFrame, gap_hours: float, key: str = "user_id", at: str = "ts") -> DataFrame:
+    """``(key, started_at, ended_at, message_count, replaces)``: sessions of an event stream in which no event is too late.
+
+    A session is told again whenever an event comes to it; ``replaces`` has the
+    starts of sessions told before that it now takes in. Upserts by key and
+    start, and deletes of what is replaced, give the batch form's sessions
+    whatever the order of the events, if their times are past 1970. The state of
+    a key is a row for each of its sessions. Events without a key or time have none.
+    """
+    timed = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+    kind = timed.schema["key"].dataType.simpleString()
+    told = _stateful(timed, "key", _Sessions(int(gap_hours * 3_600_000_000)), f"key {kind}, start long, end long, n long, replaces array<long>", "Update")
+    moment = lambda c: F.timestamp_micros(c)
+    return told.select(F.col("key").alias(key), moment("start").alias("started_at"), moment("end").alias("ended_at"), F.col("n").alias("message_count"), F.transform("replaces", moment).alias("replaces"))
+
+
 def stream_watermarks(rows: DataFrame, source: str = "source", row: str = "rowid") -> DataFrame:
     """``(source, row)``: the highest row seen of every source of a stream, whatever its order; never lower than before."""
     return rows.where(F.col(source).isNotNull()).groupBy(source).agg(F.max(row).alias(row))

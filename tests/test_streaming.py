@@ -94,3 +94,20 @@ def test_watermarks_in_any_order(spark, tmp_path):
     rows = [(f"s{i % 3}", (i * 37) % 101) for i in range(50)] + [(None, 500)]
     got = drain(spark, jobs.stream_watermarks(replay(spark, rows, "source string, rowid long", tmp_path / "w", 1)), "marks", "complete", tmp_path)
     assert {tuple(r) for r in got.collect()} == {(f"s{j}", max(r for s, r in rows if s == f"s{j}")) for j in range(3)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sessions_of_any_order(spark, sf, tmp_path, rocks, seed):
+    """Events of a month in a random order, without a watermark: nothing is lost, and united sessions replace their parts."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id")
+    rows = [tuple(r) for r in events.collect()][:400] + [(None, None, -1)]
+    stream_ = replay(spark, rows, events.schema, tmp_path / "s", seed, batches=6)
+    told = drain(spark, jobs.stream_sessions_kept(stream_, 3.0), f"kept_{seed}", "update", tmp_path).collect()
+    now = {}
+    for r in sorted(told, key=lambda r: r["message_count"]):  # of one session, the last row has most
+        now[r["user_id"], r["started_at"]] = (r["ended_at"], r["message_count"])
+    for r in told:
+        for gone in r["replaces"]:
+            now.pop((r["user_id"], gone), None)
+    batch = sessions.summarize_sessions(sessions.sessionize(spark.createDataFrame(rows[:-1], events.schema), 3.0, "user_id", "ts", "event_id"), "user_id", "ts", "event_id")
+    assert now == {(r["user_id"], r["started_at"]): (r["ended_at"], r["message_count"]) for r in batch.withColumns({c: F.col(c).cast("timestamp") for c in ("started_at", "ended_at")}).collect()}
