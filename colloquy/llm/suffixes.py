@@ -8,7 +8,8 @@ So suffixes are dealt out by content:
 * Every string of K bytes has a hash that depends on it alone: the least hash of
   the ``M``-grams in it. Starts in a row with one least hash form a stretch.
 * A first round sends the least hashes alone and tells which of them occur in
-  several documents; it answers with the documents' ids.
+  several documents; it answers with the documents' ids and half of each hash.
+  Texts meet the answers by bucket of their id, packed.
 * A second round cuts the stretches with such hashes from the texts and deals
   them out by hash. There the distinct stretches of a hash are suffix-sorted (by
   the ranks of eight-byte words), suffixes that agree in K bytes being ordered
@@ -36,7 +37,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +144,11 @@ def stretches(least: np.ndarray, bounds: np.ndarray, k: int, single: np.ndarray
 # packing: rows of a bucket as columns of bytes
 
 
+def _short(w: np.ndarray) -> np.ndarray:
+    """The upper half of hashes: enough to know one again, as a false match only brings more to compare. Buckets are dealt by the lower half."""
+    return (w >> np.uint64(32)).astype("<u4")
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of the differences of neighbours, all first bytes first: small steps leave long zeros, which compress."""
     return np.diff(x.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -209,7 +214,7 @@ def _send_hashes(batches: Batches, k: int, m: int, buckets: int) -> Batches:
         for a in range(0, len(several), PASSED):
             part = several[a : a + PASSED]
             spread = _scrambled(ids[part[:1]].astype(np.uint64) + np.uint64(a))
-            _append(rows, bucket=int(_bucket_of(spread, buckets)[0]), w=w[part].tobytes(), ids=_planes(ids[part]), many=None)
+            _append(rows, bucket=int(_bucket_of(spread, buckets)[0]), w=_short(w[part]).tobytes(), ids=_planes(ids[part]), many=None)
         w, ids = w[edge[:-1]], ids[edge[:-1]]
         # In a bucket those of one document come first, by id.
         bucket = _bucket_of(w, buckets)
@@ -243,7 +248,7 @@ def _send_hashes(batches: Batches, k: int, m: int, buckets: int) -> Batches:
 
 
 def _told(ids: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of id and hash, dealt by id."""
+    """Pairs of id and upper half of a hash, dealt by id."""
     bucket = _bucket_of(_scrambled(ids.astype(np.uint64)), buckets)
     order = np.lexsort((ids, bucket))
     ids, w, bucket = ids[order], w[order], bucket[order]
@@ -256,7 +261,7 @@ def _told(ids: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[pa.RecordBat
 def _answer(batches: Batches, crowd: int, buckets: int) -> Batches:
     """Pairs of a document's id and a hash that other documents have too; with a null bucket the hashes of ``crowd`` documents or more, and how many have them."""
     for rows in _by_bucket(batches):
-        passed = [(_unplaned(r["ids"]), np.frombuffer(r["w"], np.uint64)) for r in rows if r["many"] is None]
+        passed = [(_unplaned(r["ids"]), np.frombuffer(r["w"], "<u4")) for r in rows if r["many"] is None]
         rows = [r for r in rows if r["many"] is not None]
         found = [tuple(map(np.concatenate, zip(*passed, strict=True)))] if passed else []
         slices = 1 << max(0, sum(len(r["w"]) for r in rows) // 8 // HASHES_HELD).bit_length()
@@ -278,7 +283,7 @@ def _answer(batches: Batches, crowd: int, buckets: int) -> Batches:
                 continue
             total = np.add.reduceat(many, edge[:-1])
             told = known & np.repeat(total > 1, np.diff(edge))
-            found.append((ids[told], w[told]))
+            found.append((ids[told], _short(w[told])))
             full = np.flatnonzero(total >= crowd)
             if len(full):
                 crowds = [(None, None, w[edge[:-1]][full].tobytes(), total[full].astype("<i8").tobytes())]
@@ -287,16 +292,89 @@ def _answer(batches: Batches, crowd: int, buckets: int) -> Batches:
             yield from _told(*map(np.concatenate, zip(*found, strict=True)), buckets)
 
 
-def _by_id(batches: Batches) -> Batches:
-    """``(id, told)``: all hashes that a document was told, in one row."""
-    for rows in _by_bucket(batches):
-        ids = np.concatenate([_unplaned(r["ids"]) for r in rows])
-        w = np.concatenate([np.frombuffer(r["w"], np.uint64) for r in rows])
-        order = np.argsort(ids, kind="stable")
-        ids, w = ids[order], w[order]
-        cuts = _groups(ids)
-        blobs = _binary(w.view(np.uint8), np.diff(cuts) * 8).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), blobs], ["id", "told"])
+#: Texts on their way to where their documents' hashes are told, by bucket of the id; ``w`` is that of what is told, null in rows of texts.
+TEXTS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("w", pa.binary()), ("h", pa.binary()), ("size", pa.binary()), ("x", pa.binary()), ("raw", pa.int64())])
+TEXTS_TYPE = "bucket int, ids binary, w binary, h binary, size binary, x binary, raw long"
+#: Bytes of texts that are packed at once.
+PACKED = 16 << 20
+
+
+def _send_texts(batches: Batches, buckets: int) -> Batches:
+    """``(id, text, h)`` by bucket of the id: the texts of a bucket are compressed together, to much less than each by itself."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, count
+        table = pa.Table.from_batches(held).combine_chunks()
+        held, count = [], 0
+        ids, h = table.column(0).to_numpy(), table.column(2).to_numpy()
+        data, bounds = pieces.raw(table.column(1).cast(pa.large_string()).combine_chunks())
+        bucket = _bucket_of(_scrambled(ids.astype(np.uint64)), buckets)
+        order = np.lexsort((ids, bucket))
+        first, sizes = bounds[:-1][order], np.diff(bounds)[order]
+        ids, h, bucket = ids[order], h[order], bucket[order]
+        cuts = _groups(bucket)
+        rows: dict[str, list] = {n: [] for n in TEXTS.names}
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            x = b"".join(data[i : i + n].tobytes() for i, n in zip(first[a:b].tolist(), sizes[a:b].tolist(), strict=True))
+            _append(rows, bucket=int(bucket[a]), ids=_planes(ids[a:b]), w=None, h=h[a:b].astype("<u4").tobytes(), size=sizes[a:b].astype("<i8").tobytes(), x=pa.compress(x, "zstd", asbytes=True), raw=len(x))
+        return pa.RecordBatch.from_pydict(rows, TEXTS)
+
+    for batch in text_groups(batches, "text", PACKED):
+        size = batch.column(1).nbytes
+        if held and count + size > PACKED:
+            yield flush()
+        held.append(batch)
+        count += size
+    if held:
+        yield flush()
+
+
+def _told_texts(batches: Batches, limit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(ids, h, data, bounds, rows, told)``: texts, about ``limit`` bytes at a time, with the hashes told to each as pairs of its place and a hash; a bucket's hashes come before its texts."""
+    bucket, told_ids, told_w = None, np.zeros(0, np.int64), np.zeros(0, "<u4")
+    open_: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> tuple[np.ndarray, ...]:
+        nonlocal held
+        ids, h, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        held = []
+        low, high = np.searchsorted(told_ids, ids, "left"), np.searchsorted(told_ids, ids, "right")
+        many = high - low
+        at = np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        return ids, h, data, np.concatenate([[0], np.cumsum(sizes)]), np.repeat(np.arange(len(ids)), many), told_w[at]
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {n: batch.column(j)[i].as_py() for j, n in enumerate(TEXTS.names)}
+            if r["bucket"] != bucket:
+                if held:
+                    yield flush()
+                bucket, open_, told_ids, told_w = r["bucket"], [], np.zeros(0, np.int64), np.zeros(0, "<u4")
+            if r["w"] is not None:
+                open_.append((_unplaned(r["ids"]), np.frombuffer(r["w"], "<u4")))
+                continue
+            if open_:
+                told_ids, told_w = map(np.concatenate, zip(*open_, strict=True))
+                order, open_ = np.argsort(told_ids, kind="stable"), []
+                told_ids, told_w = told_ids[order], told_w[order]
+            ids, h, sizes = _unplaned(r["ids"]), np.frombuffer(r["h"], "<u4"), np.frombuffer(r["size"], "<i8")
+            some = np.flatnonzero(np.searchsorted(told_ids, ids, "right") > np.searchsorted(told_ids, ids, "left"))
+            if not len(some):
+                continue
+            data = np.frombuffer(pa.decompress(r["x"], r["raw"], "zstd", asbytes=True), np.uint8)
+            first = (np.cumsum(sizes) - sizes)[some]
+            ends = np.cumsum(sizes[some])
+            # About ``limit`` bytes at a time.
+            group = (ends - sizes[some]) // limit
+            for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(group)) + 1):
+                if held and sum(len(x[3]) for x in held) + int(sizes[some[part]].sum()) > limit:
+                    yield flush()
+                held.append((ids[some[part]], h[some[part]], sizes[some[part]], _gather(data, first[part], sizes[some[part]])))
+    if held:
+        yield flush()
 
 
 # second round
@@ -356,7 +434,7 @@ def _send_stretches(batches: Batches, k: int, m: int, buckets: int, crowded: np.
 
         def add(where: int, own: np.ndarray, x: bytes) -> None:
             _append(
-                rows, bucket=where, key=key[own].tobytes() if x else b"", ids=_planes(ids[own]), h=h[own].astype("<u4").tobytes(), at=_planes(at[own]),
+                rows, bucket=where, key=_short(key[own]).tobytes() if x else b"", ids=_planes(ids[own]), h=h[own].astype("<u4").tobytes(), at=_planes(at[own]),
                 size=sizes[own].astype("<u4").tobytes(), x=pa.compress(x, "zstd", asbytes=True) if x else b"", raw=len(x),
             )
 
@@ -369,18 +447,13 @@ def _send_stretches(batches: Batches, k: int, m: int, buckets: int, crowded: np.
             add(int(bucket[own[0]]), own[np.lexsort((at[own], ids[own]))], b"")  # any bucket passes them on
         return pa.RecordBatch.from_pydict(rows, STRETCHES)
 
-    for batch in text_groups(batches, "text", 1 << 20):
-        data, bounds = pieces.raw(batch.column(1))
+    for ids, h, data, bounds, pairs_row, pairs_w in _told_texts(batches, 1 << 20):
         least = least_hashes(data, k, m)
         if not len(least):
             continue
-        ids, h = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         first, end, row = stretches(least, bounds, k, crowded)
         w = least[first]
-        told = batch.column(3)
-        pairs_row = np.repeat(np.arange(len(ids)), pc.binary_length(told).to_numpy(zero_copy_only=False) // 8)
-        pairs_w = np.frombuffer(b"".join(told.to_pylist()), np.uint64)
-        wanted = _isin_pairs(row, w, pairs_row, pairs_w)
+        wanted = _isin_pairs(row, _short(w), pairs_row, pairs_w)
         first, end, row, w = first[wanted], end[wanted], row[wanted], w[wanted]
         if not len(first):
             continue
@@ -465,7 +538,7 @@ def _spans_of(rows: list[dict], k: int) -> tuple[list[np.ndarray], ...]:
         ids, h, at, size = _unplaned(r["ids"]), np.frombuffer(r["h"], "<u4"), _unplaned(r["at"]), np.frombuffer(r["size"], "<u4").astype(np.int64)
         if r["raw"]:
             x = np.frombuffer(pa.decompress(r["x"], r["raw"], "zstd", asbytes=True), np.uint8)
-            full.append((np.frombuffer(r["key"], np.uint64), ids, h, at, size, x))
+            full.append((np.frombuffer(r["key"], "<u4"), ids, h, at, size, x))
         else:
             for o, v in zip(out, (ids, h, at, at + size), strict=True):
                 o.append(v)
@@ -588,8 +661,9 @@ def repeated_spans(rows: DataFrame, k: int = K, crowd: int = CROWD, crowds: int
     full = arrow_map(answers.where("bucket is null").select("w", "n"), _counted, "w long, n long")
     most = full.orderBy(F.col("n").desc(), "w").limit(crowds).select("w").toArrow()  # 8 bytes each; the rest of these groups stays whole
     crowded = spark.sparkContext.broadcast(np.sort(most.column(0).to_numpy().view(np.uint64)))
-    told = arrow_map(dealt(answers.where("bucket is not null").select("bucket", "ids", "w")), _by_id, "id long, told binary")
-    asked = known.select("id", "text", "h").join(told, "id")
+    told = answers.where("bucket is not null").select("bucket", "ids", "w", *[F.lit(None).cast(t).alias(n) for n, t in (("h", "binary"), ("size", "binary"), ("x", "binary"), ("raw", "long"))])
+    texts = arrow_map(known.select("id", "text", "h"), lambda b: _send_texts(b, buckets), TEXTS_TYPE)
+    asked = told.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", F.col("w").isNull())
     stretches_sent = arrow_map(asked, lambda b: _send_stretches(b, k, m, buckets, crowded.value), STRETCHES_TYPE)
     found = _written(arrow_map(dealt(stretches_sent), lambda b: _find(b, k, buckets), SPANS_TYPE), shared_path(spark, "repeated-spans"))
     drop_path(spark, path)

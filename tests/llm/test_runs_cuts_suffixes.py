@@ -192,3 +192,20 @@ def test_suffix_order():
         strings = [flat[i : i + k].tobytes() for i in order]
         assert strings == sorted(strings)
         assert fresh.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
+
+
+def test_texts_and_answers_are_sent_small():
+    """A hash goes out by its upper half, texts go packed, and both come together again."""
+    w = np.array([1 << 40, 7, 2**63 + 5], np.uint64)
+    told = [b for b in suffixes._told(np.array([3, 5, 3]), suffixes._short(w), 1)]
+    assert [len(r["w"]) for b in told for r in b.to_pylist()] == [3 * 4]
+    texts = {3: "the same words again " * 400, 4: "nobody asked", 5: "ä" * 90}
+    rows = pa.RecordBatch.from_pydict({"id": list(texts), "text": list(texts.values()), "h": [30, 40, 50]})
+    sent = list(suffixes._send_texts(iter([rows]), 1))
+    assert sum(len(r["x"]) for b in sent for r in b.to_pylist()) < sum(map(len, texts.values())) / 10
+    first = pa.RecordBatch.from_pylist([{n: r.get(n) for n in suffixes.TEXTS.names} for b in told for r in b.to_pylist()], suffixes.TEXTS)
+    got = {}
+    for ids, h, data, bounds, row, half in suffixes._told_texts(iter([first, *sent]), 100):
+        for i, x in enumerate(ids.tolist()):
+            got[x] = (int(h[i]), data[bounds[i] : bounds[i + 1]].tobytes().decode(), sorted(half[row == i].tolist()))
+    assert got == {3: (30, texts[3], [1 << 8, 1 << 31]), 5: (50, texts[5], [0])}
