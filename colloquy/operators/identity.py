@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from colloquy.functions.text import normalize_handle, slug
 from colloquy.operators.graphs import connected_components
-from colloquy.session import batch_function, map_batches
+from colloquy.session import batch_function, ship_package
 
 MOST_CANDIDATES, LEAST_RATIO = 5, 0.5
 
@@ -64,62 +63,128 @@ def similar_people(people: DataFrame, query: Column) -> DataFrame:
     return people.withColumn("score", F.greatest(*scores)).where(F.col("score") >= LEAST_RATIO)
 
 
-#: Queries that go to the workers at a time.
-QUERIES_AT_ONCE = 1000
+#: Names and queries that are compared in one group at most, and queries in the least group that is worth a task.
+NAMES_AT_ONCE, QUERIES_AT_ONCE, QUERIES_AT_LEAST = 100_000, 2_000, 50
+#: Letters are dealt into so many classes; the longest name that is compared with a query by common subsequences, and the longest such query.
+CLASSES, LONGEST_NAME, LONGEST_QUERY = 64, 128, 63
+
+
+class _Names:
+    """Names of people, grouped by how often they have each letter."""
+
+    def __init__(self, ids: list, short: list, a: list, b: list):
+        self.own = [[n for n in pair if n is not None] for pair in zip(a, b, strict=True)]
+        order = sorted(range(len(ids)), key=lambda i: (short[i] is not None, short[i] or "", ids[i]))
+        self.rank = np.empty(len(ids), dtype=np.int64)
+        self.rank[order] = np.arange(len(ids))
+        texts = [(t, i) for i, names in enumerate(self.own) for t in dict.fromkeys(names)]
+        self.person = np.array([i for _, i in texts], dtype=np.int64)
+        self.size = np.array([len(t) for t, _ in texts], dtype=np.int64)
+        signs = np.frombuffer("".join(t for t, _ in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.letters, code = np.unique(signs, return_inverse=True)
+        owner = np.repeat(np.arange(len(texts)), self.size)
+        many = np.bincount(owner * CLASSES + code % CLASSES, minlength=len(texts) * CLASSES).reshape(-1, CLASSES).astype(np.int32)
+        self.kinds, kind = np.unique(many, axis=0, return_inverse=True)
+        self.by_kind = np.argsort(kind.ravel(), kind="stable")
+        self.edge = np.concatenate([[0], np.cumsum(np.bincount(kind.ravel(), minlength=len(self.kinds)))])
+        self.kind_size = self.kinds.sum(axis=1)
+        # The letters of the shorter names, place by place; beyond their ends there is none.
+        place = np.arange(len(signs)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        near = place < LONGEST_NAME
+        self.code = np.full((min(LONGEST_NAME, int(self.size.max(initial=0))), len(texts)), len(self.letters), dtype=np.int32)
+        self.code[place[near], owner[near]] = code[near]
+
+    def common(self, query: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The length of the longest common subsequence of a query of ``LONGEST_QUERY`` letters at most with each of some names."""
+        mask = np.zeros(len(self.letters) + 1, dtype=np.uint64)
+        for i, c in enumerate(query.tolist()):
+            if c >= 0:
+                mask[c] |= np.uint64(1 << i)
+        left = np.full(len(which), 2**64 - 1, dtype=np.uint64)
+        for row in self.code[: int(self.size[which].max(initial=0))]:
+            met = left & mask[row[which]]
+            left = (left + met) | (left - met)
+        return len(query) - np.bitwise_count(left & np.uint64((1 << len(query)) - 1)).astype(np.int64)
+
+    def best(self, query: str, most: int, least: float) -> list[tuple[float, int]]:
+        """``(score, person)`` of the best, equal ones by rank."""
+        signs = np.frombuffer(query.encode("utf-32-le", "surrogatepass"), "<u4")
+        at = np.minimum(np.searchsorted(self.letters, signs), max(len(self.letters) - 1, 0))
+        code = np.where(self.letters[at] == signs, at, -1) if len(self.letters) else np.full(len(signs), -1)
+        has = np.bincount(code[code >= 0] % CLASSES, minlength=CLASSES)
+        bound = self._ratio(np.minimum(self.kinds, has).sum(axis=1), self.kind_size, len(query))
+        found: list[tuple[float, int, int]] = []
+        seen: set[int] = set()
+        matcher = SequenceMatcher(None)
+        for top in np.unique(bound[bound >= least])[::-1].tolist():
+            if len(found) == most and top < found[-1][0]:
+                break
+            which = np.concatenate([self.by_kind[self.edge[k] : self.edge[k + 1]] for k in np.flatnonzero(bound == top).tolist()])
+            limit = np.full(len(which), top)
+            if len(query) <= LONGEST_QUERY:
+                near = np.flatnonzero(self.size[which] <= LONGEST_NAME)
+                limit[near] = np.minimum(top, self._ratio(self.common(code, which[near]), self.size[which[near]], len(query)))
+            rank = self.rank[self.person[which]]
+            for i in np.lexsort((rank, -limit)).tolist():
+                if limit[i] < least or len(found) == most and (-limit[i], rank[i]) > (-found[-1][0], found[-1][1]):
+                    break
+                person = int(self.person[which[i]])
+                if person in seen:
+                    continue
+                seen.add(person)
+                score = 0.0
+                for n in self.own[person]:
+                    matcher.set_seqs(query, n)
+                    score = max(score, matcher.ratio())
+                if score >= least:
+                    found = sorted([*found, (score, int(rank[i]), person)], key=lambda x: (-x[0], x[1]))[:most]
+        return [(score, person) for score, _, person in found]
+
+    @staticmethod
+    def _ratio(common: np.ndarray, size: np.ndarray, query: int) -> np.ndarray:
+        return np.where(size + query == 0, 1.0, 2.0 * common / np.maximum(size + query, 1))
 
 
 def most_similar_people(people: DataFrame, queries: DataFrame, most: int = MOST_CANDIDATES, least: float = LEAST_RATIO) -> DataFrame:
     """``(query_id, person_id, short_name, score, rank)``: the ``most`` people like each query ``(query_id, query)``, as ``similar_people`` scores them.
 
-    Queries go to the workers in blocks. A batch of names is compared with a
-    block by letters first: no more can match than two names have of each letter
-    in common. Names are then taken by that bound, the best first, until it is
-    below the score of the last place; so the result is exact, and a batch gives
+    Groups of names meet groups of queries, each in a task, by bounds: no more
+    can match than two names have of each letter in common, which is counted once
+    for all names of the same letters, nor more than their longest common
+    subsequence. Names are taken by these, the best first, until neither bound
+    nor order can reach the last place; so the result is exact, and a group gives
     no more than the places there are. Null names and queries match nothing.
     """
+    spark = people.sparkSession
+    ship_package(spark)
     rows = people.select("person_id", "short_name", F.lower("short_name").alias("a"), F.lower("display_name").alias("b"))
-    kind = rows.schema["person_id"].dataType.simpleString()
     asked = queries.where(F.col("query").isNotNull()).select("query_id", F.lower("query").alias("query"))
-    name = asked.schema["query_id"].dataType.simpleString()
-    found = None
-    block: list = []
-
-    def compared(block: list) -> DataFrame:
-        own = [(r[0], r[1], Counter(r[1])) for r in block]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, short, a, b = (c.to_pylist() for c in batch.columns)
-                letters = [[(n, Counter(n)) for n in pair if n is not None] for pair in zip(a, b, strict=True)]
-                out: dict[str, list] = {"query_id": [], "person_id": [], "short_name": [], "score": []}
-                for query_id, query, has in own:
-                    bounds = [max((2.0 * (has & c).total() / (len(query) + len(n)) if query or n else 1.0 for n, c in names), default=0.0) for names in letters]
-                    best: list[tuple[float, int]] = []
-                    matcher = SequenceMatcher(None)
-                    for i in sorted(range(len(ids)), key=lambda i: -bounds[i]):
-                        if bounds[i] < least or len(best) >= most and bounds[i] < best[most - 1][0]:
-                            break
-                        score = 0.0
-                        for n, _ in letters[i]:
-                            matcher.set_seqs(query, n)
-                            score = max(score, matcher.ratio())
-                        if score >= least:
-                            best.append((score, i))
-                            best.sort(key=lambda x: (-x[0], short[x[1]] is not None, short[x[1]] or "", ids[x[1]]))
-                    for score, i in best[:most]:
-                        for n, v in zip(out, (query_id, ids[i], short[i], score), strict=True):
-                            out[n].append(v)
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("query_id", query_type), ("person_id", batch.schema.field(0).type), ("short_name", pa.string()), ("score", pa.float64())]))
-
-        return map_batches(rows, run, f"query_id {name}, person_id {kind}, short_name string, score double")
-
-    query_type = to_arrow_type(asked.schema["query_id"].dataType)
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERIES_AT_ONCE:
-            found, block = compared(block) if found is None else found.unionByName(compared(block)), []
-    if block or found is None:
-        found = compared(block) if found is None else found.unionByName(compared(block))
+    n, q = rows.count(), asked.count()
+    names = max(1, -(-n // NAMES_AT_ONCE))
+    parts = max(1, -(-q // QUERIES_AT_ONCE), min(-(-spark.sparkContext.defaultParallelism // names), -(-q // QUERIES_AT_LEAST)))
+    kind, name = rows.schema["person_id"].dataType, asked.schema["query_id"].dataType
+    schema = pa.schema([("query_id", to_arrow_type(name)), ("person_id", to_arrow_type(kind)), ("short_name", pa.string()), ("score", pa.float64())])
+
+    def compared(folk: pa.Table, wanted: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query_id": [], "person_id": [], "short_name": [], "score": []}
+        if folk.num_rows and wanted.num_rows:
+            ids, short, a, b = (folk.column(c).to_pylist() for c in ("person_id", "short_name", "a", "b"))
+            own = _Names(ids, short, a, b)
+            for query_id, query in zip(wanted.column("query_id").to_pylist(), wanted.column("query").to_pylist(), strict=True):
+                for score, i in own.best(query, most, least):
+                    for x, v in zip(out, (query_id, ids[i], short[i], score), strict=True):
+                        out[x].append(v)
+        return pa.Table.from_pydict(out, schema)
+
+    def dealt(side: DataFrame, own: Column, other: int, first: bool) -> DataFrame:
+        many = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        pair = (own * parts + F.col("_other")) if first else (F.col("_other") * parts + own)
+        # Several partitions for each pair, so that few pairs share one.
+        return side.withColumn("_other", many).withColumn("_pair", pair.cast("int")).drop("_other").repartition(min(4 * names * parts, 4096), "_pair").groupBy("_pair")
+
+    left = dealt(rows, F.pmod(F.xxhash64("person_id", "short_name"), F.lit(names)), parts, True)
+    right = dealt(asked, F.pmod(F.xxhash64("query_id", "query"), F.lit(parts)), names, False)
+    found = left.cogroup(right).applyInArrow(compared, f"query_id {name.simpleString()}, person_id {kind.simpleString()}, short_name string, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "short_name", "person_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

@@ -1,6 +1,7 @@
 """Identities and labels against plain loops."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -97,3 +98,32 @@ def test_people_like_many_queries(spark):
         got[r["query_id"]].append((r["person_id"], r["score"]))
     assert got == want
     assert identity.most_similar_people(people, spark.createDataFrame([], "query_id long, query string")).count() == 0
+
+
+def test_people_of_the_same_letters(spark, monkeypatch):
+    """Names of the same letters are bounded once, common subsequences tell them apart, and few are compared letter by letter."""
+    monkeypatch.setattr(identity, "NAMES_AT_ONCE", 700)
+    monkeypatch.setattr(identity, "QUERIES_AT_ONCE", 7)
+    names = [f"Customer#{i:09d}" for i in range(2000)]
+    own = identity._Names(list(range(2000)), [n.lower().replace("#", "-") for n in names], [n.lower().replace("#", "-") for n in names], [n.lower() for n in names])
+    assert len(own.kinds) < 1000
+    compared = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            compared.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(identity, "SequenceMatcher", Counted)
+    asked = [(i, names[i].replace("to", "")) for i in range(0, 2000, 131)] + [(5, "x" * 70 + "customer"), (6, "customer#")]
+    want = {}
+    for q, text in asked:
+        scores = [(max(SequenceMatcher(None, text.lower(), n).ratio() for n in (a.lower(), a.lower().replace("#", "-"))), i) for i, a in enumerate(names)]
+        want[q] = [i for score, i in sorted((x for x in scores if x[0] >= 0.5), key=lambda x: (-x[0], x[1]))[:5]]
+    assert {q: [i for _, i in own.best(t.lower(), 5, 0.5)] for q, t in asked} == want
+    assert len(compared) < 2000 * 2 * len(asked) / 5
+    people = spark.createDataFrame([(i, n.lower().replace("#", "-"), n) for i, n in enumerate(names)], "person_id long, short_name string, display_name string")
+    got = {q: [] for q, _ in asked}
+    for r in identity.most_similar_people(people, spark.createDataFrame(asked, "query_id long, query string")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["person_id"])
+    assert got == want
