@@ -6,6 +6,8 @@ import json
 import random
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +188,23 @@ def test_index_after_events_is_a_rebuilt_one(spark, tmp_path, kind):
         lexical.open_index(spark, str(tmp_path / "index"), kind, source="other files")
 
 
+def test_index_is_made_in_pieces(spark, tmp_path, monkeypatch):
+    """A batch of any size is worked on a piece at a time; a row of a piece holds all postings of a bucket."""
+    monkeypatch.setattr(lexical, "PIECE_BYTES", 100)
+    texts = ["some words and others " * 3] * 40 + [None, "", "x" * 500]
+    for source in (pa.array(texts), pa.array([(t or "").split() for t in texts])):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), source], ["segment_id", "terms"])
+        parts = list(lexical._pieces(batch))
+        assert len(parts) > 20 and sum(p.num_rows for p in parts) == len(texts) and all(p.num_rows < 5 for p in parts)
+    x = np.array([0, 3, 70_000, 1])
+    assert lexical._unpack(lexical._pack(x)).tolist() == x.tolist() and len(lexical._unpack(lexical._pack(x[:0]))) == 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "segment_id long, text string").coalesce(1)
+    index = lexical.write_index(docs, str(tmp_path / "index"), kind="trigram")
+    assert index._stored.where("terms is not null").count() < index.n_postings / 5
+    found = {r["term"]: (r["df"], r["cf"]) for r in index.terms.collect()}
+    assert found["xxx"] == (1, 498) and found["me "] == (40, 120)
+
+
 def test_rrf(spark):
     rows = spark.createDataFrame([("a", 1, 1), ("b", 1, 3), ("a", 2, 2)], "channel string, segment_id long, rank int")
     got = {r["segment_id"]: r["score"] for r in ranking.fuse(rows).collect()}
