@@ -26,12 +26,19 @@ def resolve_anchors(requests: DataFrame, segments: DataFrame, chats: DataFrame,
     for the start of the segment, or of the chat's latest one. Errors are
     ``not_found``, ``no_segments`` and ``bad_anchor``.
     """
-    keyed = segments.select(F.col("stable_key").alias("thread_id"), F.col("chat_id").alias("_by_segment"), F.col("started_at").alias("_start"))
-    named = chats.select(F.col("thread_key").alias("thread_id"), F.col("chat_id").alias("_by_chat"))
-    found = requests.join(keyed, "thread_id", "left").join(named, "thread_id", "left").withColumn("chat_id", F.coalesce("_by_segment", "_by_chat"))
+    # What a chat adds is joined to segments and chats, so that requests are dealt twice only: by what they ask for, and by their anchors.
     latest = segments.groupBy("chat_id").agg(F.max("started_at").alias("_latest"))
+    room = F.struct("chat_id", "thread_key", "_latest")
+
+    def of_chat(rows: DataFrame) -> DataFrame:
+        return rows.join(latest, "chat_id", "left").join(chats.select("chat_id", "thread_key"), "chat_id", "left")
+
+    keyed = of_chat(segments.select(F.col("stable_key").alias("thread_id"), "chat_id", "started_at")).select("thread_id", F.col("started_at").alias("_start"), room.alias("_by_segment"))
+    named = of_chat(chats.select(F.col("thread_key").alias("thread_id"), "chat_id")).select("thread_id", room.alias("_by_chat"))
+    found = requests.join(keyed, "thread_id", "left").join(named, "thread_id", "left").withColumn("_room", F.coalesce("_by_segment", "_by_chat"))
+    found = found.select("request_id", "anchor", "_start", *[F.col(f"_room.{c}").alias(c) for c in ("chat_id", "thread_key", "_latest")])
     sent = messages.select("chat_id", F.col("message_key").alias("anchor"), F.col("sent_at").alias("_sent"))
-    told = found.join(latest, "chat_id", "left").join(sent, ["chat_id", "anchor"], "left").join(chats.select("chat_id", "thread_key"), "chat_id", "left")
+    told = found.join(sent, ["chat_id", "anchor"], "left")
     kind = segments.schema["started_at"].dataType
     at = F.when(F.col("anchor").isNull(), F.coalesce("_start", "_latest")).otherwise(F.coalesce(lenient_iso(F.col("anchor")).cast(kind), F.col("_sent")))
     error = F.when(F.col("chat_id").isNull(), "not_found").when(at.isNull() & F.col("anchor").isNull(), "no_segments").when(at.isNull(), "bad_anchor")

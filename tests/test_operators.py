@@ -218,6 +218,22 @@ def test_phrases_are_counted_in_one_pass(spark):
     assert four / two == pytest.approx((3 * 2.2 / (3 + 1.2)) / (2.2 / (1 + 1.2)))
 
 
+def test_requests_are_dealt_twice(spark):
+    """By what they ask for, and by their anchors; not again for what their chats add."""
+    chats = spark.createDataFrame([(1, "t1"), (2, "t2")], "chat_id long, thread_key string")
+    told = spark.createDataFrame([(1, "s1", T0), (1, "s2", T0 + dt.timedelta(days=1))], "chat_id long, stable_key string, started_at timestamp")
+    messages = spark.createDataFrame([(1, "m1", T0 + dt.timedelta(hours=1))], "chat_id long, message_key string, sent_at timestamp")
+    asked = spark.createDataFrame([("a", "s1", None), ("b", "t1", None), ("c", "t1", "m1"), ("d", "t2", None), ("e", "t2", "m1"), ("f", "no", None)], "request_id string, thread_id string, anchor string")
+    got = segments.resolve_anchors(asked.hint("merge"), told.hint("merge"), chats.hint("merge"), messages.hint("merge"))
+    rows = {r["request_id"]: (r["chat_id"], r["thread_key"], r["anchor_at"], r["error"]) for r in got.collect()}
+    assert rows == {
+        "a": (1, "t1", T0, None), "b": (1, "t1", T0 + dt.timedelta(days=1), None), "c": (1, "t1", T0 + dt.timedelta(hours=1), None),
+        "d": (2, "t2", None, "no_segments"), "e": (2, "t2", None, "bad_anchor"), "f": (None, None, None, "not_found"),
+    }
+    above = [line for line in segments.resolve_anchors(asked, told, chats, messages)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and len(line) - len(line.lstrip(" :+-")) <= 8]
+    assert "anchor" in above[0]  # the last join is that of the anchors
+
+
 def test_rrf(spark):
     rows = spark.createDataFrame([("a", 1, 1), ("b", 1, 3), ("a", 2, 2)], "channel string, segment_id long, rank int")
     got = {r["segment_id"]: r["score"] for r in ranking.fuse(rows).collect()}
