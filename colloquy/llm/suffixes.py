@@ -52,6 +52,8 @@ STRETCH = 256
 BLOCK, HASHES_HELD, BYTES_HELD = 1 << 16, 1 << 20, 8 << 20
 #: Buckets for each shuffle partition: a task holds one at a time, and works on ``HASHES_HELD`` of its hashes.
 BUCKETS = 2
+#: Bytes of a bucket's stretches that are held at once and that are compared at once, for which arrays take some 60 times as much; spans, and hashes told, that are put together before they are sent.
+BUCKET_HELD, COMPARED, SPANS_HELD, TOLD_HELD = 32 << 20, 2 << 20, 1 << 18, 1 << 20
 #: Documents in which a hash is crowded, and hashes that are broadcast as crowded at most (8 bytes each).
 CROWD, CROWDS = 4096, 1 << 22
 MIX, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -260,10 +262,23 @@ def _told(ids: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[pa.RecordBat
 
 def _answer(batches: Batches, crowd: int, buckets: int) -> Batches:
     """Pairs of a document's id and a hash that other documents have too; with a null bucket the hashes of ``crowd`` documents or more, and how many have them."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def full_up() -> bool:
+        return sum(len(w) for _, w in found) >= TOLD_HELD
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        out = tuple(map(np.concatenate, zip(*found, strict=True)))
+        found.clear()
+        yield from _told(*out, buckets)
+
     for rows in _by_bucket(batches):
-        passed = [(_unplaned(r["ids"]), np.frombuffer(r["w"], "<u4")) for r in rows if r["many"] is None]
+        for r in rows:
+            if r["many"] is None:
+                found.append((_unplaned(r["ids"]), np.frombuffer(r["w"], "<u4")))
+                if full_up():
+                    yield from flush()
         rows = [r for r in rows if r["many"] is not None]
-        found = [tuple(map(np.concatenate, zip(*passed, strict=True)))] if passed else []
         slices = 1 << max(0, sum(len(r["w"]) for r in rows) // 8 // HASHES_HELD).bit_length()
         for part in range(slices):
             w, ids, known, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
@@ -288,8 +303,10 @@ def _answer(batches: Batches, crowd: int, buckets: int) -> Batches:
             if len(full):
                 crowds = [(None, None, w[edge[:-1]][full].tobytes(), total[full].astype("<i8").tobytes())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*crowds, strict=True), TOLD.types, strict=True)], TOLD.names)
-        if found:
-            yield from _told(*map(np.concatenate, zip(*found, strict=True)), buckets)
+            if full_up():
+                yield from flush()
+    if found:
+        yield from flush()
 
 
 #: Texts on their way to where their documents' hashes are told, by bucket of the id; ``w`` is that of what is told, null in rows of texts.
@@ -411,7 +428,7 @@ STRETCHES_TYPE = "bucket int, key binary, ids binary, h binary, at binary, size
 
 
 def _send_stretches(batches: Batches, k: int, m: int, buckets: int, crowded: np.ndarray) -> Batches:
-    """Per bucket the stretches with hashes that other documents have, those of the least id here; the others are covered, which rows without bytes tell."""
+    """Per bucket the stretches with hashes that other documents have, those of the least id here; the others are covered, which rows without bytes tell, as spans united and dealt evenly."""
     held: list[tuple] = []
     count = 0
 
@@ -432,19 +449,22 @@ def _send_stretches(batches: Batches, k: int, m: int, buckets: int, crowded: np.
         covered, o = o[later[o]], o[~later[o]]
         rows: dict[str, list] = {n: [] for n in STRETCHES.names}
 
-        def add(where: int, own: np.ndarray, x: bytes) -> None:
+        def add(where: int, key: np.ndarray, ids: np.ndarray, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, x: bytes) -> None:
             _append(
-                rows, bucket=where, key=_short(key[own]).tobytes() if x else b"", ids=_planes(ids[own]), h=h[own].astype("<u4").tobytes(), at=_planes(at[own]),
-                size=sizes[own].astype("<u4").tobytes(), x=pa.compress(x, "zstd", asbytes=True) if x else b"", raw=len(x),
+                rows, bucket=where, key=_short(key).tobytes(), ids=_planes(ids), h=h.astype("<u4").tobytes(), at=_planes(at),
+                size=sizes.astype("<u4").tobytes(), x=pa.compress(x, "zstd", asbytes=True) if x else b"", raw=len(x),
             )
 
         cuts = _groups(bucket[o])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             own = o[a:b]
-            add(int(bucket[own[0]]), own, _gather(flat, starts[own], sizes[own]).tobytes())
-        for a in range(0, len(covered), PASSED):
-            own = covered[a : a + PASSED]
-            add(int(bucket[own[0]]), own[np.lexsort((at[own], ids[own]))], b"")  # any bucket passes them on
+            add(int(bucket[own[0]]), key[own], ids[own], h[own], at[own], sizes[own], _gather(flat, starts[own], sizes[own]).tobytes())
+        # Any bucket passes these on, so they are dealt by chance: by their own buckets most would go to the first.
+        gone = _united_by_text(ids[covered], h[covered], at[covered], (at + sizes)[covered])
+        for a in range(0, len(gone[0]), PASSED):
+            i, g, start, end = (x[a : a + PASSED] for x in gone)
+            spread = _scrambled(i[:1].astype(np.uint64) * MIX + start[:1].astype(np.uint64))
+            add(int(_bucket_of(spread, buckets)[0]), key[:0], i, g, start, end - start, b"")
         return pa.RecordBatch.from_pydict(rows, STRETCHES)
 
     for ids, h, data, bounds, pairs_row, pairs_w in _told_texts(batches, 1 << 20):
@@ -530,25 +550,60 @@ def previous_factors(flat: np.ndarray, sizes: np.ndarray, ids: np.ndarray, k: in
     return stretch[met], place[met]
 
 
-def _spans_of(rows: list[dict], k: int) -> tuple[list[np.ndarray], ...]:
-    """``(ids, h, start, end)`` of what is covered in a bucket."""
-    out: tuple[list, list, list, list] = ([], [], [], [])
-    full: list[tuple] = []
+def _united_by_text(ids: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(ids, h, start, end)``: the spans of each text in order and apart from each other."""
+    order = np.lexsort((a, h, ids))
+    ids, h, a, b = ids[order], h[order], a[order], b[order]
+    fresh = np.ones(len(ids), dtype=bool)
+    fresh[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
+    # Places are below 2^31, so those of one text stay below the next one's.
+    base = np.cumsum(fresh) << 32
+    reach = np.maximum.accumulate(base + b)
+    fresh[1:] |= (base + a)[1:] > reach[:-1]
+    new = np.flatnonzero(fresh)
+    last = np.append(new[1:], len(ids))[: len(new)] - 1
+    return ids[new], h[new], a[new], (reach - base)[last]
+
+
+def _held_stretches(rows: list[dict], part: int, parts: int) -> tuple[np.ndarray, ...]:
+    """``(key, ids, h, at, sizes, flat)`` of a bucket's stretches whose keys are in one of equal parts of all."""
+    out = []
     for r in rows:
-        ids, h, at, size = _unplaned(r["ids"]), np.frombuffer(r["h"], "<u4"), _unplaned(r["at"]), np.frombuffer(r["size"], "<u4").astype(np.int64)
-        if r["raw"]:
-            x = np.frombuffer(pa.decompress(r["x"], r["raw"], "zstd", asbytes=True), np.uint8)
-            full.append((np.frombuffer(r["key"], "<u4"), ids, h, at, size, x))
-        else:
-            for o, v in zip(out, (ids, h, at, at + size), strict=True):
-                o.append(v)
-    if not full:
-        return out
-    key, ids, h, at, sizes, flat = (np.concatenate(x) for x in zip(*full, strict=True))
+        key, sizes = np.frombuffer(r["key"], "<u4"), np.frombuffer(r["size"], "<u4").astype(np.int64)
+        own = [key, _unplaned(r["ids"]), np.frombuffer(r["h"], "<u4"), _unplaned(r["at"]), sizes]
+        flat = np.frombuffer(pa.decompress(r["x"], r["raw"], "zstd", asbytes=True), np.uint8)
+        if parts > 1:
+            mine = np.flatnonzero(_part_of(key, parts) == part)
+            flat = _gather(flat, (np.cumsum(sizes) - sizes)[mine], sizes[mine])
+            own = [x[mine] for x in own]
+        out.append((*own, flat))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _spans_of(rows: list[dict], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(ids, h, start, end)`` of what is covered in a bucket: its stretches are held and compared by parts of their keys, so no array grows with it."""
+    total = sum(r["raw"] for r in rows)
+    parts = max(1, -(-total // BUCKET_HELD))
+    for part in range(parts):
+        key, ids, h, at, sizes, flat = _held_stretches(rows, part, parts)
+        slices = parts * max(1, -(-len(flat) // COMPARED))
+        of = _part_of(key, slices)
+        order = np.argsort(of, kind="stable")
+        starts = np.cumsum(sizes) - sizes
+        cuts = _groups(of[order])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = order[a:b]
+            yield from _spans_of_slice(key[own], ids[own], h[own], at[own], sizes[own], _gather(flat, starts[own], sizes[own]), k)
+
+
+def _spans_of_slice(key: np.ndarray, ids: np.ndarray, h: np.ndarray, at: np.ndarray, sizes: np.ndarray, flat: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
     code, example, least = _distinct(flat, sizes, ids)
     later = ids > least[code]
-    for o, v in zip(out, (ids[later], h[later], at[later], (at + sizes)[later]), strict=True):
-        o.append(v)
+    yield ids[later], h[later], at[later], (at + sizes)[later]
     # Distinct stretches that share their hash with another: their suffixes are sorted.
     key_of = key[example]
     _, inverse, times = np.unique(key_of, return_inverse=True, return_counts=True)
@@ -571,40 +626,72 @@ def _spans_of(rows: list[dict], k: int) -> tuple[list[np.ndarray], ...]:
         low, high = np.searchsorted(sorted_code, owner, "left"), np.searchsorted(sorted_code, owner, "right")
         many = high - low
         which = rank[np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
-        for o, v in zip(out, (ids[which], h[which], at[which] + np.repeat(a, many), at[which] + np.repeat(b, many)), strict=True):
-            o.append(v)
-    return out
+        yield ids[which], h[which], at[which] + np.repeat(a, many), at[which] + np.repeat(b, many)
 
 
 def _find(batches: Batches, k: int, buckets: int) -> Batches:
-    """Rows ``(id, h, start, end)`` of what is covered, dealt by id."""
-    for rows in _by_bucket(batches):
-        found = _spans_of(rows, k)
-        if not found[0]:
-            continue
-        ids, h, a, b = (np.concatenate(x) for x in found)
+    """Rows ``(id, h, start, end)`` of what is covered, dealt by id; rows without bytes tell it already and are not held."""
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held, count
+        ids, h, a, b = _united_by_text(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held, count = [], 0
         bucket = _bucket_of(_scrambled(ids.astype(np.uint64)), buckets)
-        order = np.lexsort((a, h, ids, bucket))
-        ids, h, a, b, bucket = ids[order], h[order].astype(np.int64), a[order], b[order], bucket[order]
+        order = np.argsort(bucket, kind="stable")
+        ids, h, a, b, bucket = ids[order], h[order], a[order], b[order], bucket[order]
         cuts = _groups(bucket)
         told = [(int(bucket[i]), _planes(ids[i:j]), h[i:j].astype("<u4").tobytes(), _planes(a[i:j]), _planes(b[i:j] - a[i:j])) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         if told:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), SPANS.types, strict=True)], SPANS.names)
 
+    def compared(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for found in _spans_of(rows, k):
+            yield from hold(found)
+
+    def hold(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        nonlocal count
+        held.append(found)
+        count += len(found[0])
+        if count >= SPANS_HELD:
+            yield from flush()
+
+    rows: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if not r["raw"]:
+                at = _unplaned(r["at"])
+                yield from hold((_unplaned(r["ids"]), np.frombuffer(r["h"], "<u4"), at, at + np.frombuffer(r["size"], "<u4").astype(np.int64)))
+                continue
+            if rows and rows[0]["bucket"] != r["bucket"]:
+                yield from compared(rows)
+                rows = []
+            rows.append(r)
+    if rows:
+        yield from compared(rows)
+    if count:
+        yield from flush()
+
 
 def _spans_by_id(batches: Batches) -> Batches:
     """``(id, h, spans)``: all spans of a text, in one row, as pairs of longs."""
     for rows in _by_bucket(batches):
-        ids, a, size = (np.concatenate([_unplaned(r[n]) for r in rows]) for n in ("ids", "start", "size"))
-        h = np.concatenate([np.frombuffer(r["h"], "<u4") for r in rows]).astype(np.int64)
-        order = np.lexsort((a, h, ids))
-        ids, h, a, size = ids[order], h[order], a[order], size[order]
-        new = np.ones(len(ids), dtype=bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
-        cuts = np.append(np.flatnonzero(new), len(ids))
-        pairs = np.stack([a, a + size], axis=1).astype("<i8")
-        blobs = _binary(pairs.view(np.uint8).ravel(), np.diff(cuts) * 16).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array(h[cuts[:-1]]), blobs], ["id", "h", "spans"])
+        parts = max(1, -(-sum(len(r["h"]) // 4 for r in rows) // (4 * SPANS_HELD)))
+        for part in range(parts):
+            held = []
+            for r in rows:
+                ids, a = _unplaned(r["ids"]), _unplaned(r["start"])
+                own = (ids, np.frombuffer(r["h"], "<u4").astype(np.int64), a, a + _unplaned(r["size"]))
+                mine = _part_of(_short(_scrambled(ids.astype(np.uint64))), parts) == part
+                held.append(own if parts == 1 else tuple(x[mine] for x in own))
+            ids, h, a, b = _united_by_text(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            new = np.ones(len(ids), dtype=bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
+            cuts = np.append(np.flatnonzero(new), len(ids)) if len(ids) else np.zeros(1, np.int64)
+            pairs = np.stack([a, b], axis=1).astype("<i8")
+            blobs = _binary(pairs.view(np.uint8).ravel(), np.diff(cuts) * 16).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.array(h[cuts[:-1]]), blobs], ["id", "h", "spans"])
 
 
 def _united(pairs: np.ndarray) -> np.ndarray:

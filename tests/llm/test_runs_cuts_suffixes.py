@@ -209,3 +209,66 @@ def test_texts_and_answers_are_sent_small():
         for i, x in enumerate(ids.tolist()):
             got[x] = (int(h[i]), data[bounds[i] : bounds[i + 1]].tobytes().decode(), sorted(half[row == i].tolist()))
     assert got == {3: (30, texts[3], [1 << 8, 1 << 31]), 5: (50, texts[5], [0])}
+
+
+def test_covered_spans_are_dealt_evenly_and_not_held():
+    """What is covered already is united, goes to all buckets alike, and passes on without being held by bucket."""
+    rnd = random.Random(4)
+    passages = ["".join(rnd.choice("abcdefgh ") for _ in range(400)) for _ in range(60)]
+    sent = []
+    for p, text in enumerate(passages):
+        data = np.frombuffer((text * 2).encode(), np.uint8)
+        least = suffixes.least_hashes(data)
+        told = np.unique(suffixes._short(least))
+        ids = np.array([2 * p, 2 * p + 1])
+        row = (ids, np.array([7, 8], "<u4"), np.full(2, len(text)), np.tile(told, (2, 1)))
+        texts = pa.RecordBatch.from_pydict({"id": ids, "text": [text] * 2, "h": row[1].astype(np.int64)})
+        answers = [b for b in suffixes._told(np.repeat(ids, len(told)), np.tile(told, 2), 1)]
+        first = pa.RecordBatch.from_pylist([{n: r.get(n) for n in suffixes.TEXTS.names} for b in answers for r in b.to_pylist()], suffixes.TEXTS)
+        sent += [r for b in suffixes._send_stretches(iter([first, *suffixes._send_texts(iter([texts]), 1)]), 50, 24, 64, np.zeros(0, np.uint64)) for r in b.to_pylist()]
+    covered = [r for r in sent if not r["raw"]]
+    assert len(covered) == 60 and all(len(r["h"]) == 4 for r in covered)
+    assert len({r["bucket"] for r in covered}) > 25
+    passed = pa.RecordBatch.from_pylist(covered, suffixes.STRETCHES)
+    got = {}
+    for batch in suffixes._find(iter([passed]), 50, 1):
+        for r in batch.to_pylist():
+            for i, a, n in zip(*(suffixes._unplaned(r[c]).tolist() for c in ("ids", "start", "size")), strict=True):
+                got[i] = (a, n)
+    assert got == {2 * p + 1: (0, 400) for p in range(60)}
+
+
+def test_suffixes_by_slices(spark, monkeypatch):
+    """A bucket that is held in parts and compared in slices gives the same as one that is held whole, and no comparison sees more than its slice."""
+    rows = suffix_rows(8)
+    sent = []
+    rnd = random.Random(6)
+    strings = [bytes(2 * (i % 40) + rnd.randrange(2) for _ in range(12)) for i in range(4000)]  # a hash has its own letters
+    for a in range(0, 4000, 500):
+        part = strings[a : a + 500]
+        key = suffixes._scrambled(np.array([1 + s[0] // 2 for s in part], np.uint64))
+        sent.append({"bucket": 0, "key": suffixes._short(key).tobytes(), "ids": suffixes._planes(np.arange(a, a + 500)), "h": np.ones(500, "<u4").tobytes(), "at": suffixes._planes(np.zeros(500, np.int64)), "size": np.full(500, 12, "<u4").tobytes(), "x": pa.compress(b"".join(part), "zstd", asbytes=True), "raw": 6000})
+    seen = []
+    compare = suffixes._spans_of_slice
+    monkeypatch.setattr(suffixes, "_spans_of_slice", lambda *x: seen.append(len(x[5])) or compare(*x))
+
+    def spans():
+        seen.clear()
+        batch = pa.RecordBatch.from_pylist(sent, suffixes.STRETCHES)
+        out = [r for b in suffixes._find(iter([batch]), 8, 3) for r in b.to_pylist()]
+        return sorted((i, a, n) for r in out for i, a, n in zip(*(suffixes._unplaned(r[c]).tolist() for c in ("ids", "start", "size")), strict=True))
+
+    whole = spans()
+    assert whole and len(seen) == 1
+    monkeypatch.setattr(suffixes, "BUCKET_HELD", 16_000)
+    monkeypatch.setattr(suffixes, "COMPARED", 4_000)
+    monkeypatch.setattr(suffixes, "SPANS_HELD", 100)
+    assert spans() and max(seen) < 48_000 / 3
+    by_id = {}
+    for i, a, n in spans():
+        by_id.setdefault(i, []).append((a, n))
+    assert by_id == {i: [(a, n) for j, a, n in whole if j == i] for i in {j for j, _, _ in whole}}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffixes, "HASHES_HELD", 64)
+    got = suffixes.remove_repeats(docs, k=8).selectExpr("id", "n_bytes", "n_removed", "size(spans)", "sha2(kept, 256)")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_suffixes(rows, 8)
