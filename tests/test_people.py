@@ -127,3 +127,40 @@ def test_people_of_the_same_letters(spark, monkeypatch):
     for r in identity.most_similar_people(people, spark.createDataFrame(asked, "query_id long, query string")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["person_id"])
     assert got == want
+
+
+def test_people_by_a_tree_of_names(spark, monkeypatch):
+    """Few names are reached of many, and floors, copies of names, odd sizes and several groups lose nothing."""
+    rnd = random.Random(8)
+    own = identity._Names(list(range(20_000)), *([f"customer-{i:09d}" for i in range(20_000)] for _ in range(2)), [f"customer#{i:09d}" for i in range(20_000)])
+    reached = []
+    go = identity._Names._reached
+
+    def counted(self, codes, least):
+        out = go(self, codes, least)
+        reached.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(identity._Names, "_reached", counted)
+    asked = [f"cusmer#{i:09d}" for i in range(0, 20_000, 4001)]
+    found = own.bests(asked, [None] * len(asked), 5, 0.5)
+    assert found == [own.best(q, 5, 0.5) for q in asked]
+    assert sum(reached) < 40_000 * len(asked) / 20
+    assert own.bests(asked, [x[-1][0] for x in found], 5, 0.5) == found
+
+    monkeypatch.setattr(identity, "NAMES_AT_ONCE", 40)
+    monkeypatch.setattr(identity, "QUERIES_TOGETHER", 7)
+    monkeypatch.setattr(identity, "PLACES_AT_ONCE", 50)
+    make = lambda n: "".join(rnd.choice("abcä😀") for _ in range(rnd.randrange(n)))
+    folk = [(i, make(7), rnd.choice([None, make(9), "ab" * 64, "ab" * 64 + "c", "ab" * 80])) for i in range(150)]
+    folk += [(200 + i, *folk[i % 10][1:]) for i in range(90)] + [(300, "", ""), (301, None, None), (302, None, "abc")]
+    texts = [make(8) for _ in range(25)] + ["", "ab" * 31, "ab" * 32, "ab" * 70, "zz"]
+    want = {}
+    for q, text in enumerate([*texts, texts[0]]):
+        scores = [(max((SequenceMatcher(None, text, n).ratio() for n in (s, d) if n is not None), default=0.0), s, i) for i, s, d in folk]
+        want[q] = [(i, s, score) for score, s, i in sorted((x for x in scores if x[0] >= 0.5), key=lambda x: (-x[0], x[1] is not None, x[1] or "", x[2]))[:5]]
+    people = spark.createDataFrame(folk, "person_id long, short_name string, display_name string").repartition(3)
+    got = {q: [] for q in want}
+    for r in identity.most_similar_people(people, spark.createDataFrame(list(enumerate([*texts, texts[0]])), "query_id long, query string")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["person_id"], r["short_name"], r["score"]))
+    assert got == want
