@@ -65,7 +65,7 @@ def similar_people(people: DataFrame, query: Column) -> DataFrame:
 
 
 #: Names and queries that are compared in one group at most, and queries in the least group that is worth a task.
-NAMES_AT_ONCE, QUERIES_AT_ONCE, QUERIES_AT_LEAST = 100_000, 50_000, 50
+NAMES_AT_ONCE, QUERIES_AT_ONCE, QUERIES_AT_LEAST = 100_000, 50_000, 500
 #: Queries that go down the tree of names together, and places in it that they are expanded from at once.
 QUERIES_TOGETHER, PLACES_AT_ONCE = 500, 1 << 18
 #: Scores from which a query is tried, one after the other, until no name can be better than what is found.
@@ -86,7 +86,10 @@ class _Names:
         self.person = np.array([i for _, i in texts], dtype=np.int64)
         self.size = np.array([len(t) for t, _ in texts], dtype=np.int64)
         signs = np.frombuffer("".join(t for t, _ in texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        self.letters, code = np.unique(signs, return_inverse=True)
+        known = np.zeros(int(signs.max(initial=0)) + 1, dtype=bool)
+        known[signs] = True
+        self.letters = np.flatnonzero(known)
+        code = (np.cumsum(known) - 1)[signs]
         owner = np.repeat(np.arange(len(texts)), self.size)
         self.texts = [t for t, _ in texts]
         self._letters = owner * CLASSES + code % CLASSES
@@ -297,7 +300,7 @@ def most_similar_people(people: DataFrame, queries: DataFrame, most: int = MOST_
     asked = wanted.select("query").distinct()
     n, q = rows.count(), asked.count()
     names = max(1, -(-n // NAMES_AT_ONCE))
-    parts = max(1, -(-q // QUERIES_AT_ONCE), min(-(-spark.sparkContext.defaultParallelism // names), -(-q // QUERIES_AT_LEAST)))
+    parts = max(1, -(-q // QUERIES_AT_ONCE), min(-(-4 * spark.sparkContext.defaultParallelism // names), -(-q // QUERIES_AT_LEAST)))
     schema = StructType().add("query", "string").add("same", rows.schema["same"].dataType).add("short_name", "string").add("score", "double")
 
     def compared(folk: pa.Table, wanted: pa.Table) -> pa.Table:
